@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, exact_dedup
+from cadenza.llm import chat, decontaminate, exact_dedup, packing, simhash, substrings
 from cadenza.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def byte_bpe() -> str:
+    """The public tokenizer file that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -21,6 +33,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, changed = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    changed = changed.select(
+        F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    ).dropDuplicates(["c_id", "c_key"])
+    out = base.join(changed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left")
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
+    )
+
+
 #: The fixed conversation of the contract.
 PROBE = r"""
 SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, r'\### Assistant: </turn> ok' AS text
@@ -39,10 +62,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_pack_binary": op2_pack_binary,
     "op3_decontaminate": op3_decontaminate,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES = {
