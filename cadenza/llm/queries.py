@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, exact_dedup, packing, simhash, substrings
-from cadenza.llm.common import table
+from cadenza.llm import chat, decontaminate, exact_dedup, language_model, packing, quality, simhash, substrings
+from cadenza.llm.common import fold, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,20 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+#: Scores below it mark a text as label 0.
+ACCEPT = 0.3
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, changed = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
     changed = changed.select(
@@ -71,6 +85,8 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack_binary": op2_pack_binary,
     "op3_decontaminate": op3_decontaminate,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
+    "op5_quality": op5_quality,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
