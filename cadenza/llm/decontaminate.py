@@ -131,7 +131,7 @@ def proximity_matches(items: DataFrame, index: DataFrame, vocab: DataFrame, coun
 def decontaminate(
     docs: DataFrame, tests: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row a document: id, n_words, n_hit, n_items, item_ids (sorted strings)."""
+    """One row a document: id, text_key, n_words, n_hit, n_items, item_ids (sorted strings)."""
     path = scratch(docs.sparkSession, "decontaminate")
     items = stage(items_of(tests, item_col, item_text, window), f"{path}/items")
     vocab = stage(vocabulary(items), f"{path}/vocabulary")
@@ -151,3 +151,11 @@ def decontaminate(
         F.col("doc_id").alias(id_col), "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
     )
+
+
+def keep_clean(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without a hit, with docs' own columns."""
+    bad = result.where("n_hit > 0").select(F.col(id_col).alias("b_id"), F.col("text_key").alias("b_key"))
+    bad = small(stage(bad, scratch(docs.sparkSession, "contaminated")))
+    same = docs[id_col].eqNullSafe(F.col("b_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("b_key"))
+    return docs.join(bad, same, "left_anti")

@@ -19,10 +19,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import remove, scratch, stage
+from cadenza.llm.common import remove, scratch, small, stage
 
 #: Shingles whose hashes are spread to bits at once.
 BLOCK = 1 << 15
@@ -52,16 +52,23 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed number."""
+    """(doc_id, text_key, fp): fp is the fingerprint as a signed number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], ["doc_id", "text_key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    text = F.col(text_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
+    return own.mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 @functools.lru_cache(maxsize=128)
@@ -182,7 +189,7 @@ def components(edges: DataFrame, path: str) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row for each row of docs: id, fp (signed), component_id (smallest id reachable).
+    """One row for each row of docs: id, text_key, fp (signed), component_id (smallest id reachable).
 
     Fingerprints of `bits` (even) or fewer differing bits are linked.
     """
@@ -195,4 +202,27 @@ def near_duplicates(
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = stage(named.join(least, "root").select("fp", "component_id"), f"{path}/components")
-    return own.join(found, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    return own.join(found, "fp").select(F.col("doc_id").alias(id_col), "text_key", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of each component, with docs' own columns.
+
+    Of rows that share that id the one with the least text_key stays, and of repeated ones one.
+    """
+    path = scratch(docs.sparkSession, "simhash-kept")
+    rows = result.groupBy(F.col(id_col).alias("g_id"), F.col("text_key").alias("g_key"), "component_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(rows, f"{path}/rows")
+    first = rows.where("g_id <=> component_id").groupBy("component_id").agg(F.min("g_key").alias("first_key"), F.count(F.lit(1)).alias("keys"))
+    # only components whose smallest id has several texts need their first one named
+    several = small(stage(first.where("keys > 1").select(F.col("component_id").alias("c_id"), "first_key"), f"{path}/several"))
+    rows = rows.join(several, F.col("component_id").eqNullSafe(F.col("c_id")), "left")
+    stays = F.col("g_id").eqNullSafe(F.col("component_id")) & (F.col("first_key").isNull() | (F.col("g_key") == F.col("first_key")))
+    gone = small(stage(rows.where(~stays).select("g_id", "g_key"), f"{path}/gone"))
+    again = small(stage(rows.where(stays & (F.col("n") > 1)).select("g_id", "g_key"), f"{path}/again"))
+    same = docs[id_col].eqNullSafe(F.col("g_id")) & (text_key(docs[text_col]) == F.col("g_key"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    same = kept[id_col].eqNullSafe(F.col("g_id")) & (text_key(kept[text_col]) == F.col("g_key"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
