@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "filepath STRING, label STRING"
+COLUMNS = ["filepath", "label"]
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(filepath, label); columns are found by their names in the header. A file without rows is empty."""
-    return spark.read.option("header", True).option("enforceSchema", False).schema(SCHEMA).csv(path)
+    """(filepath, label) as strings; columns are found by their names in the header.
+
+    Only the header is read to plan; a file without rows is empty, one without a column an error.
+    """
+    return spark.read.option("header", True).csv(path).select(*COLUMNS)
 
 
 def clip_count(manifest: DataFrame) -> int:
