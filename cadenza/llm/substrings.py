@@ -261,7 +261,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     gone = stage(gone, f"{path}/gone")
     on = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key"))
     texts = found.join(gone, on, "left").select("doc_id", "text_key", F.coalesce("places", F.array().cast("array<int>")).alias("places"), "text")
-    base = spark.read.schema(level.schema).parquet(f"{path}/level/kind=0").select("doc_id", "text_key", "n_words", "sha")
+    base = spark.read.schema(level.schema).parquet(f"{path}/level").where("kind = 0").select("doc_id", "text_key", "n_words", "sha")
     return base, cut(texts, window).where("n_removed > 0")
 
 
