@@ -1,19 +1,21 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation of word n-grams.
 
-A word's probability mixes maximum-likelihood estimates from long to short: the word itself, and its
-spelling as byte n-grams with two, one and no bytes of context and the uniform distribution. A text
-is a sequence of words and one end, the end being the word without bytes. The spelling's weights
-differ by how often the context was seen (buckets of powers of two); all weights are learned by
-expectation-maximisation on a deleted part of the training texts, with counts of the rest; the
-final estimates use both.
+A token's probability mixes the maximum-likelihood estimates of n-grams, from `order` words down to
+one, the uniform distribution over the training words and one unknown word, and an estimate that
+knows only the unknown word. The weights differ by how often the context was seen (buckets of powers
+of two). They are learned by expectation-maximisation on a deleted part of the training texts, with
+counts of the rest; the final estimates count both.
 
-Counting and scoring go through one inverted table: per word and block of documents the documents
-that have it. Joined with the words' probabilities and dealt back by block, it gives the sums.
-Only tables whose size is bounded by the number of byte trigrams (256^3) come to the driver.
+Documents are dealt to blocks of one part each (counted, held out, deleted), and a block is kept as
+numbered words. Every block sends each of its different n-grams once, as sorted 64-bit hashes packed
+by range of the hash; a range adds up all blocks' counts and answers each block with the totals of its
+n-grams in the same order. So a frequent n-gram arrives once a block, not once a token, and nothing is
+gathered but one range's or one block's numbers. To the driver come the sums for
+expectation-maximisation, on a grid of fixed size.
 
 Defined results: a null text is an empty one, of one token; a null id belongs to the training part
 (its text is the empty one's crc32, 0); rows that repeat are counted and scored each for itself;
-without training texts every count is 0 and only the spelling speaks; tables may be empty.
+without training texts every token is the unknown word, of equal chance with none; tables may be empty.
 """
 
 from __future__ import annotations
@@ -27,110 +29,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import remove, scratch, stage
+from cadenza.llm.common import scratch, stage
 
-#: Tokens of a block of documents.
-BLOCK_TOKENS = 2_000_000
-#: A space ends each word; no word has one.
-STOP = 32
+#: Tokens of a block, and documents at most.
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 65_536
+#: N-grams that a range gets, about.
+RANGE_NGRAMS = 2_000_000
 #: Context-frequency buckets: by the binary logarithm of the count.
 BUCKETS = 24
-ROUNDS = 30
+#: Steps of the grid of estimates, in a decade, and decades.
+STEPS, DECADES = 25, 14
+ROUNDS = 60
+COUNTED, HELD_OUT, DELETED = 0, 1, 2
+#: Hashes of the end of a text and of what stands before its first word.
+END_HASH, START_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+# Odd multipliers of the mixing, any will do.
+MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def part_of(doc_id: object) -> int:
-    """0 counts, 1 held out from all learning, 2 deleted: kept for learning the weights."""
+    """The part of a document: held out by contract; of the rest one in ten is deleted."""
     c = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
-    return 1 if c % 5 == 1 else 2 if c // 5 % 10 == 0 else 0
+    return HELD_OUT if c % 5 == 1 else DELETED if c // 5 % 10 == 0 else COUNTED
 
 
-def invert(docs: DataFrame, path: str) -> DataFrame:
-    """Write and read, by kind: 0 documents (block, place, doc_id, n_tokens, part), 1 postings
-    (word, block, main, deleted, places): places holds 16-bit pairs of place and count."""
-    from pyspark.sql.pandas.types import to_arrow_type
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, first all lowest bytes: small ones leave whole planes of zeros to compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
-    kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    names = ["kind", "block", "doc_id", "place", "n_tokens", "part", "word", "main", "deleted", "places"]
-
-    def tables(block: int, ids: list, words: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        counts = np.array([len(w) + 1 for w in words], np.int64)
-        part, n = np.array([part_of(i) for i in ids], np.int32), len(ids)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), pa.array(ids, kind), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts), pa.array(part),
-             pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names,
-        )
-        number: dict[bytes, int] = {b"": 0}
-        take = number.setdefault
-        own = np.array([take(w, len(number)) for ws in words for w in (*ws, b"")], np.int64)
-        pairs, times = np.unique(own * n + np.repeat(np.arange(n), counts), return_counts=True)
-        word, place = pairs // n, pairs % n
-        main = np.bincount(word, times * (part[place] == 0), len(number)).astype(np.int64)
-        deleted = np.bincount(word, times * (part[place] == 2), len(number)).astype(np.int64)
-        whole = (times - 1) // 65535 + 1  # a count beyond 16 bits takes several pairs
-        place, word, left = np.repeat(place, whole), np.repeat(word, whole), np.repeat(times, whole)
-        nth = np.arange(len(left)) - np.repeat(np.cumsum(whole) - whole, whole)
-        packed = np.stack([place, np.minimum(65535, left - 65535 * nth)], axis=1).astype("<u2")
-        ends = np.append(0, np.cumsum(np.bincount(word, minlength=len(number)) * 4)).astype(np.int32)
-        places = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(ends), pa.py_buffer(packed.tobytes())])
-        cols = [pa.array(np.ones(len(number), np.int32)), pa.array(np.full(len(number), block)), pa.nulls(len(number), kind), pa.nulls(len(number), pa.int32()), pa.nulls(len(number), pa.int64()),
-                pa.nulls(len(number), pa.int32()), pa.array(list(number), pa.binary()), pa.array(main), pa.array(deleted), places]
-        whole = pa.RecordBatch.from_arrays(cols, names)
-        for i in range(0, len(number), 20_000):
-            yield whole.slice(i, 20_000)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def numbers(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(packed, np.uint8).reshape(size, len(packed) // size).T.copy().view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
-        block, ids, words, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                ids.append(i.as_py())
-                words.append((t.as_py() or "").encode().lower().split())
-                size += len(words[-1]) + 1
-                if size >= BLOCK_TOKENS or len(ids) == 65536:
-                    yield from tables(block, ids, words)
-                    block, ids, words, size = block + 1, [], [], 0
-        if ids:
-            yield from tables(block, ids, words)
 
-    schema = f"kind int, block long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, place int, n_tokens long, part int, word binary, main long, deleted long, places binary"
-    table = docs.mapInArrow(run, schema)
-    table.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(table.schema).parquet(path)
+def unpacked_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(numbers(packed, np.uint64), dtype=np.uint64)
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, starts): the words' bytes after two stops, each word ended by a stop."""
-    text = np.frombuffer(bytes([STOP, STOP]) + b"".join(w + bytes([STOP, STOP, STOP]) for w in words), np.uint8)
-    sizes = np.array([len(w) for w in words], np.int64)
-    return text, np.append(2, 2 + np.cumsum(sizes + 3))[:-1]
+class Numbers(dict):
+    """Words numbered as they come; the end of a text is number 0."""
 
+    def __init__(self):
+        super().__init__({b"": 0})
 
-def trigram_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, owners): of each byte of each word and of its stop, with the two bytes before it."""
-    text, starts = spelled(words)
-    owners = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
-    at = np.arange(len(owners)) - np.repeat(np.cumsum([0, *(len(w) + 1 for w in words[:-1])]), [len(w) + 1 for w in words]) + np.repeat(starts, [len(w) + 1 for w in words])
-    t = text.astype(np.int64)
-    return t[at - 2] << 16 | t[at - 1] << 8 | t[at], owners
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
-def trigrams(words: DataFrame) -> DataFrame:
-    """(code, n): byte trigrams of the words, each word once; at most 256^3 rows."""
+def blocks_of(docs: DataFrame, path: str) -> DataFrame:
+    """Write and read (block, part, n_tokens, doc_ids, sizes, words, tokens): one row a block.
+
+    sizes: tokens of each document; words: hashes of the block's words; tokens: their numbers.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, n = np.unique(trigram_codes(b.column(0).to_pylist())[0], return_counts=True) if b.num_rows else (np.array([], np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
+        from pyspark import TaskContext
+        from xxhash import xxh3_64_intdigest
+
+        first, made = TaskContext.get().partitionId() << 32, 0
+        held = {p: ([], [], Numbers(), [0]) for p in (COUNTED, HELD_OUT, DELETED)}
+
+        def flush(p: int) -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            ids, tokens, words, size = held[p]
+            held[p] = ([], [], Numbers(), [0])
+            if not ids:
+                return
+            hashes = np.array([int(END_HASH), *(xxh3_64_intdigest(w) for w in words if w)], np.uint64)
+            sizes = np.array([len(t) for t in tokens], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([first + made]), pa.array([p], pa.int32()), pa.array([size[0]]), pa.array([ids], pa.list_(kind)),
+                    pa.array([planes(sizes)], pa.binary()), pa.array([hashes.tobytes()], pa.binary()), pa.array([planes(np.concatenate(tokens))], pa.binary()),
+                ],
+                ["block", "part", "n_tokens", "doc_ids", "sizes", "words", "tokens"],
+            )
+            made += 1
 
-    return words.select("word").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                p = part_of(i)
+                ids, tokens, words, size = held[p]
+                own = (t.as_py() or "").encode().lower().split()
+                own.append(b"")
+                tokens.append(np.array(list(map(words.__getitem__, own)), np.int32))
+                ids.append(i)
+                size[0] += len(own)
+                if size[0] >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
+                    yield from flush(p)
+        for p in held:
+            yield from flush(p)
+
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+    table = docs.mapInArrow(run, f"block long, part int, n_tokens long, doc_ids array<{doc_kind}>, sizes binary, words binary, tokens binary")
+    return stage(table, path)
+
+
+def ngrams(sizes: np.ndarray, words: np.ndarray, tokens: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the n-gram that ends at each token, of one word to `order`; texts have starts before them."""
+    hashes = words[tokens]
+    opens = np.cumsum(sizes) - sizes
+    place = np.arange(len(tokens)) - np.repeat(opens, sizes)
+    out = [hashes]
+    for n in range(1, order):
+        before = np.concatenate([np.full(n, START_HASH), hashes[: len(hashes) - n]])[: len(hashes)]
+        before = np.where(place < n, START_HASH, before)
+        mixed = (out[-1] + before * MIX_A) * MIX_B
+        out.append(mixed ^ (mixed >> np.uint64(29)))
+    return out
+
+
+def sent(table: DataFrame, order: int, bits: int) -> DataFrame:
+    """(range, block, part, keys, counts): each block's different n-grams, by order and range."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                sizes, words = numbers(r["sizes"], np.int32), np.frombuffer(r["words"], np.uint64)
+                for n, grams in enumerate(ngrams(sizes, words, numbers(r["tokens"], np.int32), order)):
+                    keys, counts = np.unique(grams, return_counts=True)
+                    ranges, start = np.unique(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), return_index=True)
+                    ends = [*start[1:].tolist(), len(keys)]
+                    counts = counts.astype(np.uint32)
+                    cols = [
+                        pa.array(ranges.astype(np.int64) | n << 40),
+                        pa.array(np.full(len(ranges), r["block"])), pa.array(np.full(len(ranges), r["part"], np.int32)),
+                        pa.array([packed_keys(keys[a:z]) for a, z in zip(start.tolist(), ends, strict=True)], pa.binary()),
+                        pa.array([planes(counts[a:z]) for a, z in zip(start.tolist(), ends, strict=True)], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, ["range", "block", "part", "keys", "counts"])
+
+    return table.select("block", "part", "sizes", "words", "tokens").mapInArrow(run, "range long, block long, part int, keys binary, counts binary")
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """(block, part, range, main, deleted, types_main, types): totals of each block's n-grams in order.
+
+    types and types_main: different n-grams of the range in the training texts, on one of its rows.
+    """
 
-def collect_codes(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    t = df.toArrow()
-    codes, n = t.column(0).to_numpy(), t.column(1).to_numpy()
-    order = np.argsort(codes)
-    return codes[order], n[order]
+    def run(t: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(k) for k in t.column("keys").to_pylist()]
+        counts = np.concatenate([numbers(c, np.uint32) for c in t.column("counts").to_pylist()]).astype(float)
+        lengths = np.array([len(k) for k in keys])
+        part = np.repeat(t.column("part").to_numpy(), lengths)
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        main = np.bincount(place, counts * (part == COUNTED), len(distinct)).astype(np.uint64)
+        deleted = np.bincount(place, counts * (part == DELETED), len(distinct)).astype(np.uint64)
+        ends = np.append(0, np.cumsum(lengths))
+        pack = lambda totals: pa.array([planes(totals[place[a:z]]) for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        once = np.arange(len(keys)) == 0
+        return pa.table(
+            {
+                "block": t.column("block"), "part": t.column("part"), "range": t.column("range"), "main": pack(main), "deleted": pack(deleted),
+                "types_main": pa.array(once * int((main > 0).sum())), "types": pa.array(once * int((main + deleted > 0).sum())),
+            }
+        )
+
+    return rows.groupBy("range").applyInArrow(run, "block long, part int, range long, main binary, deleted binary, types_main long, types long")
 
 
 def bucket(counts: np.ndarray) -> np.ndarray:
@@ -139,126 +205,130 @@ def bucket(counts: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Spelling:
-    """Interpolated byte trigrams; log10 probabilities of words."""
-
-    codes: np.ndarray
-    counts: np.ndarray
-    weights: np.ndarray  # by bucket: of 2, 1, 0 bytes of context and the uniform distribution
-
-    @staticmethod
-    def estimates(codes: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bucket of the context, maximum-likelihood estimates by order) for the asked trigrams."""
-
-        def of(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
-            u, place = np.unique(keys, return_inverse=True)
-            sums = np.bincount(place, counts, len(u))
-            if not len(u):
-                return np.zeros(len(k))
-            i = np.minimum(np.searchsorted(u, k), len(u) - 1)
-            return np.where(u[i] == k, sums[i], 0.0)
-
-        context = of(codes >> 8, asked >> 8)
-        parts = [
-            (of(codes, asked), context),
-            (of(codes & 0xFFFF, asked & 0xFFFF), of(codes >> 8 & 0xFF, asked >> 8 & 0xFF)),
-            (of(codes & 0xFF, asked & 0xFF), np.full(len(asked), counts.sum())),
-        ]
-        ml = [np.divide(a, b, out=np.zeros(len(a)), where=b > 0) for a, b in parts]
-        return bucket(context), np.stack([*ml, np.full(len(asked), 1 / 256)], axis=1)
-
-    @classmethod
-    def learn(cls, main: tuple, deleted: tuple, both: tuple) -> Spelling:
-        """Weights by expectation-maximisation on the deleted counts, with estimates of the main ones."""
-        buckets, ml = cls.estimates(*main, deleted[0])
-        weights = np.full((BUCKETS, 4), 0.25)
-        for _ in range(ROUNDS):
-            shares = weights[buckets] * ml
-            shares *= (deleted[1] / shares.sum(axis=1))[:, None]
-            sums = np.stack([np.bincount(buckets, s, BUCKETS) for s in shares.T], axis=1) + 1e-3
-            weights = sums / sums.sum(axis=1, keepdims=True)
-        return cls(*both, weights)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        asked, owners = trigram_codes(words)
-        distinct, place = np.unique(asked, return_inverse=True)
-        buckets, ml = self.estimates(self.codes, self.counts, distinct)
-        found = np.log10((self.weights[buckets] * ml).sum(axis=1))
-        return np.bincount(owners, found[place], len(words))
-
-
-def with_spelling(words: DataFrame, model: Spelling) -> DataFrame:
-    """words with spelling (log10 probability); the model is at most 256^3 counts."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+class Totals:
+    """Of training texts: documents, tokens and different words."""
+
+    documents: int
+    tokens: int
+    types: int
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.log10(b.column("word").to_pylist()))], [*b.schema.names, "spelling"])
 
-    return words.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", spelling double")
+def token_counts(block: dict, replies: list[dict], order: int, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sizes, counts): training counts of the n-gram that ends at each token, for each order.
+
+    fields: what to add up, the counted part alone or the deleted one as well.
+    """
+    sizes, words = numbers(block["sizes"], np.int32), np.frombuffer(block["words"], np.uint64)
+    replies = sorted(replies, key=lambda r: r["range"])
+    out = []
+    for n, grams in enumerate(ngrams(sizes, words, numbers(block["tokens"], np.int32), order)):
+        totals = np.concatenate([sum(numbers(r[f], np.uint64) for f in fields) for r in replies if r["range"] >> 40 == n])
+        _, place = np.unique(grams, return_inverse=True)
+        out.append(totals[place].astype(float))
+    return sizes, out
 
 
-def word_weight(words: DataFrame, total: int) -> float:
-    """Weight of the word's own estimate, by expectation-maximisation on the deleted counts.
+def estimates(sizes: np.ndarray, counts: list[np.ndarray], total: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of the longest context, estimates by component) of each token.
 
-    Deleted tokens are summed by the ratio of both estimates, to a hundredth of a decade, so the
-    rounds run over a table of fixed size.
+    Components: n-grams from the longest to words, the uniform distribution, the unknown word.
     """
-    if not total:
-        return 0.0
-    ratio = F.when(F.col("main") > 0, F.round(F.log10(F.col("main") / F.lit(float(total))) - F.col("spelling"), 2))
-    rows = words.where("deleted > 0").groupBy(ratio.alias("ratio")).agg(F.sum("deleted").alias("n")).collect()
-    n = np.array([r["n"] for r in rows], float)
-    ratios = np.array([0.0 if r["ratio"] is None else 10.0 ** min(r["ratio"], 300) for r in rows])
-    weight = 0.5
-    for _ in range(ROUNDS if n.sum() else 0):
-        weight = float((n * weight * ratios / (weight * ratios + 1 - weight)).sum() / n.sum())
-    return min(max(weight, 1e-6), 1 - 1e-6)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    first = np.cumsum(sizes) - sizes
+    columns, context = [], np.full(len(counts[0]), float(total.documents))
+    for n in range(len(counts) - 1, 0, -1):
+        # a context's count is that of the shorter n-gram that ends a token before; of starts alone, the documents
+        seen = np.append(0.0, counts[n - 1][:-1])
+        seen[first] = total.documents
+        columns.append(np.divide(counts[n], seen, out=np.zeros(len(seen)), where=seen > 0))
+        if n == len(counts) - 1:
+            context = seen
+    known = counts[0] > 0
+    columns += [counts[0] / max(1, total.tokens), np.full(len(known), 1 / (total.types + 1)), (~known).astype(float)]
+    return bucket(context), np.minimum(np.stack(columns, axis=1), 1)
+
+
+def grid(buckets: np.ndarray, ml: np.ndarray) -> np.ndarray:
+    """Each token's cell: its bucket and its estimates' logarithms to 1/STEPS of a decade."""
+    code = buckets.copy()
+    for column in ml.T:
+        level = np.where(column > 0, 1 + np.clip(np.round(-np.log10(np.maximum(column, 1e-300)) * STEPS), 0, STEPS * DECADES), 0)
+        code = code * (STEPS * DECADES + 2) + level.astype(np.int64)
+    return code
+
+
+def ungrid(codes: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    ml = []
+    for _ in range(columns):
+        level = codes % (STEPS * DECADES + 2)
+        codes = codes // (STEPS * DECADES + 2)
+        ml.append(np.where(level > 0, 10.0 ** (-(level - 1) / STEPS), 0))
+    return codes, np.stack(ml[::-1], axis=1)
+
+
+def learn(codes: np.ndarray, n: np.ndarray, columns: int) -> np.ndarray:
+    """Weights by bucket and component, by expectation-maximisation on the deleted tokens of the grid."""
+    weights = np.full((BUCKETS, columns), 1 / columns)
+    buckets, ml = ungrid(codes, columns)
+    for _ in range(ROUNDS):
+        shares = weights[buckets] * ml
+        shares *= (n / np.maximum(shares.sum(axis=1), 1e-300))[:, None]
+        # a little of each component, so that a bucket without tokens keeps even weights
+        sums = np.stack([np.bincount(buckets, s, BUCKETS) for s in shares.T], axis=1) + 1e-2
+        weights = sums / sums.sum(axis=1, keepdims=True)
+    # an unseen context says nothing: its estimates are zero, and so is their weight
+    weights[0, : columns - 3] = 0
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def per_block(table: DataFrame, replies: DataFrame, run, schema: str) -> DataFrame:
+    """run(block, replies) for each block; what a block gets is bounded by its tokens."""
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(left.to_pylist()[0], right.to_pylist())
+
+    return table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(both, schema)
+
+
+def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
     spark = docs.sparkSession
     path = scratch(spark, "lm")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = invert(own, f"{path}/inverted")
-    postings = table.where("kind = 1").select("word", "block", "main", "deleted", "places")
-    words = stage(postings.groupBy("word").agg(F.sum("main").alias("main"), F.sum("deleted").alias("deleted")), f"{path}/words")
-    # spelling is for words that the counts lack: its weights come from those that only the deleted part has
-    main = collect_codes(trigrams(words.where("main > 0")))
-    deleted = collect_codes(trigrams(words.where("main = 0 and deleted > 0")))
-    both = collect_codes(trigrams(words.where("main + deleted > 0")))
-    spelt = stage(with_spelling(words, Spelling.learn(main, deleted, both)), f"{path}/spelt")
-    sums = spelt.agg(
-        F.coalesce(F.sum("main"), F.lit(0)).alias("main"), F.coalesce(F.sum(F.col("main") + F.col("deleted")), F.lit(0)).alias("n"), F.count_if(F.expr("main + deleted > 0")).alias("v")
-    ).first()
-    weight, n, v = word_weight(spelt, sums["main"]), sums["n"], sums["v"]
-    c = (F.col("main") + F.col("deleted")).cast("double")
-    spelling = F.pow(F.lit(10.0), "spelling") * (1 - weight)
-    known = F.lit(weight) * c / F.lit(float(max(n, 1)))
-    # a spelling too unlikely for a double keeps its logarithm
-    mixed = F.when(known + spelling > 0, F.log10(known + spelling)).otherwise(F.col("spelling") + float(np.log10(1 - weight)))
-    scored = spelt.select("word", mixed.alias("score"), F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("base"), (c > 0).cast("int").alias("known"))
-    joined = postings.select("word", "block", "places").join(scored, "word").select("block", "places", "score", "base", "known")
-
-    def sum_up(t: pa.Table) -> pa.Table:
-        """One block: each document's sums over its words."""
-        t = t.combine_chunks()
-        lengths = np.array([len(x.as_py()) // 4 for x in t.column("places")], np.int64)
-        pairs = np.frombuffer(b"".join(t.column("places").to_pylist()), "<u2").reshape(-1, 2).astype(np.int64)
-        size = int(pairs[:, 0].max()) + 1
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        total = lambda name: np.bincount(pairs[:, 0], t.column(name).to_numpy()[row] * pairs[:, 1], size)
-        block = np.full(size, t.column("block")[0].as_py())
-        return pa.table({"block": block, "place": np.arange(size, dtype=np.int32), "score": total("score"), "base": total("base"), "known": total("known").astype(np.int64)})
-
-    found = joined.groupBy("block").applyInArrow(sum_up, "block long, place int, score double, base double, known long")
-    rows = spark.read.schema(table.schema).parquet(f"{path}/inverted").where("kind = 0").select("block", "place", "doc_id", "n_tokens", "part")
-    return rows.join(found, ["block", "place"]).select(
-        F.col("doc_id").alias(id_col), (F.col("part") == 1).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
-    )
+    table = blocks_of(own, f"{path}/blocks")
+    sums = {r["part"]: r for r in table.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.sum(F.size("doc_ids")).alias("docs")).collect()}
+    total = lambda what, *parts: sum(int(sums[p][what]) for p in parts if p in sums)
+    bits = max(0, (total("n", COUNTED, HELD_OUT, DELETED) // RANGE_NGRAMS).bit_length())
+    replies = stage(answered(sent(table, order, bits)), f"{path}/replies")
+    types = replies.where(F.shiftright("range", 40) == 0).agg(F.coalesce(F.sum("types_main"), F.lit(0)).alias("main"), F.coalesce(F.sum("types"), F.lit(0)).alias("all")).first()
+    main = Totals(total("docs", COUNTED), total("n", COUNTED), types["main"])
+    train = Totals(total("docs", COUNTED, DELETED), total("n", COUNTED, DELETED), types["all"])
+    replies = replies.select("block", "part", "range", "main", "deleted")
+    columns = order + 2
+
+    def cells(block: dict, own: list[dict]) -> pa.Table:
+        codes, n = np.unique(grid(*estimates(*token_counts(block, own, order, ("main",)), main)), return_counts=True)
+        return pa.table({"code": codes, "n": n})
+
+    part = F.col("part") == DELETED
+    rows = per_block(table.where(part), replies.where(part).drop("deleted"), cells, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    weights = learn(rows.column("code").to_numpy(), rows.column("n").to_numpy().astype(float), columns)
+
+    def scores(block: dict, own: list[dict]) -> pa.Table:
+        sizes, counts = token_counts(block, own, order, ("main", "deleted"))
+        buckets, ml = estimates(sizes, counts, train)
+        logs = np.log10((weights[buckets] * ml).sum(axis=1))
+        base = np.log10((counts[0] + 0.5) / (train.tokens + 0.5 * (train.types + 1)))
+        first = np.cumsum(sizes) - sizes
+        return pa.table(
+            {
+                "doc_id": pa.array(block["doc_ids"], kind), "held_out": np.full(len(sizes), block["part"] == HELD_OUT), "n_tokens": sizes.astype(np.int64),
+                "n_known": np.add.reduceat((counts[0] > 0).astype(np.int64), first), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(logs, first),
+            }
+        )
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(own.schema["doc_id"].dataType)
+    doc_kind = own.schema["doc_id"].dataType.simpleString()
+    found = per_block(table, replies, scores, f"doc_id {doc_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train.tokens).cast("long").alias("train_tokens"), "base_score", "score")
