@@ -125,14 +125,18 @@ def meet(fps: np.ndarray, part: int, bits: int, radius: int) -> tuple[np.ndarray
         values.append(((fps[own] & low)[:, None] ^ masks).ravel())
         owners.append(np.repeat(own, len(masks)))
     values, owners = np.concatenate(values), np.concatenate(owners)
-    order = np.lexsort((fps[owners], values)) if len(values) < 1000 else np.argsort(values)
-    values, owners = values[order], owners[order]
+    order = np.argsort(values)
+    values = values[order]
+    same = values[1:] == values[:-1]
+    # nearly all variants have one owner, so the rest is done for the others alone
+    shared = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    if not len(shared):
+        return none, none
+    values, own = values[shared], fps[owners[order[shared]]]
     opens = np.append(True, values[1:] != values[:-1])
-    group = np.cumsum(opens) - 1
-    smallest = np.minimum.reduceat(fps[owners], np.flatnonzero(opens))
-    pairs = np.unique(np.stack([fps[owners], smallest[group]]), axis=1)
-    a, b = pairs[:, (pairs[0] != pairs[1]) & (np.bitwise_count(pairs[0] ^ pairs[1]) <= 2 * radius)]
-    return star(a, b) if len(a) else (none, none)
+    smallest = np.minimum.reduceat(own, np.flatnonzero(opens))[np.cumsum(opens) - 1]
+    far = (own != smallest) & (np.bitwise_count(own ^ smallest) <= 2 * radius)
+    return star(own[far], smallest[far]) if far.any() else (none, none)
 
 
 def leading_bits(n: int, radius: int) -> int:
