@@ -21,7 +21,7 @@ from cadenza.plans.predict import predict, report_lines
 from cadenza.session import materialised, shared_folder
 from cadenza.sources import audio
 from cadenza.sources.config import from_dict
-from cadenza.streaming.activity import streamed_segments
+from cadenza.streaming.activity import read_frames, streamed_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,15 +189,12 @@ def vad_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VAD_E)
 def vad_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same segments from a stream of frames, then a closing row for each clip."""
+    """The same segments from a stream in which frames come out of order."""
     stats = materialised(activity.frame_statistics(signal_e(spark, sf_dir), FRAME_E, HOP_E), "frames")
     feed, out = shared_folder(spark, "feed"), shared_folder(spark, "segments")
-    # two files a clip's frames are dealt over, then its end: each comes in a batch of its own
-    for part in (stats.where("f % 2 = 0"), stats.where("f % 2 = 1")):
-        part.coalesce(1).write.mode("append").parquet(feed)
-    ends = stats.select("clip_id", "n").distinct().selectExpr("clip_id", "n", "CAST(NULL AS INT) AS f", "CAST(NULL AS DOUBLE) AS ste", "CAST(NULL AS DOUBLE) AS zcr")
-    ends.coalesce(1).write.mode("append").parquet(feed)
-    stream = spark.readStream.schema(stats.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    for part in (stats.where("f % 2 = 1"), stats.where("f % 2 = 0")):
+        part.write.mode("append").parquet(feed)
+    stream = read_frames(stats, feed, 4)
     found = streamed_segments(stream, FRAME_E, HOP_E, LIMITS_E)
     write = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     write.awaitTermination()

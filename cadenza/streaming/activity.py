@@ -1,8 +1,10 @@
 """Activity segments of frames that arrive as a stream.
 
 State is kept by clip: whether activity is on, where its run began, and frames that came before
-their turn. Frames are taken in order; a run is reported once it ends, or by a closing row
-(f null, n set) that a source sends after a clip's last frame. State never expires by itself.
+their turn. Frames are taken in order, whatever order they come in; a run is reported once it ends.
+A clip's length n may come with its frames or, where a source doesn't know it before, in a closing
+row of its own (f null); once all its frames are taken, the last run is reported and the state goes.
+Without a length a clip stays open: state never expires by itself.
 """
 
 from __future__ import annotations
@@ -26,11 +28,10 @@ def streamed_segments(frames: DataFrame, length: int, hop: int, limits: Threshol
         waiting = {r[0]: (r[1], r[2]) for r in held}
         for part in parts:
             for f, size, ste, zcr in part[["f", "n", "ste", "zcr"]].itertuples(index=False):
-                if pd.isna(f):
-                    n = int(size)
-                elif f >= at:
+                n = n if pd.isna(size) else int(size)
+                if not pd.isna(f) and f >= at:
                     waiting[int(f)] = (float(ste), float(zcr))
-        found, closed = [], n is not None
+        found = []
         while at in waiting:
             ste, zcr = waiting.pop(at)
             if not on and (ste > limits.energy_hi or zcr > limits.zcr_hi):
@@ -39,15 +40,14 @@ def streamed_segments(frames: DataFrame, length: int, hop: int, limits: Threshol
                 on = False
                 found.append((begun, at))
             at += 1
-        if closed and on and not waiting:
-            found.append((begun, at))
-        if closed and not waiting:
+        if n is not None and at >= (1 if n < length else (n - length) // hop + 1):
+            found += [(begun, at)] if on else []
             state.remove()
         else:
             state.update((on, begun, at, n, [(f, *v) for f, v in sorted(waiting.items())]))
-        ends = [(a * hop, a * hop + (b - a) * hop + length) for a, b in found]
+        ends = [(a * hop, b * hop + length) for a, b in found]
         if ends:
-            yield pd.DataFrame({"clip_id": key[0], "seg_start": [a for a, _ in ends], "seg_end": [min(b, n) if closed else b for _, b in ends]})
+            yield pd.DataFrame({"clip_id": key[0], "seg_start": [a for a, _ in ends], "seg_end": [b if n is None else min(b, n) for _, b in ends]})
 
     kind = frames.schema["clip_id"].dataType.simpleString()
     return frames.groupBy("clip_id").applyInPandasWithState(

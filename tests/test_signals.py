@@ -178,3 +178,21 @@ def test_cepstrum(spark, textbook):
         c.append(own - s if textbook else own + s)
     got = spark.createDataFrame([(a,)], "a array<double>").select(arrays.cepstrum_of_prediction(F.col("a"), 8, textbook).alias("c")).first().c
     assert got == pytest.approx(c)
+
+
+def test_streamed_segments(spark, tmp_path):
+    """Frames in any order, the length in a closing row that may come first."""
+    from cadenza.streaming.activity import read_frames, streamed_segments
+
+    limits = activity.Thresholds(0.4, 0.2, 0.6, 0.3)
+    signal = clips(spark, SIGNALS)
+    stats = activity.frame_statistics(signal, 8, 4).select("clip_id", "n", "f", "ste", "zcr").cache()
+    open_ended = stats.withColumn("n", F.lit(None).cast("int"))
+    ends = stats.select("clip_id", "n").distinct().selectExpr("clip_id", "n", "CAST(NULL AS INT) AS f", "CAST(NULL AS DOUBLE) AS ste", "CAST(NULL AS DOUBLE) AS zcr")
+    half = ends.where("clip_id < 'n'")
+    for part in (half, open_ended.where("f % 3 = 2"), open_ended.where("f % 3 < 2"), ends.subtract(half)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    found = streamed_segments(read_frames(stats, f"{tmp_path}/feed"), 8, 4, limits)
+    found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect()))
+    assert got == sorted(map(tuple, activity.detect(signal, 8, 4, limits).collect()))
