@@ -154,11 +154,13 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return [t for t, _ in pairs], [k for _, k in pairs]
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """docs with score: probability of label 1."""
+def classify(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", out: str = "score"
+) -> DataFrame:
+    """docs with out, the probability of label 1; a column of that name is replaced."""
     texts, marks = sample(docs, labels, id_col, text_col, label_col)
     if len(set(marks)) < 2:
-        return docs.withColumn("score", F.lit(float(np.mean(marks)) if marks else 0.5))
+        return docs.withColumn(out, F.lit(float(np.mean(marks)) if marks else 0.5))
     # a few thousand weights
     net = docs.sparkSession.sparkContext.broadcast(fit(texts, marks))
 
@@ -174,4 +176,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         yield from score(it)
 
     run.__annotations__ = {"it": It[pd.Series], "return": It[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(out, F.pandas_udf(run, "double")(F.coalesce(F.col(text_col), F.lit(""))))
