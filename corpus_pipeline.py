@@ -17,8 +17,8 @@ from cadenza.llm.queries import ACCEPT, byte_bpe
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier scores ACCEPT or more."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") >= ACCEPT).select(*docs.columns)
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"), out="__quality")
+    return scored.where(F.col("__quality") >= ACCEPT).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
