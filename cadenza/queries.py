@@ -19,7 +19,7 @@ from cadenza.operators.sequence_model import Shape
 from cadenza.plans.features import feature_table, lpcc_of
 from cadenza.plans.predict import predict, report_lines
 from cadenza.session import materialised, shared_folder
-from cadenza.sources import audio
+from cadenza.sources import audio, manifest
 from cadenza.sources.config import from_dict
 from cadenza.streaming.activity import read_frames, streamed_segments
 
@@ -278,6 +278,12 @@ def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 1 OFFSET 41")
+def row_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row by its place; the limit is the feature."""
+    return manifest.row_at(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", 41)
+
+
 # ------------------------------------------------------------------ spectra
 
 
