@@ -59,6 +59,8 @@ def run_stream(feed_path: str, feed: DataFrame, out: str, files_per_batch: int)
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        # else each state partition reserves megabytes of its executor's disk in advance
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
