@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import remove, scratch, stage
+from cadenza.llm.common import remove, scratch, small, stage
 
 #: Words that a task hashes together.
 BLOCK_WORDS = 400_000
@@ -32,6 +32,8 @@ BLOCK_WORDS = 400_000
 REMEMBERED = 500_000
 #: Parts of each window's occurrences that are ranked on their own before their first ones are.
 SALTS = 32
+#: Numbers in lists by document up to which these are broadcast (8 bytes each).
+BROADCAST_NUMBERS = 8_000_000
 # Odd multipliers of the mixing, any will do.
 STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -131,9 +133,23 @@ def blocks(batches: Iterable[pa.RecordBatch], columns: int, window: int):
             yield cols, Block(cols[-1], window)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """(doc_id, text_key, text); text_key tells rows apart that share an id, and is 0 where none does."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    again = own.groupBy(F.col("doc_id").alias("g_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = stage(again.select("g_id", F.lit(True).alias("shared")), f"{path}/shared-ids")
+    if again.isEmpty():
+        return own.select("doc_id", F.lit(0).cast("long").alias("text_key"), "text")
+    own = own.join(small(again), F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
+    key = F.when(F.col("shared"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
+    return own.select("doc_id", key.alias("text_key"), "text")
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, key: str, list_col: str, how: str = "inner") -> DataFrame:
+    """docs with their lists: broadcast up to BROADCAST_NUMBERS numbers in all, else joined by a shuffle."""
+    n = lists.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(list_col)), F.lit(0)).alias("numbers")).first()
+    held = F.broadcast(lists) if 8 * n["rows"] + n["numbers"] <= BROADCAST_NUMBERS else lists
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col(f"{key}_id")) & (F.col("text_key") == F.col(f"{key}_key")), how)
 
 
 def first_level(docs: DataFrame, window: int, path: str) -> DataFrame:
@@ -164,13 +180,13 @@ def first_level(docs: DataFrame, window: int, path: str) -> DataFrame:
     return docs.sparkSession.read.schema(level.schema).parquet(path)
 
 
-def candidates(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, anchors: DataFrame, path: str) -> DataFrame:
     """(doc_id, text_key, text, anchors): documents with repeated half windows, and those."""
     repeated = anchors.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
     # a document has no more anchors than words
-    per_doc = anchors.join(repeated, "hash").groupBy(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key")).agg(F.collect_set("hash").alias("anchors"))
-    on = F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key"))
-    return docs.join(per_doc, on).select("doc_id", "text_key", "text", "anchors")
+    per_doc = anchors.select("doc_id", "text_key", "hash").join(repeated, "hash").groupBy(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key"))
+    per_doc = stage(per_doc.agg(F.collect_set("hash").alias("anchors")), f"{path}/anchors")
+    return with_lists(docs, per_doc, "a", "anchors").select("doc_id", "text_key", "text", "anchors")
 
 
 def full_windows(found: DataFrame, window: int) -> DataFrame:
@@ -200,9 +216,12 @@ def full_windows(found: DataFrame, window: int) -> DataFrame:
 def later(windows: DataFrame) -> DataFrame:
     """Windows whose words also start in an earlier document.
 
-    Occurrences are ranked in SALTS parts first, and the first of each part against each other, so
-    a window that very many documents share is not one task's work.
+    Windows that occur once are left out first. Occurrences of the others are ranked in SALTS parts,
+    and then the first of each part against each other, so a window that very many documents share
+    is not one task's work.
     """
+    repeated = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    windows = windows.join(repeated, "hash", "left_semi")
     order = [F.isnull("doc_id"), "doc_id", "text_key"]
     parts = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
     ranked = parts.withColumn("first", F.rank().over(W.partitionBy("hash", "salt").orderBy(*order)) == 1)
@@ -252,15 +271,16 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         raise ValueError("window must be even, 4 at least")
     spark = docs.sparkSession
     path = scratch(spark, "substrings")
-    own = keyed(docs, id_col, text_col)
+    own = keyed(docs, id_col, text_col, path)
     level = first_level(own, window, f"{path}/level")
     anchors = level.where("kind = 1").select("doc_id", "text_key", "hash", "times")
-    found = stage(candidates(own, anchors), f"{path}/candidates")
+    found = candidates(own, anchors, path)
     remove(spark, f"{path}/level/kind=1")
-    gone = later(full_windows(found, window)).groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set("pos").alias("places"))
+    windows = stage(full_windows(found, window), f"{path}/windows")
+    gone = later(windows).groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set("pos").alias("places"))
     gone = stage(gone, f"{path}/gone")
-    on = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key"))
-    texts = found.join(gone, on, "left").select("doc_id", "text_key", F.coalesce("places", F.array().cast("array<int>")).alias("places"), "text")
+    remove(spark, f"{path}/windows")
+    texts = with_lists(found.drop("anchors"), gone, "g", "places", "left").select("doc_id", "text_key", F.coalesce("places", F.array().cast("array<int>")).alias("places"), "text")
     base = spark.read.schema(level.schema).parquet(f"{path}/level").where("kind = 0").select("doc_id", "text_key", "n_words", "sha")
     return base, cut(texts, window).where("n_removed > 0")
 
@@ -273,9 +293,9 @@ def repeated_lengths(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     path = scratch(spark, "lengths")
-    own = keyed(docs, id_col, text_col)
+    own = keyed(docs, id_col, text_col, path)
     level = first_level(own, window, f"{path}/level")
-    found = candidates(own, level.where("kind = 1").select("doc_id", "text_key", "hash", "times"))
+    found = candidates(own, level.where("kind = 1").select("doc_id", "text_key", "hash", "times"), path)
     schema = full_windows(found, window).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
