@@ -32,6 +32,8 @@ BLOCK_WORDS = 400_000
 REMEMBERED = 500_000
 #: Parts of each window's occurrences that are ranked on their own before their first ones are.
 SALTS = 32
+#: A window is hot from this share of all occurrences on, and from so many.
+HOT_SHARE, LEAST_HOT = 100_000, 4096
 #: Numbers in lists by document up to which these are broadcast (8 bytes each).
 BROADCAST_NUMBERS = 8_000_000
 # Odd multipliers of the mixing, any will do.
@@ -213,21 +215,26 @@ def full_windows(found: DataFrame, window: int) -> DataFrame:
     return found.select("doc_id", "text_key", "anchors", "text").mapInArrow(run, schema)
 
 
-def later(windows: DataFrame) -> DataFrame:
-    """Windows whose words also start in an earlier document.
+def later(windows: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text_key, pos): windows whose words also start in an earlier document.
 
-    Windows that occur once are left out first. Occurrences of the others are ranked in SALTS parts,
-    and then the first of each part against each other, so a window that very many documents share
-    is not one task's work.
+    Windows that occur once are left out first; occurrences of the others are ranked where they meet.
+    Those that very many documents share (one in HOT_SHARE of all occurrences or more, so at most
+    HOT_SHARE windows) are ranked in SALTS parts, and then the first of each part against each other.
     """
-    repeated = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    windows = windows.join(repeated, "hash", "left_semi")
+    counts = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = stage(counts, f"{path}/repeated")
+    limit = max(LEAST_HOT, windows.count() // HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select("hash"))
     order = [F.isnull("doc_id"), "doc_id", "text_key"]
-    parts = windows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
-    ranked = parts.withColumn("first", F.rank().over(W.partitionBy("hash", "salt").orderBy(*order)) == 1)
-    heads = ranked.where("first")
-    again = heads.withColumn("head", F.rank().over(W.partitionBy("hash").orderBy(*order)) == 1).where("not head")
-    return ranked.where("not first").select("doc_id", "text_key", "pos").unionByName(again.select("doc_id", "text_key", "pos"))
+    first = lambda *keys: F.rank().over(W.partitionBy(*keys).orderBy(*order)) == 1
+    few = windows.join(hot, "hash", "left_anti").join(counts.where(F.col("n") <= limit).select("hash"), "hash", "left_semi")
+    late = few.withColumn("first", first("hash")).where("not first")
+    salted = windows.join(hot, "hash").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
+    ranked = salted.withColumn("first", first("hash", "salt"))
+    again = ranked.where("first").withColumn("head", first("hash")).where("not head")
+    parts = [x.select("doc_id", "text_key", "pos") for x in (late, ranked.where("not first"), again)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def cut(found: DataFrame, window: int) -> DataFrame:
@@ -277,7 +284,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     found = candidates(own, anchors, path)
     remove(spark, f"{path}/level/kind=1")
     windows = stage(full_windows(found, window), f"{path}/windows")
-    gone = later(windows).groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set("pos").alias("places"))
+    gone = later(windows, path).groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set("pos").alias("places"))
     gone = stage(gone, f"{path}/gone")
     remove(spark, f"{path}/windows")
     texts = with_lists(found.drop("anchors"), gone, "g", "places", "left").select("doc_id", "text_key", F.coalesce("places", F.array().cast("array<int>")).alias("places"), "text")
