@@ -193,40 +193,42 @@ def components(edges: DataFrame, path: str) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row for each row of docs: id, text_key, fp (signed), component_id (smallest id reachable).
+    """One row for each row of docs: id, text_key, fp (signed), component_id (smallest id reachable), first_key.
 
-    Fingerprints of `bits` (even) or fewer differing bits are linked.
+    Fingerprints of `bits` (even) or fewer differing bits are linked. component_id and first_key
+    are the id and text_key of the component's first row by (id is null, id, text_key); components
+    may share a component_id, if ids are null or repeat, but not both.
     """
     spark = docs.sparkSession
     path = scratch(spark, "simhash")
     own = stage(fingerprints(docs, shingle, seed, id_col, text_col), f"{path}/fingerprints")
-    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{path}/distinct")
+    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key")
+    distinct = stage(own.groupBy("fp").agg(F.min(row).alias("least")), f"{path}/distinct")
     edges = stage(links(distinct, distinct.count(), bits // 2), f"{path}/edges")
     roots = components(edges, path)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = stage(named.join(least, "root").select("fp", "component_id"), f"{path}/components")
-    return own.join(found, "fp").select(F.col("doc_id").alias(id_col), "text_key", "fp", "component_id")
+    first = named.groupBy("root").agg(F.min("least").alias("first"))
+    found = named.join(first, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_key"))
+    found = stage(found, f"{path}/components")
+    return own.join(found, "fp").select(F.col("doc_id").alias(id_col), "text_key", "fp", "component_id", "first_key")
 
 
 def keep_first(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each component, with docs' own columns.
+    """One row of each component, its first by (id is null, id, text_key), with docs' own columns.
 
-    Of rows that share that id the one with the least text_key stays, and of repeated ones one.
+    Of rows that repeat both id and text one stays; a null text is an empty one.
     """
     path = scratch(docs.sparkSession, "simhash-kept")
-    rows = result.groupBy(F.col(id_col).alias("g_id"), F.col("text_key").alias("g_key"), "component_id").agg(F.count(F.lit(1)).alias("n"))
+    # equal ids and texts are one component's, so both tell its first row from other components' rows
+    stays = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
+    rows = result.groupBy(F.col(id_col).alias("g_id"), F.col("text_key").alias("g_key"), stays.alias("stays")).agg(F.count(F.lit(1)).alias("n"))
     rows = stage(rows, f"{path}/rows")
-    first = rows.where("g_id <=> component_id").groupBy("component_id").agg(F.min("g_key").alias("first_key"), F.count(F.lit(1)).alias("keys"))
-    # only components whose smallest id has several texts need their first one named
-    several = small(stage(first.where("keys > 1").select(F.col("component_id").alias("c_id"), "first_key"), f"{path}/several"))
-    rows = rows.join(several, F.col("component_id").eqNullSafe(F.col("c_id")), "left")
-    stays = F.col("g_id").eqNullSafe(F.col("component_id")) & (F.col("first_key").isNull() | (F.col("g_key") == F.col("first_key")))
-    gone = small(stage(rows.where(~stays).select("g_id", "g_key"), f"{path}/gone"))
-    again = small(stage(rows.where(stays & (F.col("n") > 1)).select("g_id", "g_key"), f"{path}/again"))
+    gone = small(stage(rows.where("not stays").select("g_id", "g_key"), f"{path}/gone"))
+    again = small(stage(rows.where("stays and n > 1").select("g_id", "g_key"), f"{path}/again"))
     same = docs[id_col].eqNullSafe(F.col("g_id")) & (text_key(docs[text_col]) == F.col("g_key"))
     kept = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return kept
     same = kept[id_col].eqNullSafe(F.col("g_id")) & (text_key(kept[text_col]) == F.col("g_key"))
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    once = kept.join(again, same, "left_semi").withColumn("__key", text_key(F.col(text_col))).dropDuplicates([id_col, "__key"]).drop("__key")
+    return kept.join(again, same, "left_anti").unionByName(once)

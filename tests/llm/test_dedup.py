@@ -96,6 +96,22 @@ def test_simhash(spark, docs, rows, tmp_path):
     assert kept and sorted(r.doc_id for r in kept) == sorted(least[x] for x in {root[f] for _, f in fps})
 
 
+def test_simhash_keeps_one_of_each_component(spark):
+    """Null ids, and ids that repeat with unrelated texts, are no reason to merge components."""
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(6)]
+    a, b, c, x, y, z = texts
+    rows = [(None, a), (None, b), (None, c), (None, c + " end"), (7, x), (7, y), (8, x + " end"), (9, y + " end"), (None, y.upper()), (5, z), (5, z), (4, None), (4, "")]
+    root = roots({fingerprint(t) for _, t in rows}, 4)
+    assert len(set(root.values())) == 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(docs, simhash.near_duplicates(docs)).collect()]
+    assert sorted(root[fingerprint(t)] for _, t in kept) == sorted(set(root.values()))
+    assert {(7, x), (7, y), (5, z)} < set(kept) and Counter(i for i, _ in kept) == {None: 3, 7: 2, 5: 1, 4: 1}
+
+
 def test_all_links_of_dense_fingerprints(spark):
     """Many fingerprints close together, in parts small enough to be taken apart further."""
     import random
