@@ -8,7 +8,8 @@ training batch draws from.
 Sequence numbers are dealt by bucket and scan task, without a pass over all pieces. They repeat for
 as long as the input is split in the same way; write the pieces to fix them.
 
-Defined results: a null or empty text has the end id alone (one piece of one token); rows that repeat
+Defined results: a null or empty text has the end id alone (one piece of one token); the content of
+an added token inside a text is that token, as the tokenizer file has it by default; rows that repeat
 a document are packed each for itself; a null id stays null; an empty table gives no pieces.
 """
 
@@ -41,7 +42,7 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model, self.marks = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
         # the pattern of byte-level BPE, as the installed tokenizers split
         self.pre_tokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -76,7 +77,14 @@ class WordTokenizer:
             self.words[word] = ids
         return ids
 
+    def encode_text(self, text: str) -> bytes:
+        """Ids as the file gives them: a text that holds an added token goes to its own tokenizer whole."""
+        if any(t in text for t in self.added):
+            return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
+        return self.encode(text)
+
     def encode(self, text: str) -> bytes:
+        """Ids of the text's characters; added tokens are not looked for."""
         first, *rest = (self.cut if self.spaces(text) else str.split)(text, *(() if self.spaces(text) else (" ",)))
         known, remember = self.words.get, self.remember
         out = [b"".join(map(self.encode_part, self.pre_tokens(first)))]
@@ -111,7 +119,7 @@ def packer(path: str, size: int, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = tokenizer(path).encode, end_id.to_bytes(4, "little")
+        encode, end = tokenizer(path).encode_text, end_id.to_bytes(4, "little")
         task, counts, rows, held, kind = TaskContext.get().partitionId(), [0] * size.bit_length(), [], 0, None
 
         def batch() -> pa.RecordBatch:

@@ -63,6 +63,22 @@ def test_word_tokenizer(text):
     assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts(spark):
+    """Against the file's tokenizer as loaded, without any flag set."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(byte_bpe())
+    added = next(x.content for x in t.get_added_tokens_decoder().values())
+    texts = [added, f"a stone {added} river", f"x{added}{added}  y\n", f"<{added[1:-1]} >", "plain text", ("stone " * 700 + added) * 2, None]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), byte_bpe()).collect()
+    for i, text in enumerate(texts):
+        own = b"".join(bytes(p.ids) for p in sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start))
+        want = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert [int.from_bytes(own[k : k + 4], "little") for k in range(0, len(own), 4)] == want
+        assert {p.doc_tokens for p in pieces if p.doc_id == i} == {len(want)}
+    assert any(int.from_bytes(bytes(p.ids), "little") == t.token_to_id(added) for p in pieces if p.doc_id == 0)
+
+
 def test_decompose():
     for n in range(1, 5000, 7):
         pieces = list(packing.decompose(n, 1024))
