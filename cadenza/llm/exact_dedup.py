@@ -31,11 +31,17 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def feed_of(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """(digest, id, row_no, locator) of every row; texts stay where they are."""
+    """(digest, id, text_key, row_no, locator) of every row; texts stay where they are."""
     return docs.select(
         digest(normalised(F.col(text_col))).alias("digest"),
         F.col(id_col).alias("id"),
+        text_key(F.col(text_col)).alias("text_key"),
         F.monotonically_increasing_id().alias("row_no"),
         F.input_file_name().alias("locator"),
     )
@@ -86,23 +92,23 @@ def run_stream(feed_path: str, feed: DataFrame, out: str, files_per_batch: int)
 
 
 def mismatches(docs: DataFrame, id_col: str, text_col: str, digest, feed: DataFrame, state: DataFrame) -> DataFrame:
-    """Hits whose bytes differ from the text that their digest's entry locates.
+    """(id, text_key, digest, text) of hits whose bytes differ from the text of their digest's first row.
 
     Only texts of repeated digests move. A group is dealt over as many replicas of the text that
     stays as it has thousands of copies, so no task gets a whole large group.
     """
-    hits = state.where("n > 1").select("digest", "n", F.col("first.id").alias("keep_id"))
-    rows = feed.join(hits, "digest").select("digest", "n", "keep_id", F.col("id").alias("m_id")).distinct()
-    rows = stage(rows, scratch(docs.sparkSession, "dedup-hits"))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(rows), F.col("id").eqNullSafe(F.col("m_id")))
-    found = found.select("id", "digest", "n", "keep_id", normalised(F.col("text")).alias("text"))
+    hits = state.where("n > 1").select("digest", "n", F.col("first.row_no").alias("first_no"))
+    rows = feed.join(hits, "digest").groupBy("digest", "n", F.col("id").alias("m_id"), F.col("text_key").alias("m_key"))
+    rows = stage(rows.agg(F.max(F.col("row_no") == F.col("first_no")).alias("is_kept")), scratch(docs.sparkSession, "dedup-hits"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
+    found = texts.join(small(rows), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")))
+    found = found.select("id", "text_key", "digest", "n", "is_kept", normalised(F.col("text")).alias("text"))
     found = found.where(digest(F.col("text")) == F.col("digest"))
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    is_kept = F.col("id").eqNullSafe(F.col("keep_id"))
-    kept = found.where(is_kept).groupBy("digest").agg(F.min("text").alias("kept_text"), F.max(salts).alias("salts"))
+    kept = found.where("is_kept").groupBy("digest").agg(F.min("text").alias("kept_text"), F.max(salts).alias("salts"))
     kept = kept.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rest = found.where(~is_kept).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    return rest.join(kept, ["digest", "salt"]).where("text <> kept_text").select("id", "digest", "text")
+    rest = found.where("not is_kept").withColumn("salt", F.pmod(F.xxhash64("id", "text_key"), salts).cast("int"))
+    return rest.join(kept, ["digest", "salt"]).where("text <> kept_text").select("id", "text_key", "digest", "text")
 
 
 def exact_dedup(
@@ -112,7 +118,7 @@ def exact_dedup(
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """One row for each row of docs: id, keep_id, group_size, kept, digest, locator.
+    """One row for each row of docs: id, keep_id, group_size, kept, digest, locator, text_key.
 
     digest must give a string; a weak one costs time alone, as hits are compared in full.
     """
@@ -127,9 +133,9 @@ def exact_dedup(
         kept = F.col("row_no") == F.col("first.row_no")
     else:  # one digest of several texts: the texts that differ from the entry's are told apart by their bytes
         wrong = wrong.distinct()
-        key = [F.col("id").eqNullSafe(F.col("w_id")), F.col("digest") == F.col("w_digest")]
-        parts = feed.join(wrong.select(F.col("id").alias("w_id"), F.col("digest").alias("w_digest"), F.col("text").alias("other")), key, "left")
-        parts = parts.drop("w_id", "w_digest")
+        key = [F.col("id").eqNullSafe(F.col("w_id")), F.col("text_key") == F.col("w_key"), F.col("digest") == F.col("w_digest")]
+        wrong = wrong.select(F.col("id").alias("w_id"), F.col("text_key").alias("w_key"), F.col("digest").alias("w_digest"), F.col("text").alias("other"))
+        parts = feed.join(wrong, key, "left").drop("w_id", "w_key", "w_digest")
         first = parts.groupBy("digest", F.col("other").alias("of")).agg(
             F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row_no")).alias("first"), F.count(F.lit(1)).alias("n")
         )
@@ -137,21 +143,20 @@ def exact_dedup(
         named = parts.join(first, (F.col("digest") == F.col("of_digest")) & F.col("other").eqNullSafe(F.col("of")))
         named = named.select("*", F.col("n").alias("group_size"), F.col("first.id").alias("keep_id"))
         kept = F.col("row_no") == F.col("first.row_no")
-    return named.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "digest", "locator")
+    return named.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "digest", "locator", "text_key")
 
 
 def keep_first(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with docs' own columns."""
-    kept = result.where("kept").select(F.col(id_col).alias("k_id"), F.col("digest").alias("k_digest"))
-    kept = stage(kept, scratch(docs.sparkSession, "dedup-kept"))
-    drop = result.where("not kept").select(F.col(id_col).alias("k_id"), F.col("digest").alias("k_digest"))
-    drop = stage(drop, scratch(docs.sparkSession, "dedup-drop"))
-    gone = drop.select("k_id").distinct()
-    clean = docs.join(small(gone), docs[id_col].eqNullSafe(gone["k_id"]), "left_anti")
-    both = kept.join(gone, "k_id", "left_semi") if drop.where("k_id is null").isEmpty() else kept.join(gone.withColumnRenamed("k_id", "g"), F.col("k_id").eqNullSafe(F.col("g")), "left_semi")
-    if both.isEmpty():
+    rows = result.groupBy(F.col(id_col).alias("k_id"), F.col("text_key").alias("k_key")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    rows = stage(rows, scratch(docs.sparkSession, "dedup-rows"))
+    gone = small(rows.where("not stays").select("k_id", "k_key"))
+    same = docs[id_col].eqNullSafe(F.col("k_id")) & (text_key(docs[text_col]) == F.col("k_key"))
+    clean = docs.join(gone, same, "left_anti")
+    again = small(rows.where("stays and n > 1").select("k_id", "k_key"))
+    if again.isEmpty():
         return clean
-    # an id that has both a row that stays and one that goes: told apart by the text
-    again = docs.withColumn("__digest", sha256(normalised(F.col(text_col))))
-    again = again.join(both.distinct(), again[id_col].eqNullSafe(F.col("k_id")) & (F.col("__digest") == F.col("k_digest"))).drop("k_id", "k_digest")
-    return clean.unionByName(again.dropDuplicates([id_col, "__digest"]).drop("__digest"))
+    # rows that repeat both id and text: one stays
+    same = clean[id_col].eqNullSafe(F.col("k_id")) & (text_key(clean[text_col]) == F.col("k_key"))
+    once = clean.join(again, same, "left_semi").withColumn("__key", text_key(F.col(text_col))).dropDuplicates([id_col, "__key"]).drop("__key")
+    return clean.join(again, same, "left_anti").unionByName(once)

@@ -45,6 +45,21 @@ def test_exact_keeps_first(docs, rows):
     assert sorted(texts) == sorted({normal(t) for _, t in rows})
 
 
+def test_exact_tells_texts_apart_that_share_an_id(spark):
+    """Under one digest for all texts: null ids alone, and the kept id repeated with another text."""
+    for rows in ([(None, "a"), (None, "b"), (None, "b "), (None, "a"), (None, None)], [(1, "x"), (1, "y"), (2, "y"), (3, "x"), (1, "x"), (None, "z")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        result = exact_dedup.exact_dedup(docs, digest=lambda c: F.substring(F.sha2(c, 256), 1, 0))
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[normal(t)].append(i)
+        key = lambda i: (i is None, i or 0)
+        want = Counter((i, min(groups[normal(t)], key=key), len(groups[normal(t)])) for i, t in rows)
+        assert Counter((r.doc_id, r.keep_id, r.group_size) for r in result.collect()) == want
+        kept = exact_dedup.keep_first(docs, result).collect()
+        assert Counter((r.doc_id, normal(r.text)) for r in kept) == Counter((min(ids, key=key), t) for t, ids in groups.items())
+
+
 def test_exact_query(spark, docs, rows, tmp_path):
     got = {(r.doc_id, r.text_sha256) for r in op1_exact_dedup(spark, save(docs, tmp_path)).collect()}
     assert got == {(i, hashlib.sha256(normal(t).encode()).hexdigest()) for i, t in rows}
