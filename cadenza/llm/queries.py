@@ -65,11 +65,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, changed = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
-    changed = changed.select(
-        F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "n_removed", F.sha2("kept", 256).alias("kept_sha256")
-    ).dropDuplicates(["c_id", "c_key"])
-    out = base.join(changed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left")
-    return out.select(
+    changed = changed.select("row", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return base.join(changed, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
     )
 

@@ -3,63 +3,81 @@
 Level one are windows of half the length. They are not taken at every word: of the half windows
 inside each full window the one with the least hash is its anchor, so equal full windows have equal
 anchors wherever they stand, and one half window in six is enough. Only full windows whose anchor is
-repeated are extended to the full length; those are looked up in the whole corpus, and each that
-also starts earlier has its words removed. `repeated_lengths` doubles further for as long as any
-window is still repeated.
+repeated are extended to the full length; of those that repeat, every one but the first loses its
+words. Longer levels would not remove another word, so removal ends at the full length;
+`repeated_lengths` doubles further for as long as any window is still repeated.
 
-Words are told apart by 64-bit hashes, windows by 64-bit mixtures of them.
+Texts of equal words are one text: the first row stands for all, and the others lose every window.
+A task sends each level's windows sorted, in packets by range of their hash, each different window
+once, so a passage that very many documents share arrives once a task and not once a document. A
+range finds the windows that several texts have (level one), or all but the first document with a
+window (level two), and answers with those alone.
+
+Words have 128-bit hashes. Candidates are told by 64 bits of them, where a collision costs time
+alone; windows whose words are removed by 96.
 
 Defined results: a null text has no words; texts with fewer words than a window keep all; a null id
-counts as larger than any other; rows that share an id are ordered by a hash of their text, and rows
-that repeat id and text get equal results; tables may be empty.
+counts as larger than any other; rows that share an id are ordered by a hash of their text, and of
+rows that repeat id and text one comes first; tables may be empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import remove, scratch, small, stage
+from cadenza.llm.wire import numbers, packed, packed_keys, range_bits, ranges, unpacked_keys
 
-#: Words that a task hashes together.
-BLOCK_WORDS = 400_000
+#: Words that a task hashes together, and windows that it sends together.
+BLOCK_WORDS, SENT = 400_000, 1_500_000
+#: Windows that one range gets, about.
+RANGE_WINDOWS = 1_000_000
 #: Words whose hash a Python worker remembers.
-REMEMBERED = 500_000
-#: Parts of each window's occurrences that are ranked on their own before their first ones are.
-SALTS = 32
-#: A window is hot from this share of all occurrences on, and from so many.
-HOT_SHARE, LEAST_HOT = 100_000, 4096
-#: Numbers in lists by document up to which these are broadcast (8 bytes each).
-BROADCAST_NUMBERS = 8_000_000
+REMEMBERED = 400_000
+#: Bytes of lists by document up to which these are broadcast.
+BROADCAST_BYTES = 64_000_000
 # Odd multipliers of the mixing, any will do.
-STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
 
+class Words(dict):
+    """Words numbered as they come, and their hashes, for as long as they are remembered."""
 
-class WordHashes(dict):
-    """Hash of each word, computed once for as long as it is remembered."""
+    def __init__(self):
+        super().__init__()
+        self.digests = bytearray()
 
     def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_digest
+
+        self.digests += xxh3_128_digest(word)
+        n = self[word] = len(self)
+        return n
 
-        if len(self) >= REMEMBERED:
+    def hashes(self, words: list[list[bytes]]) -> np.ndarray:
+        """Two 64-bit hashes of each word of the texts, one text after the other."""
+        if len(self) > REMEMBERED:
             self.clear()
-        found = self[word] = xxh3_64_intdigest(word)
-        return found
+            self.digests = bytearray()
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        return np.frombuffer(bytes(self.digests), np.uint64).reshape(-1, 2)[at].T.copy()
 
 
-_hashes = WordHashes()
+_words = Words()
 
 
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+def grams(hashes: np.ndarray, n: int, step: int = STEPS[0]) -> np.ndarray:
     """Hash of the n words from each place on."""
     if len(hashes) < n:
         return np.array([], np.uint64)
-    out, count, done, step = None, len(hashes) - n + 1, 0, int(STEP)
+    out, count, done = None, len(hashes) - n + 1, 0
     # by doubling: the words of each binary digit of n in turn
     power, block, width = step, hashes, 1
     while done < n:
@@ -90,24 +108,20 @@ def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
 class Block:
     """The words of some documents, one after the other, and their windows."""
 
-    def __init__(self, texts: list[str | None], window: int):
+    def __init__(self, words: list[list[bytes]], window: int):
         self.half, self.window = window // 2, window
-        self.words = [(t or "").encode().split() for t in texts]
-        self.counts = np.array([len(w) for w in self.words], np.int64)
+        self.counts = np.array([len(w) for w in words], np.int64)
         self.starts = np.append(0, np.cumsum(self.counts))
-        look = _hashes.__getitem__
-        hashes = np.array([h for w in self.words for h in map(look, w)], np.uint64)
-        doc = np.repeat(np.arange(len(texts)), self.counts)
-        n = max(0, len(hashes) - window + 1)
+        self.lanes = _words.hashes(words)
+        self.doc = np.repeat(np.arange(len(words)), self.counts)
+        n = max(0, len(self.doc) - window + 1)
         #: Windows lie in one document.
-        self.whole = np.flatnonzero(doc[:n] == doc[window - 1 : window - 1 + n])
-        self.doc = doc
-        self.halves = grams(hashes, self.half)
-        self.hashes = grams(hashes, window)
+        self.whole = np.flatnonzero(self.doc[:n] == self.doc[window - 1 : window - 1 + n])
+        self.halves = grams(self.lanes[0], self.half) | np.uint64(1)
         self.least = sliding_min(self.halves, window - self.half + 1) if n else self.halves[:0]
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, hash, places) of the half windows that are the least of some whole window."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, hash) of the half windows that are the least of some whole window, in order of place."""
         least = np.zeros(len(self.halves), np.uint64)
         least[self.whole] = self.least[self.whole]
         span = self.window - self.half + 1
@@ -115,162 +129,281 @@ class Block:
         padded = np.append(np.zeros(span - 1, np.uint64), least)
         best = ~sliding_min(~padded, span) if len(padded) >= span else least
         at = np.flatnonzero((best == self.halves) & (best > 0))
-        pairs, times = np.unique(np.stack([self.doc[at].astype(np.uint64), self.halves[at]]), axis=1, return_counts=True)
-        return pairs[0].astype(np.int64), pairs[1], times
+        return self.doc[at], self.halves[at]
+
+    def windows(self, anchors: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, pos, hash, other hash) of the windows whose anchor is among their document's."""
+        # a document's anchors are looked up with its number mixed in
+        mixed = lambda doc, h: h ^ (doc.astype(np.uint64) * MIX_A)
+        own = np.fromiter(chain.from_iterable(anchors), np.int64, sum(map(len, anchors))).view(np.uint64)
+        wanted = mixed(np.repeat(np.arange(len(anchors)), [len(a) for a in anchors]), own)
+        at = self.whole[np.isin(mixed(self.doc[self.whole], self.least[self.whole]), wanted)]
+        doc = self.doc[at]
+        both = [grams(lane, self.window, step)[at] for lane, step in zip(self.lanes, STEPS, strict=True)]
+        return doc, at - self.starts[doc], *both
+
+
+def kind_of(docs: DataFrame, col: str) -> tuple[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[col].dataType
+    return kind.simpleString(), to_arrow_type(kind)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], columns: int, window: int):
-    """Documents of about BLOCK_WORDS words at a time: their first columns as lists, and a Block."""
+def some_words(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[list[list], list[list[bytes]]]]:
+    """Documents of about BLOCK_WORDS words at a time: their first columns as lists, and words; texts come last."""
     for b in batches:
-        cols, size = [[] for _ in range(columns)], 0
-        sizes = b.column(columns - 1)
+        cols, words, size = [[] for _ in range(columns)], [], 0
         for i in range(b.num_rows):
-            for c, x in zip(cols, b.columns[:columns], strict=True):
+            for c, x in zip(cols, b.columns, strict=False):
                 c.append(x[i].as_py())
-            size += len(sizes[i].as_py() or "") // 6
+            words.append((b.column(columns)[i].as_py() or "").encode().split())
+            size += len(words[-1])
             if size >= BLOCK_WORDS:
-                yield cols, Block(cols[-1], window)
-                cols, size = [[] for _ in range(columns)], 0
-        if cols[0]:
-            yield cols, Block(cols[-1], window)
+                yield cols, words
+                cols, words, size = [[] for _ in range(columns)], [], 0
+        if words:
+            yield cols, words
+
 
+def keyed(docs: DataFrame, id_col: str, text_col: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, text) of all rows, and of all but those that repeat both id and text.
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """(doc_id, text_key, text); text_key tells rows apart that share an id, and is 0 where none does."""
+    text_key tells rows apart that share an id, and is 0 where none does.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     again = own.groupBy(F.col("doc_id").alias("g_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = stage(again.select("g_id", F.lit(True).alias("shared")), f"{path}/shared-ids")
     if again.isEmpty():
-        return own.select("doc_id", F.lit(0).cast("long").alias("text_key"), "text")
+        own = own.select("doc_id", F.lit(0).cast("long").alias("text_key"), "text")
+        return own, own
     own = own.join(small(again), F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
     key = F.when(F.col("shared"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
-    return own.select("doc_id", key.alias("text_key"), "text")
-
+    own = own.select("doc_id", key.alias("text_key"), "text", F.coalesce("shared", F.lit(False)).alias("shared"))
+    once = own.where("not shared").unionByName(own.where("shared").dropDuplicates(["doc_id", "text_key"]))
+    return own.drop("shared"), once.drop("shared")
 
-def with_lists(docs: DataFrame, lists: DataFrame, key: str, list_col: str, how: str = "inner") -> DataFrame:
-    """docs with their lists: broadcast up to BROADCAST_NUMBERS numbers in all, else joined by a shuffle."""
-    n = lists.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(list_col)), F.lit(0)).alias("numbers")).first()
-    held = F.broadcast(lists) if 8 * n["rows"] + n["numbers"] <= BROADCAST_NUMBERS else lists
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col(f"{key}_id")) & (F.col("text_key") == F.col(f"{key}_key")), how)
 
+def with_lists(docs: DataFrame, lists: DataFrame, size: str) -> DataFrame:
+    """docs (doc_id, text_key, text) with their lists: broadcast up to BROADCAST_BYTES in all, else joined by a shuffle.
 
-def first_level(docs: DataFrame, window: int, path: str) -> DataFrame:
-    """Write and read, by kind: 0 the documents (n_words, sha of all words), 1 their anchors (hash, times)."""
+    size: the bytes of a row's list, as SQL.
+    """
+    lists = lists.withColumnsRenamed({"doc_id": "l_id", "text_key": "l_key"})
+    n = lists.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.expr(size)), F.lit(0)).alias("bytes")).first()
+    held = F.broadcast(lists) if 64 * n["rows"] + n["bytes"] <= BROADCAST_BYTES else lists
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_key") == F.col("l_key"))).drop("l_id", "l_key")
+
+
+class Anchors:
+    """The anchors of different texts, gathered by a task until it sends them."""
+
+    def __init__(self, base: int, bits: int):
+        self.base, self.bits = base, bits
+        self.texts: dict[bytes, int] = {}
+        self.owners: list[tuple[tuple, int]] = []
+        self.doc: list[np.ndarray] = []
+        self.hash: list[np.ndarray] = []
+        self.size = 0
+
+    def is_new(self, digest: bytes, order: tuple, row: int) -> bool:
+        """Whether a text was not here before; the first row of equal texts owns it."""
+        at = self.texts.setdefault(digest, len(self.owners))
+        if at < len(self.owners):
+            self.owners[at] = min(self.owners[at], (order, row))
+            return False
+        self.owners.append((order, row))
+        return True
+
+    def add(self, texts: np.ndarray, hashes: np.ndarray) -> None:
+        self.doc.append(texts)
+        self.hash.append(hashes)
+        self.size += len(hashes)
+
+    def send(self) -> tuple[pa.Table | None, pa.Table | None]:
+        """(rows and anchors that repeat among the texts here, packets of each different anchor)."""
+        if not self.size:
+            return None, None
+        doc, keys = np.concatenate(self.doc), np.concatenate(self.hash)
+        order = np.argsort(keys, kind="stable")
+        doc, keys = doc[order], keys[order]
+        rows = np.array([r for _, r in self.owners], np.int64)
+        tids = np.frombuffer(b"".join(d[:6] + b"\0\0" for d in self.texts), np.uint64) | np.uint64(1)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times = np.diff(np.append(first, len(keys)))
+        many = np.repeat(times > 1, times)
+        # of a text that has an anchor twice one row is enough
+        many[1:] &= (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+        here = pa.table({"row": rows[doc[many]], "hash": keys[many].view(np.int64)})
+        keys, doc = keys[first], doc[first]
+        tid, row = np.where(times > 1, np.uint64(0), tids[doc]), (rows[doc] - self.base).astype(np.uint32)
+        found, start, end = ranges(keys, self.bits)
+        cut = lambda pack, values: pa.array([pack(values[a:z]) for a, z in zip(start, end, strict=True)], pa.binary())
+        return here, pa.table(
+            {"range": found, "base": [self.base] * len(found), "keys": cut(packed_keys, keys), "tids": cut(packed, tid), "rows": cut(packed, row)}
+        )
+
+
+def first_level(docs: DataFrame, window: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, anchors): row, doc_id, text_key, n_words and sha of all words by document; row and hash of
+    the repeated anchors of each different text, on its first row (or on a row of an equal text besides)."""
     from hashlib import sha256
 
+    spark = docs.sparkSession
+    name, kind = kind_of(docs, "doc_id")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # a word has six bytes, about, and an anchor in window - half + 2 words is two of them
+    bits = range_bits(size // 6 * 2 // (window - window // 2 + 2), RANGE_WINDOWS)
+    schema = f"kind int, row long, doc_id {name}, text_key long, n_words long, sha string, hash long, range long, base long, keys binary, tids binary, rows binary"
+    types = dict(kind=pa.int32(), row=pa.int64(), doc_id=kind, text_key=pa.int64(), n_words=pa.int64(), sha=pa.string(), hash=pa.int64(), range=pa.int64(), base=pa.int64(), keys=pa.binary(), tids=pa.binary(), rows=pa.binary())
+
+    def batch(of: int, cols: dict) -> pa.RecordBatch:
+        n = len(next(iter(cols.values())))
+        cols = {"kind": np.full(n, of, np.int32)} | cols
+        full = [c.combine_chunks() if isinstance(c := cols.get(k), pa.ChunkedArray) else pa.nulls(n, t) if c is None else pa.array(c, t) for k, t in types.items()]
+        return pa.RecordBatch.from_arrays(full, list(types))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids, keys, _), b in blocks(batches, 3, window):
-            ids, keys = pa.array(ids, kind), np.array(keys, np.int64)
-            n = len(keys)
-            digests = [sha256(b" ".join(w)).hexdigest() for w in b.words]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(keys), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(b.counts), pa.array(digests), pa.array(np.zeros(n, np.int32))], names
-            )
-            at, hashes, times = b.anchors()
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at)), pa.array(keys[at]), pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(np.ones(n, np.int32))], names
-            )
-
-    names = ["doc_id", "text_key", "hash", "times", "n_words", "sha", "kind"]
-    from pyspark.sql.pandas.types import to_arrow_type
+        from pyspark import TaskContext
+
+        base, seen = TaskContext.get().partitionId() << 32, 0
+        held = Anchors(base, bits)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for of, t in zip((1, 2), held.send(), strict=True):
+                if t is not None and t.num_rows:
+                    yield batch(of, {c: t.column(c) for c in t.column_names})
+
+        for (ids, keys), words in some_words(batches, 2):
+            whole = [sha256(b" ".join(w)) for w in words]
+            n = len(words)
+            yield batch(0, {"row": np.arange(n) + base + seen, "doc_id": ids, "text_key": keys, "n_words": [len(w) for w in words], "sha": [d.hexdigest() for d in whole]})
+            new = [i for i in range(n) if len(words[i]) >= window and held.is_new(whole[i].digest(), (ids[i] is None, ids[i], keys[i]), base + seen + i)]
+            seen += n
+            if new:
+                doc, hashes = Block([words[i] for i in new], window).anchors()
+                held.add(doc + len(held.owners) - len(new), hashes)
+            if held.size >= SENT:
+                yield from sent()
+                held = Anchors(base, bits)
+        yield from sent()
 
-    kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, hash long, times long, n_words long, sha string, kind int"
     level = docs.mapInArrow(run, schema)
-    level.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(level.schema).parquet(path)
-
-
-def candidates(docs: DataFrame, anchors: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text_key, text, anchors): documents with repeated half windows, and those."""
-    repeated = anchors.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
+    level.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/level")
+    level = spark.read.schema(level.schema).parquet(f"{path}/level")
+
+    def repeated(t: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(k) for k in t.column("keys").to_pylist()]
+        rows = [numbers(r, np.uint32).astype(np.int64) + b for r, b in zip(t.column("rows").to_pylist(), t.column("base").to_pylist(), strict=True)]
+        keys, rows, tids = np.concatenate(keys), np.concatenate(rows), np.concatenate([numbers(x, np.uint64) for x in t.column("tids").to_pylist()])
+        order = np.argsort(keys)
+        keys, rows, tids = keys[order], rows[order], tids[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        # several texts here, or several in a task, which sends 0
+        least, most = np.minimum.reduceat(tids, first), np.maximum.reduceat(tids, first)
+        again = np.repeat((least == 0) | (least != most), np.diff(np.append(first, len(keys)))) & (tids != 0)
+        return pa.table({"row": rows[again], "hash": keys[again].view(np.int64)})
+
+    replies = level.where("kind = 2").select("range", "base", "keys", "tids", "rows").groupBy("range").applyInArrow(repeated, "row long, hash long")
+    return level.where("kind = 0").select("row", "doc_id", "text_key", "n_words", "sha"), level.where("kind = 1").select("row", "hash").unionByName(replies)
+
+
+def candidates(documents: DataFrame, anchors: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(firsts, found): the first row of each different text; and of those with repeated anchors doc_id,
+    text_key, rank (a number in order of id and text_key), row and anchors."""
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key", "row")
+    firsts = stage(documents.groupBy("sha").agg(F.min(order).alias("f")).select("f.*"), f"{path}/firsts")
     # a document has no more anchors than words
-    per_doc = anchors.select("doc_id", "text_key", "hash").join(repeated, "hash").groupBy(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key"))
-    per_doc = stage(per_doc.agg(F.collect_set("hash").alias("anchors")), f"{path}/anchors")
-    return with_lists(docs, per_doc, "a", "anchors").select("doc_id", "text_key", "text", "anchors")
-
-
-def full_windows(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_key, hash, pos): the full windows around repeated anchors, each once a document."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(found.schema["doc_id"].dataType)
+    by_row = anchors.groupBy("row").agg(F.collect_list("hash").alias("anchors"))
+    found = by_row.join(firsts, "row").repartitionByRange("no_id", "doc_id", "text_key").sortWithinPartitions("no_id", "doc_id", "text_key")
+    # partitions are ranges in order, so these numbers are in order too
+    found = found.select("doc_id", "text_key", F.monotonically_increasing_id().alias("rank"), "row", "anchors")
+    return firsts.select("row"), stage(found, f"{path}/candidates")
+
+
+def later(texts: DataFrame, window: int, n_windows: int, path: str) -> DataFrame:
+    """(rank, places): packed places of the windows that also start earlier; texts: rank, anchors, text."""
+    bits = range_bits(n_windows, RANGE_WINDOWS)
+    names = ("kind", "rank", "places", "range", "keys", "others", "ranks", "at")
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 4)
+
+    def by_rank(rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        order = np.lexsort((pos, rank))
+        rank, pos = rank[order], pos[order].astype(np.uint32)
+        first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.array([], int)
+        return rank[first], [packed(np.diff(p, prepend=np.uint32(0))) for p in np.split(pos, first[1:])] if len(rank) else []
+
+    def firsts(rank: np.ndarray, keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, mask in that order of each window's first); windows of one document come in order of place."""
+        order = np.lexsort((rank, others, keys))
+        k, o = keys[order], others[order]
+        return order, np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))
+
+    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rank, pos, keys, others = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(keys):
+            return
+        order, first = firsts(rank, keys, others)
+        ranks, places = by_rank(rank[order[~first]], pos[order[~first]])
+        n, none = len(ranks), [None] * len(ranks)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([0] * n, ranks, places, *[none] * 5), types, strict=True)], names)
+        at = order[first]
+        found, start, end = ranges(keys[at], bits)
+        cut = lambda pack, v: [pack(v[at[a:z]]) for a, z in zip(start, end, strict=True)]
+        none = [None] * len(found)
+        cols = ([1] * len(found), none, none, found, cut(packed_keys, keys), cut(packed, others), cut(packed, rank), cut(packed, pos.astype(np.uint32)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids, keys, anchors, _), b in blocks(batches, 4, window):
-            ids, keys = pa.array(ids, kind), np.array(keys, np.int64)
-            for i, own in enumerate(anchors):
-                a, z = b.starts[i], b.starts[i + 1] - window + 1
-                if z <= a:
-                    continue
-                kept = np.flatnonzero(np.isin(b.least[a:z], np.array(own, np.int64).view(np.uint64)))
-                hashes, first = np.unique(b.hashes[a:z][kept], return_index=True)
-                n = len(hashes)
-                if n:
-                    at = np.full(n, i)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(keys[at]), pa.array(hashes.view(np.int64)), pa.array(kept[first].astype(np.int32))], ["doc_id", "text_key", "hash", "pos"])
-
-    schema = f"doc_id {found.schema['doc_id'].dataType.simpleString()}, text_key long, hash long, pos int"
-    return found.select("doc_id", "text_key", "anchors", "text").mapInArrow(run, schema)
-
-
-def later(windows: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text_key, pos): windows whose words also start in an earlier document.
-
-    Windows that occur once are left out first; occurrences of the others are ranked where they meet.
-    Those that very many documents share (one in HOT_SHARE of all occurrences or more, so at most
-    HOT_SHARE windows) are ranked in SALTS parts, and then the first of each part against each other.
-    """
-    counts = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = stage(counts, f"{path}/repeated")
-    limit = max(LEAST_HOT, windows.count() // HOT_SHARE)
-    hot = F.broadcast(counts.where(F.col("n") > limit).select("hash"))
-    order = [F.isnull("doc_id"), "doc_id", "text_key"]
-    first = lambda *keys: F.rank().over(W.partitionBy(*keys).orderBy(*order)) == 1
-    few = windows.join(hot, "hash", "left_anti").join(counts.where(F.col("n") <= limit).select("hash"), "hash", "left_semi")
-    late = few.withColumn("first", first("hash")).where("not first")
-    salted = windows.join(hot, "hash").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
-    ranked = salted.withColumn("first", first("hash", "salt"))
-    again = ranked.where("first").withColumn("head", first("hash")).where("not head")
-    parts = [x.select("doc_id", "text_key", "pos") for x in (late, ranked.where("not first"), again)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def cut(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, text_key, n_removed, kept): texts without the words of removed windows."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(found.schema["doc_id"].dataType)
+        held, size = [], 0
+        for (ranks, anchors), words in some_words(batches, 2):
+            doc, pos, keys, others = Block(words, window).windows(anchors)
+            held.append((np.array(ranks, np.int64)[doc], pos, keys, (others >> np.uint64(32)).astype(np.uint32)))
+            size += len(pos)
+            if size >= SENT:
+                yield from send(held)
+                held, size = [], 0
+        if held:
+            yield from send(held)
+
+    schema = "kind int, rank long, places binary, range long, keys binary, others binary, ranks binary, at binary"
+    texts.select("rank", "anchors", "text").mapInArrow(run, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/windows")
+    sent = texts.sparkSession.read.schema(schema).parquet(f"{path}/windows")
+
+    def answer(t: pa.Table) -> pa.Table:
+        keys = np.concatenate([unpacked_keys(k) for k in t.column("keys").to_pylist()])
+        others, rank, pos = (np.concatenate([numbers(x, k) for x in t.column(c).to_pylist()]) for c, k in (("others", np.uint32), ("ranks", np.int64), ("at", np.uint32)))
+        order, first = firsts(rank, keys, others)
+        ranks, places = by_rank(rank[order[~first]], pos[order[~first]])
+        return pa.table({"rank": pa.array(ranks, pa.int64()), "places": pa.array(places, pa.binary())})
+
+    replies = sent.where("kind = 1").select("range", "keys", "others", "ranks", "at").groupBy("range").applyInArrow(answer, "rank long, places binary")
+    return sent.where("kind = 0").select("rank", "places").unionByName(replies)
+
+
+def cut(texts: DataFrame, window: int) -> DataFrame:
+    """(row, doc_id, n_removed, kept): texts without the words of removed windows; texts: row, doc_id, places, text."""
+    name, kind = kind_of(texts, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids, keys, places, _), b in blocks(batches, 4, window):
+        for (rows, ids, places), words in some_words(batches, 3):
             removed, kept = [], []
-            for i, own in enumerate(places):
-                a, z = b.starts[i], b.starts[i + 1]
-                gone = np.zeros(z - a + 1, np.int64)
-                if z - a >= window:
-                    hashes = b.hashes[a : z - window + 1]
-                    _, first = np.unique(hashes, return_index=True)
-                    again = np.ones(len(hashes), bool)
-                    again[first] = False
-                    if own:
-                        again |= np.isin(hashes, hashes[np.array(own)])
-                    at = np.flatnonzero(again)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
+            for own, w in zip(places, words, strict=True):
+                gone = np.zeros(len(w) + 1, np.int64)
+                at = np.unique(np.concatenate([np.cumsum(numbers(p, np.uint32)) for p in own])).astype(np.int64)
+                gone[at] += 1
+                gone[at + window] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
                 removed.append(int(gone.sum()))
-                kept.append(b" ".join(w for w, g in zip(b.words[i], gone.tolist(), strict=True) if not g).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(keys, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text_key", "n_removed", "kept"])
+                kept.append(b" ".join([w[i] for i in np.flatnonzero(~gone).tolist()]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, kind), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "doc_id", "n_removed", "kept"])
 
-    schema = f"doc_id {found.schema['doc_id'].dataType.simpleString()}, text_key long, n_removed long, kept string"
-    return found.select("doc_id", "text_key", "places", "text").mapInArrow(run, schema)
+    return texts.select("row", "doc_id", "places", "text").mapInArrow(run, f"row long, doc_id {name}, n_removed long, kept string")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables by (doc_id, text_key): every row's n_words and sha (hex SHA-256 of its words joined by
-    one space), and n_removed and kept (words left, joined by one space) of the texts that lose words.
+    """Two tables by row (a number): every row's doc_id, text_key, n_words and sha (hex SHA-256 of its words
+    joined by one space); and doc_id, n_removed and kept (words left, joined by one space) of rows that lose words.
 
     window must be even, 4 at least.
     """
@@ -278,49 +411,50 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         raise ValueError("window must be even, 4 at least")
     spark = docs.sparkSession
     path = scratch(spark, "substrings")
-    own = keyed(docs, id_col, text_col, path)
-    level = first_level(own, window, f"{path}/level")
-    anchors = level.where("kind = 1").select("doc_id", "text_key", "hash", "times")
-    found = candidates(own, anchors, path)
-    remove(spark, f"{path}/level/kind=1")
-    windows = stage(full_windows(found, window), f"{path}/windows")
-    gone = later(windows, path).groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set("pos").alias("places"))
-    gone = stage(gone, f"{path}/gone")
-    remove(spark, f"{path}/windows")
-    texts = with_lists(found.drop("anchors"), gone, "g", "places", "left").select("doc_id", "text_key", F.coalesce("places", F.array().cast("array<int>")).alias("places"), "text")
-    base = spark.read.schema(level.schema).parquet(f"{path}/level").where("kind = 0").select("doc_id", "text_key", "n_words", "sha")
-    return base, cut(texts, window).where("n_removed > 0")
+    own, once = keyed(docs, id_col, text_col, path)
+    documents, anchors = first_level(own, window, path)
+    firsts, found = candidates(documents, anchors, path)
+    remove(spark, f"{path}/level/kind=1", f"{path}/level/kind=2")
+    n = found.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0] * (window - window // 2 + 1)
+    texts = with_lists(once, found, "8 * size(anchors)")
+    places = later(texts, window, n, path).groupBy("rank").agg(F.collect_list("places").alias("places"))
+    gone = stage(found.select("doc_id", "text_key", "rank", "row").join(places, "rank").drop("rank"), f"{path}/gone")
+    remove(spark, f"{path}/windows", f"{path}/candidates")
+    changed = cut(with_lists(once, gone, "aggregate(places, 0L, (a, p) -> a + octet_length(p))"), window)
+    copies = documents.where(F.col("n_words") >= window).join(firsts, "row", "left_anti")
+    return documents, changed.unionByName(copies.select("row", "doc_id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")))
 
 
 def repeated_lengths(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, pos, length): starts of repeated stretches of window, 2*window, 4*window, ... words.
 
     Each level's windows are pairs of neighbouring repeated windows of the level below; it ends when
-    none is left. Only the windows that are repeated themselves go on.
+    none is left. Only the windows that are repeated themselves go on. Rows that repeat an id and text,
+    but not rows of equal texts, are one document.
     """
     spark = docs.sparkSession
     path = scratch(spark, "lengths")
-    own = keyed(docs, id_col, text_col, path)
-    level = first_level(own, window, f"{path}/level")
-    found = candidates(own, level.where("kind = 1").select("doc_id", "text_key", "hash", "times"), path)
-    schema = full_windows(found, window).schema
+    _, once = keyed(docs, id_col, text_col, path)
+    name, kind = kind_of(once, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (ids, keys, _), b in blocks(batches, 3, window):
-            ids, keys = pa.array(ids), np.array(keys, np.int64)
+        for (ids, keys), words in some_words(batches, 2):
+            b = Block(words, window)
             doc = b.doc[b.whole]
-            pos = (b.whole - b.starts[doc]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(keys[doc]), pa.array(b.hashes[b.whole].view(np.int64)), pa.array(pos)], ["doc_id", "text_key", "hash", "pos"])
+            at, cols = pa.array(doc), (pa.array(ids, kind), pa.array(keys, pa.int64()))
+            hashes = [pa.array(grams(lane, window, step)[b.whole].view(np.int64)) for lane, step in zip(b.lanes, STEPS, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in cols), *hashes, pa.array((b.whole - b.starts[doc]).astype(np.int32))], ["doc_id", "text_key", "hash", "other", "pos"])
 
-    now, length, out = found.select("doc_id", "text_key", "text").mapInArrow(run, schema), window, None
+    now, length, out = once.mapInArrow(run, f"doc_id {name}, text_key long, hash long, other long, pos int"), window, None
     while True:
-        repeated = now.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-        now = stage(now.join(repeated, "hash").select("doc_id", "text_key", "hash", "pos"), f"{path}/length={length}")
+        repeated = now.groupBy("hash", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "other")
+        now = stage(now.join(repeated, ["hash", "other"]).select("doc_id", "text_key", "hash", "other", "pos"), f"{path}/length={length}")
         if now.isEmpty():
             break
         rows = now.select("doc_id", "text_key", "pos", F.lit(length).alias("length"))
         out = rows if out is None else out.unionByName(rows)
-        right = now.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), (F.col("pos") - length).alias("r_pos"), F.col("hash").alias("r_hash"))
+        right = now.select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), (F.col("pos") - length).alias("r_pos"), F.col("hash").alias("r_hash"), F.col("other").alias("r_other"))
         on = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")) & (F.col("pos") == F.col("r_pos"))
-        now, length = now.join(right, on).select("doc_id", "text_key", F.xxhash64("hash", "r_hash").alias("hash"), "pos"), length * 2
+        now = now.join(right, on).select("doc_id", "text_key", F.xxhash64("hash", "r_hash").alias("hash"), F.xxhash64("other", "r_other").alias("other"), "pos")
+        length *= 2
     return now.select("doc_id", "text_key", "pos", F.lit(0).alias("length")) if out is None else out

@@ -182,9 +182,9 @@ def removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("least_hot", [4096, 3])
-def test_substrings(spark, docs, rows, tmp_path, monkeypatch, least_hot):
-    monkeypatch.setattr(substrings, "LEAST_HOT", least_hot)
+@pytest.mark.parametrize("each", [1_000_000, 50])
+def test_substrings(spark, docs, rows, tmp_path, monkeypatch, each):
+    monkeypatch.setattr(substrings, "RANGE_WINDOWS", each)
     unique = sorted({i: t for i, t in rows if i is not None}.items())
     table = spark.createDataFrame(unique, "doc_id long, text string")
     got = sorted(map(tuple, op7_substring_dedup(spark, save(table, tmp_path)).collect()))
