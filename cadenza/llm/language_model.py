@@ -1,17 +1,24 @@
 """Language-model scores by deleted interpolation of word n-grams.
 
-A token's probability mixes the maximum-likelihood estimates of n-grams, from `order` words down to
-one, the uniform distribution over the training words and one unknown word, and an estimate that
-knows only the unknown word. The weights differ by how often the context was seen (buckets of powers
-of two). They are learned by expectation-maximisation on a deleted part of the training texts, with
-counts of the rest; the final estimates count both.
+A token's probability is interpolated from the shortest estimate up. The first level mixes the words'
+maximum-likelihood estimate, the uniform distribution over the training words and one unknown word,
+and an estimate that knows only the unknown word. Each further level, up to `order` words, mixes its
+n-grams' maximum-likelihood estimate with the level below, by a weight that differs by how often the
+context was seen (buckets of powers of two); an unseen context has none. Weights are learned level by
+level by expectation-maximisation on a deleted part of the training texts, with counts of the rest;
+the final estimates count both.
 
 Documents are dealt to blocks of one part each (counted, held out, deleted), and a block is kept as
 numbered words. Every block sends each of its different n-grams once, as sorted 64-bit hashes packed
 by range of the hash; a range adds up all blocks' counts and answers each block with the totals of its
 n-grams in the same order. So a frequent n-gram arrives once a block, not once a token, and nothing is
-gathered but one range's or one block's numbers. To the driver come the sums for
-expectation-maximisation, on a grid of fixed size.
+gathered but one range's or one block's numbers. Packets never outnumber the n-grams in them: with so
+many ranges that one holds a single n-gram, what is shuffled is a row an n-gram and block.
+
+To the driver come, for each level, the deleted tokens' sums on a grid of bucket, estimate and the
+level below's estimate (STEPS a decade, DECADES at most): MOST_CELLS rows, whatever the input and order.
+Expectation-maximisation takes a cell's tokens as its means, so weights are those of estimates rounded
+to a tenth of a decade; the scores themselves are not rounded.
 
 Defined results: a null text is an empty one, of one token; a null id belongs to the training part
 (its text is the empty one's crc32, 0); rows that repeat are counted and scored each for itself;
@@ -22,7 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import scratch, stage
+from cadenza.llm.wire import numbers, packed, packed_keys, range_bits, ranges, unpacked_keys
 
 #: Tokens of a block, and documents at most.
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 65_536
 #: N-grams that a range gets, about.
-RANGE_NGRAMS = 2_000_000
+RANGE_NGRAMS = 1_500_000
 #: Context-frequency buckets: by the binary logarithm of the count.
 BUCKETS = 24
 #: Steps of the grid of estimates, in a decade, and decades.
-STEPS, DECADES = 25, 14
+STEPS, DECADES = 10, 12
+MOST_CELLS = BUCKETS * (STEPS * DECADES + 2) ** 2
 ROUNDS = 60
 COUNTED, HELD_OUT, DELETED = 0, 1, 2
 #: Hashes of the end of a text and of what stands before its first word.
@@ -53,25 +62,6 @@ def part_of(doc_id: object) -> int:
     return HELD_OUT if c % 5 == 1 else DELETED if c // 5 % 10 == 0 else COUNTED
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, first all lowest bytes: small ones leave whole planes of zeros to compress."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def numbers(packed: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(packed, np.uint8).reshape(size, len(packed) // size).T.copy().view(kind).ravel()
-
-
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpacked_keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(numbers(packed, np.uint64), dtype=np.uint64)
-
-
 class Numbers(dict):
     """Words numbered as they come; the end of a text is number 0."""
 
@@ -110,7 +100,7 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + made]), pa.array([p], pa.int32()), pa.array([size[0]]), pa.array([ids], pa.list_(kind)),
-                    pa.array([planes(sizes)], pa.binary()), pa.array([hashes.tobytes()], pa.binary()), pa.array([planes(np.concatenate(tokens))], pa.binary()),
+                    pa.array([packed(sizes)], pa.binary()), pa.array([hashes.tobytes()], pa.binary()), pa.array([packed(np.concatenate(tokens))], pa.binary()),
                 ],
                 ["block", "part", "n_tokens", "doc_ids", "sizes", "words", "tokens"],
             )
@@ -158,14 +148,12 @@ def sent(table: DataFrame, order: int, bits: int) -> DataFrame:
                 sizes, words = numbers(r["sizes"], np.int32), np.frombuffer(r["words"], np.uint64)
                 for n, grams in enumerate(ngrams(sizes, words, numbers(r["tokens"], np.int32), order)):
                     keys, counts = np.unique(grams, return_counts=True)
-                    ranges, start = np.unique(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), return_index=True)
-                    ends = [*start[1:].tolist(), len(keys)]
+                    found, start, end = ranges(keys, bits)
                     counts = counts.astype(np.uint32)
+                    cut = lambda pack, v: pa.array([pack(v[a:z]) for a, z in zip(start, end, strict=True)], pa.binary())  # noqa: E731, B023
                     cols = [
-                        pa.array(ranges.astype(np.int64) | n << 40),
-                        pa.array(np.full(len(ranges), r["block"])), pa.array(np.full(len(ranges), r["part"], np.int32)),
-                        pa.array([packed_keys(keys[a:z]) for a, z in zip(start.tolist(), ends, strict=True)], pa.binary()),
-                        pa.array([planes(counts[a:z]) for a, z in zip(start.tolist(), ends, strict=True)], pa.binary()),
+                        pa.array(np.array(found) | n << 40), pa.array(np.full(len(found), r["block"])), pa.array(np.full(len(found), r["part"], np.int32)),
+                        cut(packed_keys, keys), cut(packed, counts),
                     ]
                     yield pa.RecordBatch.from_arrays(cols, ["range", "block", "part", "keys", "counts"])
 
@@ -187,7 +175,7 @@ def answered(rows: DataFrame) -> DataFrame:
         main = np.bincount(place, counts * (part == COUNTED), len(distinct)).astype(np.uint64)
         deleted = np.bincount(place, counts * (part == DELETED), len(distinct)).astype(np.uint64)
         ends = np.append(0, np.cumsum(lengths))
-        pack = lambda totals: pa.array([planes(totals[place[a:z]]) for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        pack = lambda totals: pa.array([packed(totals[place[a:z]]) for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
         once = np.arange(len(keys)) == 0
         return pa.table(
             {
@@ -213,6 +201,14 @@ class Totals:
     types: int
 
 
+@dataclass
+class Weights:
+    """words: of the first level's three estimates; longer: of each further level's n-grams, by bucket of the context."""
+
+    words: np.ndarray
+    longer: list[np.ndarray] = field(default_factory=list)
+
+
 def token_counts(block: dict, replies: list[dict], order: int, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(sizes, counts): training counts of the n-gram that ends at each token, for each order.
 
@@ -228,56 +224,60 @@ def token_counts(block: dict, replies: list[dict], order: int, fields: tuple[str
     return sizes, out
 
 
-def estimates(sizes: np.ndarray, counts: list[np.ndarray], total: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of the longest context, estimates by component) of each token.
+def word_estimates(counts: np.ndarray, total: Totals) -> np.ndarray:
+    """Each token's three estimates of the first level: its word, the uniform distribution, the unknown word."""
+    known = counts > 0
+    return np.stack([counts / max(1, total.tokens), np.full(len(known), 1 / (total.types + 1)), (~known).astype(float)], axis=1)
 
-    Components: n-grams from the longest to words, the uniform distribution, the unknown word.
-    """
-    first = np.cumsum(sizes) - sizes
-    columns, context = [], np.full(len(counts[0]), float(total.documents))
-    for n in range(len(counts) - 1, 0, -1):
-        # a context's count is that of the shorter n-gram that ends a token before; of starts alone, the documents
-        seen = np.append(0.0, counts[n - 1][:-1])
-        seen[first] = total.documents
-        columns.append(np.divide(counts[n], seen, out=np.zeros(len(seen)), where=seen > 0))
-        if n == len(counts) - 1:
-            context = seen
-    known = counts[0] > 0
-    columns += [counts[0] / max(1, total.tokens), np.full(len(known), 1 / (total.types + 1)), (~known).astype(float)]
-    return bucket(context), np.minimum(np.stack(columns, axis=1), 1)
-
-
-def grid(buckets: np.ndarray, ml: np.ndarray) -> np.ndarray:
+
+def level_estimates(sizes: np.ndarray, counts: list[np.ndarray], total: Totals, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of the context, estimate) of each token by its n-gram of n + 1 words."""
+    # a context's count is that of the shorter n-gram that ends a token before; of starts alone, the documents
+    seen = np.append(0.0, counts[n - 1][:-1])
+    seen[np.cumsum(sizes) - sizes] = total.documents
+    return bucket(seen), np.minimum(np.divide(counts[n], seen, out=np.zeros(len(seen)), where=seen > 0), 1)
+
+
+def mixture(sizes: np.ndarray, counts: list[np.ndarray], total: Totals, weights: Weights) -> np.ndarray:
+    """Each token's probability by the levels that have weights."""
+    p = word_estimates(counts[0], total) @ weights.words
+    for n, own in enumerate(weights.longer, 1):
+        buckets, ml = level_estimates(sizes, counts, total, n)
+        p = own[buckets] * ml + (1 - own[buckets]) * p
+    return p
+
+
+def grid(buckets: np.ndarray, *estimates: np.ndarray) -> np.ndarray:
     """Each token's cell: its bucket and its estimates' logarithms to 1/STEPS of a decade."""
-    code = buckets.copy()
-    for column in ml.T:
-        level = np.where(column > 0, 1 + np.clip(np.round(-np.log10(np.maximum(column, 1e-300)) * STEPS), 0, STEPS * DECADES), 0)
+    code = buckets.astype(np.int64)
+    for x in estimates:
+        level = np.where(x > 0, 1 + np.clip(np.round(-np.log10(np.maximum(x, 1e-300)) * STEPS), 0, STEPS * DECADES), 0)
         code = code * (STEPS * DECADES + 2) + level.astype(np.int64)
     return code
 
 
-def ungrid(codes: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
-    ml = []
-    for _ in range(columns):
-        level = codes % (STEPS * DECADES + 2)
-        codes = codes // (STEPS * DECADES + 2)
-        ml.append(np.where(level > 0, 10.0 ** (-(level - 1) / STEPS), 0))
-    return codes, np.stack(ml[::-1], axis=1)
+def learn_words(ml: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of the first level's estimates; ml: tokens' (or cells') estimates, n: how many each stands for."""
+    weights = np.full(3, 1 / 3)
+    for _ in range(ROUNDS):
+        shares = weights * ml
+        shares *= (n / np.maximum(shares.sum(axis=1), 1e-300))[:, None]
+        # a little of each, so that every token has a probability
+        sums = shares.sum(axis=0) + 1e-2
+        weights = sums / sums.sum()
+    return weights
 
 
-def learn(codes: np.ndarray, n: np.ndarray, columns: int) -> np.ndarray:
-    """Weights by bucket and component, by expectation-maximisation on the deleted tokens of the grid."""
-    weights = np.full((BUCKETS, columns), 1 / columns)
-    buckets, ml = ungrid(codes, columns)
+def learn_level(buckets: np.ndarray, ml: np.ndarray, below: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of one level's n-grams by bucket; a bucket without tokens keeps an even weight, an unseen context has none."""
+    weights = np.full(BUCKETS, 0.5)
+    weights[0] = 0
     for _ in range(ROUNDS):
-        shares = weights[buckets] * ml
-        shares *= (n / np.maximum(shares.sum(axis=1), 1e-300))[:, None]
-        # a little of each component, so that a bucket without tokens keeps even weights
-        sums = np.stack([np.bincount(buckets, s, BUCKETS) for s in shares.T], axis=1) + 1e-2
-        weights = sums / sums.sum(axis=1, keepdims=True)
-    # an unseen context says nothing: its estimates are zero, and so is their weight
-    weights[0, : columns - 3] = 0
-    return weights / weights.sum(axis=1, keepdims=True)
+        own = weights[buckets]
+        share = n * own * ml / np.maximum(own * ml + (1 - own) * below, 1e-300)
+        weights = (np.bincount(buckets, share, BUCKETS) + 1e-2) / (np.bincount(buckets, n, BUCKETS) + 2e-2)
+        weights[0] = 0
+    return weights
 
 
 def per_block(table: DataFrame, replies: DataFrame, run, schema: str) -> DataFrame:
@@ -289,34 +289,68 @@ def per_block(table: DataFrame, replies: DataFrame, run, schema: str) -> DataFra
     return table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(both, schema)
 
 
-def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learn(deleted: DataFrame, order: int, total: Totals) -> Weights:
+    """Weights of all levels from the deleted tokens; deleted: sizes and counts (packed, by order) of each block."""
+
+    def cells(weights: Weights | None, n: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    sizes, counts = numbers(r["sizes"], np.int32), [numbers(c, np.uint64).astype(float) for c in r["counts"]]
+                    if weights is None:
+                        buckets = np.zeros(len(counts[0]), np.int64)
+                        ml = below = counts[0]
+                        code = grid(buckets, ml / max(1, total.tokens))
+                    else:
+                        below = mixture(sizes, counts, total, weights)
+                        buckets, ml = level_estimates(sizes, counts, total, n)
+                        code = grid(buckets, ml, below)
+                    _, first, place, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+                    sums = [np.bincount(place, x, len(times)) for x in (ml, below)]
+                    yield pa.RecordBatch.from_arrays([pa.array(code[first]), pa.array(buckets[first]), pa.array(times), *map(pa.array, sums)], ["code", "bucket", "n", "ml", "below"])
+
+        table = deleted.mapInArrow(run, "code long, bucket long, n long, ml double, below double")
+        # MOST_CELLS rows at most
+        got = table.groupBy("code", "bucket").agg(*(F.sum(c).alias(c) for c in ("n", "ml", "below"))).toArrow()
+        n = got.column("n").to_numpy().astype(float)
+        return got.column("bucket").to_numpy(), n, *(got.column(c).to_numpy() / n for c in ("ml", "below"))
+
+    _, n, counts, _ = cells(None, 0)
+    weights = Weights(learn_words(word_estimates(counts, total), n))
+    for k in range(1, order):
+        buckets, n, ml, below = cells(weights, k)
+        weights = Weights(weights.words, [*weights.longer, learn_level(buckets, ml, below, n)])
+    return weights
+
+
+def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     path = scratch(spark, "lm")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = blocks_of(own, f"{path}/blocks")
     sums = {r["part"]: r for r in table.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.sum(F.size("doc_ids")).alias("docs")).collect()}
     total = lambda what, *parts: sum(int(sums[p][what]) for p in parts if p in sums)
-    bits = max(0, (total("n", COUNTED, HELD_OUT, DELETED) // RANGE_NGRAMS).bit_length())
+    bits = range_bits(total("n", COUNTED, HELD_OUT, DELETED), RANGE_NGRAMS)
     replies = stage(answered(sent(table, order, bits)), f"{path}/replies")
     types = replies.where(F.shiftright("range", 40) == 0).agg(F.coalesce(F.sum("types_main"), F.lit(0)).alias("main"), F.coalesce(F.sum("types"), F.lit(0)).alias("all")).first()
     main = Totals(total("docs", COUNTED), total("n", COUNTED), types["main"])
     train = Totals(total("docs", COUNTED, DELETED), total("n", COUNTED, DELETED), types["all"])
     replies = replies.select("block", "part", "range", "main", "deleted")
-    columns = order + 2
 
-    def cells(block: dict, own: list[dict]) -> pa.Table:
-        codes, n = np.unique(grid(*estimates(*token_counts(block, own, order, ("main",)), main)), return_counts=True)
-        return pa.table({"code": codes, "n": n})
+    def counted(block: dict, own: list[dict]) -> pa.Table:
+        _, counts = token_counts(block, own, order, ("main",))
+        return pa.table({"sizes": pa.array([block["sizes"]], pa.binary()), "counts": pa.array([[packed(c.astype(np.uint64)) for c in counts]], pa.list_(pa.binary()))})
 
     part = F.col("part") == DELETED
-    rows = per_block(table.where(part), replies.where(part).drop("deleted"), cells, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    weights = learn(rows.column("code").to_numpy(), rows.column("n").to_numpy().astype(float), columns)
+    deleted = stage(per_block(table.where(part), replies.where(part).drop("deleted"), counted, "sizes binary, counts array<binary>"), f"{path}/deleted")
+    weights = learn(deleted, order, main)
 
     def scores(block: dict, own: list[dict]) -> pa.Table:
         sizes, counts = token_counts(block, own, order, ("main", "deleted"))
-        buckets, ml = estimates(sizes, counts, train)
-        logs = np.log10((weights[buckets] * ml).sum(axis=1))
+        logs = np.log10(mixture(sizes, counts, train, weights))
         base = np.log10((counts[0] + 0.5) / (train.tokens + 0.5 * (train.types + 1)))
         first = np.cumsum(sizes) - sizes
         return pa.table(
@@ -326,8 +360,6 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
             }
         )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = to_arrow_type(own.schema["doc_id"].dataType)
     doc_kind = own.schema["doc_id"].dataType.simpleString()
     found = per_block(table, replies, scores, f"doc_id {doc_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import language_model, quality
+from cadenza.llm import language_model, quality, wire
 from cadenza.llm.queries import op4_deleted_interpolation, op5_quality
 
 DATA = "/root/testdata/sf0.01"
@@ -41,47 +41,43 @@ def test_base_scores(docs, rows):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_scores_by_plain_counts(docs, rows):
-    """The mixture, worked out word by word from whole counts and the weights of a first run."""
-    kept = {}
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_by_plain_counts(docs, rows, order, monkeypatch):
+    """The mixture, worked out word by word from whole counts and the weights of the run."""
+    kept = []
     learn = language_model.learn
-
-    def remember(*args):
-        kept["w"] = learn(*args)
-        return kept["w"]
-
-    language_model.learn = remember
-    try:
-        got = language_model.score(docs).collect()
-    finally:
-        language_model.learn = learn
+    monkeypatch.setattr(language_model, "learn", lambda *args: kept.append(learn(*args)) or kept[-1])
+    got = language_model.score(docs, order).collect()
     train = [tokens(t) for i, t in rows if fold(i) != 1]
-    one, two = Counter(w for ts in train for w in ts), Counter((h, w) for ts in train for h, w in zip(["START", *ts], ts))
-    n, v, w = one.total(), len(one), kept["w"]
-    assert np.allclose(w.sum(axis=1), 1)
+    grams = lambda ts, n: zip(*([*["START"] * (n - 1), *ts][k:] for k in range(n)), strict=False)
+    counts = [Counter(g for ts in train for g in grams(ts, n)) for n in range(1, order + 1)]
+    n, v, w = counts[0].total(), len(counts[0]), kept[0]
+    assert w.words.sum() == pytest.approx(1) and len(w.longer) == order - 1
 
     def text(ts):
         s = 0.0
         for k, t in enumerate(ts):
-            seen = one[ts[k - 1]] if k else len(train)
-            b = 0 if not seen else min(int(math.log2(seen)) + 1, language_model.BUCKETS - 1)
-            ml = [two[ts[k - 1] if k else "START", t] / seen if seen else 0, one[t] / n, 1 / (v + 1), float(one[t] == 0)]
-            s += math.log10(sum(a * c for a, c in zip(w[b], ml)))
+            c = counts[0][t,]
+            p = w.words @ [c / n, 1 / (v + 1), float(c == 0)]
+            for m in range(1, order):
+                context = ([*["START"] * m, *ts])[k : k + m]
+                seen = len(train) if k == 0 else counts[m - 1][tuple(context)]
+                own = w.longer[m - 1][0 if not seen else min(int(math.log2(seen)) + 1, language_model.BUCKETS - 1)]
+                p = own * (counts[m][(*context, t)] / seen if seen else 0) + (1 - own) * p
+            s += math.log10(p)
         return s
 
     assert Counter((r.doc_id, round(r.score, 5)) for r in got) == Counter((i, round(text(tokens(t)), 5)) for i, t in rows)
 
 
 def test_estimates_are_distributions():
-    """For a seen context the estimates of all words and the unknown one add up to 1 for each component."""
+    """For a seen context the estimates of all words and the unknown one add up to 1 at each level."""
     total = language_model.Totals(3, 10, 4)
     # context seen 5 times; four words of 4, 3, 2, 1 tokens, after it 3, 2, 0, 0 times, and an unknown one
     one, two = np.array([4.0, 3, 2, 1, 0]), np.array([3.0, 2, 0, 0, 0])
-    sums = 0
-    for a, b in zip(one, two):
-        _, ml = language_model.estimates(np.array([2]), [np.array([5.0, a]), np.array([5.0, b])], total)
-        sums = sums + ml[1]
-    assert np.allclose(sums, 1)
+    assert np.allclose(language_model.word_estimates(one, total).sum(axis=0), 1)
+    ml = [language_model.level_estimates(np.array([2]), [np.array([5.0, a]), np.array([5.0, b])], total, 1)[1][1] for a, b in zip(one, two, strict=True)]
+    assert sum(ml) == pytest.approx(1)
 
 
 @needs_data
@@ -98,26 +94,21 @@ def test_language_model_of_little(spark, empty):
 
 
 def test_weights_are_learned_by_buckets():
-    ml = np.array([[0.5, 0.01, 0.001, 0], [0, 0.02, 0.001, 0], [0, 0, 0.001, 1]])
-    buckets = np.array([5, 2, 2])
-    codes = language_model.grid(buckets, ml)
-    back, again = language_model.ungrid(codes, 4)
-    assert (back == buckets).all() and np.allclose(again, ml, rtol=0.05)
-    w = language_model.learn(codes, np.array([100.0, 60, 40]), 4)
-    assert w[5, 0] > 0.9 and w[2, 1] == pytest.approx(0.6, abs=0.05) and w[2, 3] == pytest.approx(0.4, abs=0.05)
+    w = language_model.learn_level(np.array([5, 2, 2, 0]), np.array([0.5, 0.5, 0, 0]), np.array([1e-4, 1e-4, 0.01, 0.1]), np.array([100.0, 60, 40, 9]))
+    assert w[5] > 0.99 and w[2] == pytest.approx(0.6, abs=0.01) and w[0] == 0 and w[9] == pytest.approx(0.5)
+    w = language_model.learn_words(np.array([[0.01, 1e-4, 0], [0, 1e-4, 1]]), np.array([60.0, 40]))
+    assert w[0] == pytest.approx(0.6, abs=0.02) and w[2] == pytest.approx(0.4, abs=0.02)
+    codes = language_model.grid(np.array([1, 1, 2]), np.array([0.5, 0.49, 0.5]), np.array([0, 0, 1e-20]))
+    assert codes[0] == codes[1] != codes[2] and codes.max() < language_model.MOST_CELLS
 
 
 def test_packing_of_numbers():
     rng = np.random.default_rng(0)
     keys = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
-    assert (language_model.unpacked_keys(language_model.packed_keys(keys)) == keys).all()
-    assert language_model.numbers(language_model.planes(np.zeros(0, np.uint32)), np.uint32).size == 0
-
-
-@pytest.mark.parametrize("order", [1, 3])
-def test_other_orders(docs, rows, order):
-    whole = Counter((r.doc_id, round(r.score, 5)) for r in language_model.score(docs, order).collect())
-    assert whole.total() == len(rows)
+    assert (wire.unpacked_keys(wire.packed_keys(keys)) == keys).all()
+    assert wire.numbers(wire.packed(np.zeros(0, np.uint32)), np.uint32).size == 0
+    found, start, end = wire.ranges(keys, 3)
+    assert found == list(range(8)) and all((keys[a:z] >> np.uint64(61) == r).all() for r, a, z in zip(found, start, end, strict=True))
 
 
 @needs_data
