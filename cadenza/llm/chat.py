@@ -2,25 +2,39 @@ r"""Chat formatting with token-budgeted windows.
 
 A turn is written as `### role: text`, a line break and `</turn>`. Inside texts a control string
 gets one more backslash in front than it had; reading takes it away again. Prefix sums of turn
-tokens cut a conversation into turn-aligned spans; each span becomes a window that starts with the
-system turn and repeats a few turns of history, and only assistant texts that are new to the window
-are under its loss mask.
+tokens choose turn-aligned spans; each span becomes a window that starts with the system turn and
+repeats a few turns of history, and only assistant texts that are new to the window are under its
+loss mask.
+
+Turns stay rows until their prefix sums are known: they are dealt by range of (conversation, turn), so
+even one conversation of all rows is summed by many tasks, and each range adds what the ranges before
+hold of its first conversation. Spans are then chosen in chunks of CHUNK budgets, which bounds what
+one row holds; a chunk begins a span. Only the last turns of a chunk go to the next one too, as history.
+
+Tokens are counted by a column of the caller's, or else estimated: four letters, three digits or one
+mark each, rounded up for each word, which a public byte-level vocabulary seldom exceeds in Latin prose.
 
 Defined results: a null text or role is empty; turns are ordered by number, then role and text
-(nulls first), so repeated turn numbers are all kept; a turn larger than the budget stands alone in
-its span; a null conv_id is one conversation; tables may be empty and have further columns.
+(nulls first), so repeated turn numbers are all kept; a turn larger than what the system turn leaves of
+the budget stands alone in its span, without history; a null conv_id is one conversation; tables may be
+empty and have further columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import scratch, stage
+
 # Fixed strings of the template.
 HEAD, END = "### ", "</turn>"
 CONTROL = "(### |</turn>)"
 #: Tokens that a turn's marks count for.
 MARK_TOKENS = 4
+#: Budgets of tokens in which spans are chosen together.
+CHUNK = 16
 
 
 def escape(text: Column) -> Column:
@@ -33,59 +47,92 @@ def unescape(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words and marks of a text: a stand-in for a tokenizer's count, cheap and within the JVM."""
-    return F.regexp_count(text, F.lit(r"\w+|[^\w\s]"))
+    """An estimate of a text's tokens, within the JVM; see above."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]{1,4}|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]"))
 
 
-def conversations_of(turns: DataFrame, count: Column | None = None) -> DataFrame:
-    """(conv_id, turns): each conversation's turns in order, escaped, with their token counts."""
+def placed_turns(turns: DataFrame, count: Column | None, path: str) -> DataFrame:
+    """(conv_id, place, before, role, head, body, tokens): place and tokens before each turn in its conversation."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    turn = F.struct("turn", role.alias("role"), text.alias("text"), (tokens(text) if count is None else count).alias("tokens"))
-    grouped = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    head = lambda t: F.concat(F.lit(HEAD), F.url_encode(t["role"]), F.lit(": "))
-    return grouped.select(
-        "conv_id",
-        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escape(t["text"]).alias("body"), (t["tokens"] + MARK_TOKENS).alias("tokens"))).alias("turns"),
+    size = (tokens(text) if count is None else count).cast("long") + MARK_TOKENS
+    order = ["turn", "role", "text"]
+    dealt = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), size.alias("tokens")).repartitionByRange("conv_id", *order)
+    dealt = stage(dealt.withColumn("part", F.spark_partition_id()), f"{path}/turns")
+    sums = dealt.groupBy("part", "conv_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("turns"))
+    earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(F.col("part").alias("o_part"), F.col("conv_id").alias("o_id"), F.sum("tokens").over(earlier).alias("off"), F.sum("turns").over(earlier).alias("off_turns"))
+    # a range begins inside one conversation at most: one row a range
+    offsets = F.broadcast(offsets.where("off is not null"))
+    here = W.partitionBy("part", "conv_id").orderBy(*order)
+    head = F.concat(F.lit(HEAD), F.url_encode("role"), F.lit(": "))
+    own = dealt.withColumns({"upto": F.sum("tokens").over(here.rowsBetween(W.unboundedPreceding, 0)), "nth": F.row_number().over(here) - 1})
+    own = own.join(offsets, (F.col("part") == F.col("o_part")) & F.col("conv_id").eqNullSafe(F.col("o_id")), "left")
+    off = lambda c: F.coalesce(c, F.lit(0))
+    return own.select(
+        "conv_id", (F.col("nth") + off("off_turns")).alias("place"), (F.col("upto") - F.col("tokens") + off("off")).alias("before"),
+        "role", head.alias("head"), escape(F.col("text")).alias("body"), "tokens",
     )
 
 
-def with_spans(convs: DataFrame, budget: int, history: int, history_tokens: int) -> DataFrame:
-    """One row a window: from and to (turn places, to excluded) of its new turns, back (first repeated turn)."""
-    # sums[i] is the tokens of the turns before place i
-    sums = F.aggregate(
-        F.transform("turns", lambda t: t["tokens"].cast("long")), F.array(F.lit(0).cast("long")), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t))
-    )
-    convs = convs.withColumn("sums", sums).withColumn("system", (F.col("turns")[0]["role"] == "system").cast("int"))
-    room = F.lit(budget) - F.lit(history_tokens) - F.when(F.col("system") == 1, F.col("turns")[0]["tokens"]).otherwise(0)
+def chunks_of(placed: DataFrame, budget: int, history_tokens: int) -> DataFrame:
+    """(conv_id, turns, first, system): a chunk's turns in order, where its own begin, and the conversation's system turn."""
+    size = CHUNK * budget
+    at = (F.col("before") / size).cast("long")
+    # the turns that a chunk's first ones may repeat
+    reach = ((F.col("before") + history_tokens) / size).cast("long")
+    rows = placed.select("*", at.alias("home"), F.explode(F.when(reach > at, F.array(at, at + 1)).otherwise(F.array(at))).alias("chunk"))
+    turn = F.struct("place", "before", "tokens", (F.col("home") == F.col("chunk")).alias("own"), "role", "head", "body")
+    grouped = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    grouped = grouped.withColumn("first", F.size(F.filter("turns", lambda t: ~t["own"]))).where(F.col("first") < F.size("turns"))
+    system = placed.where((F.col("place") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("s_id"), F.struct("role", "head", "body", "tokens").alias("system"))
+    return grouped.join(system, F.col("conv_id").eqNullSafe(F.col("s_id")), "left").drop("s_id")
+
+
+def with_spans(chunks: DataFrame, budget: int, history: int, history_tokens: int) -> DataFrame:
+    """chunks with spans: each from and to (indices in turns, to excluded) of new turns, and back (first repeated turn)."""
+    turns = lambda i: F.col("turns")[i]
+    end = lambda i: turns(i)["before"] + turns(i)["tokens"]
+    chunks = chunks.withColumn("left", F.lit(budget).cast("long") - F.coalesce("system.tokens", F.lit(0)))
+    room = F.col("left") - history_tokens
     # a turn opens a span if, with it, the tokens since the span's first turn would pass the room
-    cuts = F.aggregate(
-        F.sequence(F.lit(1), F.size("turns")),
-        F.array(F.lit(0)),
-        lambda a, i: F.when(
-            (i < F.size("turns")) & (F.col("sums")[i + 1] - F.col("sums")[F.element_at(a, -1)] > room), F.concat(a, F.array(i))
-        ).otherwise(a),
+    opened = F.aggregate(
+        F.sequence(F.col("first"), F.size("turns") - 1),
+        F.struct(F.array(F.col("first")).alias("cuts"), turns(F.col("first"))["before"].alias("since")),
+        lambda a, i: F.when((i > F.col("first")) & (end(i) - a["since"] > room), F.struct(F.concat(a["cuts"], F.array(i)).alias("cuts"), turns(i)["before"].alias("since"))).otherwise(a),
     )
-    convs = convs.withColumn("cuts", cuts)
-    out = convs.select("*", F.posexplode("cuts").alias("window", "from"))
-    out = out.withColumn("to", F.coalesce(F.get("cuts", F.col("window") + 1), F.size("turns")))
-    # history: as many turns before the span as fit its own budget, never the system turn, which is there already
-    back = F.filter(
-        F.sequence(F.greatest(F.col("system"), F.col("from") - history), F.greatest(F.col("system"), F.col("from"))),
-        lambda i: (i <= F.col("from")) & (F.col("sums")[F.col("from")] - F.col("sums")[i] <= history_tokens),
-    )
-    return out.withColumn("back", F.when(F.col("window") == 0, F.col("from")).otherwise(F.coalesce(F.get(back, F.lit(0)), F.col("from"))))
+    chunks = chunks.withColumn("cuts", opened["cuts"])
+    spans = F.transform("cuts", lambda c, k: F.struct(c.alias("from"), F.coalesce(F.get("cuts", k + 1), F.size("turns")).alias("to")))
+    # the system turn is there already
+    lowest = F.when(F.col("system").isNotNull() & (turns(0)["place"] == 0), 1).otherwise(0)
+
+    def back(s: Column) -> Column:
+        """The first turn before the span from which history fits its own budget and the window's."""
+        fits = lambda i: (turns(s["from"])["before"] - turns(i)["before"] <= history_tokens) & (end(s["to"] - 1) - turns(i)["before"] <= F.col("left"))
+        low = F.least(F.greatest(F.col("lowest"), s["from"] - history), s["from"])
+        return F.coalesce(F.get(F.filter(F.sequence(low, s["from"]), lambda i: (i < s["from"]) & fits(i)), F.lit(0)), s["from"])
+
+    chunks = chunks.withColumns({"spans": spans, "lowest": lowest})
+    return chunks.withColumn("spans", F.transform("spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), back(s).alias("back"))))
 
 
 def format_chat(turns: DataFrame, budget: int = 1024, history: int = 2, history_tokens: int = 256, count: Column | None = None) -> DataFrame:
     """One row a window: conv_id, window, text, n_repeated, loss (start and length, in characters of text).
 
-    n_repeated: the turns at the front that are not new (system turn and history).
+    window: the place of its first new turn in the conversation; n_repeated: the turns at the front that
+    are not new (system turn and history); count: a column of turns, their tokens.
     """
-    spans = with_spans(conversations_of(turns, count), budget, history, history_tokens)
-    repeat_system = (F.col("window") > 0) & (F.col("system") == 1)
-    part = lambda a, b: F.slice("turns", a + 1, b - a)
-    shown = F.concat(F.when(repeat_system, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0)), part(F.col("back"), F.col("from")), part(F.col("from"), F.col("to")))
-    out = spans.select("conv_id", "window", shown.alias("shown"), (repeat_system.cast("int") + F.col("from") - F.col("back")).alias("n_repeated"))
+    placed = stage(placed_turns(turns, count, path := scratch(turns.sparkSession, "chat")), f"{path}/placed")
+    chunks = with_spans(chunks_of(placed, budget, history_tokens), budget, history, history_tokens)
+    part = lambda t: F.struct(t["role"].alias("role"), t["head"].alias("head"), t["body"].alias("body"))
+    none = F.transform(F.slice("turns", 1, 0), part)
+
+    def window(s: Column) -> Column:
+        place = F.col("turns")[s["from"]]["place"]
+        repeats = F.col("system").isNotNull() & (place > 0)
+        shown = F.concat(F.when(repeats, F.array(part(F.col("system")))).otherwise(none), F.transform(F.slice("turns", s["back"] + 1, s["to"] - s["back"]), part))
+        return F.struct(place.alias("window"), shown.alias("shown"), (repeats.cast("int") + s["from"] - s["back"]).alias("n_repeated"))
+
+    out = chunks.select("conv_id", F.inline(F.transform("spans", window)))
     foot = F.lit(f"\n{END}\n")
     text = F.array_join(F.transform("shown", lambda t: F.concat(t["head"], t["body"], foot)), "")
     size = lambda t: F.char_length(t["head"]) + F.char_length(t["body"]) + len(f"\n{END}\n")
@@ -116,7 +163,7 @@ def read_loss(text: Column, loss: Column) -> Column:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_texts, formatted_chars) of each conversation, from its windows alone."""
+    """(conv_id, turns, loss_texts, formatted_chars) of each conversation, whole, from its windows alone."""
     read = windows.select(
         "conv_id", "window", F.char_length("text").cast("long").alias("chars"), read_loss(F.col("text"), F.col("loss")).alias("loss"),
         F.slice(read_turns(F.col("text")), F.col("n_repeated") + 1, F.lit(2**31 - 1)).alias("turns"),

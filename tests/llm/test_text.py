@@ -220,6 +220,24 @@ def test_chat(spark, tmp_path):
     assert chat.format_chat(turns.limit(0)).count() == 0
 
 
+def test_one_long_conversation(spark):
+    """Linear in its turns; every window keeps the budget, and no turn is lost or repeated as new."""
+    n = 40_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("w "), F.repeat(F.lit("xy "), (F.col("id") % 50).cast("int"))).alias("text"))
+    turns = turns.withColumn("role", F.when(F.col("turn") == 0, "system").otherwise(F.col("role"))).withColumn("size", F.size(F.split("text", " ")))
+    windows = chat.format_chat(turns, count=F.col("size")).select("window", "n_repeated", F.transform(chat.read_turns(F.col("text")), lambda t: t["text"]).alias("texts"), F.size("loss").alias("masks")).orderBy("window").collect()
+    at = 0
+    for w in windows:
+        new = len(w.texts) - w.n_repeated
+        assert w.window == at and new > 0 and (at == 0 or w.texts[0] == "w ")
+        assert sum(len(t.split(" ")) + chat.MARK_TOKENS for t in w.texts) <= 1024
+        assert w.masks == sum(1 for k in range(at, at + new) if k % 2)
+        assert w.texts[w.n_repeated :] == ["w " + "xy " * (k % 50) for k in range(at, at + new)]
+        assert at == 0 or 1 <= w.n_repeated <= 3
+        at += new
+    assert at == n and len(windows) < 1.5 * n * 31 / 1024
+
+
 def test_escapes_are_reversible(spark):
     parts = ["\\", "### ", "</turn>", "\n", "x", "\\\\", "#"]
     texts = [a + b + c + e for a in parts for b in parts for c in parts for e in parts]
