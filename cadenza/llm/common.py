@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,20 +12,27 @@ from pyspark.sql import functions as F
 #: The white space that separates words wherever a contract says `[\x20\x09-\x0D]+`.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a two- or three-column key table is broadcast (about 100 MB at most).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast, counted with ROW_BYTES for each row besides its strings and lists.
+BROADCAST_BYTES, ROW_BYTES = 64_000_000, 64
+#: Bytes of an Arrow batch; texts are long, and rows alone do not bound them.
+BATCH_BYTES = 4_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, notebooks) a local one is set.
+    Only a local session may name none (tests, notebooks): then a local one is set. The session's
+    Arrow batches are bounded in bytes, if it sets no bound itself.
     """
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jsc.get() if jsc.isDefined() else None
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,13 +51,21 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a key table for broadcast if it has BROADCAST_ROWS at most.
+def small(df: DataFrame) -> DataFrame:
+    """Mark a table for broadcast if it has BROADCAST_BYTES at most, which is counted first.
 
     A larger one is left to a shuffle join, which gives the same rows.
     """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    size = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        elif kind in ("array", "struct", "map"):
+            # as text a list is at least as long as in memory, or nearly; twice that, to be safe
+            size += 2 * F.octet_length(F.to_json(F.struct(F.col(f.name))))
+    n = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
 def ascii_lower(text: Column) -> Column:

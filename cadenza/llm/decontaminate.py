@@ -155,7 +155,7 @@ def decontaminate(
 
 def keep_clean(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without a hit, with docs' own columns."""
-    bad = result.where("n_hit > 0").select(F.col(id_col).alias("b_id"), F.col("text_key").alias("b_key"))
+    bad = result.where("n_hit > 0").select(F.col(id_col).alias("__b_id"), F.col("text_key").alias("__b_key")).distinct()
     bad = small(stage(bad, scratch(docs.sparkSession, "contaminated")))
-    same = docs[id_col].eqNullSafe(F.col("b_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("b_key"))
+    same = docs[id_col].eqNullSafe(F.col("__b_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__b_key"))
     return docs.join(bad, same, "left_anti")

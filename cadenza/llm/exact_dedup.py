@@ -1,9 +1,14 @@
 """Exact deduplication with keyed streaming state.
 
 Every row is reduced to a feed record: the digest of its normalised text, its id and a locator of
-its content. The feed is consumed as a stream whose state, one entry for each digest, lives in
-RocksDB, never expires and holds the stable id and locator of the row that stays. Rows that hit an
-entry are then compared byte for byte with the entry's content.
+its content (file and row in it). The feed is consumed as a stream whose state, one entry for each
+digest, lives in RocksDB, never expires and holds the stable id and locator of the row that stays, and
+how many rows had the digest. The state answers which rows hit an entry; their bytes are compared with
+the entry's content, which is read by its locator. Texts that share a digest but not their bytes are
+told apart by these.
+
+With a folder for the state, later calls are further deliveries: their rows meet the entries of all
+earlier ones, and a row that stayed then stays. The folder also keeps the texts (locators point there).
 
 Defined results: a null text is an empty one; a null id sorts after all others; of rows that repeat
 both id and text, one is kept; tables may be empty and may have any further columns.
@@ -13,7 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import SPACES, remove, scratch, small, stage
@@ -21,6 +27,8 @@ from cadenza.llm.common import SPACES, remove, scratch, small, stage
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Copies that are compared with one replica of the text that stays.
 SALT_ROWS = 1024
+#: A digest is hot from this share of all rows on, and from so many; so at most HOT_SHARE digests are.
+HOT_SHARE, LEAST_HOT = 100_000, 512
 
 
 def normalised(text: Column) -> Column:
@@ -36,35 +44,28 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def feed_of(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """(digest, id, text_key, row_no, locator) of every row; texts stay where they are."""
-    return docs.select(
-        digest(normalised(F.col(text_col))).alias("digest"),
-        F.col(id_col).alias("id"),
-        text_key(F.col(text_col)).alias("text_key"),
-        F.monotonically_increasing_id().alias("row_no"),
-        F.input_file_name().alias("locator"),
-    )
+def located(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """(id, text, file, place) of every row; rows that no file holds are written to `path` first."""
+    place = ["_metadata.file_path", "_metadata.row_index"]
+    try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("a column of docs hides the files' metadata")
+        own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *place)
+    except AnalysisException:
+        own = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path).select("id", "text", *place)
+    return own.withColumnsRenamed({"file_path": "file", "row_index": "place"})
 
 
-def keyed_state(stream: DataFrame) -> DataFrame:
-    """Streaming aggregate: each digest's first row by (id, row_no), its locator and its row count.
+def run_stream(spark: SparkSession, base: str, id_type: str, files_per_batch: int) -> DataFrame:
+    """Consume what is new in the feed; (digest, first, n) of all entries of the state then.
 
-    There is no watermark, so no entry is ever dropped from the state.
+    first: the digest's first row by (delivery, id, locator). There is no watermark, so no entry is
+    ever dropped.
     """
-    return stream.groupBy("digest").agg(
-        F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row_no", "locator")).alias("first"),
-        F.count(F.lit(1)).alias("n"),
-    )
-
-
-def run_stream(feed_path: str, feed: DataFrame, out: str, files_per_batch: int) -> DataFrame:
-    """Consume the feed; each micro-batch appends the state entries that it changed."""
-    spark = feed.sparkSession
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
         # else each state partition reserves megabytes of its executor's disk in advance
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
@@ -72,43 +73,58 @@ def run_stream(feed_path: str, feed: DataFrame, out: str, files_per_batch: int)
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed_path)
-        state = keyed_state(stream)
-        query = (
-            state.writeStream.outputMode("update")
-            .option("checkpointLocation", f"{out}/stream")
-            # a batch that is run again after a failure overwrites its own folder
-            .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/state/batch={i}"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        schema = f"digest string, delivery int, id {id_type}, text_key long, file string, place long"
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{base}/feed/*")
+        entry = F.struct("delivery", F.isnull("id").alias("no_id"), "id", "file", "place")
+        state = stream.groupBy("digest").agg(F.min(entry).alias("first"), F.count(F.lit(1)).alias("n"))
+        # the answers are read from the state itself, once all of the feed is in
+        sink = state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/stream").format("noop")
+        sink.trigger(availableNow=True).start().awaitTermination()
+        entries = spark.read.format("statestore").load(f"{base}/stream")
+        return stage(entries.select("key.digest", F.col("value.min").alias("first"), F.col("value.count").alias("n")), scratch(spark, "dedup-entries"))
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = f"digest string, first struct<no_id:boolean,id:{feed.schema['id'].dataType.simpleString()},row_no:bigint,locator:string>, n bigint"
-    changed = spark.read.schema(schema).parquet(f"{out}/state") if feed.head(1) else spark.createDataFrame([], schema)
-    return changed.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
 
 
-def mismatches(docs: DataFrame, id_col: str, text_col: str, digest, feed: DataFrame, state: DataFrame) -> DataFrame:
-    """(id, text_key, digest, text) of hits whose bytes differ from the text of their digest's first row.
+def with_hits(feed: DataFrame, hits: DataFrame, rows: int) -> DataFrame:
+    """feed with first and n of its digests' hits, null without.
+
+    The few hot digests are joined by broadcast, and their rows are dealt out evenly in the join with
+    the others, so no task gets a whole large group.
+    """
+    hot = F.col("n") > max(LEAST_HOT, rows // HOT_SHARE)
+    named = lambda t, p: t.select(F.col("digest").alias(f"{p}_digest"), F.col("first").alias(f"{p}_first"), F.col("n").alias(f"{p}_n"))
+    out = feed.join(F.broadcast(named(hits.where(hot), "h")), F.col("digest") == F.col("h_digest"), "left")
+    key = F.when(F.col("h_n").isNull(), F.col("digest")).otherwise(F.concat_ws("#", "file", "place"))
+    out = out.withColumn("key", key).join(named(hits.where(~hot), "c"), F.col("key") == F.col("c_digest"), "left")
+    return out.select(feed["*"], F.coalesce("h_first", "c_first").alias("first"), F.coalesce("h_n", "c_n").alias("n"))
+
+
+def same_place(a: str = "", b: str = "first.") -> Column:
+    return (F.col(f"{a}file") == F.col(f"{b}file")) & (F.col(f"{a}place") == F.col(f"{b}place"))
+
+
+def texts_at(content: DataFrame, places: DataFrame) -> DataFrame:
+    """places with the normalised text at each; content: file, place, text."""
+    content = content.select(F.col("file").alias("t_file"), F.col("place").alias("t_place"), "text")
+    found = content.join(small(places), (F.col("t_file") == F.col("file")) & (F.col("t_place") == F.col("place")))
+    return found.withColumn("text", normalised(F.col("text"))).drop("t_file", "t_place")
+
+
+def collisions(content: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """Digests of hits whose bytes differ from those of their digest's first row; rows: this delivery's hits.
 
     Only texts of repeated digests move. A group is dealt over as many replicas of the text that
-    stays as it has thousands of copies, so no task gets a whole large group.
+    stays as it has thousands of copies.
     """
-    hits = state.where("n > 1").select("digest", "n", F.col("first.row_no").alias("first_no"))
-    rows = feed.join(hits, "digest").groupBy("digest", "n", F.col("id").alias("m_id"), F.col("text_key").alias("m_key"))
-    rows = stage(rows.agg(F.max(F.col("row_no") == F.col("first_no")).alias("is_kept")), scratch(docs.sparkSession, "dedup-hits"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
-    found = texts.join(small(rows), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")))
-    found = found.select("id", "text_key", "digest", "n", "is_kept", normalised(F.col("text")).alias("text"))
-    found = found.where(digest(F.col("text")) == F.col("digest"))
+    rest = rows.where(~same_place()).select("digest", "file", "place", "n", F.lit(False).alias("is_first"))
+    first = rows.groupBy("digest").agg(F.first("first").alias("f"), F.first("n").alias("n")).select("digest", "f.file", "f.place", "n", F.lit(True).alias("is_first"))
+    found = texts_at(content, stage(rest.unionByName(first), f"{path}/hits"))
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    kept = found.where("is_kept").groupBy("digest").agg(F.min("text").alias("kept_text"), F.max(salts).alias("salts"))
-    kept = kept.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rest = found.where("not is_kept").withColumn("salt", F.pmod(F.xxhash64("id", "text_key"), salts).cast("int"))
-    return rest.join(kept, ["digest", "salt"]).where("text <> kept_text").select("id", "text_key", "digest", "text")
+    kept = found.where("is_first").select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    others = found.where("not is_first").withColumn("salt", F.pmod(F.xxhash64("file", "place"), salts).cast("int"))
+    return others.join(kept, ["digest", "salt"]).where("text <> kept_text").select("digest").distinct()
 
 
 def exact_dedup(
@@ -117,46 +133,75 @@ def exact_dedup(
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int = 1000,
+    state: str | None = None,
 ) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, digest, locator, text_key.
 
-    digest must give a string; a weak one costs time alone, as hits are compared in full.
+    digest must give a string; a weak one costs time alone, as hits are compared in full. state: a
+    shared folder in which the state lives on; without it the state ends with the call. group_size counts
+    the rows of all deliveries so far.
     """
     spark = docs.sparkSession
-    out = scratch(spark, "dedup")
-    feed = stage(feed_of(docs, id_col, text_col, digest), f"{out}/feed")
-    state = stage(run_stream(f"{out}/feed", feed, out, files_per_batch), f"{out}/entries")
-    remove(spark, f"{out}/stream", f"{out}/state")
-    wrong = stage(mismatches(docs, id_col, text_col, digest, feed, state), f"{out}/wrong")
-    if wrong.isEmpty():
-        named = feed.join(state, "digest").select("*", F.col("n").alias("group_size"), F.col("first.id").alias("keep_id"))
-        kept = F.col("row_no") == F.col("first.row_no")
-    else:  # one digest of several texts: the texts that differ from the entry's are told apart by their bytes
-        wrong = wrong.distinct()
-        key = [F.col("id").eqNullSafe(F.col("w_id")), F.col("text_key") == F.col("w_key"), F.col("digest") == F.col("w_digest")]
-        wrong = wrong.select(F.col("id").alias("w_id"), F.col("text_key").alias("w_key"), F.col("digest").alias("w_digest"), F.col("text").alias("other"))
-        parts = feed.join(wrong, key, "left").drop("w_id", "w_key", "w_digest")
-        first = parts.groupBy("digest", F.col("other").alias("of")).agg(
-            F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row_no")).alias("first"), F.count(F.lit(1)).alias("n")
-        )
-        first = first.withColumnRenamed("digest", "of_digest")
-        named = parts.join(first, (F.col("digest") == F.col("of_digest")) & F.col("other").eqNullSafe(F.col("of")))
-        named = named.select("*", F.col("n").alias("group_size"), F.col("first.id").alias("keep_id"))
-        kept = F.col("row_no") == F.col("first.row_no")
-    return named.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "digest", "locator", "text_key")
+    path = scratch(spark, "dedup")
+    base, id_type = state or path, docs.schema[id_col].dataType.simpleString()
+    delivery = deliveries(spark, base)
+    if state:
+        docs = stage(docs.select(id_col, text_col), f"{base}/content/{delivery}")
+    own = located(docs, id_col, text_col, f"{path}/content")
+    feed = stage(
+        own.select(
+            digest(normalised(F.col("text"))).alias("digest"), F.lit(delivery).alias("delivery"), "id", text_key(F.col("text")).alias("text_key"), "file", "place"
+        ),
+        f"{base}/feed/{delivery}",
+    )
+    rows = feed.count()
+    if rows:
+        entries = run_stream(spark, base, id_type, files_per_batch)
+    else:
+        entries = spark.createDataFrame([], f"digest string, first struct<delivery:int,no_id:boolean,id:{id_type},file:string,place:bigint>, n bigint")
+    if not state:
+        remove(spark, f"{base}/stream")
+    content = spark.read.parquet(f"{base}/content/*").select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")) if state else own
+    marked = stage(with_hits(feed, entries.where("n > 1"), rows), f"{path}/marked")
+    bad = stage(collisions(content, marked.where("n is not null"), path), f"{path}/collisions")
+    out = marked
+    if not bad.isEmpty():  # one digest of several texts: all deliveries' rows of it are told apart by their bytes
+        every = spark.read.schema(feed.schema).parquet(f"{base}/feed/*").join(bad, "digest", "left_semi")
+        every = stage(texts_at(content, every), f"{path}/texts")
+        first = every.groupBy("digest", "text").agg(F.min(F.struct("delivery", F.isnull("id").alias("no_id"), "id", "file", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+        again = every.where(F.col("delivery") == delivery).join(first, ["digest", "text"]).select(*marked.columns)
+        out = marked.join(bad, "digest", "left_anti").select(*marked.columns).unionByName(again)
+    kept = F.col("n").isNull() | ((F.col("delivery") == F.col("first.delivery")) & same_place())
+    return out.select(
+        F.col("id").alias(id_col), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "digest", F.struct("file", "place").alias("locator"), "text_key",
+    )
+
+
+def deliveries(spark: SparkSession, base: str) -> int:
+    """Deliveries that a state folder holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/feed")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return len(files.listStatus(path)) if files.exists(path) else 0
 
 
 def keep_first(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns."""
-    rows = result.groupBy(F.col(id_col).alias("k_id"), F.col("text_key").alias("k_key")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    rows = stage(rows, scratch(docs.sparkSession, "dedup-rows"))
-    gone = small(rows.where("not stays").select("k_id", "k_key"))
-    same = docs[id_col].eqNullSafe(F.col("k_id")) & (text_key(docs[text_col]) == F.col("k_key"))
-    clean = docs.join(gone, same, "left_anti")
-    again = small(rows.where("stays and n > 1").select("k_id", "k_key"))
+    """The rows of docs that stay, with docs' own columns; of rows that repeat both id and text one stays."""
+    rows = result.groupBy(F.col(id_col).alias("__k_id"), F.col("text_key").alias("__k_key")).agg(F.max("kept").alias("__stays"), F.count(F.lit(1)).alias("__n"))
+    return stay(docs, rows, text_key(F.col(text_col)), id_col, scratch(docs.sparkSession, "dedup-rows"))
+
+
+def stay(docs: DataFrame, rows: DataFrame, key: Column, id_col: str, path: str) -> DataFrame:
+    """Rows of docs by (id, key): none where __stays is false, else one; rows: __k_id, __k_key, __stays and how many, __n."""
+    columns = docs.columns
+    rows = stage(rows, path)
+    keys = ["__k_id", "__k_key"]
+    docs = docs.withColumn("__key", key)
+    same = docs[id_col].eqNullSafe(F.col("__k_id")) & (F.col("__key") == F.col("__k_key"))
+    clean = docs.join(small(rows.where("not __stays").select(*keys)), same, "left_anti")
+    again = rows.where("__stays and __n > 1").select(*keys)
     if again.isEmpty():
-        return clean
-    # rows that repeat both id and text: one stays
-    same = clean[id_col].eqNullSafe(F.col("k_id")) & (text_key(clean[text_col]) == F.col("k_key"))
-    once = clean.join(again, same, "left_semi").withColumn("__key", text_key(F.col(text_col))).dropDuplicates([id_col, "__key"]).drop("__key")
-    return clean.join(again, same, "left_anti").unionByName(once)
+        return clean.select(*columns)
+    again = small(again)
+    once = clean.join(again, same, "left_semi").dropDuplicates([id_col, "__key"])
+    return clean.join(again, same, "left_anti").unionByName(once).select(*columns)

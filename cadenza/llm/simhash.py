@@ -19,10 +19,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import remove, scratch, small, stage
+from cadenza.llm.common import remove, scratch, stage
+from cadenza.llm.exact_dedup import stay, text_key
 
 #: Shingles whose hashes are spread to bits at once.
 BLOCK = 1 << 15
@@ -52,11 +53,6 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def text_key(text: Column) -> Column:
-    """Tells rows apart that share an id."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def fingerprints(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, fp): fp is the fingerprint as a signed number."""
 
@@ -218,17 +214,7 @@ def keep_first(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_
 
     Of rows that repeat both id and text one stays; a null text is an empty one.
     """
-    path = scratch(docs.sparkSession, "simhash-kept")
     # equal ids and texts are one component's, so both tell its first row from other components' rows
     stays = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
-    rows = result.groupBy(F.col(id_col).alias("g_id"), F.col("text_key").alias("g_key"), stays.alias("stays")).agg(F.count(F.lit(1)).alias("n"))
-    rows = stage(rows, f"{path}/rows")
-    gone = small(stage(rows.where("not stays").select("g_id", "g_key"), f"{path}/gone"))
-    again = small(stage(rows.where("stays and n > 1").select("g_id", "g_key"), f"{path}/again"))
-    same = docs[id_col].eqNullSafe(F.col("g_id")) & (text_key(docs[text_col]) == F.col("g_key"))
-    kept = docs.join(gone, same, "left_anti")
-    if again.isEmpty():
-        return kept
-    same = kept[id_col].eqNullSafe(F.col("g_id")) & (text_key(kept[text_col]) == F.col("g_key"))
-    once = kept.join(again, same, "left_semi").withColumn("__key", text_key(F.col(text_col))).dropDuplicates([id_col, "__key"]).drop("__key")
-    return kept.join(again, same, "left_anti").unionByName(once)
+    rows = result.groupBy(F.col(id_col).alias("__k_id"), F.col("text_key").alias("__k_key"), stays.alias("__stays")).agg(F.count(F.lit(1)).alias("__n"))
+    return stay(docs, rows, text_key(F.col(text_col)), id_col, scratch(docs.sparkSession, "simhash-kept"))

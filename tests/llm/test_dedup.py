@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cadenza.llm import exact_dedup, simhash, substrings
+from cadenza.llm import decontaminate, exact_dedup, simhash, substrings
 from cadenza.llm.queries import op1_exact_dedup, op7_substring_dedup, op9_simhash
 
 BIG = float("inf")
@@ -60,6 +61,43 @@ def test_exact_tells_texts_apart_that_share_an_id(spark):
         assert Counter((r.doc_id, normal(r.text)) for r in kept) == Counter((min(ids, key=key), t) for t, ids in groups.items())
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_deliveries(spark, docs, rows, tmp_path, weak):
+    """A second call meets the first one's rows; what stayed then stays, also where digests collide."""
+    digest = (lambda t: F.substring(t, 1, 1)) if weak else exact_dedup.sha256
+    rng = random.Random(2)
+    parts = [[], []]
+    for r in sorted(set(rows), key=str):
+        parts[rng.randrange(2)].append(r)
+    parts[1] += [(i and i - 1000, t) for i, t in parts[0][:20]]
+    seen, counts = {}, Counter()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for part in parts:
+        fresh = {}
+        for r in sorted(part, key=key):
+            counts[normal(r[1])] += 1
+            if normal(r[1]) not in seen:
+                fresh.setdefault(normal(r[1]), r[0])
+        seen |= fresh
+        table = spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+        got = exact_dedup.exact_dedup(table, digest=digest, state=f"file://{tmp_path}/state").collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, seen[normal(t)], counts[normal(t)]) for i, t in part)
+        assert sum(r.kept for r in got) == len(fresh)
+
+
+def test_stages_keep_clashing_columns(spark, docs, rows):
+    """Columns may have any names, those of helpers too."""
+    names = ["b_id", "b_key", "g_id", "g_key", "k_id", "k_digest", "text_key", "first", "n", "file", "place", "fp", "kept", "digest"]
+    wide = docs.drop("n", "digest").select("*", *(F.lit(1).alias(x) for x in names))
+    kept = exact_dedup.keep_first(wide, exact_dedup.exact_dedup(wide))
+    assert kept.columns == wide.columns and kept.count() == len({normal(t) for _, t in rows})
+    near = simhash.keep_first(wide, simhash.near_duplicates(wide))
+    assert near.columns == wide.columns and near.count() == len(set(roots({fingerprint(t) for _, t in rows}, 4).values()))
+    tests = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    clean = decontaminate.keep_clean(wide, decontaminate.decontaminate(wide, tests))
+    assert clean.columns == wide.columns
+
+
 def test_exact_query(spark, docs, rows, tmp_path):
     got = {(r.doc_id, r.text_sha256) for r in op1_exact_dedup(spark, save(docs, tmp_path)).collect()}
     assert got == {(i, hashlib.sha256(normal(t).encode()).hexdigest()) for i, t in rows}
