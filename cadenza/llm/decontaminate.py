@@ -102,36 +102,48 @@ def exact_matches(docs: DataFrame, items: DataFrame, index: DataFrame, vocab: Da
     return found.select("doc_id", "text_key", "item", "item_id", F.array_distinct(covered).alias("hits")).where(F.size("hits") > 0)
 
 
-def proximity_matches(items: DataFrame, index: DataFrame, vocab: DataFrame, counts: DataFrame, span: int) -> DataFrame:
-    """(doc_id, text_key, item, at): places of an item's rarest term with all its terms within span words.
+def proximity_matches(docs: DataFrame, items: DataFrame, index: DataFrame, vocab: DataFrame, counts: DataFrame, slack: int, id_col: str, text_col: str, path: str) -> DataFrame:
+    """(doc_id, text_key, item, item_id, places): places of an item's rarest word around which all its
+    different words stand within as many words as the item has and `slack` more.
 
-    The rarest term's postings are taken first; each other term must have a posting at most span - 1
-    positions before or after, inside one stretch of span words that holds them all.
+    Only places at which the item's second rarest word is near too are candidates; the documents' words
+    decide. An item of one different word has exact matches alone.
     """
-    terms = items.select("item", F.explode(F.array_distinct("terms")).alias("word")).join(small(vocab), "word")
+    terms = items.select("item", (F.size("terms") + slack).alias("limit"), F.explode(F.array_distinct("terms")).alias("word")).join(small(vocab), "word")
     terms = terms.join(small(counts), "term", "left").fillna(0, ["count"])
-    terms = terms.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy("count", "term")))
-    terms = terms.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("item"))).select("item", "term", "rank", "n")
-    postings = index.where("not is_end").select("doc_id", "text_key", "term", "pos")
-    first = postings.join(small(terms.where("rank = 1")), "term").select("doc_id", "text_key", "item", "n", F.col("pos").alias("at"))
-    first = first.distinct()
-    others = postings.join(small(terms.select("item", "term")), "term")
-    o = others.withColumnsRenamed({"doc_id": "o_id", "text_key": "o_key", "item": "o_item"})
-    near = first.join(
-        o,
-        F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_key") == F.col("o_key")) & (F.col("item") == F.col("o_item"))
-        & F.col("pos").between(F.col("at") - span + 1, F.col("at") + span - 1),
-    )
-    # stretches of span words that hold the place: of each, how many terms it has
-    near = near.withColumn("from", F.explode(F.sequence(F.greatest(F.col("at"), F.col("pos")) - span + 1, F.least(F.col("at"), F.col("pos")))))
-    full = near.groupBy("doc_id", "text_key", "item", "n", "at", "from").agg(F.count_distinct("term").alias("has")).where("has = n")
-    return full.select("doc_id", "text_key", "item", "at").distinct()
+    terms = terms.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy("count", "term"))).where("rank <= 2").select("item", "limit", "term", "rank")
+    found = index.where("not is_end").join(small(stage(terms, f"{path}/rarest")), "term").select("doc_id", "text_key", "item", "limit", "rank", "pos")
+    # of one document and item: the nearest places of the second word, before and after
+    here = W.partitionBy("doc_id", "text_key", "item").orderBy("pos")
+    second = F.when(F.col("rank") == 2, F.col("pos"))
+    found = found.withColumns({
+        "before": F.last(second, ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0)),
+        "after": F.first(second, ignorenulls=True).over(here.rowsBetween(0, W.unboundedFollowing)),
+    })
+    found = found.where("rank = 1 and (pos - before < limit or after - pos < limit)").groupBy("doc_id", "text_key", "item").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    by_doc = found.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(F.collect_list(F.struct("item", "places")).alias("wanted"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("w_key"))
+    near = texts.join(small(stage(by_doc, f"{path}/near")), same).select("doc_id", F.col("w_key").alias("text_key"), words(F.col("text")).alias("doc"), "wanted")
+    near = near.select("doc_id", "text_key", "doc", F.inline("wanted")).join(small(items.withColumns({"terms": F.array_distinct("terms"), "limit": F.size("terms") + slack})), "item")
+
+    def full(at: Column) -> Column:
+        """Whether some stretch of the limit's words that holds the place holds all of the item's words."""
+        starts = F.sequence(F.greatest(F.lit(0), at - F.col("limit") + 1), at)
+        return F.exists(starts, lambda s: F.size(F.array_except("terms", F.slice("doc", s + 1, F.col("limit")))) == 0)
+
+    return near.select("doc_id", "text_key", "item", "item_id", F.filter("places", full).alias("places")).where(F.size("places") > 0)
 
 
 def decontaminate(
-    docs: DataFrame, tests: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """One row a document: id, text_key, n_words, n_hit, n_items, item_ids (sorted strings)."""
+    docs: DataFrame, tests: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    slack: int | None = None,
+) -> DataFrame:
+    """One row a document: id, text_key, n_words, n_hit, n_items, item_ids (sorted strings).
+
+    With slack also n_near: items of which all words stand within their own length and slack more words.
+    The index holds the words of these test items alone and ends with the call.
+    """
     path = scratch(docs.sparkSession, "decontaminate")
     items = stage(items_of(tests, item_col, item_text, window), f"{path}/items")
     vocab = stage(vocabulary(items), f"{path}/vocabulary")
@@ -144,13 +156,18 @@ def decontaminate(
     )
     per_doc = stage(per_doc, f"{path}/found").withColumnsRenamed({"doc_id": "f_id", "text_key": "f_key"})
     ends = stage(lengths(index), f"{path}/lengths")
+    if slack is not None:
+        counts = docs.sparkSession.read.parquet(f"{path}/counts")
+        near = proximity_matches(docs, items, index, vocab, counts, slack, id_col, text_col, path)
+        near = stage(near.groupBy(F.col("doc_id").alias("n_id"), F.col("text_key").alias("n_key")).agg(F.count_distinct("item").alias("n_near")), f"{path}/n_near")
+        ends = ends.join(near, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("text_key") == F.col("n_key")), "left").drop("n_id", "n_key")
     remove(docs.sparkSession, f"{path}/postings")
     out = ends.join(per_doc, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(
         F.col("doc_id").alias(id_col), "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
-    )
+        F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), *([F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")] if slack is not None else []),
+    )
 
 
 def keep_clean(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,11 +26,14 @@ def op2_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Words between those of an item that a proximity match may have.
+NEAR_SLACK = 10
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
-    )
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=NEAR_SLACK)
+    sha = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +147,21 @@ places AS (
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+-- proximity: from each place of an item's word, do the next len + 10 words hold all of the item's different words?
+terms AS (SELECT item_id, len(w) + 10 AS size, list_distinct(w) AS own, unnest(list_distinct(w)) AS word FROM iw WHERE len(list_distinct(w)) > 1),
+found AS (
+  SELECT doc_id, p, t.item_id, size, len(own) AS wanted, t.word
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM dw) d JOIN terms t ON d.word = t.word),
+-- the last place of each word up to each found place, by the next place of the same word
+spans AS (SELECT *, lead(p) OVER (PARTITION BY doc_id, item_id, word ORDER BY p) AS p2 FROM found),
+near AS (
+  SELECT a.doc_id, a.item_id FROM spans a JOIN spans b ON a.doc_id = b.doc_id AND a.item_id = b.item_id
+    AND b.p BETWEEN a.p AND a.p + a.size - 1 AND (b.p2 IS NULL OR b.p2 > a.p + a.size - 1)
+  GROUP BY a.doc_id, a.item_id, a.p, a.wanted HAVING count(*) = a.wanted),
+n_near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN places ON dw.doc_id = places.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN places ON dw.doc_id = places.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id LEFT JOIN n_near ON dw.doc_id = n_near.doc_id
 """,
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -8,6 +8,9 @@ the Viterbi split that is likeliest under unigram counts of words of the corpus.
 No table is held whole anywhere: each host name looks up its own substrings in the word counts by a
 join, and each distinct host and path shape its own tokens in the token counts.
 
+Digits count by how many stand together, not by which: 777 and 123 are one token, so urls that differ
+in figures alone are judged alike.
+
 Defined results: a null url, or one without "://", has an empty host and path and no tokens; such
 urls are judged by the class priors, ties are allowed; if the rules decided urls of one class only,
 that verdict holds for all others, and without any all urls are allowed; rows that repeat are judged each
@@ -26,8 +29,6 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import ascii_lower, scratch, small, stage
 
-#: Longest word that a host name is split into; longer stretches fall apart into unknown ones.
-LONGEST = 24
 #: Additive smoothing of the token counts.
 SMOOTHING = 1.0
 #: Letters in a row, in a host name or a text.
@@ -68,10 +69,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def word_counts(html: DataFrame, col: str = "html") -> DataFrame:
-    """(word, n): words of LONGEST letters at most in all texts, without markup, scripts and styles."""
+    """(word, n): words in all texts, without markup, scripts and styles."""
     plain = F.regexp_replace(F.col(col), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ")
     words = html.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(LETTERS), F.lit(0))).alias("word"))
-    return words.where(F.char_length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(name: str, known: dict[str, float], unseen: float) -> list[str]:
@@ -79,7 +80,7 @@ def viterbi(name: str, known: dict[str, float], unseen: float) -> list[str]:
     best, back = [0.0], [0]
     for j in range(1, len(name) + 1):
         top, at = -math.inf, j - 1
-        for i in range(max(0, j - LONGEST), j):
+        for i in range(j):
             p = known.get(name[i:j])
             # an unseen word is likelier than its letters apart, and less likely the longer it is
             p = best[i] + (unseen - 2.5 * (j - i) if p is None else p)
@@ -104,13 +105,14 @@ def split_names(name: pd.Series, pieces: pd.Series, total: pd.Series) -> pd.Seri
 def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, words) of each distinct name; counts: (word, n)."""
     names = names.select("name").where("name <> ''").distinct()
-    total = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) or 1.0
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max(F.char_length("word")), F.lit(1)).alias("longest")).first()
+    total, longest = float(sums["n"]) or 1.0, sums["longest"]
     size = F.char_length("name")
     parts = names.select("name", F.explode(F.sequence(F.lit(1), size)).alias("at"))
-    parts = parts.select("name", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.char_length("name") - F.col("at") + 1))).alias("width"))
+    parts = parts.select("name", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("name") - F.col("at") + 1))).alias("width"))
     parts = parts.select("name", F.expr("substring(name, at, width)").alias("piece")).distinct()
     found = parts.join(small(counts.withColumnRenamed("word", "piece")), "piece").groupBy("name")
-    # a name has no more pieces than LONGEST times its letters
+    # a name of n letters has no more pieces than n * n / 2
     found = found.agg(F.collect_list(F.struct("piece", "n")).alias("pieces"))
     none = F.array().cast("array<struct<piece:string,n:bigint>>")
     rows = names.join(found, "name", "left").select("name", F.coalesce("pieces", none).alias("pieces"))
@@ -123,6 +125,11 @@ def names_of(host: Column) -> Column:
     return F.regexp_extract_all(host, F.lit(LETTERS), F.lit(0))
 
 
+def figures_of(host: Column) -> Column:
+    """The stretches of digits in a host name, each digit as 0, as in a path's shape."""
+    return F.transform(F.regexp_extract_all(host, F.lit("[0-9]+"), F.lit(0)), lambda d: F.repeat(F.lit("0"), F.char_length(d)))
+
+
 def shape_of(path: Column) -> Column:
     """A path in lower case whose digits are all 0, so that numbered paths are one shape."""
     return F.regexp_replace(F.lower(path), r"[0-9]", "0")
@@ -140,7 +147,9 @@ def token_tables(urls: DataFrame, counts: DataFrame, path: str) -> tuple[DataFra
     split = stage(segment(names, counts), f"{path}/names")
     # parts that all hosts share (www, com) are joined last with a table of distinct names
     per_host = names.groupBy("host", "name").agg(F.count(F.lit(1)).alias("times")).join(small(split), "name")
-    per_host = per_host.select("host", F.explode("words").alias("token"), "times").groupBy("host", "token").agg(F.sum("times").alias("times"))
+    per_host = per_host.select("host", F.explode("words").alias("token"), "times")
+    figures = hosts.select("host", F.explode(figures_of(F.col("host"))).alias("token"), F.lit(1).cast("long").alias("times"))
+    per_host = per_host.unionByName(figures).groupBy("host", "token").agg(F.sum("times").alias("times"))
     per_shape = urls.select("shape").distinct().select("shape", F.explode(path_tokens(F.col("shape"))).alias("token"))
     per_shape = per_shape.groupBy("shape", "token").agg(F.count(F.lit(1)).alias("times"))
     return stage(per_host, f"{path}/host-tokens"), stage(per_shape, f"{path}/shape-tokens")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -102,20 +103,25 @@ def hits(text, items):
                 if words[p : p + k] == w[s : s + k]:
                     hit |= set(range(p, p + k))
                     found |= {str(i)} if i is not None else set()
-    return len(words), len(hit), sorted(found)
+    near = 0
+    for _, item in set(items):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(item))
+        near += len(set(w)) > 1 and any(set(w) <= set(words[p : p + len(w) + 10]) for p in range(len(words)))
+    return len(words), len(hit), sorted(found), near
 
 
 def test_decontaminate(spark, docs, rows, tmp_path):
     extra = [(500, "x " + " ".join(f"W{k}" for k in range(2, 13)) + " y"), (501, " ".join(f"w{k}" for k in range(9))), (502, "of of of the river, stone!")]
-    extra += [(503, "a b c d e f g h i j a b c d e f g h i j k")]
+    extra += [(503, "a b c d e f g h i j a b c d e f g h i j k"), (504, "river x the x x stone x x x river"), (505, "cloud " + "x " * 11 + "bread lamp"), (506, "cloud " + "x " * 10 + "bread lamp")]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     tests = spark.createDataFrame(ITEMS, "item_id long, text string")
     d = save(table, tmp_path)
     save(tests, tmp_path, "benchmark")
     want = Counter()
     for i, t in rows + extra:
-        n, h, ids = hits(t, ITEMS)
-        want[i, n, h, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), h > 0] += 1
+        n, h, ids, near = hits(t, ITEMS)
+        want[i, n, h, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), h > 0, near] += 1
+    assert sum(w[6] for w in want) > 5
     assert Counter(map(tuple, op3_decontaminate(spark, d).collect())) == want
     clean = decontaminate.keep_clean(table, decontaminate.decontaminate(table, tests))
     assert Counter(map(tuple, clean.collect())) == Counter((i, t) for i, t in rows + extra if not hits(t, ITEMS)[1])
@@ -131,7 +137,8 @@ def test_proximity(spark):
     vocab = decontaminate.stage(decontaminate.vocabulary(items), f"{path}/vocab")
     index = decontaminate.build_index(docs, vocab, "doc_id", "text", path)
     counts = index.where("not is_end").groupBy("term").count()
-    assert {r.doc_id for r in decontaminate.proximity_matches(items, index, vocab, counts, 5).collect()} == {1}
+    found = decontaminate.proximity_matches(docs, items, index, vocab, counts, 3, "doc_id", "text", path)
+    assert {(r.doc_id, tuple(r.places)) for r in found.collect()} == {(1, (3,))}
 
 
 # ---- URL filters
@@ -139,6 +146,7 @@ def test_proximity(spark):
 URLS = [
     "https://www.example.com/en/1", "http://a.example.com/en/2", "https://b.net/es/x", "https://b.net/fr/stone-cloud", "https://redriver.com/", "https://redriver.com",
     "HTTPS://RedRiver.ORG/stone/7.html?q=1#t", "https://stonecloud.org/fr/1?x=http://y.com/", "x", None, "", "https://example.com/en", "https://notexample.com/en/3", "ftp://host.net/es/#/fr/",
+    "http://stone77red.org/12", "http://stonestone.com/x",
 ]
 
 
@@ -152,6 +160,16 @@ def rule(host, path):
     return max(fits, key=lambda r: len(r.text)) if fits else None
 
 
+@functools.cache
+def splits_of(name):
+    """Every split of a name."""
+    return [[]] if not name else [[name[:k], *rest] for k in range(1, len(name) + 1) for rest in splits_of(name[k:])]
+
+
+def likeliest(name, known, unseen):
+    return max(splits_of(name), key=lambda ws: sum(known.get(w, unseen - 2.5 * len(w)) for w in ws))
+
+
 def test_urls(spark, tmp_path):
     words = "stone cloud red river stone red the of"
     rows = [(k, u, f"<p class='redriver'>{words}</p><script>cloudred</script>", "h", "v") for k, u in enumerate(URLS * 2)]
@@ -165,7 +183,8 @@ def test_urls(spark, tmp_path):
     def tokens(u):
         host, path = parse(u)
         known = {w: math.log(n * len(rows) / total) for w, n in counts.items()}
-        own = [w for name in re.findall(r"[^\W\d_]+", host) for w in url_filter.viterbi(name, known, -math.log(total + 1))]
+        own = [w for name in re.findall(r"[^\W\d_]+", host) for w in likeliest(name, known, -math.log(total + 1))]
+        own += ["0" * len(d) for d in re.findall("[0-9]+", host)]
         return own + ["/" + t for t in re.findall(r"(?:[^\W\d_]|0)+", re.sub("[0-9]", "0", path.lower()))]
 
     by, docs, vocab = {"allow": Counter(), "block": Counter()}, Counter(), {t for u in URLS for t in tokens(u)}
