@@ -40,7 +40,7 @@ from cadenza.llm.common import scratch, stage
 from cadenza.llm.wire import numbers, packed, packed_keys, range_bits, ranges, unpacked_keys
 
 #: Tokens of a block, and documents at most.
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 65_536
+BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 131_072
 #: N-grams that a range gets, about.
 RANGE_NGRAMS = 1_500_000
 #: Context-frequency buckets: by the binary logarithm of the count.
@@ -52,6 +52,8 @@ ROUNDS = 60
 COUNTED, HELD_OUT, DELETED = 0, 1, 2
 #: Hashes of the end of a text and of what stands before its first word.
 END_HASH, START_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: What counts of a longer n-gram's hash: 56 bits, so that packets are a byte an n-gram shorter.
+TOLD = np.uint64(0xFFFFFFFFFFFFFF00)
 # Odd multipliers of the mixing, any will do.
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -126,7 +128,10 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
 
 
 def ngrams(sizes: np.ndarray, words: np.ndarray, tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-gram that ends at each token, of one word to `order`; texts have starts before them."""
+    """Hashes of the n-gram that ends at each token, of one word to `order`; texts have starts before them.
+
+    Words are told apart by 64 bits, longer n-grams by 56.
+    """
     hashes = words[tokens]
     opens = np.cumsum(sizes) - sizes
     place = np.arange(len(tokens)) - np.repeat(opens, sizes)
@@ -136,7 +141,7 @@ def ngrams(sizes: np.ndarray, words: np.ndarray, tokens: np.ndarray, order: int)
         before = np.where(place < n, START_HASH, before)
         mixed = (out[-1] + before * MIX_A) * MIX_B
         out.append(mixed ^ (mixed >> np.uint64(29)))
-    return out
+    return [out[0], *(x & TOLD for x in out[1:])]
 
 
 def sent(table: DataFrame, order: int, bits: int) -> DataFrame:
