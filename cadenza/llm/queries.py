@@ -146,7 +146,7 @@ places AS (
   FROM (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT doc_id, s, k FROM hits)) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id),
 -- proximity: from each place of an item's word, do the next len + 10 words hold all of the item's different words?
 terms AS (SELECT item_id, len(w) + 10 AS size, list_distinct(w) AS own, unnest(list_distinct(w)) AS word FROM iw WHERE len(list_distinct(w)) > 1),
 found AS (
