@@ -6,6 +6,8 @@ short arrays (a frame, class scores); long signals are better kept one sample a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,10 +100,15 @@ def energy(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once, though `then` uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     logits = doubles(logits)
-    e = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    return F.transform(e, lambda v: v / total(e))
+    e = let(F.array_max(logits), lambda m: F.transform(logits, lambda v: F.exp(v - m)))
+    return let(e, lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def argmax_first(x: Column) -> Column:
@@ -112,16 +119,15 @@ def argmax_first(x: Column) -> Column:
 def cross_entropy(logits: Column, label: Column) -> Column:
     """Negative log-likelihood of a class (from 0)."""
     logits = doubles(logits)
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, v: a + F.exp(v - top))) - F.get(logits, label.cast("int"))
+    log_sum = let(F.array_max(logits), lambda top: top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
+    return log_sum - F.get(logits, label.cast("int"))
 
 
 def layer_norm(x: Column, eps: float = 1e-5, gain: Column | None = None, bias: Column | None = None) -> Column:
     """Centred and divided by the root of the population variance plus eps."""
     x = doubles(x)
-    m = mean(x)
-    var = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x)
-    out = F.transform(x, lambda v: (v - m) / F.sqrt(var + eps))
+    centred = let(mean(x), lambda m: F.transform(x, lambda v: v - m))
+    out = let(centred, lambda c: let(F.sqrt(energy(c) + eps), lambda d: F.transform(c, lambda v: v / d)))
     out = out if gain is None else F.zip_with(out, gain, lambda a, b: a * b)
     return out if bias is None else F.zip_with(out, bias, lambda a, b: a + b)
 

@@ -147,27 +147,74 @@ def resample(y: np.ndarray, old: int, new: int) -> np.ndarray:
     return np.fft.irfft(spectrum[: n // 2 + 1], n) * (n / len(y))
 
 
+def lpcc(y: np.ndarray, order: int, n: int, hop: int, win: int) -> np.ndarray:
+    """Frames by cepstral coefficients of linear prediction, as functions.arrays has the recursion by default."""
+    if len(y) < win:
+        raise ValueError(f"a signal is shorter than a frame of {win}")
+    frames = np.lib.stride_tricks.sliding_window_view(y, win)[::hop] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(win) / (win - 1)))
+    a = burg(frames, order)
+    c = np.zeros((len(a), n))
+    for m in range(1, n):
+        k = np.arange(max(1, m - order), min(m, order))
+        c[:, m] = (c[:, k] * k / m * a[:, m - k]).sum(axis=1) - (a[:, m] if m <= order else 0)
+    return c
+
+
+@lru_cache
+def slope_weights(order: int, width: int) -> np.ndarray:
+    """Weights that give the order-th derivative of the least-squares polynomial at the middle."""
+    powers = np.vander(np.arange(width) - width // 2, order + 1, increasing=True)
+    return np.linalg.pinv(powers)[order] * (1 if order < 2 else 2)
+
+
+def deltas(m: np.ndarray, order: int = 1, width: int = 9) -> np.ndarray:
+    """Derivatives along the frames; frames at either end take the nearest inner one."""
+    if len(m) < width:
+        raise ValueError(f"deltas need {width} frames at least")
+    inner = np.lib.stride_tricks.sliding_window_view(m, width, axis=0) @ slope_weights(order, width)
+    return np.pad(inner, ((width // 2, width // 2), (0, 0)), mode="edge")
+
+
+def sequences(y: np.ndarray, families: tuple[tuple, ...], first: bool, second: bool, eps: float = 1e-6) -> np.ndarray:
+    """Frames by coefficients of all families (kernel, arguments) with their deltas, standardised by clip.
+
+    Frames that one family lacks are dropped, so the shortest one decides.
+    """
+    parts = []
+    for kernel, *args in families:
+        m = kernel(y, *args)
+        parts.append(np.concatenate([m, *([deltas(m)] if first else []), *([deltas(m, 2)] if second else [])], axis=1))
+    whole = np.concatenate([p[: min(map(len, parts))] for p in parts], axis=1)
+    return (whole - whole.mean(axis=0)) / (whole.std(axis=0) + eps)
+
+
 def as_column(kernel, kind: str, *args: object):
     """A function from a column of arrays to a column: kernel(y, *args), clip by clip in Arrow batches."""
+    number = np.float64 if "double" in kind else np.float32
 
     def run(clips: pd.Series) -> pd.Series:
-        out = [None if y is None else np.asarray(kernel(np.asarray(y, float), *args), np.float32) for y in clips]
+        out = [None if y is None else np.asarray(kernel(np.asarray(y, float), *args), number) for y in clips]
         return pd.Series([None if x is None else list(x) if x.ndim > 1 else x for x in out])
 
     return F.pandas_udf(run, kind)
 
 
-def denoise(y: Column, sr: int = 16000, n_fft: int = 1024, hop: int = 256, win: int = 1024, noise_sec: float = 0.2, alpha: float = 1.0) -> Column:
+def denoise(y: Column, sr: int = 16000, n_fft: int = 1024, hop: int = 256, win: int = 1024, noise_sec: float = 0.2, alpha: float = 1.0, number: str = "float") -> Column:
     """Spectral subtraction of the noise at a clip's start."""
-    return as_column(subtract_noise, "array<float>", sr, n_fft, hop, win, noise_sec, alpha)(y)
+    return as_column(subtract_noise, f"array<{number}>", sr, n_fft, hop, win, noise_sec, alpha)(y)
+
+
+def mfcc_of(y: Column, sr: int = 16000, n_mfcc: int = 26, n_mels: int = 64, fmin: float = 50, fmax: float = 8000, hop: int = 160, win: int = 400, n_fft: int = 2048, number: str = "float") -> Column:
+    return as_column(mfcc, f"array<array<{number}>>", sr, n_mfcc, n_mels, fmin, fmax, hop, win, n_fft)(y)
 
 
-def mfcc_of(y: Column, sr: int = 16000, n_mfcc: int = 26, n_mels: int = 64, fmin: float = 50, fmax: float = 8000, hop: int = 160, win: int = 400) -> Column:
-    return as_column(mfcc, "array<array<float>>", sr, n_mfcc, n_mels, fmin, fmax, hop, win)(y)
+def gfcc_of(y: Column, sr: int = 16000, n_gfcc: int = 32, n_filters: int = 64, window_sec: float = 0.025, hop_sec: float = 0.010, fmin: float = 50, number: str = "float") -> Column:
+    return as_column(gfcc, f"array<array<{number}>>", sr, n_gfcc, n_filters, window_sec, hop_sec, fmin)(y)
 
 
-def gfcc_of(y: Column, sr: int = 16000, n_gfcc: int = 32, n_filters: int = 64, window_sec: float = 0.025, hop_sec: float = 0.010, fmin: float = 50) -> Column:
-    return as_column(gfcc, "array<array<float>>", sr, n_gfcc, n_filters, window_sec, hop_sec, fmin)(y)
+def sequences_of(y: Column, families: tuple[tuple, ...], first: bool = True, second: bool = False, number: str = "float") -> Column:
+    """All families of a clip in one pass; see sequences()."""
+    return as_column(sequences, f"array<array<{number}>>", families, first, second)(y)
 
 
 def burg_of(frames: Column, order: int = 16) -> Column:

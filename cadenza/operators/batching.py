@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.session import materialised
+
 #: Hex digits of the hash that name a range: 4096 ranges.
 DIGITS = 3
 
@@ -25,9 +27,26 @@ def numbered(rows: DataFrame, key: str, seed: int = 0, epoch: int = 0) -> DataFr
     return hashed.join(F.broadcast(total), "__range").withColumn("at", (place + F.col("__before")).cast("long")).drop("__h", "__range", "__before")
 
 
-def batches(rows: DataFrame, key: str, size: int, seed: int = 0, epoch: int = 0, drop_last: bool = False) -> DataFrame:
-    """rows with batch and slot; drop_last leaves out a last batch that isn't full."""
-    out = numbered(rows, key, seed, epoch)
+def in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with at: their place (from 0) in the order of keys, which should tell all rows apart.
+
+    Rows are dealt to ranges of the keys, which are written so that they stay as they are, numbered
+    within each, and the ranges' sizes give the offsets: no task sorts all rows.
+    """
+    dealt = materialised(rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "in-order")
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    # one row a partition
+    total = sizes.select("__range", (F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy(*keys)) - 1
+    return dealt.join(F.broadcast(total), "__range").withColumn("at", (place + F.col("__before")).cast("long")).drop("__range", "__before")
+
+
+def batches(rows: DataFrame, key: str, size: int, seed: int = 0, epoch: int = 0, drop_last: bool = False, shuffle: bool = True) -> DataFrame:
+    """rows with batch and slot, in hash order or, without shuffle, in order of key.
+
+    drop_last leaves out a last batch that isn't full.
+    """
+    out = numbered(rows, key, seed, epoch) if shuffle else in_order(rows, key)
     out = out.withColumns({"batch": F.floor(F.col("at") / size).cast("long"), "slot": (F.col("at") % size).cast("int")})
     if not drop_last:
         return out.drop("at")

@@ -44,8 +44,8 @@ def frames_of_sample(i: Column, n: Column, length: int, hop: int) -> Column:
 
 def frame_signal(signal: DataFrame, length: int, hop: int) -> DataFrame:
     """(clip_id, n, f, j, x): sample j of frame f. A clip shorter than a frame is padded with zeros."""
-    f = F.explode(frames_of_sample(F.col("i"), F.col("n"), length, hop)).alias("f")
-    rows = signal.select("clip_id", "n", "i", "x", f).select("clip_id", "n", "f", (F.col("i") - F.col("f") * hop).alias("j"), "x")
-    short = signal.where((F.col("n") < length) & (F.col("i") == F.col("n") - 1))
-    zeros = short.select("clip_id", "n", F.lit(0).alias("f"), F.explode(F.sequence(F.col("n"), F.lit(length - 1))).alias("j"), F.lit(0.0).alias("x"))
-    return rows.unionByName(zeros)
+    i, n = F.col("i").cast("int"), F.col("n").cast("int")
+    own = F.transform(frames_of_sample(i, n, length, hop), lambda f: F.struct(f.alias("f"), (i - f * hop).alias("j"), F.col("x").alias("x")))
+    # a short clip's last sample brings the padding of its only frame
+    zeros = F.transform(F.sequence(n, F.lit(length - 1)), lambda j: F.struct(F.lit(0).alias("f"), j.alias("j"), F.lit(0.0).alias("x")))
+    return signal.select("clip_id", "n", F.inline(F.when((n < length) & (i == n - 1), F.concat(own, zeros)).otherwise(own)))

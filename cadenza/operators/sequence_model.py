@@ -52,8 +52,8 @@ def scan(x: np.ndarray, p: Params, name: str) -> tuple[np.ndarray, tuple]:
     """Hidden states (batch, time, hidden) of one direction, and what its gradient needs."""
     wx, wh, b = p[f"{name}.x"], p[f"{name}.h"], p[f"{name}.b"]
     n, t, h = len(x), x.shape[1], len(wh)
-    pre, state, cell = x @ wx + b, np.zeros((n, t + 1, h), np.float32), np.zeros((n, t + 1, h), np.float32)
-    gates = np.zeros((n, t, 4 * h), np.float32)
+    pre, state, cell = x @ wx + b, np.zeros((n, t + 1, h), wh.dtype), np.zeros((n, t + 1, h), wh.dtype)
+    gates = np.zeros((n, t, 4 * h), wh.dtype)
     for i in range(t):
         z = pre[:, i] + state[:, i] @ wh
         g = gates[:, i]
@@ -95,7 +95,7 @@ def forward(p: Params, shape: Shape, x: np.ndarray, drop: float = 0.0, rng: np.r
         tape.append(mask)
         return v * mask
 
-    y = x.astype(np.float32)
+    y = x.astype(p["out.w"].dtype)
     for layer in range(shape.layers):
         if layer:
             y = dropped(y)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import arrays, dsp
 from cadenza.operators.framing import clips_of, samples_of
-from cadenza.operators.series import concat_families, stack_deltas, standardise
 from cadenza.operators import activity
 from cadenza.sources.config import Config
 
@@ -37,47 +36,33 @@ def active_parts(clips: DataFrame, cfg: Config) -> DataFrame:
     return clips.join(kept, "clip_id", "left").withColumn("y", F.coalesce(F.col("active"), F.col("y").cast("array<double>"))).drop("active")
 
 
-def long_form(clips: DataFrame, matrix: Column) -> DataFrame:
-    """(clip_id, f, k, c) of frames by coefficients in a cell."""
-    rows = clips.select("clip_id", F.posexplode(matrix).alias("f", "row"))
-    return rows.select("clip_id", "f", F.posexplode("row").alias("k", "c")).withColumn("c", F.col("c").cast("double"))
-
-
-def lpcc_of(y: Column, order: int = 16, n: int = 20, hop: int = 160, win: int = 400, textbook: bool = False) -> Column:
+def lpcc_of(y: Column, order: int = 16, n: int = 20, hop: int = 160, win: int = 400, textbook: bool = False, number: str = "float") -> Column:
     """Frames by cepstral coefficients of linear prediction; a clip shorter than a frame is an error."""
     shaped = F.transform(
         arrays.frames_of(y, win, hop, pad_short=False),
         lambda frame: F.transform(frame, lambda v, j: v * (0.5 - 0.5 * F.cos(2 * F.pi() * j / (win - 1)))),
     )
-    return F.transform(dsp.burg_of(shaped, order), lambda a: arrays.cepstrum_of_prediction(a, n, textbook).cast("array<float>"))
+    return F.transform(dsp.burg_of(shaped, order), lambda a: arrays.cepstrum_of_prediction(a, n, textbook).cast(f"array<{number}>"))
 
 
-def families(clips: DataFrame, cfg: Config) -> list[tuple[DataFrame, int]]:
-    """Each configured family of coefficients in long form, and how many it has."""
-    f, sr, y = cfg.features, cfg.data.sr, F.col("y")
+def families(cfg: Config) -> tuple[tuple, ...]:
+    """The configured families of coefficients, as kernels and their arguments."""
+    f, sr = cfg.features, cfg.data.sr
     out = [
-        (long_form(clips, dsp.mfcc_of(y, sr, f.n_mfcc, f.n_mels, f.fmin, f.fmax, f.hop, f.win)), f.n_mfcc),
-        (long_form(clips, dsp.gfcc_of(y, sr, f.n_gfcc, f.n_filters, f.win / sr, f.hop / sr, f.fmin)), f.n_gfcc),
+        (dsp.mfcc, sr, f.n_mfcc, f.n_mels, f.fmin, f.fmax, f.hop, f.win, f.n_fft),
+        (dsp.gfcc, sr, f.n_gfcc, f.n_filters, f.win / sr, f.hop / sr, f.fmin),
     ]
     if f.lpcc:
-        out.append((long_form(clips, lpcc_of(y, f.lpc_order, f.n_lpcc, f.hop, f.win)), f.n_lpcc))
-    return out
-
+        out.append((dsp.lpcc, f.lpc_order, f.n_lpcc, f.hop, f.win))
+    return tuple(out)
 
-def feature_rows(clips: DataFrame, cfg: Config) -> DataFrame:
-    """(clip_id, f, k, c): all coefficients with their deltas, standardised by clip."""
-    joined, size = None, 0
-    for rows, n in families(clips, cfg):
-        rows = stack_deltas(rows, n, cfg.features.delta, cfg.features.delta_delta)
-        n *= 1 + cfg.features.delta + cfg.features.delta_delta
-        joined = rows if joined is None else concat_families(joined, rows, size)
-        size += n
-    return standardise(joined)
 
+def feature_table(clips: DataFrame, cfg: Config, epoch: int = 0, number: str = "float") -> DataFrame:
+    """clips with x, frames by coefficients with their deltas, standardised by clip, in place of their samples.
 
-def feature_table(clips: DataFrame, cfg: Config, epoch: int = 0) -> DataFrame:
-    """clips with x, frames by coefficients, in place of their samples."""
-    clips = cropped(clips, cfg, epoch)
-    rows = feature_rows(clips, cfg).groupBy("clip_id", "f").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("r"))
-    whole = rows.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("f", F.col("r.c").cast("array<float>").alias("c")))).alias("r"))
-    return clips.drop("y").join(whole.select("clip_id", F.col("r.c").alias("x")), "clip_id")
+    A clip's families are computed in one pass over its samples, without a shuffle. The operators of
+    cadenza.operators.series do the same to coefficients that are rows already.
+    """
+    f = cfg.features
+    x = dsp.sequences_of(F.col("y"), families(cfg), f.delta, f.delta_delta, number)
+    return cropped(clips, cfg, epoch).withColumn("x", x).drop("y")

@@ -18,13 +18,14 @@ BATCH = 32
 
 def predict(features: DataFrame, params: sm.Params, shape: sm.Shape, labels: list[str]) -> DataFrame:
     """features with probs, pred_id and pred in place of x; sequences may differ in length."""
+    number = params["out.w"].dtype
     # a model is a few MB, whatever the data
     model = features.sparkSession.sparkContext.broadcast(params)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             out: list = [None] * len(b)
-            x = [np.stack([np.asarray(r, np.float32) for r in v]) for v in b]
+            x = [np.stack([np.asarray(r, number) for r in v]) for v in b]
             by_length = sorted(range(len(x)), key=lambda i: len(x[i]))
             for i in range(0, len(x), BATCH):
                 some = by_length[i : i + BATCH]

@@ -1,6 +1,7 @@
 """Training by synchronous rounds: workers take gradient steps, then their models are averaged.
 
-An epoch is one Spark job. Each of `workers` tasks runs mini-batches of its own clips from the common
+An epoch is one Spark job (or, with `together` = step, each mini-batch is one, whose gradient is the sum
+of what the workers find on their parts of it: the same steps for any number of workers). Each of `workers` tasks runs mini-batches of its own clips from the common
 parameters and returns its parameters and moments; their means, weighted by batches, begin the next
 epoch. With one worker this is plain mini-batch training. What comes to the driver is a model a
 worker, whatever the data.
@@ -9,7 +10,7 @@ worker, whatever the data.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,7 @@ from cadenza.operators import sequence_model as sm
 from cadenza.operators.batching import batches
 from cadenza.operators.metrics import confusion, macro_scores
 from cadenza.plans.predict import predict
+from cadenza.session import materialised
 from cadenza.sources import checkpoint
 from cadenza.sources.config import Config
 
@@ -71,6 +73,27 @@ def epoch_rounds(rows: DataFrame, state: dict, shape: sm.Shape, cfg: Config, epo
     return [pickle.loads(r["state"]) for r in rows.mapInArrow(run, "state binary").collect()]
 
 
+def step_together(rows: DataFrame, state: dict, shape: sm.Shape, cfg: Config, epoch: int, batch: int) -> tuple[dict, float]:
+    """The state after one mini-batch, its gradient summed over the workers' parts, and the batch's loss."""
+    shared = rows.sparkSession.sparkContext.broadcast(state["params"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [r for part in parts for r in part.to_pylist()]
+        if own:
+            x, y = np.stack([np.array(r["x"], np.float32) for r in own]), np.array([r["label_id"] for r in own])
+            rng = np.random.default_rng([cfg.train.seed, epoch, batch, own[0]["slot"]])
+            loss, g = sm.loss_and_gradients(shared.value, shape, x, y, cfg.model.dropout, rng)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((len(own), loss, g))], pa.binary())], ["part"])
+
+    found = [pickle.loads(r["part"]) for r in rows.mapInArrow(run, "part binary").collect()]
+    shared.unpersist()
+    n = sum(f[0] for f in found)
+    g = {k: sum(f[2][k] * (f[0] / n) for f in found) for k in found[0][2]}
+    adam = sm.Adam(cfg.train.lr, cfg.train.weight_decay, dict(state["first"]), dict(state["second"]), state["step"])
+    params = adam.update(state["params"], sm.clipped(g, cfg.train.grad_clip))
+    return {"params": params, "first": adam.first, "second": adam.second, "step": adam.step}, sum(f[0] / n * f[1] for f in found)
+
+
 def averaged(rounds: list[dict]) -> dict:
     total = sum(r["n"] for r in rounds)
     mean = lambda part: {k: (sum(r[part][k] * (r["n"] / total) for r in rounds)).astype(np.float32) for k in rounds[0][part]}
@@ -84,12 +107,15 @@ def evaluate(features: DataFrame, params: sm.Params, shape: sm.Shape, labels: li
     return {k: row[k] or 0.0 for k in ("macro_accuracy", "macro_f1")}
 
 
-def fit(train: DataFrame, valid: DataFrame, cfg: Config) -> Fitted:
+def fit(train: DataFrame | Callable[[int], DataFrame], valid: DataFrame, cfg: Config) -> Fitted:
     """The model of the first epoch that reaches the best accuracy on valid.
 
-    train and valid: (clip_id, label_id, x), with sequences of one length. A last batch that isn't
-    full is dropped.
+    train and valid: (clip_id, label_id, x), with sequences of one length. train may be a function of
+    the epoch instead, for random crops that differ from epoch to epoch. A last batch that isn't full
+    is dropped.
     """
+    of_epoch = train if callable(train) else lambda epoch: train
+    train = of_epoch(0)
     n = train.count() // cfg.train.batch_size
     if not n:
         raise ValueError(f"training needs {cfg.train.batch_size} clips at least")
@@ -99,11 +125,19 @@ def fit(train: DataFrame, valid: DataFrame, cfg: Config) -> Fitted:
     state = {"params": shape.new(cfg.train.seed), "first": {}, "second": {}, "step": 0}
     best, history, ema = (0.0, state["params"]), [], 0.0
     for epoch in range(cfg.train.epochs):
-        dealt = batches(train.select("clip_id", "label_id", "x"), "clip_id", cfg.train.batch_size, cfg.train.seed, epoch, drop_last=True)
-        dealt = dealt.withColumn("full", F.lit(cfg.train.batch_size)).repartition(cfg.train.workers, "batch")
-        rounds = epoch_rounds(dealt, state, shape, cfg, epoch)
-        state, ema = averaged(rounds), 0.0
-        for loss in (x for r in rounds for x in r["losses"]):
+        dealt = batches(of_epoch(epoch).select("clip_id", "label_id", "x"), "clip_id", cfg.train.batch_size, cfg.train.seed, epoch, drop_last=True)
+        if cfg.train.together == "step":
+            dealt, losses = materialised(dealt, "batches"), []
+            for batch in range(n):
+                rows = dealt.where(F.col("batch") == batch).repartition(cfg.train.workers, F.col("slot") % cfg.train.workers)
+                state, loss = step_together(rows, state, shape, cfg, epoch, batch)
+                losses.append(loss)
+        else:
+            dealt = dealt.withColumn("full", F.lit(cfg.train.batch_size)).repartition(cfg.train.workers, "batch")
+            rounds = epoch_rounds(dealt, state, shape, cfg, epoch)
+            state, losses = averaged(rounds), [x for r in rounds for x in r["losses"]]
+        ema = 0.0
+        for loss in losses:
             ema = 0.9 * ema + 0.1 * loss
         scores = evaluate(valid, state["params"], shape, labels)
         history.append({"epoch": epoch, "loss": ema} | scores)

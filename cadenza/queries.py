@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from cadenza.operators.sequence_model import Shape
 from cadenza.plans.features import feature_table, lpcc_of
 from cadenza.plans.predict import predict, report_lines
 from cadenza.session import materialised, shared_folder
-from cadenza.sources import audio, manifest
+from cadenza.sources import audio, checkpoint, manifest
 from cadenza.sources.config import from_dict
 from cadenza.streaming.activity import read_frames, streamed_segments
 
@@ -75,7 +76,7 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", "label", F.slice("v", 1, 10).alias("z"))
+    return vectors(spark, sf_dir).select("vec_id", "label", F.col("v").alias("z"))
 
 
 def frames_e(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +210,22 @@ def frame_pad_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed.select("vec_id", "f", F.posexplode("frame").alias("j", "x"))
 
 
+@query("""SELECT vec_id, f, j, CAST(embedding[f * 8 + j + 1] AS DOUBLE) AS x
+FROM (SELECT vec_id, embedding, f, unnest(range(0, 24)) AS j FROM (SELECT vec_id, embedding, unnest(range(0, 6)) AS f FROM embeddings))""", ints="f j")
+def frame_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of signals that must be as long as one: no padding."""
+    framed = vectors(spark, sf_dir).select("vec_id", F.posexplode(arrays.frames_of(F.col("v"), 24, 8, pad_short=False)).alias("f", "frame"))
+    return framed.select("vec_id", "f", F.posexplode("frame").alias("j", "x"))
+
+
 # ------------------------------------------------------------------ shapes and labels
 
 
+@query("SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS c FROM (SELECT vec_id, embedding, unnest(range(0, 26)) AS k FROM embeddings)", ints="k")
+def head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("vec_id", F.posexplode(arrays.head(F.col("v"), 26)).alias("k", "c"))
+
+
 @query("""SELECT vec_id, size, p, CASE WHEN p < 64 THEN CAST(embedding[p + 1] AS DOUBLE) ELSE 0.0 END AS x
 FROM (SELECT vec_id, embedding, size, unnest(range(0, size)) AS p FROM embeddings, (VALUES (40), (72)) AS t(size))""", ints="p")
 def fix_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +273,11 @@ def hash_shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.batches(table(spark, sf_dir, "events").select("event_id"), "event_id", 32, 3407, 1)
 
 
+@query("SELECT event_id, CAST(place // 32 AS BIGINT) AS batch, CAST(place % 32 AS INTEGER) AS slot FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events)")
+def sequential_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.batches(table(spark, sf_dir, "events").select("event_id"), "event_id", 32, shuffle=False)
+
+
 @query(f"SELECT event_id, CAST(place // 32 AS BIGINT) AS batch, CAST(place % 32 AS INTEGER) AS slot FROM ({SHUFFLED}) WHERE place // 32 < (SELECT count(*) // 32 FROM events)")
 def drop_last_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.batches(table(spark, sf_dir, "events").select("event_id"), "event_id", 32, 3407, 1, drop_last=True)
@@ -465,7 +484,7 @@ def grad_norm_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ class scores and metrics
 
-LOGITS = "z AS (SELECT vec_id, label, k, CAST(embedding[k + 1] AS DOUBLE) AS v FROM (SELECT vec_id, label, embedding, unnest(range(0, 10)) AS k FROM embeddings))"
+LOGITS = "z AS (SELECT vec_id, label, k, CAST(embedding[k + 1] AS DOUBLE) AS v FROM (SELECT vec_id, label, embedding, unnest(range(0, 64)) AS k FROM embeddings))"
 SOFT = f"{LOGITS}, s AS (SELECT vec_id, label, k, v, exp(v - max(v) OVER w) / sum(exp(v)) OVER w * exp(max(v) OVER w) AS p FROM z WINDOW w AS (PARTITION BY vec_id))"
 
 
@@ -483,7 +502,7 @@ def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(rows := logits(spark, sf_dir), arrays.softmax(rows["z"]))
 
 
-@query("SELECT vec_id, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS pred_id FROM embeddings")
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred_id FROM embeddings")
 def argmax_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logits(spark, sf_dir).select("vec_id", arrays.argmax_first(F.col("z")).alias("pred_id"))
 
@@ -503,12 +522,17 @@ def dense_relu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SOFT} SELECT vec_id, k, printf('%-12s: %.3f', 'class' || k, p) AS line FROM s", ints="k")
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = logits(spark, sf_dir).select("vec_id", arrays.softmax(F.col("z")).alias("probs"))
-    return report_lines(scored, [f"class{k}" for k in range(10)], "vec_id")
+    return report_lines(scored, [f"class{k}" for k in range(64)], "vec_id")
 
 
 @query(f"WITH {SIG_E} SELECT clip_id, {s6('sum(0.1 * pow(0.9, n - 1 - i) * x)')} AS ema FROM sig GROUP BY clip_id")
 def ema_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.clips_of(signal_e(spark, sf_dir)).select("clip_id", r6(arrays.ema(F.col("y"))).alias("ema"))
+    return signal_e(spark, sf_dir).groupBy("clip_id").agg(r6(series.ema_of_rows("x", "i", "n")).alias("ema"))
+
+
+@query(f"WITH {LOGITS} SELECT vec_id, {s6('sum(0.1 * pow(0.9, 63 - k) * v)')} AS ema FROM z GROUP BY vec_id")
+def ema_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("vec_id", r6(arrays.ema(F.col("v"))).alias("ema"))
 
 
 CONFUSION = f"""c AS (SELECT user_id % 5 AS y, list_position([{TYPES_SQL}], event_type) - 1 AS p, count(*) AS n FROM events GROUP BY 1, 2),
@@ -541,45 +565,217 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best_epoch(scores)
 
 
+# ------------------------------------------------------------------ sources
+
+
+@query("SELECT 'clips/' || event_id || '.wav' AS filepath, event_type AS label FROM events")
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest written as CSV, with a further column, and read again."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("label"), F.concat(F.lit("clips/"), "event_id", F.lit(".wav")).alias("filepath"))
+    rows.write.option("header", True).csv(path := shared_folder(spark, "manifest"))
+    return manifest.read_manifest(spark, path)
+
+
+@query("SELECT 'w' AS name, CAST(p AS INTEGER) AS p, p / 8.0 AS v FROM (SELECT unnest(range(0, 12)) AS p) UNION ALL SELECT 'b', CAST(p AS INTEGER), p / 2.0 FROM (SELECT unnest(range(0, 4)) AS p)")
+def checkpoint_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters written and read again, their names and shapes checked."""
+    params = {"w": np.arange(12).reshape(3, 4) / 8, "b": np.arange(4) / 2}
+    checkpoint.save(spark, path := shared_folder(spark, "model"), params, {"labels": EVENT_TYPES})
+    back, _ = checkpoint.load(spark, path, {"w": (3, 4), "b": (4,)})
+    return spark.createDataFrame([(k, v.ravel().tolist()) for k, v in back.items()], "name string, v array<double>").select("name", F.posexplode("v").alias("p", "v"))
+
+
+@query("SELECT unnest(['dim', 'samples', 'classes']) AS name, CAST(unnest([116, 32000, 5]) AS BIGINT) AS v")
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows from the default settings."""
+    cfg = from_dict(None)
+    return spark.createDataFrame([("dim", cfg.features.dim), ("samples", cfg.data.samples), ("classes", len(cfg.data.labels))], "name string, v long")
+
+
 # ------------------------------------------------------------------ whole clips: transforms and the model
 
-#: Suppliers' series are short for audio: frames and filters are scaled down with them.
+#: Suppliers' and users' series are short for audio: frames and filters are scaled down with them.
 SMALL = {"sr": 1600, "hop": 16, "win": 40}
 
 
 def clips_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.clips_of(signal_l(spark, sf_dir)).select("clip_id", F.transform("y", lambda v: v.cast("float")).alias("y"))
+    return framing.clips_of(signal_l(spark, sf_dir)).select("clip_id", "y")
+
+
+def clips_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.clips_of(signal_e(spark, sf_dir)).select("clip_id", "y")
 
 
 def spread(rows: DataFrame, cell: str) -> DataFrame:
     frames = rows.select("clip_id", F.posexplode(cell).alias("f", "r"))
-    return frames.select("clip_id", "f", F.posexplode("r").alias("k", "c")).select("clip_id", "f", "k", F.round(F.col("c").cast("double"), 4).alias("c"))
+    return frames.select("clip_id", "f", F.posexplode("r").alias("k", "c")).select("clip_id", "f", "k", r6("c").alias("c"))
+
+
+def sql_stft(n_fft: int, hop: int, win: int, source: str = "sig", out: str = "sp") -> str:
+    """out (clip_id, n, f, k, re, im): centred frames under a window in their middle, transformed."""
+    left = (n_fft - win) // 2
+    return f"""{out}_nf AS (SELECT clip_id, n, unnest(range(0, n // {hop} + 1)) AS f FROM (SELECT DISTINCT clip_id, n FROM {source})),
+{out}_fr AS (
+  SELECT a.clip_id, a.n, a.f, s.i + {n_fft // 2} - a.f * {hop} AS j, s.x * (0.5 - 0.5 * cos(2 * pi() * (s.i + {n_fft // 2} - a.f * {hop} - {left}) / {win})) AS x
+  FROM {out}_nf a JOIN {source} s ON s.clip_id = a.clip_id AND s.i + {n_fft // 2} - a.f * {hop} >= {left} AND s.i + {n_fft // 2} - a.f * {hop} < {left + win}),
+{out}_some AS (
+  SELECT clip_id, n, f, k, sum(x * cos(2 * pi() * k * j / {n_fft})) AS re, -sum(x * sin(2 * pi() * k * j / {n_fft})) AS im
+  FROM {out}_fr, (SELECT unnest(range(0, {n_fft // 2 + 1})) AS k) GROUP BY clip_id, n, f, k),
+{out} AS (
+  SELECT clip_id, n, f, k, coalesce(re, 0.0) AS re, coalesce(im, 0.0) AS im
+  FROM {out}_nf CROSS JOIN (SELECT unnest(range(0, {n_fft // 2 + 1})) AS k) LEFT JOIN (SELECT clip_id, f, k, re, im FROM {out}_some) USING (clip_id, f, k))"""
+
+
+def sql_cosines(source: str, size: int, keep: int, out: str) -> str:
+    """out (clip_id, f, k, c): orthonormal cosine transform of source's v over band."""
+    return f"""{out} AS (
+  SELECT clip_id, f, k, sum(v * cos(pi() * k * (2 * band + 1) / (2 * {size}))) * CASE WHEN k = 0 THEN sqrt(1.0 / {size}) ELSE sqrt(2.0 / {size}) END AS c
+  FROM {source}, (SELECT unnest(range(0, {keep})) AS k) GROUP BY clip_id, f, k)"""
+
+
+def sql_mfcc(sr: int, keep: int, mels: int, low: float, high: float, hop: int, win: int, n_fft: int, source: str = "sig") -> str:
+    """mfcc (clip_id, f, k, c)."""
+    to_mel = lambda hz: hz * 3 / 200 if hz < 1000 else 15 + 27 * np.log(hz / 1000) / np.log(6.4)
+    a, z = float(to_mel(low)), float(to_mel(high))
+    return f"""{sql_stft(n_fft, hop, win, source, "ms")},
+edge AS (SELECT e, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * pow(6.4, (m - 15) / 27) END AS hz FROM (SELECT e, {a!r} + e * ({z!r} - {a!r}) / {mels + 1} AS m FROM (SELECT unnest(range(0, {mels + 2})) AS e))),
+tri AS (
+  SELECT a.e AS band, k, greatest(0.0, least((k * {sr / n_fft} - a.hz) / (b.hz - a.hz), (c.hz - k * {sr / n_fft}) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS w
+  FROM edge a JOIN edge b ON b.e = a.e + 1 JOIN edge c ON c.e = a.e + 2, (SELECT unnest(range(0, {n_fft // 2 + 1})) AS k)),
+mel AS (SELECT clip_id, f, band, sum(w * (re * re + im * im)) AS v FROM ms JOIN tri USING (k) GROUP BY clip_id, f, band),
+db AS (SELECT clip_id, f, band, greatest(-80.0, 10 * log10(greatest(v, 1e-10)) - 10 * log10(greatest(max(v) OVER (PARTITION BY clip_id), 1e-10))) AS v FROM mel),
+{sql_cosines("db", mels, keep, "mfcc")}"""
+
+
+def sql_gfcc(sr: int, keep: int, bands: int, win: int, hop: int, low: float, source: str = "sig") -> str:
+    """gfcc (clip_id, f, k, c) of clips of win samples at least and 128 at most: filters as products of spectra."""
+    c = 9.26449 * 24.7
+    return f"""gb AS (
+  SELECT band, fc, 2 * pi() * fc / {sr} AS arg, exp(-2 * pi() * 1.019 * 24.7 * (4.37 * fc / 1000 + 1) / {sr}) AS r
+  FROM (SELECT band, -{c!r} + exp(({bands} - band) * (ln({low} + {c!r}) - ln({sr / 2} + {c!r})) / {bands}) * ({sr / 2} + {c!r}) AS fc FROM (SELECT unnest(range(0, {bands})) AS band))),
+gsize AS (SELECT clip_id, n, CASE WHEN 2 * n - 1 < 128 THEN 128 ELSE 256 END AS size FROM (SELECT DISTINCT clip_id, n FROM {source})),
+gk AS (SELECT size, unnest(range(0, size // 2 + 1)) AS k FROM (VALUES (128), (256)) AS t(size)),
+-- angles at which filters are wanted: the bins', and each band's centre for unit gain
+ga AS (SELECT band, arg, r, size, k, 2 * pi() * k / size AS a FROM gb, gk UNION ALL SELECT band, arg, r, 0, 0, arg FROM gb),
+gs AS (SELECT *, r * (cos(arg) + sgn * sqrt(3 + outer_ * pow(2, 1.5)) * sin(arg)) AS q FROM ga, (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) AS t(sgn, outer_)),
+gr AS (
+  SELECT band, size, k, exp(sum(ln(sqrt(pow(1 - q * cos(a), 2) + pow(q * sin(a), 2))))) AS up, sum(atan2(q * sin(a), 1 - q * cos(a))) AS up_phase,
+    any_value(1 - 2 * cos(arg) * r * cos(a) + r * r * cos(2 * a)) AS dre, any_value(2 * cos(arg) * r * sin(a) - r * r * sin(2 * a)) AS dim
+  FROM gs GROUP BY band, size, k, a),
+gh AS (SELECT band, size, k, up / pow(dre * dre + dim * dim, 2) AS gain, up_phase - 4 * atan2(dim, dre) AS phase FROM gr),
+gw AS (SELECT h.band, h.size, h.k, h.gain / u.gain * cos(h.phase) AS hre, h.gain / u.gain * sin(h.phase) AS him FROM gh h JOIN gh u ON u.band = h.band AND u.size = 0 WHERE h.size > 0),
+gx AS (
+  SELECT clip_id, g.n, size, k, sum(x * cos(2 * pi() * k * i / size)) AS re, -sum(x * sin(2 * pi() * k * i / size)) AS im
+  FROM {source} s JOIN gsize g USING (clip_id) JOIN gk USING (size) GROUP BY clip_id, g.n, size, k),
+gy AS (
+  SELECT clip_id, n, band, size, k, (re * hre - im * him) * t AS re, (re * him + im * hre) * t AS im
+  FROM gx JOIN (SELECT *, CASE WHEN k = 0 OR 2 * k = size THEN 1.0 ELSE 2.0 END AS t FROM gw) USING (size, k)),
+gt AS (
+  SELECT clip_id, n, band, i, sum(re * cos(2 * pi() * k * i / size) - im * sin(2 * pi() * k * i / size)) / any_value(size) AS x
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM gy) GROUP BY clip_id, n, band, i),
+gl AS (
+  SELECT clip_id, band, f, sqrt(sum(x * x) / {win}) AS v
+  FROM (SELECT clip_id, n, unnest(range(0, (n - {win}) // {hop} + 1)) AS f FROM gsize) JOIN gt USING (clip_id) WHERE i >= f * {hop} AND i < f * {hop} + {win} GROUP BY clip_id, band, f),
+gv AS (SELECT clip_id, f, band, ln(CASE WHEN v <= 0 THEN 1e-12 ELSE v END) AS v FROM gl),
+{sql_cosines("gv", bands, keep, "gfcc")}"""
+
+
+DENOISE_FFT, DENOISE_HOP = 128, 32
+
+
+@query(f"""WITH {SIG_L}, {sql_stft(DENOISE_FFT, DENOISE_HOP, DENOISE_FFT)},
+size AS (SELECT *, sqrt(re * re + im * im) AS mag, greatest(1, least((n // {DENOISE_HOP} + 1) // 4, {int(0.2 * SMALL["sr"] / DENOISE_HOP)})) AS m FROM sp),
+quiet AS (SELECT *, greatest(mag - avg(mag) FILTER (WHERE f < m) OVER (PARTITION BY clip_id, k), 0.0) / CASE WHEN mag = 0 THEN 1.0 ELSE mag END * CASE WHEN k = 0 OR k = {DENOISE_FFT // 2} THEN 1.0 ELSE 2.0 END AS g FROM size),
+back AS (
+  SELECT clip_id, n, f, j, sum(g * (re * cos(2 * pi() * k * j / {DENOISE_FFT}) - im * sin(2 * pi() * k * j / {DENOISE_FFT}))) / {DENOISE_FFT} AS x
+  FROM quiet, (SELECT unnest(range(0, {DENOISE_FFT})) AS j) GROUP BY clip_id, n, f, j),
+w AS (SELECT clip_id, n, f * {DENOISE_HOP} + j - {DENOISE_FFT // 2} AS i, x, 0.5 - 0.5 * cos(2 * pi() * j / {DENOISE_FFT}) AS w FROM back)
+SELECT clip_id, i, CASE WHEN sum(w * w) > 1e-12 THEN {s6('sum(w * x) / sum(w * w)')} ELSE 0.0 END AS x FROM w WHERE i >= 0 AND i < n // {DENOISE_HOP} * {DENOISE_HOP} GROUP BY clip_id, i""", ints="i")
+def denoise_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet = clips_l(spark, sf_dir).select("clip_id", dsp.denoise(F.col("y"), SMALL["sr"], DENOISE_FFT, DENOISE_HOP, DENOISE_FFT, number="double").alias("y"))
+    return quiet.select("clip_id", F.posexplode("y").alias("i", "x")).select("clip_id", "i", r6("x").alias("x"))
 
 
-@query()
-def denoise_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quiet = clips_l(spark, sf_dir).select("clip_id", dsp.denoise(F.col("y"), SMALL["sr"], 128, 32, 128).alias("y"))
-    return quiet.select("clip_id", F.posexplode("y").alias("i", "x"))
+#: Rate, coefficients, bands, lowest and highest frequency, hop, window, transform: bands above 1 kHz are logarithmic.
+MFCC = (4000, 13, 26, 50, 2000, SMALL["hop"], SMALL["win"], 128)
+GFCC = (SMALL["sr"], 6, 8, FRAME_E, HOP_E, 50)
 
 
-@query()
+@query(f"WITH {SIG_L}, {sql_mfcc(*MFCC)} SELECT clip_id, f, k, {s6('c')} AS c FROM mfcc", ints="f k")
 def mfcc_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = clips_l(spark, sf_dir).select("clip_id", dsp.mfcc_of(F.col("y"), SMALL["sr"], 13, 26, 20, 800, SMALL["hop"], SMALL["win"]).alias("m"))
-    return spread(made, "m")
+    return spread(clips_l(spark, sf_dir).select("clip_id", dsp.mfcc_of(F.col("y"), *MFCC, number="double").alias("m")), "m")
 
 
-@query()
+@query(f"WITH {SIG_E}, {sql_gfcc(*GFCC)} SELECT clip_id, f, k, {s6('c')} AS c FROM gfcc", ints="f k")
 def gfcc_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = clips_l(spark, sf_dir).select("clip_id", dsp.gfcc_of(F.col("y"), SMALL["sr"], 13, 26, 0.025, 0.010, 20).alias("m"))
-    return spread(made, "m")
+    sr, keep, bands, win, hop, low = GFCC
+    return spread(clips_e(spark, sf_dir).select("clip_id", dsp.gfcc_of(F.col("y"), sr, keep, bands, win / sr, hop / sr, low, "double").alias("m")), "m")
 
 
-@query()
+BURG, CEPSTRA = 8, 12
+
+
+def sql_burg(order: int) -> str:
+    """bg (clip_id, f, a): prediction coefficients of frames under a symmetric window, order after order."""
+    win = SMALL["win"]
+    sql = f"SELECT clip_id, f, [1.0] AS a, y[2:{win}] AS u, y[1:{win - 1}] AS b FROM (SELECT clip_id, f, list(x * (0.5 - 0.5 * cos(2 * pi() * j / {win - 1})) ORDER BY j) AS y FROM fr GROUP BY clip_id, f)"
+    for m in range(1, order + 1):
+        below = "list_dot_product(u, u) + list_dot_product(b, b)"
+        sql = f"SELECT *, CASE WHEN {below} > 0 THEN -2 * list_dot_product(u, b) / ({below}) ELSE 0.0 END AS r, list_append(a, 0.0) AS o FROM ({sql})"
+        sql = f"""SELECT clip_id, f, [o[i] + r * o[{m + 2} - i] for i in range(1, {m + 2})] AS a,
+  [u[i + 1] + r * b[i + 1] for i in range(1, {win - m})] AS u, [b[i] + r * u[i] for i in range(1, {win - m})] AS b FROM ({sql})"""
+    return f"WITH {SIG_L}, {sql_frames(win, SMALL['hop'])}, bg AS ({sql})"
+
+
+@query(f"{sql_burg(BURG)} SELECT clip_id, f, k - 1 AS k, {s6('a[k]')} AS a FROM (SELECT clip_id, f, a, unnest(range(1, {BURG + 2})) AS k FROM bg)", ints="f k")
+def burg_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction coefficients, the first being 1."""
+    win = SMALL["win"]
+    frames = F.transform(arrays.frames_of(F.col("y"), win, SMALL["hop"], pad_short=False), lambda frame: F.transform(frame, lambda v, j: v * (0.5 - 0.5 * F.cos(2 * F.pi() * j / (win - 1)))))
+    return spread(clips_l(spark, sf_dir).select("clip_id", dsp.burg_of(frames, BURG).alias("m")), "m").withColumnRenamed("c", "a")
+
+
+def sql_lpcc(order: int, keep: int) -> str:
+    sql = "SELECT clip_id, f, " + ", ".join(f"a[{k + 1}] AS a{k}" for k in range(1, order + 1)) + " FROM bg"
+    for n in range(1, keep):
+        terms = [f"{k}.0 / {n} * c{k} * a{n - k}" for k in range(max(1, n - order), min(n, order))]
+        sql = f"SELECT *, {f'-a{n}' if n <= order else '0.0'} + ({' + '.join(terms) or '0.0'}) AS c{n} FROM ({sql})"
+    return f"SELECT clip_id, f, k, {s6('c')} AS c FROM (SELECT clip_id, f, unnest(range(0, {keep})) AS k, unnest([0.0, {', '.join(f'c{n}' for n in range(1, keep))}]) AS c FROM ({sql}))"
+
+
+@query(f"{sql_burg(BURG)} {sql_lpcc(BURG, CEPSTRA)}", ints="f k")
 def lpcc_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(clips_l(spark, sf_dir).select("clip_id", lpcc_of(F.col("y"), 8, 12, SMALL["hop"], SMALL["win"]).alias("m")), "m")
+    return spread(clips_l(spark, sf_dir).select("clip_id", lpcc_of(F.col("y"), BURG, CEPSTRA, SMALL["hop"], SMALL["win"], number="double").alias("m")), "m")
+
 
+#: Features of the users' series: 72 samples, so that clips are cut or padded.
+SEQUENCES = {
+    "data": {"sr": SMALL["sr"], "segment_sec": 0.045},
+    "preprocess": {"denoise": False, "crop": "head"},
+    "features": {"n_mfcc": 5, "n_mels": 8, "n_gfcc": GFCC[1], "n_filters": GFCC[2], "fmin": 50, "fmax": 800, "hop": HOP_E, "win": FRAME_E, "n_fft": 64},
+}
+CUT_E = """cut AS (
+  SELECT clip_id, CAST(i AS BIGINT) AS i, coalesce(x, 0.0) AS x, CAST(72 AS BIGINT) AS n
+  FROM (SELECT DISTINCT clip_id FROM sig) CROSS JOIN (SELECT unnest(range(0, 72)) AS i) LEFT JOIN (SELECT clip_id, i, x FROM sig) USING (clip_id, i))"""
+
+
+def sql_family(name: str, size: int, up: int) -> str:
+    """A family and its deltas, as coefficients from `up` on."""
+    own = sql_delta(FIRST).replace("FROM m ", f"FROM {name} ").replace("FROM e)", f"FROM {name}_e)").replace("e AS (", f"{name}_e AS (", 1).replace("g AS (", f"{name}_g AS (", 1)
+    return f"{own}, {name}_all AS (SELECT clip_id, f, k + {up} AS k, c FROM {name} UNION ALL SELECT clip_id, f, k + {up + size}, d FROM {name}_g)"
+
+
+@query(f"""WITH {SIG_E}, {CUT_E}, {sql_mfcc(SMALL["sr"], 5, 8, 50, 800, HOP_E, FRAME_E, 64, "cut")}, {sql_gfcc(*GFCC, "cut")},
+{sql_family("mfcc", 5, 0)}, {sql_family("gfcc", GFCC[1], 10)},
+both_ AS (SELECT * FROM mfcc_all UNION ALL SELECT * FROM gfcc_all),
+same AS (SELECT * FROM both_ WHERE f < {(72 - FRAME_E) // HOP_E + 1})
+SELECT clip_id, f, k, {s6('(c - avg(c) OVER w) / (stddev_pop(c) OVER w + 1e-6)')} AS c FROM same WINDOW w AS (PARTITION BY clip_id, k)""", ints="f k")
+def feature_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both families with deltas, the frames that both have, standardised: one pass over each clip."""
+    return spread(feature_table(clips_e(spark, sf_dir), from_dict(SEQUENCES), number="double"), "x")
 
-#: A small model of the same make, for the sample tables.
+
+#: A small model of the usual make, for the sample tables.
 SETTINGS = {
     "data": {"sr": SMALL["sr"], "segment_sec": 0.3},
     "preprocess": {"noise_sec": 0.02},
@@ -588,11 +784,6 @@ SETTINGS = {
 }
 
 
-@query()
-def feature_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(feature_table(clips_l(spark, sf_dir), from_dict(SETTINGS)), "x")
-
-
 @query()
 def bilstm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = from_dict(SETTINGS)
@@ -601,12 +792,72 @@ def bilstm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("clip_id", F.transform("probs", lambda p: F.round(p, 4)).alias("probs"), "pred_id", "pred")
 
 
-@query(f"WITH {SIG_L} SELECT clip_id, CAST(max(n) AS BIGINT) AS n FROM sig GROUP BY clip_id")
+#: A model small enough to be written out in SQL, over vectors as eight steps of eight values.
+TINY = Shape(8, 2, 2, 3)
+
+
+def tiny_params() -> dict[str, np.ndarray]:
+    return {k: 2 * v.astype(float) for k, v in TINY.new(7).items()}
+
+
+def sql_bilstm(shape: Shape, params: dict[str, np.ndarray], steps: int) -> str:
+    """The model's forward pass written out: a layer's direction is one select a step."""
+    h = shape.hidden
+    sum_of = lambda names, weights: " + ".join(f"{n} * ({float(w)!r})" for n, w in zip(names, weights, strict=True)) or "0.0"
+    sql = "SELECT vec_id, " + ", ".join(f"CAST(embedding[{t * shape.inputs + k + 1}] AS DOUBLE) AS y{t}_{k}" for t in range(steps) for k in range(shape.inputs)) + " FROM embeddings"
+    width, y = shape.inputs, "y"
+    for layer in range(shape.layers):
+        for way in ("forward", "backward"):
+            wx, wh, b = (params[f"lstm{layer}.{way}.{x}"] for x in "xhb")
+            last = None
+            name = f"l{layer}{way[0]}"
+            for t in range(steps) if way == "forward" else reversed(range(steps)):
+                ins = [f"{y}{t}_{k}" for k in range(width)]
+                state = [f"{name}{last}_h{k}" for k in range(h)] if last is not None else ["0.0"] * h
+                cell = [f"{name}{last}_c{k}" for k in range(h)] if last is not None else ["0.0"] * h
+                z = [f"{sum_of([*ins, *state], [*wx[:, g], *wh[:, g]])} + ({float(b[g])!r})" for g in range(4 * h)]
+                gates = [f"1 / (1 + exp(-({x})))" if g < 3 * h else f"tanh({x})" for g, x in enumerate(z)]
+                sql = f"SELECT *, {', '.join(f'{x} AS {name}{t}_g{g}' for g, x in enumerate(gates))} FROM ({sql})"
+                sql = f"SELECT *, {', '.join(f'{name}{t}_g{h + k} * {cell[k]} + {name}{t}_g{k} * {name}{t}_g{3 * h + k} AS {name}{t}_c{k}' for k in range(h))} FROM ({sql})"
+                sql = f"SELECT *, {', '.join(f'{name}{t}_g{2 * h + k} * tanh({name}{t}_c{k}) AS {name}{t}_h{k}' for k in range(h))} FROM ({sql})"
+                last = t
+        joined = [f"l{layer}{w}{t}_h{k} AS n{layer}_{t}_{j * h + k}" for t in range(steps) for j, w in enumerate("fb") for k in range(h)]
+        sql, width, y = f"SELECT vec_id, {', '.join(joined)} FROM ({sql})", 2 * h, f"n{layer}_"
+    over = [[f"{y}{t}_{k}" for t in range(steps)] for k in range(2 * h)]
+    pooled = [f"({' + '.join(o)}) / {steps}" for o in over] + [f"greatest({', '.join(o)})" for o in over]
+    sql = f"SELECT vec_id, {', '.join(f'{x} AS p{k}' for k, x in enumerate(pooled))} FROM ({sql})"
+
+    def linear(sql: str, source: str, name: str, out: str, relu: bool = False) -> str:
+        w, b = params[f"{name}.w"], params[f"{name}.b"]
+        rows = [f"{sum_of([f'{source}{k}' for k in range(len(w))], w[:, g])} + ({float(b[g])!r})" for g in range(w.shape[1])]
+        return f"SELECT vec_id, {', '.join((f'greatest({x}, 0.0)' if relu else x) + f' AS {out}{g}' for g, x in enumerate(rows))} FROM ({sql})"
+
+    sql = linear(sql, "p", "project", "z")
+    zs = [f"z{k}" for k in range(2 * h)]
+    mean = f"({' + '.join(zs)}) / {2 * h}"
+    sql = f"SELECT *, {mean} AS zm FROM ({sql})"
+    sql = f"SELECT *, sqrt(({' + '.join(f'(z{k} - zm) * (z{k} - zm)' for k in range(2 * h))}) / {2 * h} + 1e-5) AS zd FROM ({sql})"
+    sql = f"SELECT vec_id, {', '.join(f'(z{k} - zm) / zd * ({float(params["norm.gain"][k])!r}) + ({float(params["norm.bias"][k])!r}) AS u{k}' for k in range(2 * h))} FROM ({sql})"
+    sql = linear(linear(sql, "u", "dense", "d", relu=True), "d", "out", "o")
+    names = [f"o{k}" for k in range(shape.classes)]
+    total = " + ".join(f"exp({n})" for n in names)
+    return f"SELECT vec_id, k, {s6('p')} AS p FROM (SELECT vec_id, unnest(range(0, {shape.classes})) AS k, unnest([{', '.join(f'exp({n}) / ({total})' for n in names)}]) AS p FROM ({sql}))"
+
+
+@query(sql_bilstm(TINY, tiny_params(), 8), ints="k")
+def bilstm_tiny(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers of both directions, pooled, projected, normalised and classified."""
+    steps = vectors(spark, sf_dir).select("vec_id", arrays.frames_of(F.col("v"), 8, 8).alias("x"))
+    scored = predict(steps, tiny_params(), TINY, ["a", "b", "c"])
+    return scored.select("vec_id", F.posexplode("probs").alias("k", "p")).select("vec_id", "k", r6("p").alias("p"))
+
+
+@query(f"WITH {SIG_L} SELECT clip_id, i, {s6('round(greatest(-1.0, least(1.0, x / 4)) * 32767) / 32768')} AS x FROM sig", ints="i")
 def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips, scaled to the range of samples, written as WAV bytes and read again: sample counts hold."""
+    """Clips, scaled to the range of samples, written as WAV bytes and read again."""
     scaled = clips_l(spark, sf_dir).select("clip_id", F.transform("y", lambda v: v / 4).alias("y"))
     back = audio.decoded(audio.encoded(scaled))
-    return back.select("clip_id", F.size("y").cast("long").alias("n"))
+    return back.select("clip_id", F.posexplode("y").alias("i", "x")).select("clip_id", "i", r6(F.col("x").cast("double")).alias("x"))
 
 
 #: The query that entry() runs.

@@ -37,6 +37,7 @@ class Features:
     fmax: float = 8000
     hop: int = 160
     win: int = 400
+    n_fft: int = 2048
     delta: bool = True
     delta_delta: bool = False
     lpcc: bool = False
@@ -61,6 +62,8 @@ class Train:
     lr: float = 1e-3
     weight_decay: float = 1e-4
     grad_clip: float = 5.0
+    #: When workers come together: after each epoch (means of their models) or each step (sums of their gradients).
+    together: str = "epoch"
 
 
 @dataclass(frozen=True)
@@ -93,6 +96,8 @@ def from_dict(raw: dict[str, Any] | None) -> Config:
         parts[name] = kind(**own)
     if parts["preprocess"].crop not in ("head", "center", "random"):
         raise ValueError("crop must be head, center or random")
+    if parts["train"].together not in ("epoch", "step"):
+        raise ValueError("together must be epoch or step")
     return Config(**parts)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import dsp
 from cadenza.operators import sequence_model as sm
+from cadenza.operators import series
 from cadenza.plans import features, predict, train
 from cadenza.sources import audio, checkpoint, manifest
 from cadenza.sources.config import Config, from_dict, read_config
@@ -184,6 +185,49 @@ def test_features(spark):
     assert len(row.x[0]) == cfg.features.dim == 17 * 3
 
 
+def test_one_pass_equals_operators_on_rows(spark):
+    """Kernels, deltas, the joining of families and standardising, against the operators of series on rows."""
+    cfg = settings(features={"lpcc": True, "lpc_order": 6, "n_lpcc": 5, "delta_delta": True}, preprocess={"crop": "head"})
+    clips = tones(spark, 3)
+    got = {(r.clip_id, f, k): c for r in features.feature_table(clips, cfg, number="double").collect() for f, row in enumerate(r.x) for k, c in enumerate(row)}
+    joined, size = None, 0
+    for kernel, *args in features.families(cfg):
+        rows = [(r.clip_id, f, k, float(c)) for r in features.cropped(clips, cfg).collect() for f, row in enumerate(kernel(np.array(r.y), *args)) for k, c in enumerate(row)]
+        n = 1 + max(r[2] for r in rows)
+        table = series.stack_deltas(spark.createDataFrame(rows, "clip_id string, f int, k int, c double"), n, True, True)
+        joined, size = (table if joined is None else series.concat_families(joined, table, size)), size + 3 * n
+    want = {(r.clip_id, r.f, r.k): r.c for r in series.standardise(joined).collect()}
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    plan = features.feature_table(clips, cfg)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_workers_that_meet_each_step_are_one(spark):
+    """Gradients summed over three workers' parts give the steps that one worker takes."""
+    more = {"epochs": 2, "together": "step"}
+    table = features.feature_table(tones(spark, 20), settings()).cache()
+    one, three = (train.fit(table, table, settings(train=more | {"workers": w}, model={"dropout": 0.0})) for w in (1, 3))
+    assert all(a["loss"] == pytest.approx(b["loss"], rel=1e-4) for a, b in zip(one.history, three.history, strict=True))
+    again = train.fit(table, table, settings(train={"epochs": 2, "workers": 1}, model={"dropout": 0.0}))
+    assert again.history[1]["loss"] == pytest.approx(one.history[1]["loss"], rel=1e-3)
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from cadenza.__main__ import main
+
+    rows = tones(spark, 24).select(F.concat("clip_id", F.lit(".wav")).alias("name"), "label_id", F.transform("y", lambda v: v / 4).alias("y")).cache()
+    audio.write_wav(rows, str(tmp_path / "wav"), 1600)
+    lines = [f"{r.name},{['low', 'high'][r.label_id]}" for r in rows.collect()]
+    (tmp_path / "m.csv").write_text("\n".join(["filepath,label", *lines]))
+    (tmp_path / "c.yaml").write_text("data: {labels: [low, high], sr: 1600, segment_sec: 0.3}\nfeatures: {n_mfcc: 4, n_mels: 8, n_gfcc: 4, n_filters: 8, fmin: 20, fmax: 800, hop: 16, win: 40}\ntrain: {batch_size: 8, epochs: 1}\nmodel: {hidden_size: 4, num_layers: 1}\npreprocess: {denoise: false, crop: random}\n")
+    common = ["--model", str(tmp_path / "model"), "--config", str(tmp_path / "c.yaml")]
+    main(["train", "--train", str(tmp_path / "m.csv"), "--valid", str(tmp_path / "m.csv"), "--root", str(tmp_path / "wav"), *common])
+    assert "epoch 0: loss" in capsys.readouterr().out
+    main(["predict", "--wav", str(tmp_path / "wav"), *common])
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 24 * 3 and "c0.wav: " in "".join(out) and sum(x.startswith("high        : ") for x in out) == 24
+
+
 def test_training(spark, tmp_path):
     cfg = settings()
     table = features.feature_table(tones(spark, 48), cfg).cache()

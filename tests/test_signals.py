@@ -136,6 +136,19 @@ def test_batches(spark):
     assert [r.k for r in batching.batches(rows, "k", 10, 1, 3).orderBy("batch", "slot").collect()] != [r.k for r in batching.batches(rows, "k", 10, 1, 2).orderBy("batch", "slot").collect()]
 
 
+def test_sequential_batches(spark):
+    rows = spark.range(101).select((100 - F.col("id")).alias("k")).repartition(7)
+    assert all(r.k == r.batch * 10 + r.slot for r in batching.batches(rows, "k", 10, shuffle=False).collect())
+    assert batching.batches(rows, "k", 10, drop_last=True, shuffle=False).agg(F.max("k")).first()[0] == 99
+
+
+def test_wide_arrays(spark):
+    """Class scores and norms of wide layers take time in proportion to their width."""
+    wide = spark.range(200).select(F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: (i % 7 + F.col("id")).cast("double")).alias("v"))
+    row = wide.select(F.aggregate(arrays.softmax(F.col("v")), F.lit(0.0), lambda a, x: a + x).alias("s"), F.aggregate(arrays.layer_norm(F.col("v")), F.lit(0.0), lambda a, x: a + x * x).alias("n")).agg(F.max("s").alias("s"), F.max("n").alias("n")).first()
+    assert row.s == pytest.approx(1) and row.n == pytest.approx(2048, rel=1e-3)
+
+
 def test_labels(spark):
     rows = spark.createDataFrame([("b",), ("a",)], "label string")
     coded = labels.encode(rows, ["b", "a"])
