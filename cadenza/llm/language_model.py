@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import scratch, stage
-from cadenza.llm.wire import numbers, packed, packed_keys, range_bits, ranges, unpacked_keys
+from cadenza.llm.wire import Numbers, numbers, packed, packed_keys, range_bits, ranges, unpacked_keys
 
 #: Tokens of a block, and documents at most.
 BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 131_072
@@ -64,17 +64,6 @@ def part_of(doc_id: object) -> int:
     return HELD_OUT if c % 5 == 1 else DELETED if c // 5 % 10 == 0 else COUNTED
 
 
-class Numbers(dict):
-    """Words numbered as they come; the end of a text is number 0."""
-
-    def __init__(self):
-        super().__init__({b"": 0})
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def blocks_of(docs: DataFrame, path: str) -> DataFrame:
     """Write and read (block, part, n_tokens, doc_ids, sizes, words, tokens): one row a block.
 
@@ -89,12 +78,12 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         first, made = TaskContext.get().partitionId() << 32, 0
-        held = {p: ([], [], Numbers(), [0]) for p in (COUNTED, HELD_OUT, DELETED)}
+        held = {p: ([], [], Numbers({b"": 0}), [0]) for p in (COUNTED, HELD_OUT, DELETED)}
 
         def flush(p: int) -> Iterator[pa.RecordBatch]:
             nonlocal made
             ids, tokens, words, size = held[p]
-            held[p] = ([], [], Numbers(), [0])
+            held[p] = ([], [], Numbers({b"": 0}), [0])
             if not ids:
                 return
             hashes = np.array([int(END_HASH), *(xxh3_64_intdigest(w) for w in words if w)], np.uint64)

@@ -1,10 +1,15 @@
 """Token counts by a trie that shares unigram forward scores.
 
-The distinct pre-tokens of a task (words, with a mark for the space before them) go into a trie. A
-node is a prefix; its forward score is the best sum of piece scores over all ways to cut the prefix
-into pieces, and is computed once for all pre-tokens that begin with it. A pre-token's last node
-holds its terminal count: the pieces of its best cut. A document's count is the sum over its words,
-so texts are read once and nothing is shuffled.
+The distinct pre-tokens (words, with a mark for the space before them) are the words of a trie. A node
+is a prefix; its forward score is the best sum of piece scores over all ways to cut the prefix into
+pieces, and is computed once for all pre-tokens that begin with it. A pre-token's last node holds its
+terminal count: the pieces of its best cut.
+
+Documents are dealt to blocks, kept as numbered words. Each block sends its different words once, in
+packets by range of their hash; a range walks the trie of all its words in order, holding the path to
+the present one alone, and answers each block with its words' terminal counts. A document's count is
+the sum over its words. So a word is cut once in all (once a range, and each has its own), and a task
+holds a range's words or a block's.
 
 The vocabulary is a public one and is not trained; a piece's score is the logarithm of its
 probability by Zipf's law, from its rank. Letters without a piece stand for their UTF-8 bytes.
@@ -17,16 +22,25 @@ may be empty and have further columns.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.common import scratch, stage
+from cadenza.llm.wire import Numbers, numbers, packed, range_bits, ranges
+
 #: Fixed mark of the piece files for the space before a word.
 MARK = "▁"
-#: Nodes that a Python worker keeps, about 300 bytes each; the trie is begun anew beyond them.
-MOST_NODES = 1_500_000
+#: Letters from which on a pre-token is cut on its own, as no path of so many nodes is worth holding.
+LONG = 256
+#: Words of a block, and documents at most.
+BLOCK_WORDS, BLOCK_DOCS = 1_000_000, 65_536
+#: Words that a range gets, about.
+RANGE_WORDS = 500_000
 #: Score of a byte that stands for a part of a letter, below the least score of a piece.
 BYTE_PENALTY = 10.0
 
@@ -47,87 +61,163 @@ def pieces_of(path: str) -> list[str]:
     return [sp.id_to_piece(i) for i in own if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
 
 
-class Trie(dict):
-    """Terminal counts by word (in bytes); missing words are inserted.
-
-    Nodes are held by prefix, each with (forward score, pieces).
-    """
+class Trie:
+    """Terminal counts of pre-tokens in order: the nodes of one path, each with (forward score, pieces)."""
 
     def __init__(self, scores: dict[str, float]):
-        super().__init__()
         self.scores, self.longest = scores, max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - BYTE_PENALTY
-        self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
-
-    def insert(self, token: str) -> tuple[float, int]:
-        """The last node of a pre-token; only nodes that no other one has shared yet are computed."""
-        nodes, scores = self.nodes, self.scores
-        end = len(token)
-        have = end
-        while token[:have] not in nodes:
-            have -= 1
-        for j in range(have + 1, end + 1):
-            size = len(token[j - 1].encode())
-            score, count = nodes[token[: j - 1]]
-            # a letter without a piece is as many bytes as its UTF-8 has
-            best = (score + self.unknown * size, -(count + size))
-            for i in range(max(0, j - self.longest), j):
-                s = scores.get(token[i:j])
-                if s is not None:
-                    score, count = nodes[token[:i]]
-                    best = max(best, (score + s, -(count + 1)))
-            nodes[token[:j]] = (best[0], -best[1])
-        return nodes[token]
-
-    def __missing__(self, word: bytes) -> int:
+        self.path, self.nodes = "", [(0.0, 0)]
+        #: Nodes computed so far.
+        self.made = 0
+
+    def extended(self, nodes: list[tuple[float, int]], token: str, j: int) -> tuple[float, int]:
+        """The node of token[:j]; the last of nodes is that of token[:j - 1]."""
+        size = len(token[j - 1].encode())
+        score, count = nodes[-1]
+        # a letter without a piece is as many bytes as its UTF-8 has
+        best, pieces = score + self.unknown * size, count + size
+        find = self.scores.get
+        for k in range(1, min(self.longest, j, len(nodes)) + 1):
+            s = find(token[j - k : j])
+            if s is not None:
+                score, count = nodes[-k]
+                if score + s > best or score + s == best and count + 1 < pieces:
+                    best, pieces = score + s, count + 1
+        self.made += 1
+        return best, pieces
+
+    def count(self, word: bytes) -> int:
+        """Terminal count of a word; only nodes that the word before does not share are computed."""
         token = MARK + word.decode()
-        if len(self.nodes) + len(token) > MOST_NODES:
-            self.nodes = {"": (0.0, 0)}
-            self.clear()
-        if len(token) > 256:  # a very long word shares no prefix worth keeping
+        if len(token) > LONG:
             return self.alone(token)
-        found = self[word] = self.insert(token)[1]
-        return found
+        have = len(os.path.commonprefix([self.path, token]))
+        nodes = self.nodes
+        del nodes[have + 1 :]
+        for j in range(have + 1, len(token) + 1):
+            nodes.append(self.extended(nodes, token, j))
+        self.path = token
+        return nodes[-1][1]
 
     def alone(self, token: str) -> int:
         """Terminal count of a very long pre-token, with the nodes that its pieces can reach alone."""
         recent: list[tuple[float, int]] = [(0.0, 0)]
         for j in range(1, len(token) + 1):
-            size, n = len(token[j - 1].encode()), len(recent)
-            best = (recent[-1][0] + self.unknown * size, -(recent[-1][1] + size))
-            for k in range(1, n + 1):
-                s = self.scores.get(token[j - k : j])
-                if s is not None:
-                    best = max(best, (recent[-k][0] + s, -(recent[-k][1] + 1)))
-            recent.append((best[0], -best[1]))
+            recent.append(self.extended(recent, token, j))
             if len(recent) > self.longest:
                 del recent[0]
         return recent[-1][1]
 
 
-_tries: dict[str, Trie] = {}
+_scores: dict[str, dict[str, float]] = {}
 
 
-def trie(path: str) -> Trie:
-    """One for each Python worker, which several tasks use in turn."""
-    if path not in _tries:
-        _tries[path] = Trie(zipf_scores(pieces_of(path)))
-    return _tries[path]
+def scores_of(path: str) -> dict[str, float]:
+    """One table for each Python worker, which several tasks use in turn."""
+    if path not in _scores:
+        _scores[path] = zipf_scores(pieces_of(path))
+    return _scores[path]
 
 
-def count_tokens(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_words, n_tokens."""
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def words_of(data: bytes) -> list[bytes]:
+    """Words do not hold a space, so they are kept joined by one."""
+    return data.split(b" ") if data else []
+
+
+def blocks_of(docs: DataFrame, path: str) -> DataFrame:
+    """Write and read (block, doc_ids, sizes, n_distinct, words, tokens): one row a block.
+
+    sizes: words of each document; words: the different ones in order of their hashes; tokens: numbers of
+    each document's words in that order, ascending, as differences.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terminal = trie(pieces_path)
+        from pyspark import TaskContext
+
+        first, made = TaskContext.get().partitionId() << 32, 0
+        ids, sizes, tokens, seen, size = [], [], [], Numbers(), 0
+
+        def block() -> pa.RecordBatch:
+            words = list(seen)
+            order = np.argsort(hashes_of(words))
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            whole = place[np.concatenate(tokens)] if words else np.array([], np.int64)
+            # by document, then by number
+            whole = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | whole) & 0xFFFFFFFF
+            cols = ([first + made], [ids], [packed(np.array(sizes, np.int32))], [len(words)], [b" ".join([words[i] for i in order.tolist()])], [packed(np.diff(whole, prepend=0).astype(np.int32))])
+            kinds = (pa.int64(), pa.list_(kind), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "doc_ids", "sizes", "n_distinct", "words", "tokens"])
+
         for b in batches:
-            words, tokens = [], []
-            for t in b.column(1):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own = (t.as_py() or "").encode().split()
-                words.append(len(own))
-                tokens.append(sum(map(terminal.__getitem__, own)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["id", "n_words", "n_tokens"])
+                tokens.append(np.fromiter(map(seen.__getitem__, own), np.int64, len(own)))
+                ids.append(i)
+                sizes.append(len(own))
+                size += len(own)
+                if size >= BLOCK_WORDS or len(ids) >= BLOCK_DOCS:
+                    yield block()
+                    made += 1
+                    ids, sizes, tokens, seen, size = [], [], [], Numbers(), 0
+        if ids:
+            yield block()
+
+    name = docs.schema["id"].dataType.simpleString()
+    return stage(docs.mapInArrow(run, f"block long, doc_ids array<{name}>, sizes binary, n_distinct long, words binary, tokens binary"), path)
+
+
+def counted(table: DataFrame, bits: int, pieces_path: str) -> DataFrame:
+    """(block, range, counts): terminal counts of each block's words, by range in order."""
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                words = words_of(r["words"])
+                if words:
+                    found, start, end = ranges(hashes_of(words), bits)
+                    parts = [b" ".join(words[a:z]) for a, z in zip(start, end, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([r["block"]] * len(found), pa.int64()), pa.array(parts, pa.binary())], ["range", "block", "words"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        packets = [words_of(w) for w in t.column("words").to_pylist()]
+        trie, terminal = Trie(scores_of(pieces_path)), {}
+        for w in sorted(set().union(*packets)):
+            terminal[w] = trie.count(w)
+        replies = [packed(np.fromiter(map(terminal.__getitem__, p), np.uint32, len(p))) for p in packets]
+        return pa.table({"block": t.column("block"), "range": t.column("range"), "counts": pa.array(replies, pa.binary())})
+
+    return table.select("block", "words").mapInArrow(send, "range long, block long, words binary").groupBy("range").applyInArrow(answer, "block long, range long, counts binary")
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    counted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_tokens long")
-    return counted.withColumnRenamed("id", id_col)
+
+def count_tokens(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_words, n_tokens."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    path = scratch(docs.sparkSession, "token-counts")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind, name = to_arrow_type(own.schema["id"].dataType), own.schema["id"].dataType.simpleString()
+    table = blocks_of(own, f"{path}/blocks")
+    bits = range_bits(table.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0], RANGE_WORDS)
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, replies = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: r["range"])
+        sizes = numbers(block["sizes"], np.int32).astype(np.int64)
+        counts = np.concatenate([np.zeros(0, np.uint32), *(numbers(r["counts"], np.uint32) for r in replies)]).astype(np.int64)
+        sums = np.append(0, np.cumsum(counts[np.cumsum(numbers(block["tokens"], np.int32).astype(np.int64))]))
+        ends = np.cumsum(sizes)
+        return pa.table({"id": pa.array(block["doc_ids"], kind), "n_words": pa.array(sizes), "n_tokens": pa.array(sums[ends] - sums[ends - sizes])})
+
+    blocks = table.select("block", "doc_ids", "sizes", "tokens").groupBy("block")
+    found = blocks.cogroup(counted(table, bits, pieces_path).groupBy("block")).applyInArrow(summed, f"id {name}, n_words long, n_tokens long")
+    return found.withColumnRenamed("id", id_col)

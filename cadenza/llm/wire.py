@@ -42,3 +42,11 @@ def ranges(keys: np.ndarray, bits: int) -> tuple[list[int], list[int], list[int]
 def range_bits(n: int, each: int) -> int:
     """Leading bits of a 64-bit key that deal n keys to ranges of `each` at most, on average."""
     return max(0, (n // each).bit_length())
+
+
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n

@@ -282,7 +282,9 @@ def best_cut(token, scores, unknown):
     return -best[-1][1]
 
 
-def test_token_counts(docs, rows, empty):
+@pytest.mark.parametrize("each", [500_000, 20])
+def test_token_counts(docs, rows, empty, monkeypatch, each):
+    monkeypatch.setattr(token_counts, "RANGE_WORDS", each)
     scores = token_counts.zipf_scores(token_counts.pieces_of(piece_file()))
     unknown = min(scores.values()) - token_counts.BYTE_PENALTY
     memo: dict = {}
@@ -299,16 +301,14 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.count_tokens(empty, piece_file()).count() == 0
 
 
-def test_trie_shares_prefixes_and_forgets(monkeypatch):
+def test_trie_shares_prefixes():
     scores = {"▁": -2.0, "▁a": -1.0, "b": -1.5, "ab": -1.0, "abab": -1.2}
     trie = token_counts.Trie(scores)
-    assert trie[b"abab"] == 2 and trie[b"ab"] == 2 and trie["é".encode()] == 3
-    before = len(trie.nodes)
-    assert trie[b"aba"] == best_cut("▁aba", scores, trie.unknown) and len(trie.nodes) == before
-    word = ("ab" * 400).encode()
-    assert trie[word] == best_cut("▁" + word.decode(), scores, trie.unknown)
-    monkeypatch.setattr(token_counts, "MOST_NODES", 4)
-    assert [trie[w] for w in (b"abab", b"ab", b"abb")] == [best_cut("▁" + w, scores, trie.unknown) for w in ("abab", "ab", "abb")]
+    words = ["a", "ab", "aba", "abab", "ababé", "abb", "b" * 300, "é", "éa", "ab" * 400]
+    for w in sorted(words):
+        assert trie.count(w.encode()) == best_cut("▁" + w, scores, trie.unknown)
+    short = {("▁" + w)[:k] for w in words if len(w) < 256 for k in range(1, len(w) + 2)}
+    assert trie.made == len(short) + sum(len(w) + 1 for w in words if len(w) >= 256)
 
 
 def test_counts_equal_sentencepiece():
@@ -326,4 +326,4 @@ def test_counts_equal_sentencepiece():
     sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     trie = token_counts.Trie(scores)
     for w in ["the", "stones", "unbelievable", "Donaudampfschiff", "xqzt", "naïve", "1234567", "and/or", "lower-case"]:
-        assert trie[w.encode()] == len(sp.encode(w)), w
+        assert trie.count(w.encode()) == len(sp.encode(w)), w
