@@ -1,13 +1,14 @@
 """Quality scores by a byte-level convolutional network in numpy.
 
-Each byte is four learned numbers and one that says whether its last four bytes occurred just before
-(junk repeats itself). Learned filters of six bytes move over the text two bytes at a time; a chunk
-is 128 places of the filters, and neighbouring chunks share the bytes that a filter on their border
-covers, so the chunks cover the whole document. Filters are max-pooled in each chunk; the mean, the
-greatest and the least over the chunks are combined into one probability.
+Each byte is a few learned numbers. Learned filters of eight bytes move over the text two bytes at a
+time; a chunk is 128 places of the filters, and neighbouring chunks overlap by half, so the chunks
+cover the whole document and whatever stands on one's border is inside another. Filters are
+max-pooled in each chunk; the mean, the greatest and the least over the chunks are combined into one
+probability.
 
-The network is fitted on a bounded sample of labelled rows (SAMPLE_ROWS of each label and
-SAMPLE_BYTES a text, chosen by a hash of the id) and then scores every whole text.
+The network is fitted on a bounded sample of labelled rows (SAMPLE_ROWS of each label, chosen by a
+hash of the id; of a text of more than SAMPLE_CHARS characters so many from a place by that hash) and
+then scores every whole text.
 
 Defined results: a null text is an empty one, and an empty text has a score like any other (of the
 padding alone); rows with a null label or id are not learned from; if a label has no rows, every
@@ -16,37 +17,26 @@ score is the share of label 1 among those there are (0.5 without any); tables ma
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import fold
 
-#: Bound of the sample that the network is fitted on: rows of each label, and bytes of a text.
-SAMPLE_ROWS, SAMPLE_BYTES = 1200, 32_768
-FILTERS, WIDTH, STRIDE, CHUNK, DIMS = 24, 6, 2, 128, 5
+#: Bound of the sample that the network is fitted on: rows of each label, and characters of a text.
+SAMPLE_ROWS, SAMPLE_CHARS = 1200, 32_768
+FILTERS, WIDTH, STRIDE, CHUNK, DIMS = 32, 8, 2, 128, 4
 EPOCHS, BATCH, RATE = 6, 16, 0.01
 #: Places of the filters that are computed at once.
 BLOCK = CHUNK * 512
 
 
-def repeats(b: np.ndarray) -> np.ndarray:
-    """1 where the four bytes that end here occurred 3 to 16 bytes before."""
-    out = np.zeros(len(b), bool)
-    for lag in range(3, 17):
-        if len(b) <= lag + 3:
-            break
-        same = b[lag:] == b[:-lag]
-        out[lag + 3 :] |= same[3:] & same[2:-1] & same[1:-2] & same[:-3]
-    return out
-
-
 @dataclass
 class Network:
-    embedding: np.ndarray  # 256 x (DIMS - 1)
+    embedding: np.ndarray  # 256 x DIMS
     filters: np.ndarray  # WIDTH * DIMS x FILTERS
     bias: np.ndarray
     out: np.ndarray  # 3 * FILTERS
@@ -55,31 +45,34 @@ class Network:
     @classmethod
     def new(cls, rng: np.random.Generator) -> Network:
         f32 = lambda *s: rng.normal(size=s).astype(np.float32)
-        return cls(f32(256, DIMS - 1) * 0.5, f32(WIDTH * DIMS, FILTERS) * 0.3, np.zeros(FILTERS, np.float32), f32(3 * FILTERS) * 0.1, 0.0)
+        return cls(f32(256, DIMS) * 0.5, f32(WIDTH * DIMS, FILTERS) * 0.3, np.zeros(FILTERS, np.float32), f32(3 * FILTERS) * 0.1, 0.0)
 
     def patches(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, channels of each byte), padded with zero bytes to a filter's width at least."""
+        """(bytes, numbers of each byte), padded with zero bytes to a filter's width at least."""
         size = max(WIDTH, len(text) + len(text) % STRIDE)
         b = np.zeros(size, np.uint8)
         b[: len(text)] = np.frombuffer(text, np.uint8)
-        x = np.empty((size, DIMS), np.float32)
-        x[:, :-1] = self.embedding[b]
-        x[:, -1] = repeats(b)
-        return b, x
+        return b, np.ascontiguousarray(self.embedding[b])
 
     def pool(self, x: np.ndarray, places: bool = False):
         """Chunks x filters: greatest activation of each filter in each chunk, and its place if asked."""
         n = (len(x) - WIDTH) // STRIDE + 1
-        view = np.lib.stride_tricks.as_strided(x, (n, WIDTH * DIMS), (STRIDE * DIMS * 4, 4))
-        best, at = [], []
+        size = x.itemsize
+        view = np.lib.stride_tricks.as_strided(x, (n, WIDTH * DIMS), (STRIDE * DIMS * size, size))
+        # by half chunks, of which two neighbours are a chunk
+        half, best, at = CHUNK // 2, [], []
         for i in range(0, n, BLOCK):
             y = view[i : i + BLOCK] @ self.filters
-            cuts = np.arange(0, len(y), CHUNK)
+            cuts = np.arange(0, len(y), half)
             best.append(np.maximum.reduceat(y, cuts, axis=0))
             if places:
-                at += [c + i + y[c : c + CHUNK].argmax(axis=0) for c in cuts]
-        pooled = np.maximum(np.concatenate(best) + self.bias, 0)
-        return (pooled, np.array(at), view) if places else pooled
+                at += [c + i + y[c : c + half].argmax(axis=0) for c in cuts]
+        best, at = np.concatenate(best), np.array(at)
+        if len(best) > 1:
+            at = np.where(best[:-1] >= best[1:], at[:-1], at[1:]) if places else at
+            best = np.maximum(best[:-1], best[1:])
+        pooled = np.maximum(best + self.bias, 0)
+        return (pooled, at, view) if places else pooled
 
     def combine(self, pooled: np.ndarray) -> np.ndarray:
         return np.concatenate([pooled.mean(axis=0), pooled.max(axis=0), pooled.min(axis=0)])
@@ -105,9 +98,9 @@ class Network:
         up *= pooled > 0
         sums["bias"] += up.sum(axis=0)
         sums["filters"] += np.einsum("cfk,cf->kf", view[at], up)
-        back = (up[:, :, None] * self.filters.T[None]).reshape(-1, WIDTH, DIMS)[:, :, :-1]
+        back = (up[:, :, None] * self.filters.T[None]).reshape(-1, WIDTH, DIMS)
         rows = (at.reshape(-1, 1) * STRIDE + np.arange(WIDTH)).ravel()
-        np.add.at(sums["embedding"], b[rows], back.reshape(-1, DIMS - 1))
+        np.add.at(sums["embedding"], b[rows], back.reshape(-1, DIMS))
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 0) -> Network:
@@ -147,8 +140,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     chosen = [marks.where(F.col("label") == k).orderBy(F.xxhash64("l_id"), "l_id").limit(2 * SAMPLE_ROWS) for k in (0, 1)]
     # at most 2 * SAMPLE_ROWS ids of each label: a bound that does not grow with the data
     wanted = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = own.where(F.octet_length("text") <= SAMPLE_BYTES).join(wanted, F.col("doc_id") == F.col("l_id"))
-    rows = rows.select("label", F.xxhash64("doc_id").alias("h"), "doc_id", "text")
+    rows = own.join(wanted, F.col("doc_id") == F.col("l_id")).withColumn("h", F.xxhash64("doc_id"))
+    spare = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0))
+    rows = rows.select("label", "h", "doc_id", F.substring("text", F.pmod("h", spare + 1).cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"))
     got = [rows.where(F.col("label") == k).orderBy("h", "doc_id", "text").limit(SAMPLE_ROWS).select("text", "label").collect() for k in (0, 1)]
     pairs = [(r["text"].encode(), r["label"]) for part in got for r in part]
     return [t for t, _ in pairs], [k for _, k in pairs]
@@ -164,16 +158,8 @@ def classify(
     # a few thousand weights
     net = docs.sparkSession.sparkContext.broadcast(fit(texts, marks))
 
-    def score(batches: Iterable) -> Iterator:
-        for b in batches:
-            yield b.map(lambda t: net.value.score((t or "").encode()))
-
-    from collections.abc import Iterator as It
-
-    import pandas as pd
-
-    def run(it: It[pd.Series]) -> It[pd.Series]:
-        yield from score(it)
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([net.value.score((t.as_py() or "").encode()) for t in texts], pa.float64())
 
-    run.__annotations__ = {"it": It[pd.Series], "return": It[pd.Series]}
-    return docs.withColumn(out, F.pandas_udf(run, "double")(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(out, run(F.col(text_col)))
