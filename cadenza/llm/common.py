@@ -14,6 +14,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: Bytes up to which a table is broadcast, counted with ROW_BYTES for each row besides its strings and lists.
 BROADCAST_BYTES, ROW_BYTES = 64_000_000, 64
+#: A key is hot from this share of all rows on, and from so many; so HOT_SHARE keys at most are.
+HOT_SHARE, LEAST_HOT = 100_000, 512
 #: Bytes of an Arrow batch; texts are long, and rows alone do not bound them.
 BATCH_BYTES = 4_000_000
 
@@ -68,6 +70,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
+def with_unique(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, spread: Column) -> DataFrame:
+    """left with right's columns but key and size, null where right lacks the key.
+
+    right has one row a key, and in `size` how many of left's `rows` rows have that key. The few hot keys
+    are joined by broadcast, and their rows are dealt out by `spread` (of the key's type) in the join with
+    the others, so no task gets all rows of a large group.
+    """
+    hot = F.col(size) > max(LEAST_HOT, rows // HOT_SHARE)
+    names = [c for c in right.columns if c not in (key, size)]
+    part = lambda t, p: t.select(F.col(key).alias(f"{p}{key}"), *(F.col(c).alias(f"{p}{c}") for c in names))
+    out = left.join(F.broadcast(part(right.where(hot), "__h_")), F.col(key) == F.col(f"__h_{key}"), "left")
+    # a spread key that is another row's by chance does no harm: hot columns go first
+    dealt = F.when(F.col(f"__h_{key}").isNull(), F.col(key)).otherwise(spread)
+    out = out.withColumn("__dealt", dealt).join(part(right.where(~hot), "__c_"), F.col("__dealt") == F.col(f"__c_{key}"), "left")
+    pick = lambda c: F.when(F.col(f"__h_{key}").isNotNull(), F.col(f"__h_{c}")).otherwise(F.col(f"__c_{c}")).alias(c)
+    return out.select(*left.columns, *map(pick, names))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; other letters stay. Plain ASCII takes the fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -22,13 +22,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACES, remove, scratch, small, stage
+from cadenza.llm.common import SPACES, remove, scratch, small, stage, with_unique
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Copies that are compared with one replica of the text that stays.
 SALT_ROWS = 1024
-#: A digest is hot from this share of all rows on, and from so many; so at most HOT_SHARE digests are.
-HOT_SHARE, LEAST_HOT = 100_000, 512
 
 
 def normalised(text: Column) -> Column:
@@ -87,20 +85,6 @@ def run_stream(spark: SparkSession, base: str, id_type: str, files_per_batch: in
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def with_hits(feed: DataFrame, hits: DataFrame, rows: int) -> DataFrame:
-    """feed with first and n of its digests' hits, null without.
-
-    The few hot digests are joined by broadcast, and their rows are dealt out evenly in the join with
-    the others, so no task gets a whole large group.
-    """
-    hot = F.col("n") > max(LEAST_HOT, rows // HOT_SHARE)
-    named = lambda t, p: t.select(F.col("digest").alias(f"{p}_digest"), F.col("first").alias(f"{p}_first"), F.col("n").alias(f"{p}_n"))
-    out = feed.join(F.broadcast(named(hits.where(hot), "h")), F.col("digest") == F.col("h_digest"), "left")
-    key = F.when(F.col("h_n").isNull(), F.col("digest")).otherwise(F.concat_ws("#", "file", "place"))
-    out = out.withColumn("key", key).join(named(hits.where(~hot), "c"), F.col("key") == F.col("c_digest"), "left")
-    return out.select(feed["*"], F.coalesce("h_first", "c_first").alias("first"), F.coalesce("h_n", "c_n").alias("n"))
-
-
 def same_place(a: str = "", b: str = "first.") -> Column:
     return (F.col(f"{a}file") == F.col(f"{b}file")) & (F.col(f"{a}place") == F.col(f"{b}place"))
 
@@ -162,7 +146,8 @@ def exact_dedup(
     if not state:
         remove(spark, f"{base}/stream")
     content = spark.read.parquet(f"{base}/content/*").select(F.col(text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")) if state else own
-    marked = stage(with_hits(feed, entries.where("n > 1"), rows), f"{path}/marked")
+    hits = entries.where("n > 1").withColumn("size", F.col("n"))
+    marked = stage(with_unique(feed, hits, "digest", "size", rows, F.concat_ws("#", "file", "place")), f"{path}/marked")
     bad = stage(collisions(content, marked.where("n is not null"), path), f"{path}/collisions")
     out = marked
     if not bad.isEmpty():  # one digest of several texts: all deliveries' rows of it are told apart by their bytes

@@ -162,6 +162,43 @@ n_near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near GROUP BY d
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
 FROM dw LEFT JOIN places ON dw.doc_id = places.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id LEFT JOIN n_near ON dw.doc_id = n_near.doc_id
+""",
+    "op8_chat_format": r"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, p.turn, p.role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS p(turn, role)),
+sized AS (
+  SELECT *, len(regexp_extract_all(text, '[\p{L}\p{M}]{1,4}|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]')) + 4 AS tokens,
+    4 + len(role) + 2 + len(text) + len(regexp_extract_all(text, '### |</turn>')) + 9 AS chars FROM own),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS before,
+    coalesce(first_value(CASE WHEN role = 'system' THEN tokens END) OVER w, 0) AS s_tokens, coalesce(first_value(CASE WHEN role = 'system' THEN chars END) OVER w, 0) AS s_chars
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+-- a turn opens a span in a new chunk of 16 budgets, or where the tokens since the span's first turn would pass the room
+cuts AS (
+  SELECT conv_id, place, before, before AS since, place AS opened FROM placed WHERE place = 0
+  UNION ALL
+  SELECT t.conv_id, t.place, t.before, CASE WHEN o THEN t.before ELSE c.since END, CASE WHEN o THEN t.place ELSE c.opened END
+  FROM (
+    SELECT c.*, t.place AS t_place, t.before // 16384 > c.before // 16384 OR t.before + t.tokens - c.since > 1024 - 256 - t.s_tokens AS o
+    FROM cuts c JOIN placed t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.place = c.place + 1) c
+  JOIN placed t ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.place = c.t_place),
+spans AS (
+  SELECT c.conv_id, opened, min(p.before) AS since, max(p.before + p.tokens) AS upto, sum(p.chars) AS chars, max(p.s_tokens) AS s_tokens, max(p.s_chars) AS s_chars
+  FROM cuts c JOIN placed p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.place = c.place GROUP BY c.conv_id, opened),
+history AS (
+  SELECT s.conv_id, s.opened, sum(p.chars) AS chars
+  FROM spans s JOIN placed p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.place < s.opened AND p.place >= s.opened - 2
+    AND p.place >= CASE WHEN s.s_tokens > 0 THEN 1 ELSE 0 END AND s.since - p.before <= 256 AND s.upto - p.before <= 1024 - s.s_tokens
+  GROUP BY s.conv_id, s.opened),
+lengths AS (
+  SELECT s.conv_id, sum(s.chars + coalesce(h.chars, 0) + CASE WHEN s.opened > 0 THEN s.s_chars ELSE 0 END) AS formatted_chars
+  FROM spans s LEFT JOIN history h ON h.conv_id IS NOT DISTINCT FROM s.conv_id AND h.opened = s.opened GROUP BY s.conv_id),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY place), '') AS loss FROM placed GROUP BY conv_id)
+SELECT s.conv_id, n_turns, turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM said s JOIN lengths l ON l.conv_id IS NOT DISTINCT FROM s.conv_id
 """,
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

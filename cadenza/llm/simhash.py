@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import remove, scratch, stage
+from cadenza.llm.common import remove, scratch, stage, with_unique
 from cadenza.llm.exact_dedup import stay, text_key
 
 #: Shingles whose hashes are spread to bits at once.
@@ -199,14 +199,18 @@ def near_duplicates(
     path = scratch(spark, "simhash")
     own = stage(fingerprints(docs, shingle, seed, id_col, text_col), f"{path}/fingerprints")
     row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key")
-    distinct = stage(own.groupBy("fp").agg(F.min(row).alias("least")), f"{path}/distinct")
-    edges = stage(links(distinct, distinct.count(), bits // 2), f"{path}/edges")
+    distinct = stage(own.groupBy("fp").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("rows")), f"{path}/distinct")
+    n = distinct.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    edges = stage(links(distinct, n["fps"], bits // 2), f"{path}/edges")
     roots = components(edges, path)
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("least").alias("first"))
-    found = named.join(first, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_key"))
-    found = stage(found, f"{path}/components")
-    return own.join(found, "fp").select(F.col("doc_id").alias(id_col), "text_key", "fp", "component_id", "first_key")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+    named = stage(named, f"{path}/roots")
+    first = named.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("size"))
+    found = with_unique(named, stage(first, f"{path}/first"), "root", "size", n["fps"], F.col("fp"))
+    found = found.select("fp", "rows", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("first_key"))
+    spread = F.xxhash64("doc_id", "text_key")
+    out = with_unique(own, stage(found, f"{path}/components"), "fp", "rows", n["rows"], spread)
+    return out.select(F.col("doc_id").alias(id_col), "text_key", "fp", "component_id", "first_key")
 
 
 def keep_first(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
