@@ -50,14 +50,16 @@ def frame_statistics(signal: DataFrame, length: int, hop: int) -> DataFrame:
 def latch(stats: DataFrame, limits: Thresholds) -> DataFrame:
     """stats with voiced: the state after each frame; off before the first."""
     begins, ends = limits.begins(F.col("ste"), F.col("zcr")), limits.ends(F.col("ste"), F.col("zcr"))
+    along = W.partitionBy("clip_id").orderBy("f")
+    event = F.when(begins & ~ends, True).when(ends & ~begins, False)
     if limits.ordered:  # a frame can't both begin and end activity, so the last event decides
-        event = F.when(begins, True).when(ends, False)
-        return stats.withColumn("voiced", F.coalesce(F.last(event, ignorenulls=True).over(W.partitionBy("clip_id").orderBy("f")), F.lit(False)))
-    rows = stats.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("f", "n", "ste", "zcr"))).alias("frames"))
-    state = lambda on, x: (on & ~limits.ends(x["ste"], x["zcr"])) | (~on & limits.begins(x["ste"], x["zcr"]))
-    states = F.aggregate("frames", F.array().cast("array<boolean>"), lambda a, x: F.concat(a, F.array(state(F.coalesce(F.get(a, F.size(a) - 1), F.lit(False)), x))))
-    zipped = rows.select("clip_id", F.inline(F.arrays_zip("frames", states.alias("voiced"))))
-    return zipped.select("clip_id", "frames.n", "frames.f", "frames.ste", "frames.zcr", zipped.columns[2]).toDF("clip_id", "n", "f", "ste", "zcr", "voiced")
+        return stats.withColumn("voiced", F.coalesce(F.last(event, ignorenulls=True).over(along), F.lit(False)))
+    # a frame that does both turns the state over: of these count those since the last event
+    rows = stats.withColumn("__turns", F.sum((begins & ends).cast("int")).over(along))
+    last = F.last(F.when(event.isNotNull(), F.struct(event.alias("on"), F.col("__turns").alias("turns"))), ignorenulls=True).over(along)
+    rows = rows.withColumn("__last", last)
+    turned = (F.col("__turns") - F.coalesce("__last.turns", F.lit(0))) % 2 == 1
+    return rows.withColumn("voiced", F.coalesce("__last.on", F.lit(False)) != turned).drop("__turns", "__last")
 
 
 def segments(frames: DataFrame, length: int, hop: int) -> DataFrame:

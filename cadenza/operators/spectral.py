@@ -17,12 +17,22 @@ from cadenza.functions.arrays import half_wave
 from cadenza.functions.windows import hann
 
 
+#: Longest frames that are transformed as rows (a row for each sample and bin).
+LONGEST = 512
+
+
+def checked(length: int) -> None:
+    if length > LONGEST:
+        raise ValueError(f"frames of more than {LONGEST} samples: use cadenza.functions.dsp")
+
+
 def window_frames(frames: DataFrame, length: int, periodic: bool = True) -> DataFrame:
     return frames.withColumn("x", F.col("x") * hann(F.col("j"), length, periodic))
 
 
 def dft(frames: DataFrame, length: int) -> DataFrame:
     """(clip_id, n, f, k, re, im): bins 0..length/2 of each frame's Fourier transform."""
+    checked(length)
     k = F.explode(F.sequence(F.lit(0), F.lit(length // 2))).alias("k")
     rows = frames.select("clip_id", "n", "f", "j", "x", k)
     angle = 2 * F.pi() * F.col("k") * F.col("j") / length
@@ -56,6 +66,7 @@ def subtract_noise(bins: DataFrame, alpha: float = 1.0) -> DataFrame:
 
 def inverse_dft(bins: DataFrame, length: int) -> DataFrame:
     """(clip_id, n, f, j, x) of bins 0..length/2 of a real signal."""
+    checked(length)
     twice = F.when((F.col("k") == 0) | (2 * F.col("k") == length), 1.0).otherwise(2.0)
     rows = bins.select("clip_id", "n", "f", "k", "re", "im", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("j"))
     angle = 2 * F.pi() * F.col("k") * F.col("j") / length
