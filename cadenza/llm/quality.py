@@ -66,8 +66,10 @@ class Network:
             cuts = np.arange(0, len(y), half)
             best.append(np.maximum.reduceat(y, cuts, axis=0))
             if places:
-                at += [c + i + y[c : c + half].argmax(axis=0) for c in cuts]
-        best, at = np.concatenate(best), np.array(at)
+                filled = np.full((len(cuts) * half, FILTERS), -np.inf, y.dtype)
+                filled[: len(y)] = y
+                at.append(filled.reshape(len(cuts), half, FILTERS).argmax(axis=1) + cuts[:, None] + i)
+        best, at = np.concatenate(best), np.concatenate(at) if places else None
         if len(best) > 1:
             at = np.where(best[:-1] >= best[1:], at[:-1], at[1:]) if places else at
             best = np.maximum(best[:-1], best[1:])
@@ -100,7 +102,8 @@ class Network:
         sums["filters"] += np.einsum("cfk,cf->kf", view[at], up)
         back = (up[:, :, None] * self.filters.T[None]).reshape(-1, WIDTH, DIMS)
         rows = (at.reshape(-1, 1) * STRIDE + np.arange(WIDTH)).ravel()
-        np.add.at(sums["embedding"], b[rows], back.reshape(-1, DIMS))
+        for d, column in enumerate(back.reshape(-1, DIMS).T):
+            sums["embedding"][:, d] += np.bincount(b[rows], column, 256)
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 0) -> Network:
