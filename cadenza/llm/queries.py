@@ -162,6 +162,54 @@ n_near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near GROUP BY d
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
 FROM dw LEFT JOIN places ON dw.doc_id = places.doc_id LEFT JOIN items ON dw.doc_id = items.doc_id LEFT JOIN n_near ON dw.doc_id = n_near.doc_id
+""",
+    "op6_url_filter": r"""
+WITH RECURSIVE parsed AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules AS (
+  SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(way, h, p)),
+ruled AS (
+  SELECT page_id, host, path, regexp_replace(lower(path), '[0-9]', '0', 'g') AS shape, arg_max(h || p, len(h || p)) AS rule, arg_max(way, len(h || p)) AS way
+  FROM parsed LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path),
+words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(lower(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|&#?\w+;', ' ', 'g')), '\p{L}+')) AS word FROM pages)
+  GROUP BY word),
+total AS (SELECT coalesce(nullif(sum(n), 0), 1) AS t FROM words),
+hosts AS (SELECT DISTINCT host FROM ruled),
+parts AS (SELECT host, name, count(*) AS times FROM (SELECT host, unnest(regexp_extract_all(host, '\p{L}+')) AS name FROM hosts) GROUP BY host, name),
+names AS (SELECT DISTINCT name FROM parts),
+ends AS (SELECT name, a, unnest(range(a + 1, len(name) + 1)) AS z FROM (SELECT name, unnest(range(0, len(name))) AS a FROM names)),
+known AS (SELECT name, map_from_entries(list((a * 10000 + z, ln(n / t)))) AS m FROM ends JOIN words ON word = substring(name, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)), total GROUP BY name),
+-- the likeliest split up to each letter: scores and where its last word begins
+best AS (
+  SELECT names.name, m, CAST(0 AS BIGINT) AS j, CAST([0.0] AS DOUBLE[]) AS top, CAST([0] AS BIGINT[]) AS back FROM names LEFT JOIN known ON names.name = known.name
+  UNION ALL
+  SELECT name, m, j, list_append(top, list_max(options)), list_append(back, list_position(options, list_max(options)) - 1)
+  FROM (
+    SELECT name, m, j + 1 AS j, top, back, [top[i + 1] + coalesce(m[i * 10000 + j + 1], -ln(t + 1) - 2.5 * (j + 1 - i)) for i in range(0, j + 1)] AS options
+    FROM best, total WHERE j < len(name))),
+split AS (
+  SELECT name, back, j AS z FROM best WHERE j = len(name) UNION ALL SELECT name, back, back[z + 1] FROM split WHERE back[z + 1] > 0),
+host_tokens AS (
+  SELECT host, token, sum(times) AS times FROM (
+    SELECT host, substring(parts.name, CAST(back[z + 1] + 1 AS BIGINT), CAST(z - back[z + 1] AS BIGINT)) AS token, times FROM parts JOIN split ON parts.name = split.name
+    UNION ALL SELECT host, repeat('0', len(d)), 1 FROM (SELECT host, unnest(regexp_extract_all(host, '[0-9]+')) AS d FROM hosts))
+  GROUP BY host, token),
+shape_tokens AS (SELECT shape, token, count(*) AS times FROM (SELECT shape, '/' || unnest(regexp_extract_all(shape, '[\p{L}0]+')) AS token FROM (SELECT DISTINCT shape FROM ruled)) GROUP BY shape, token),
+learned AS (
+  SELECT token, sum(times) FILTER (WHERE way = 'block') AS b, sum(times) FILTER (WHERE way = 'allow') AS a FROM (
+    SELECT token, times, way FROM ruled JOIN host_tokens ON ruled.host = host_tokens.host WHERE way IS NOT NULL
+    UNION ALL SELECT token, times, way FROM ruled JOIN shape_tokens ON ruled.shape = shape_tokens.shape WHERE way IS NOT NULL)
+  GROUP BY token),
+sums AS (SELECT coalesce(sum(b), 0) AS b, coalesce(sum(a), 0) AS a, count(*) AS v FROM learned),
+weights AS (SELECT token, ln((coalesce(l.b, 0) + 1) / (s.b + s.v)) - ln((coalesce(l.a, 0) + 1) / (s.a + s.v)) AS w FROM learned l, sums s),
+prior AS (SELECT ln(count(*) FILTER (WHERE way = 'block') / count(*) FILTER (WHERE way = 'allow')) AS w FROM ruled),
+host_odds AS (SELECT host, sum(times * w) AS o FROM host_tokens JOIN weights ON host_tokens.token = weights.token GROUP BY host),
+shape_odds AS (SELECT shape, sum(times * w) AS o FROM shape_tokens JOIN weights ON shape_tokens.token = weights.token GROUP BY shape)
+SELECT page_id, r.host, path, rule, coalesce(way, CASE WHEN coalesce(h.o, 0) + coalesce(s.o, 0) + prior.w > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN host_odds h ON r.host = h.host LEFT JOIN shape_odds s ON r.shape = s.shape, prior
 """,
     "op8_chat_format": r"""
 WITH RECURSIVE own AS (
