@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, exact_dedup, language_model, packing, quality, simhash, substrings, token_counts, url_filter
+from cadenza.llm import chat, decontaminate, exact_dedup, language_model, packing, quality, simhash, sql, substrings, token_counts, url_filter
 from cadenza.llm.common import fold, table
 
 
@@ -122,6 +122,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op9_simhash": sql.NEAR_DUPLICATES,
     "op1_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
