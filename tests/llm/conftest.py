@@ -21,7 +21,7 @@ def corpus() -> list[tuple[int | None, str | None]]:
     rows += [(200, base[5]), (201, base[5].replace(" ", "  \t")), (202, base[5] + " "), (203, base[7]), (204, base[6].upper())]
     long = prose(rng, 400)
     rows += [(300, long), (301, long + " end"), (302, long.replace("river", "RIVER"))]
-    rows += [(400, ""), (401, None), (402, " \n\t "), (403, "a\x0b\x0cb"), (404, "x" * 3000), (405, f"{passage} {passage} {passage}")]
+    rows += [(400, ""), (401, None), (402, " \n\t "), (403, "a\x0b\x0cb"), (404, "x" * 3000), (406, "<|endoftext|> begins, in <|endoftext|>the middle, ends<|endoftext|>"), (405, f"{passage} {passage} {passage}")]
     rows += [(None, base[3]), (None, None), (17, base[17]), (200, base[5])]
     rng.shuffle(rows)
     return rows
