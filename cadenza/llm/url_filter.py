@@ -75,17 +75,27 @@ def word_counts(html: DataFrame, col: str = "html") -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What each letter of an unseen word costs, in natural logarithms.
+LETTER = 2.5
+
+
 def viterbi(name: str, known: dict[str, float], unseen: float) -> list[str]:
-    """The likeliest split of a name; known: log probabilities of words; unseen: of an unseen letter."""
-    best, back = [0.0], [0]
+    """The likeliest split of a name; known: log probabilities of words; unseen: of an unseen word of no letters.
+
+    An unseen word is likelier than its letters apart, and less likely the longer it is. Its best place to
+    begin is the same for all ends, but for those after it, so time grows with the letters times the lengths
+    of known words.
+    """
+    lengths = sorted({len(w) for w in known}, reverse=True)
+    best, back, lead, begins = [0.0], [0], -math.inf, 0
     for j in range(1, len(name) + 1):
-        top, at = -math.inf, j - 1
-        for i in range(j):
-            p = known.get(name[i:j])
-            # an unseen word is likelier than its letters apart, and less likely the longer it is
-            p = best[i] + (unseen - 2.5 * (j - i) if p is None else p)
-            if p > top:
-                top, at = p, i
+        if best[j - 1] + LETTER * (j - 1) > lead:
+            lead, begins = best[j - 1] + LETTER * (j - 1), j - 1
+        top, at = lead + unseen - LETTER * j, begins
+        for size in lengths:
+            p = known.get(name[j - size : j]) if size <= j else None
+            if p is not None and best[j - size] + p > top:
+                top, at = best[j - size] + p, j - size
         best.append(top)
         back.append(at)
     words, j = [], len(name)
@@ -105,14 +115,15 @@ def split_names(name: pd.Series, pieces: pd.Series, total: pd.Series) -> pd.Seri
 def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, words) of each distinct name; counts: (word, n)."""
     names = names.select("name").where("name <> ''").distinct()
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max(F.char_length("word")), F.lit(1)).alias("longest")).first()
-    total, longest = float(sums["n"]) or 1.0, sums["longest"]
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sort_array(F.collect_set(F.char_length("word"))).alias("lengths")).first()
+    # only stretches as long as some word are looked up; lengths are few, whatever the words
+    total, lengths = float(sums["n"]) or 1.0, F.lit([int(k) for k in sums["lengths"]] or [1])
     size = F.char_length("name")
     parts = names.select("name", F.explode(F.sequence(F.lit(1), size)).alias("at"))
-    parts = parts.select("name", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("name") - F.col("at") + 1))).alias("width"))
+    parts = parts.select("name", "at", F.explode(F.filter(lengths, lambda k: k <= F.char_length("name") - F.col("at") + 1)).alias("width"))
     parts = parts.select("name", F.expr("substring(name, at, width)").alias("piece")).distinct()
     found = parts.join(small(counts.withColumnRenamed("word", "piece")), "piece").groupBy("name")
-    # a name of n letters has no more pieces than n * n / 2
+    # a name has no more pieces than letters times lengths of words
     found = found.agg(F.collect_list(F.struct("piece", "n")).alias("pieces"))
     none = F.array().cast("array<struct<piece:string,n:bigint>>")
     rows = names.join(found, "name", "left").select("name", F.coalesce("pieces", none).alias("pieces"))

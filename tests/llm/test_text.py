@@ -168,6 +168,17 @@ def likeliest(name, known, unseen):
     return max(splits_of(name), key=lambda ws: sum(known.get(w, unseen - 2.5 * len(w)) for w in ws))
 
 
+def test_names_of_many_letters(spark):
+    """A name far longer than any host's, and words of odd lengths."""
+    pages = spark.createDataFrame([(1, "https://" + "redriver" * 1500 + ".com/", f"red river {'q' * 3000} of"), (2, None, None)], "page_id long, url string, html string")
+    counts = url_filter.word_counts(pages)
+    assert {r.word: r.n for r in counts.collect()} == {"red": 1, "river": 1, "q" * 3000: 1, "of": 1}
+    names = spark.createDataFrame([("redriver" * 1500,), ("q" * 3000 + "red",), ("xofq",)], "name string")
+    split = {len(r["name"]): r.words for r in url_filter.segment(names, counts).collect()}
+    assert split == {12000: ["red", "river"] * 1500, 3003: ["q" * 3000, "red"], 4: likeliest("xofq", {"of": math.log(1 / 4)}, -math.log(5))}
+    assert url_filter.judge_urls(pages, RULES, counts).count() == 2
+
+
 def test_urls(spark, tmp_path):
     words = "stone cloud red river stone red the of"
     rows = [(k, u, f"<p class='redriver'>{words}</p><script>cloudred</script>", "h", "v") for k, u in enumerate(URLS * 2)]
