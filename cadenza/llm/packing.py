@@ -15,7 +15,8 @@ a document are packed each for itself; a null id stays null; an empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,25 @@ BATCH_BYTES = 4_000_000
 TASK_BITS, COUNT_BITS = 24, 35
 
 
+class Remembered(dict):
+    """Ids of words after a space, encoded when they are first met; the older half goes when it is full."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts from a byte-level BPE file, each different word encoded once.
 
@@ -39,20 +59,19 @@ class WordTokenizer:
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.model, self.marks = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.whole.model
         # the pattern of byte-level BPE, as the installed tokenizers split
         self.pre_tokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.spaces = regex.compile(r" (?=\s|$)").search
+        # a space that no word follows at once; here a white-space letter too many does no harm
+        self.spaces = re.compile(r" (?=\s|$)").search
         self.cut = regex.compile(r" (?=\S)").split
         # bytes as letters: printable ones stand for themselves, the others follow from 256 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = Remembered(lambda word: b"".join(map(self.encode_part, self.pre_tokens(" " + word))))
         self.parts: dict[str, bytes] = {}
 
     def encode_part(self, part: str) -> bytes:
@@ -67,16 +86,6 @@ class WordTokenizer:
                 self.parts[part] = ids
         return ids
 
-    def remember(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = b"".join(map(self.encode_part, self.pre_tokens(word)))
-        if len(self.words) >= REMEMBERED // 2:
-            self.older, self.words = self.words, {}
-        if len(word) <= 64:
-            self.words[word] = ids
-        return ids
-
     def encode_text(self, text: str) -> bytes:
         """Ids as the file gives them: a text that holds an added token goes to its own tokenizer whole."""
         if any(t in text for t in self.added):
@@ -86,11 +95,7 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         """Ids of the text's characters; added tokens are not looked for."""
         first, *rest = (self.cut if self.spaces(text) else str.split)(text, *(() if self.spaces(text) else (" ",)))
-        known, remember = self.words.get, self.remember
-        out = [b"".join(map(self.encode_part, self.pre_tokens(first)))]
-        for w in rest:
-            out.append(known(" " + w) or remember(" " + w))
-        return b"".join(out)
+        return b"".join([*map(self.encode_part, self.pre_tokens(first)), *map(self.words.__getitem__, rest)])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
