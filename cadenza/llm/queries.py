@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, exact_dedup, language_model, packing, quality, simhash, sql, substrings, token_counts, url_filter
+from cadenza.llm import chat, decontaminate, exact_dedup, filter_audit, language_model, packing, quality, simhash, sql, substrings, token_counts, url_filter, vector_dups, yinyang
 from cadenza.llm.common import fold, table
 
 
@@ -108,6 +108,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_file())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = yinyang.cluster(table(spark, sf_dir, "embeddings"))
+    sha = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", sha.alias("centroid_sha256"))
+
+
+def op13_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack_binary": op2_pack_binary,
@@ -119,10 +133,16 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_yinyang": op12_yinyang,
+    "op13_vector_dups": op13_vector_dups,
 }
 
 ORACLES = {
     "op9_simhash": sql.NEAR_DUPLICATES,
+    "op11_filter_audit": sql.FILTER_AUDIT,
+    "op12_yinyang": sql.centroids(40, 5),
+    "op13_vector_dups": sql.NEAR_VECTORS,
     "op1_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

@@ -1,4 +1,4 @@
-"""SQL that is built by rule: XXH64 of byte lists, and the near-duplicates that rest on it."""
+"""SQL that is built by rule or long: XXH64 of byte lists and the near-duplicates that rest on it, filters, clusters."""
 
 from __future__ import annotations
 
@@ -85,3 +85,71 @@ reach AS (SELECT fp AS a, fp AS b FROM nodes UNION SELECT reach.a, links.b FROM
 roots AS (SELECT a, min(least) AS component_id FROM reach JOIN nodes ON b = fp GROUP BY a)
 SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM prints JOIN roots ON fp = a
 """
+
+
+#: Every document against every order of the five filters.
+FILTER_AUDIT = r"""
+WITH marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * len(x), regexp_matches(x, '[#$%&*|]'),
+     coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY x), false)] AS fails
+  FROM texts t LEFT JOIN marks m ON t.doc_id = m.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+seen AS (
+  SELECT part, filter_order, step, good, toxic, fails[instr('ABCDE', filter_order[step])] AS own,
+    len(list_filter(range(1, step), lambda i: fails[instr('ABCDE', filter_order[i])])) > 0 AS earlier, len(list_filter(fails, lambda x: x)) AS n
+  FROM failed, steps),
+counted AS (
+  SELECT part, filter_order, step, count(*) FILTER (WHERE NOT own AND NOT earlier) AS kept, count(*) FILTER (WHERE own AND NOT earlier) AS removed,
+    count(*) FILTER (WHERE own AND earlier) AS redundant, count(*) FILTER (WHERE own AND n = 1) AS unique_fails,
+    count(*) FILTER (WHERE own AND NOT earlier AND good = 1) AS good_lost, count(*) FILTER (WHERE own AND NOT earlier AND toxic = 1) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM counted
+"""
+
+#: All pairs of a label, and what can be reached by them.
+NEAR_VECTORS = """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+valid AS (
+  SELECT * FROM rows WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM valid a JOIN valid b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.98 ELSE false END),
+reach AS (SELECT r AS a, r AS b FROM rows UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN rows ON b = r GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN least ON r = least.a LEFT JOIN counts ON r = counts.a
+"""
+
+
+def centroids(k: int, rounds: int, dims: int = 64) -> str:
+    """All distances in every round."""
+    steps = ""
+    for i in range(rounds + 1):
+        steps += f""",
+a{i} AS MATERIALIZED (
+  SELECT r, min({{'d': CAST(list_sum(list_transform(list_zip(v, z), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c}}) AS best FROM own, c{i} GROUP BY r)"""
+        if i < rounds:
+            steps += f""",
+s{i} AS (
+  SELECT c, list(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END ORDER BY j) AS z
+  FROM (SELECT best.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{i} JOIN own ON a{i}.r = own.r, (SELECT unnest(range(1, {dims + 1})) AS j) GROUP BY best.c, j) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, CAST(coalesce(s{i}.z, c{i}.z) AS BIGINT[]) AS z FROM c{i} LEFT JOIN s{i} ON c{i}.c = s{i}.c)"""
+    last = rounds
+    return f"""
+WITH own AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS z FROM (SELECT h, v FROM own ORDER BY h, v LIMIT {k}))
+{steps}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
+FROM a{last} JOIN own ON a{last}.r = own.r JOIN c{last} ON best.c = c{last}.c
+"""
