@@ -8,7 +8,11 @@ the entry's content, which is read by its locator. Texts that share a digest but
 told apart by these.
 
 With a folder for the state, later calls are further deliveries: their rows meet the entries of all
-earlier ones, and a row that stayed then stays. The folder also keeps the texts (locators point there).
+earlier ones, and a row that stayed then stays. The folder also keeps the texts (locators point there),
+and each delivery's result. A delivery counts once its marker is written, which comes last. What one that failed
+has left is taken away by the next call, and the state, which may hold rows of it, is made anew from the
+feeds of those that count; so a delivery may be tried again, or another one come first. One that has a name is
+answered from its record if it is called again after it counted.
 
 Defined results: a null text is an empty one; a null id sorts after all others; of rows that repeat
 both id and text, one is kept; tables may be empty and may have any further columns.
@@ -17,6 +21,7 @@ both id and text, one is kept; tables may be empty and may have any further colu
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,14 +47,30 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def bare_scan(docs: DataFrame) -> bool:
+    """Whether each row of docs is one row of a file: columns and conditions over a scan, and nothing else."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def located(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """(id, text, file, place) of every row; rows that no file holds are written to `path` first."""
+    """(id, text, file, place) of every row.
+
+    Rows of a bare scan have a file and a row in it; all others (joined, exploded, united, limited ones) are
+    written to `path` first, where each has a place of its own.
+    """
     place = ["_metadata.file_path", "_metadata.row_index"]
-    try:
-        if "_metadata" in docs.columns:
-            raise AnalysisException("a column of docs hides the files' metadata")
-        own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *place)
-    except AnalysisException:
+    own = None
+    if bare_scan(docs) and "_metadata" not in docs.columns:
+        try:
+            own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *place)
+        except AnalysisException:  # a source without row numbers
+            own = None
+    if own is None:
         own = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path).select("id", "text", *place)
     return own.withColumnsRenamed({"file_path": "file", "row_index": "place"})
 
@@ -118,25 +139,32 @@ def exact_dedup(
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int = 1000,
     state: str | None = None,
+    delivery: str | None = None,
 ) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, digest, locator, text_key.
 
     digest must give a string; a weak one costs time alone, as hits are compared in full. state: a
-    shared folder in which the state lives on; without it the state ends with the call. group_size counts
-    the rows of all deliveries so far.
+    shared folder in which the state lives on; without it the state ends with the call. delivery: a name for
+    these rows in that folder. group_size counts the rows of all deliveries so far. Calls on one folder
+    must follow each other.
     """
     spark = docs.sparkSession
     path = scratch(spark, "dedup")
     base, id_type = state or path, docs.schema[id_col].dataType.simpleString()
-    delivery = deliveries(spark, base)
+    number = 0
     if state:
-        docs = stage(docs.select(id_col, text_col), f"{base}/content/{delivery}")
+        done = deliveries(spark, base)
+        if delivery is not None and delivery in done.values():
+            return spark.read.parquet(f"{base}/result/{next(k for k, v in done.items() if v == delivery)}")
+        number = len(done)
+        clear(spark, base, number)
+        docs = stage(docs.select(id_col, text_col), f"{base}/content/{number}")
     own = located(docs, id_col, text_col, f"{path}/content")
     feed = stage(
         own.select(
-            digest(normalised(F.col("text"))).alias("digest"), F.lit(delivery).alias("delivery"), "id", text_key(F.col("text")).alias("text_key"), "file", "place"
+            digest(normalised(F.col("text"))).alias("digest"), F.lit(number).alias("delivery"), "id", text_key(F.col("text")).alias("text_key"), "file", "place"
         ),
-        f"{base}/feed/{delivery}",
+        f"{base}/feed/{number}",
     )
     rows = feed.count()
     if rows:
@@ -149,25 +177,51 @@ def exact_dedup(
     hits = entries.where("n > 1").withColumn("size", F.col("n"))
     marked = stage(with_unique(feed, hits, "digest", "size", rows, F.concat_ws("#", "file", "place")), f"{path}/marked")
     bad = stage(collisions(content, marked.where("n is not null"), path), f"{path}/collisions")
+    remove(spark, f"{path}/hits")
     out = marked
     if not bad.isEmpty():  # one digest of several texts: all deliveries' rows of it are told apart by their bytes
         every = spark.read.schema(feed.schema).parquet(f"{base}/feed/*").join(bad, "digest", "left_semi")
         every = stage(texts_at(content, every), f"{path}/texts")
         first = every.groupBy("digest", "text").agg(F.min(F.struct("delivery", F.isnull("id").alias("no_id"), "id", "file", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
-        again = every.where(F.col("delivery") == delivery).join(first, ["digest", "text"]).select(*marked.columns)
+        again = every.where(F.col("delivery") == number).join(first, ["digest", "text"]).select(*marked.columns)
         out = marked.join(bad, "digest", "left_anti").select(*marked.columns).unionByName(again)
     kept = F.col("n").isNull() | ((F.col("delivery") == F.col("first.delivery")) & same_place())
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "digest", F.struct("file", "place").alias("locator"), "text_key",
     )
+    if state:
+        out = stage(out, f"{base}/result/{number}")
+        commit(spark, base, number, delivery)
+        remove(spark, path)
+    return out
+
+
+def files_of(spark: SparkSession, folder: str):
+    """The file system of a folder, and its path there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def deliveries(spark: SparkSession, base: str) -> dict[int, str | None]:
+    """The deliveries that count in a state folder, with their names."""
+    files, path = files_of(spark, f"{base}/done")
+    found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return {int(k): unquote(name) if eq else None for k, eq, name in (f.partition("=") for f in found)}
+
+
+def clear(spark: SparkSession, base: str, number: int) -> None:
+    """Take away what a failed delivery of that number has left; the state too, if rows of it may be in there."""
+    files, feed = files_of(spark, f"{base}/feed/{number}")
+    if files.exists(feed):
+        remove(spark, f"{base}/stream")
+    remove(spark, f"{base}/result/{number}", f"{base}/feed/{number}", f"{base}/content/{number}")
 
 
-def deliveries(spark: SparkSession, base: str) -> int:
-    """Deliveries that a state folder holds."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/feed")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return len(files.listStatus(path)) if files.exists(path) else 0
+def commit(spark: SparkSession, base: str, number: int, name: str | None) -> None:
+    """The marker that makes a delivery count: an empty file, made in one step."""
+    files, path = files_of(spark, f"{base}/done/{number}" + ("" if name is None else f"={quote(name, safe='')}"))
+    files.create(path, False).close()
 
 
 def keep_first(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -247,3 +247,50 @@ def test_lengths_double(spark, docs, rows):
             windows[tuple(w[k : k + 40])] += 1
     got = found.where("length = 40").select("doc_id", "text_key", "pos").distinct().count()
     assert got == sum(n for n in windows.values() if n > 1)
+
+
+def test_exploded_and_united_rows(spark, tmp_path):
+    """Rows that share a place in a file are rows of their own."""
+    spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "c")], "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/d.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/d.parquet")
+    assert exact_dedup.bare_scan(docs) and exact_dedup.bare_scan(docs.where("doc_id > 1").select("text", (F.col("doc_id") + 1).alias("doc_id")))
+    words = docs.select((F.col("doc_id") * 10).alias("doc_id"), F.explode(F.split("text", " ")).alias("text"))
+    both = docs.unionByName(docs)
+    joined = docs.join(spark.range(2), F.lit(True))
+    for some in (words, both, joined.drop("id"), docs.limit(2), docs.orderBy("text"), docs.withColumn("text", F.concat("text", F.rand().cast("string")))):
+        assert not exact_dedup.bare_scan(some)
+    got = exact_dedup.exact_dedup(words).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter([(10, 10, 1, True), (10, 10, 2, True), (20, 10, 2, False), (20, 20, 2, True), (30, 20, 2, False)])
+    got = exact_dedup.exact_dedup(both).collect()
+    assert len(got) == 6 and sum(r.kept for r in got) == 3 and {r.group_size for r in got} == {2}
+
+
+@pytest.mark.parametrize("fails", ["content", "stream", "after"])
+def test_failed_delivery(spark, tmp_path, monkeypatch, fails):
+    """A delivery that failed at any point is tried again, or another comes first; no row is lost or counted twice."""
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first, second = [(i, f"text {i % 7}") for i in range(20)], [(i, f"text {i % 11}") for i in range(100, 130)]
+    state = f"file://{tmp_path}/state"
+    exact_dedup.exact_dedup(table(first), state=state)
+
+    def broken(*args, f={"content": exact_dedup.located, "stream": exact_dedup.run_stream, "after": exact_dedup.collisions}[fails]):
+        if fails != "content":
+            f(*args)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, {"content": "located", "stream": "run_stream", "after": "collisions"}[fails], broken)
+        for _ in range(2):
+            with pytest.raises(RuntimeError, match="lost"):
+                exact_dedup.exact_dedup(table(second), state=state)
+    other = exact_dedup.exact_dedup(table([(50, "text 2"), (51, "text 9")]), state=state).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in other} == {(50, 2, 4, False), (51, 51, 1, True)}
+    got = exact_dedup.exact_dedup(table(second), state=state, delivery="a/b=c").collect()
+    earlier = {f"text {k}": k for k in range(7)} | {"text 9": 51}
+    want = set()
+    for i, t in second:
+        keep = earlier.setdefault(t, i)
+        want.add((i, keep, keep == i))
+    assert {(r.doc_id, r.keep_id, r.kept) for r in got} == want and sum(k for *_, k in want) == 3
+    again = exact_dedup.exact_dedup(table(second), state=state, delivery="a/b=c").collect()
+    assert sorted(again) == sorted(got)
