@@ -132,24 +132,73 @@ def test_quality_edge_cases(spark, docs, rows, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
-def test_network_gradients():
-    rng = np.random.default_rng(1)
-    net = quality.Network.new(rng)
-    net.embedding, net.filters, net.out = (v.astype(np.float64) for v in (net.embedding, net.filters, net.out))
-    text = bytes(rng.integers(0, 256, 900, dtype=np.uint8))
-    names = ("embedding", "filters", "bias", "out", "out_bias")
-    sums = {k: np.zeros_like(np.asarray(getattr(net, k), float)) for k in names}
-    net.gradients(text, 1, sums)
-    loss = lambda: -math.log(net.score(text))
-    for k in ("filters", "out"):
-        v = getattr(net, k)
-        at = tuple(int(x) for x in np.unravel_index(np.abs(sums[k]).argmax(), v.shape))
-        ends = []
-        for d in (1e-3, -2e-3):
-            v[at] += d
-            ends.append(loss())
-        v[at] += 1e-3
-        assert sums[k][at] == pytest.approx((ends[0] - ends[1]) / 2e-3, rel=0.05, abs=1e-3)
+def plain_score(net, text):
+    """The forward pass in loops, place by place."""
+    b = list(text) + [0] * (max(quality.WIDTH, len(text) + len(text) % quality.STRIDE) - len(text))
+    starts = range(0, len(b) - quality.WIDTH + 1, quality.STRIDE)
+    acts = [[sum(net.embedding[b[s + j], k] * net.filters[j * quality.DIMS + k, f] for j in range(quality.WIDTH) for k in range(quality.DIMS)) for f in range(quality.FILTERS)] for s in starts]
+    half = quality.CHUNK // 2
+    halves = [acts[i : i + half] for i in range(0, len(acts), half)]
+    chunks = [x + y for x, y in zip(halves, halves[1:], strict=False)] or halves
+    pooled = [[max(0.0, max(a[f] for a in c) + net.bias[f]) for f in range(quality.FILTERS)] for c in chunks]
+    features = [how(p[f] for p in pooled) for how in (lambda x: sum(x) / len(pooled), max, min) for f in range(quality.FILTERS)]
+    return 1 / (1 + math.exp(-(sum(w * x for w, x in zip(net.out, features, strict=True)) + net.out_bias[0])))
+
+
+def network(seed):
+    net = quality.Network.new(np.random.default_rng(seed))
+    return quality.Network(*(getattr(net, k).astype(np.float64) for k in quality.PARTS))
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 8, 9, 130, 257, 700])
+def test_forward_pass(size, monkeypatch):
+    text = bytes(np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8))
+    net = network(3)
+    want = plain_score(net, text)
+    assert net.score(text) == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(quality, "BLOCK", quality.CHUNK)  # block borders within the text
+    assert net.score(text) == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("block", [quality.BLOCK, quality.CHUNK])
+@pytest.mark.parametrize("part", quality.PARTS)
+def test_network_gradients(part, block, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", block)
+    net = network(1)
+    text = bytes(np.random.default_rng(1).integers(0, 256, 900, dtype=np.uint8))
+    sums = {k: np.zeros_like(getattr(net, k)) for k in quality.PARTS}
+    net.gradients(text, 1, sums, 2.0)
+    v = getattr(net, part)
+    for at in np.argsort(-np.abs(sums[part]), axis=None)[:10]:
+        at = tuple(int(x) for x in np.unravel_index(at, v.shape))
+        old, ends = v[at], []
+        for d in (1e-6, -1e-6):
+            v[at] = old + d
+            ends.append(-2 * math.log(net.score(text)))
+        v[at] = old
+        assert sums[part][at] == pytest.approx((ends[0] - ends[1]) / 2e-6, rel=1e-3, abs=1e-6)
+
+
+def test_sample_is_of_documents_that_are_there(spark):
+    """Labels of other ids take no place in the sample, and texts are learned from whole."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (20_000 if i == 5 else 1)) for i in range(400)] + [(5, "again"), (None, "no id")], "doc_id long, text string")
+    labels = spark.range(300_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows = quality.sample(docs, labels, "doc_id", "text", "quality").collect()
+    assert {r.id for r in rows} == {i for i in range(400) if fold(i) != 0} and len(rows) > 300
+    assert len({r.id: r.text for r in rows}[5]) in (5, 140_000)
+    few = quality.SAMPLE_ROWS
+    try:
+        quality.SAMPLE_ROWS = 7
+        assert Counter(r.label for r in quality.sample(docs, labels, "doc_id", "text", "quality").collect()) == {0: 7, 1: 7}
+    finally:
+        quality.SAMPLE_ROWS = few
+
+
+def test_fit_is_the_same_on_any_partitions(spark):
+    rows = spark.createDataFrame([(i, i % 2, ("good words here " if i % 2 else "zzz qqq ") * (i % 7 + 1)) for i in range(60)], "id long, label int, text string")
+    a, b = (quality.fit(t, {0: 1200, 1: 1200}) for t in (rows.repartition(1), rows.repartition(7)))
+    assert all((getattr(a, k) == getattr(b, k)).all() for k in quality.PARTS)
+    assert a.score(b"good words here good words here ") > 0.9 > 0.1 > a.score(b"zzz qqq zzz qqq ")
 
 
 def test_whole_text_counts():
