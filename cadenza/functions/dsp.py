@@ -7,6 +7,7 @@ linear prediction and resampling. Signals are 1-D float arrays; spectra are bins
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil, gcd
 
 import numpy as np
 import pandas as pd
@@ -138,13 +139,59 @@ def burg(frames: np.ndarray, order: int) -> np.ndarray:
     return a
 
 
+#: Zero crossings of the resampling filter to either side.
+CROSSINGS = 16
+
+
+def ratio(old: int, new: int) -> tuple[int, int, int]:
+    """(up, down, reach): the rates in lowest terms, and how many samples to either side a sample is made of."""
+    up, down = new // gcd(old, new), old // gcd(old, new)
+    return up, down, ceil(CROSSINGS * max(1.0, down / up)) + 1
+
+
+def sinc_weights(frac: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Weights of the samples from 1 - reach to reach about a place `frac` after sample 0: a windowed sinc of unit sum."""
+    cut, reach = min(1.0, up / down), ratio(down, up)[2]
+    d = (np.arange(1 - reach, reach + 1) - np.asarray(frac)[:, None]) * cut
+    w = np.sinc(d) * np.where(np.abs(d) < CROSSINGS, np.cos(np.pi * d / (2 * CROSSINGS)) ** 2, 0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=8)
+def sinc_bank(up: int, down: int) -> np.ndarray:
+    """The weights of each phase."""
+    return sinc_weights(np.arange(up) / up, up, down)
+
+
+def polyphase(y: np.ndarray, first: int, last: int, start: int, up: int, down: int, block: int = 4096) -> np.ndarray:
+    """Samples first to last - 1 at the new rate; y[0] is sample `start` at the old one, zeros beyond y.
+
+    Each is a product of one phase of the filter bank and the samples about its place, in blocks, so memory
+    does not grow with the clip.
+    """
+    reach = ratio(down, up)[2]
+    out = np.zeros(max(0, last - first))
+    for k in range(0, len(out), block):
+        at = np.arange(first + k, min(first + k + block, last)) * down
+        base, phase = at // up, at % up
+        low, high = int(base[0]) + 1 - reach, int(base[-1]) + reach + 1
+        part = np.zeros(high - low)
+        a, b = max(low, start), min(high, start + len(y))
+        if a < b:
+            part[a - low : b - low] = y[a - start : b - start]
+        near = np.lib.stride_tricks.sliding_window_view(part, 2 * reach)[base - base[0]]
+        # a table of all phases, unless rates that share no factor make it larger than the block
+        weights = sinc_bank(up, down)[phase] if up <= 4 * block else sinc_weights(phase / up, up, down)
+        out[k : k + len(at)] = (near * weights).sum(axis=1)
+    return out
+
+
 def resample(y: np.ndarray, old: int, new: int) -> np.ndarray:
-    """Band-limited resampling by cutting or padding the spectrum; ceil(n * new / old) samples."""
+    """Band-limited resampling by a polyphase filter; ceil(n * new / old) samples, zeros taken beyond the ends."""
     if old == new or not len(y):
         return y
-    n = -(-len(y) * new // old)
-    spectrum = np.fft.rfft(y)
-    return np.fft.irfft(spectrum[: n // 2 + 1], n) * (n / len(y))
+    up, down, _ = ratio(old, new)
+    return polyphase(np.asarray(y, float), 0, -(-len(y) * up // down), 0, up, down)
 
 
 def lpcc(y: np.ndarray, order: int, n: int, hop: int, win: int) -> np.ndarray:

@@ -6,7 +6,7 @@ hash, numbered within each, and the ranges' sizes give the offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,3 +58,22 @@ def collated(rows: DataFrame, features: str, label: str) -> DataFrame:
     """(batch, x, y): one row a batch, its features and labels in slot order."""
     grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("slot", features, label))).alias("r"))
     return grouped.select("batch", F.col("r").getField(features).alias("x"), F.col("r").getField(label).alias("y"))
+
+
+def store(rows: DataFrame, path: str, per_folder: int = 1) -> None:
+    """Write rows that have a batch so that a batch is read alone: clustered by batch, so many batches a folder.
+
+    With one batch a folder a step reads just its rows; with more there are fewer files, and of a folder's rows
+    those parts are skipped whose range of batches leaves the wanted one out.
+    """
+    grouped = rows.withColumn("folder", F.floor(F.col("batch") / per_folder).cast("long"))
+    dealt = grouped.repartition("folder").sortWithinPartitions("folder", "batch", "slot")
+    dealt.write.partitionBy("folder").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, batch: int | None = None, per_folder: int = 1) -> DataFrame:
+    """The rows of one stored batch, or of all."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    if batch is not None:
+        rows = rows.where((F.col("folder") == batch // per_folder) & (F.col("batch") == batch))
+    return rows.drop("folder")

@@ -1,10 +1,10 @@
-"""Training by synchronous rounds: workers take gradient steps, then their models are averaged.
+"""Training by synchronous rounds: an epoch is one Spark job of `workers` tasks.
 
-An epoch is one Spark job (or, with `together` = step, each mini-batch is one, whose gradient is the sum
-of what the workers find on their parts of it: the same steps for any number of workers). Each of `workers` tasks runs mini-batches of its own clips from the common
-parameters and returns its parameters and moments; their means, weighted by batches, begin the next
-epoch. With one worker this is plain mini-batch training. What comes to the driver is a model a
-worker, whatever the data.
+By default each task runs mini-batches of its own clips from the common parameters and returns its parameters
+and moments; their means, weighted by batches, begin the next epoch. With `together` = step the tasks share each
+mini-batch: they are a barrier stage, each finds the gradient of its part of a batch, a ring of sockets sums
+these, and all take the same step. That gives one worker's steps for any number of them, and one task's model
+comes to the driver. A lost task fails the stage, and the epoch runs again from the state before it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from cadenza.operators import sequence_model as sm
 from cadenza.operators.batching import batches
 from cadenza.operators.metrics import confusion, macro_scores
 from cadenza.plans.predict import predict
-from cadenza.session import materialised
+from cadenza.plans.ring import Ring
 from cadenza.sources import checkpoint
 from cadenza.sources.config import Config
 
@@ -73,25 +73,52 @@ def epoch_rounds(rows: DataFrame, state: dict, shape: sm.Shape, cfg: Config, epo
     return [pickle.loads(r["state"]) for r in rows.mapInArrow(run, "state binary").collect()]
 
 
-def step_together(rows: DataFrame, state: dict, shape: sm.Shape, cfg: Config, epoch: int, batch: int) -> tuple[dict, float]:
-    """The state after one mini-batch, its gradient summed over the workers' parts, and the batch's loss."""
-    shared = rows.sparkSession.sparkContext.broadcast(state["params"])
+def steps_together(rows: DataFrame, state: dict, shape: sm.Shape, cfg: Config, epoch: int, n: int) -> tuple[dict, list[float]]:
+    """The state after an epoch of n mini-batches whose gradients are summed over the tasks, and the batches' losses.
+
+    rows: batch, slot, label_id, x; a task has the slots of its number modulo the tasks.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(state)
+    sizes = shape.sizes()
+    names = list(sizes)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [r for part in parts for r in part.to_pylist()]
-        if own:
-            x, y = np.stack([np.array(r["x"], np.float32) for r in own]), np.array([r["label_id"] for r in own])
-            rng = np.random.default_rng([cfg.train.seed, epoch, batch, own[0]["slot"]])
-            loss, g = sm.loss_and_gradients(shared.value, shape, x, y, cfg.model.dropout, rng)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((len(own), loss, g))], pa.binary())], ["part"])
-
-    found = [pickle.loads(r["part"]) for r in rows.mapInArrow(run, "part binary").collect()]
+        now, losses = shared.value, []
+        params = now["params"]
+        adam = sm.Adam(cfg.train.lr, cfg.train.weight_decay, dict(now["first"]), dict(now["second"]), now["step"])
+        source = (r for part in parts for r in part.to_pylist())
+        held = next(source, None)
+        with Ring() as ring:
+            for batch in range(n):
+                own = []
+                while held is not None and held["batch"] == batch:
+                    own.append(held)
+                    held = next(source, None)
+                # rows, loss, and gradient, each weighted by the rows
+                found = np.zeros(2 + sum(int(np.prod(s)) for s in sizes.values()))
+                if own:
+                    x, y = np.stack([np.array(r["x"], np.float32) for r in own]), np.array([r["label_id"] for r in own])
+                    rng = np.random.default_rng([cfg.train.seed, epoch, batch, own[0]["slot"]])
+                    loss, g = sm.loss_and_gradients(params, shape, x, y, cfg.model.dropout, rng)
+                    found = len(own) * np.concatenate([[1, loss], *(np.ravel(g[k]) for k in names)])
+                found = ring.sum(found)
+                losses.append(float(found[1] / found[0]))
+                flat, at, g = found[2:] / found[0], 0, {}
+                for k in names:
+                    size = int(np.prod(sizes[k]))
+                    g[k], at = flat[at : at + size].reshape(sizes[k]), at + size
+                params = adam.update(params, sm.clipped(g, cfg.train.grad_clip))
+            first = ring.rank == 0
+        if first:
+            out = {"params": params, "first": adam.first, "second": adam.second, "step": adam.step}
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((out, losses))], pa.binary())], ["state"])
+
+    rows = rows.select("batch", "slot", "label_id", "x").repartitionById(cfg.train.workers, F.col("slot") % cfg.train.workers)
+    dealt = rows.sortWithinPartitions("batch", "slot")
+    (done,) = dealt.mapInArrow(run, "state binary", barrier=True).collect()
+    after, losses = pickle.loads(done["state"])
     shared.unpersist()
-    n = sum(f[0] for f in found)
-    g = {k: sum(f[2][k] * (f[0] / n) for f in found) for k in found[0][2]}
-    adam = sm.Adam(cfg.train.lr, cfg.train.weight_decay, dict(state["first"]), dict(state["second"]), state["step"])
-    params = adam.update(state["params"], sm.clipped(g, cfg.train.grad_clip))
-    return {"params": params, "first": adam.first, "second": adam.second, "step": adam.step}, sum(f[0] / n * f[1] for f in found)
+    return after, losses
 
 
 def averaged(rounds: list[dict]) -> dict:
@@ -127,11 +154,7 @@ def fit(train: DataFrame | Callable[[int], DataFrame], valid: DataFrame, cfg: Co
     for epoch in range(cfg.train.epochs):
         dealt = batches(of_epoch(epoch).select("clip_id", "label_id", "x"), "clip_id", cfg.train.batch_size, cfg.train.seed, epoch, drop_last=True)
         if cfg.train.together == "step":
-            dealt, losses = materialised(dealt, "batches"), []
-            for batch in range(n):
-                rows = dealt.where(F.col("batch") == batch).repartition(cfg.train.workers, F.col("slot") % cfg.train.workers)
-                state, loss = step_together(rows, state, shape, cfg, epoch, batch)
-                losses.append(loss)
+            state, losses = steps_together(dealt, state, shape, cfg, epoch, n)
         else:
             dealt = dealt.withColumn("full", F.lit(cfg.train.batch_size)).repartition(cfg.train.workers, "batch")
             rounds = epoch_rounds(dealt, state, shape, cfg, epoch)

@@ -15,14 +15,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays, dsp
-from cadenza.operators import activity, batching, framing, labels, metrics, series, spectral
+from cadenza.operators import activity, batching, chunks, framing, labels, metrics, scans, series, spectral
 from cadenza.operators.sequence_model import Shape
 from cadenza.plans.features import feature_table, lpcc_of
 from cadenza.plans.predict import predict, report_lines
-from cadenza.session import materialised, shared_folder
-from cadenza.sources import audio, checkpoint, manifest
-from cadenza.sources.config import from_dict
-from cadenza.streaming.activity import read_frames, streamed_segments
+from cadenza.plans.train import steps_together
+from cadenza.session import ROCKSDB, materialised, shared_folder
+from cadenza.sources import audio, checkpoint, manifest, wav
+from cadenza.sources.config import from_dict, load_config
+from cadenza.streaming.activity import idle_segments, read_frames, streamed_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,6 +203,27 @@ def vad_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(out)
 
 
+@query(VAD_E.replace(f"least(max(n), (max(f) + 1) * {HOP_E} + {FRAME_E})", f"(max(f) + 1) * {HOP_E} + {FRAME_E}"))
+def vad_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but for the clip's end, from a stream that does not tell how long clips are: timers close idle ones."""
+    stats = activity.frame_statistics(signal_e(spark, sf_dir), FRAME_E, HOP_E)
+    rows = materialised(stats.select("clip_id", F.lit(None).cast("int").alias("n"), F.col("f").cast("int").alias("f"), "ste", "zcr", F.timestamp_seconds(F.col("f") + 100_000).alias("at")), "frames")
+    feed, out = shared_folder(spark, "feed"), shared_folder(spark, "segments")
+    # a frame of no clip, much later, lets the time of the others pass
+    later = spark.sql("SELECT CAST(-1 AS BIGINT) AS clip_id, CAST(NULL AS INT) AS n, CAST(NULL AS INT) AS f, 0.0D AS ste, 0.0D AS zcr, timestamp_seconds(1000000) AS at")
+    for part in (rows.where("f % 2 = 1"), rows.where("f % 2 = 0"), later):
+        part.coalesce(1).write.mode("append").parquet(feed)
+    found = idle_segments(read_frames(rows, feed, 1), FRAME_E, HOP_E, LIMITS_E, "20 minutes", "15 minutes")
+    before = spark.conf.get(provider := "spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        write = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        write.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(found.schema).parquet(out)
+
+
 @query("""SELECT vec_id, f, j, CASE WHEN j < 10 THEN CAST(embedding[j + 1] AS DOUBLE) ELSE 0.0 END AS x
 FROM (SELECT vec_id, embedding, 0 AS f, unnest(range(0, 16)) AS j FROM embeddings)""", ints="j")
 def frame_pad_short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,6 +314,14 @@ def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("batch", F.size("x").cast("long").alias("rows"), weighted["s"].alias("weighted"))
 
 
+@query(f"SELECT event_id, CAST(place // 512 AS BIGINT) AS batch, CAST(place % 512 AS INTEGER) AS slot FROM ({SHUFFLED})")
+def batch_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that are stored so that each is read alone."""
+    rows = batching.batches(table(spark, sf_dir, "events").select("event_id"), "event_id", 512, 3407, 1)
+    batching.store(rows, path := shared_folder(spark, "batches"))
+    return batching.stored(spark, path)
+
+
 @query("SELECT count(*) AS n FROM events")
 def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"))
@@ -576,20 +606,31 @@ def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.read_manifest(spark, path)
 
 
-@query("SELECT 'w' AS name, CAST(p AS INTEGER) AS p, p / 8.0 AS v FROM (SELECT unnest(range(0, 12)) AS p) UNION ALL SELECT 'b', CAST(p AS INTEGER), p / 2.0 FROM (SELECT unnest(range(0, 4)) AS p)")
+@query("""SELECT 'centre' || label AS name, CAST(k - 1 AS INTEGER) AS p, round(avg(CAST(embedding[k] AS DOUBLE)) * 1024) / 1024 AS v
+FROM (SELECT label, embedding, unnest(range(1, 65)) AS k FROM embeddings) GROUP BY label, k
+UNION ALL SELECT 'sizes', CAST(label AS INTEGER), CAST(count(*) AS DOUBLE) FROM embeddings GROUP BY label""")
 def checkpoint_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters written and read again, their names and shapes checked."""
-    params = {"w": np.arange(12).reshape(3, 4) / 8, "b": np.arange(4) / 2}
-    checkpoint.save(spark, path := shared_folder(spark, "model"), params, {"labels": EVENT_TYPES})
-    back, _ = checkpoint.load(spark, path, {"w": (3, 4), "b": (4,)})
-    return spark.createDataFrame([(k, v.ravel().tolist()) for k, v in back.items()], "name string, v array<double>").select("name", F.posexplode("v").alias("p", "v"))
+    """A model of class centres, learned from the vectors, written and read again, its names and shapes checked."""
+    v = vectors(spark, sf_dir)
+    centres = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.col("v")[k]).alias(f"c{k}") for k in range(64))).orderBy("label").collect()  # a row a class
+    params = {f"centre{r['label']}": np.round(np.array([r[f"c{k}"] for k in range(64)]) * 1024) / 1024 for r in centres} | {"sizes": np.array([r["n"] for r in centres], float)}
+    checkpoint.save(spark, path := shared_folder(spark, "model"), params, {"labels": [r["label"] for r in centres]})
+    back, _ = checkpoint.load(spark, path, {k: x.shape for k, x in params.items()})
+    rows = spark.createDataFrame([(k, x.ravel().astype(float).tolist()) for k, x in back.items()], "name string, v array<double>")
+    return rows.select("name", F.posexplode("v").alias("p", "v"))
 
 
-@query("SELECT unnest(['dim', 'samples', 'classes']) AS name, CAST(unnest([116, 32000, 5]) AS BIGINT) AS v")
+@query(f"""WITH {SIG_E} SELECT clip_id, any_value(n) AS n, CAST((any_value(n) - {FRAME_E}) // {HOP_E} + 1 AS INTEGER) AS frames, 48 AS samples, 2 * (5 + 6) AS dim,
+  (SELECT count(DISTINCT event_type) FROM events) AS classes FROM sig GROUP BY clip_id""", ints="n samples dim classes")
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What follows from the default settings."""
-    cfg = from_dict(None)
-    return spark.createDataFrame([("dim", cfg.features.dim), ("samples", cfg.data.samples), ("classes", len(cfg.data.labels))], "name string, v long")
+    """Settings written as YAML, the classes from the table, and what follows from them for each clip."""
+    kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    text = f"data: {{labels: {kinds}, sr: 1600, segment_sec: 0.03}}\nfeatures: {{n_mfcc: 5, n_gfcc: 6, hop: {HOP_E}, win: {FRAME_E}}}\n"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path := shared_folder(spark, "settings"))
+    cfg = load_config(spark, path)
+    sizes = signal_e(spark, sf_dir).groupBy("clip_id").agg(F.first("n").alias("n"))
+    frames = framing.frame_count(F.col("n"), cfg.features.win, cfg.features.hop)
+    return sizes.select("clip_id", "n", frames.alias("frames"), F.lit(cfg.data.samples).alias("samples"), F.lit(cfg.features.dim).alias("dim"), F.lit(len(cfg.data.labels)).alias("classes"))
 
 
 # ------------------------------------------------------------------ whole clips: transforms and the model
@@ -800,8 +841,8 @@ def tiny_params() -> dict[str, np.ndarray]:
     return {k: 2 * v.astype(float) for k, v in TINY.new(7).items()}
 
 
-def sql_bilstm(shape: Shape, params: dict[str, np.ndarray], steps: int) -> str:
-    """The model's forward pass written out: a layer's direction is one select a step."""
+def sql_bilstm(shape: Shape, params: dict[str, np.ndarray], steps: int, hidden: bool = False) -> str:
+    """The model's forward pass written out: a layer's direction is one select a step. hidden: ends in (vec_id, d, o) lists."""
     h = shape.hidden
     sum_of = lambda names, weights: " + ".join(f"{n} * ({float(w)!r})" for n, w in zip(names, weights, strict=True)) or "0.0"
     sql = "SELECT vec_id, " + ", ".join(f"CAST(embedding[{t * shape.inputs + k + 1}] AS DOUBLE) AS y{t}_{k}" for t in range(steps) for k in range(shape.inputs)) + " FROM embeddings"
@@ -838,8 +879,12 @@ def sql_bilstm(shape: Shape, params: dict[str, np.ndarray], steps: int) -> str:
     sql = f"SELECT *, {mean} AS zm FROM ({sql})"
     sql = f"SELECT *, sqrt(({' + '.join(f'(z{k} - zm) * (z{k} - zm)' for k in range(2 * h))}) / {2 * h} + 1e-5) AS zd FROM ({sql})"
     sql = f"SELECT vec_id, {', '.join(f'(z{k} - zm) / zd * ({float(params["norm.gain"][k])!r}) + ({float(params["norm.bias"][k])!r}) AS u{k}' for k in range(2 * h))} FROM ({sql})"
-    sql = linear(linear(sql, "u", "dense", "d", relu=True), "d", "out", "o")
-    names = [f"o{k}" for k in range(shape.classes)]
+    sql = linear(sql, "u", "dense", "d", relu=True)
+    dense, names = [f"d{k}" for k in range(h)], [f"o{k}" for k in range(shape.classes)]
+    if hidden:
+        outs = ", ".join(f"{sum_of(dense, params['out.w'][:, g])} + ({float(params['out.b'][g])!r})" for g in range(shape.classes))
+        return f"SELECT vec_id, [{', '.join(dense)}] AS d, [{outs}] AS o FROM ({sql})"
+    sql = linear(sql, "d", "out", "o")
     total = " + ".join(f"exp({n})" for n in names)
     return f"SELECT vec_id, k, {s6('p')} AS p FROM (SELECT vec_id, unnest(range(0, {shape.classes})) AS k, unnest([{', '.join(f'exp({n}) / ({total})' for n in names)}]) AS p FROM ({sql}))"
 
@@ -852,6 +897,34 @@ def bilstm_tiny(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("vec_id", F.posexplode("probs").alias("k", "p")).select("vec_id", "k", r6("p").alias("p"))
 
 
+#: One step of training: rate, decay.
+STEP = {"lr": 0.01, "weight_decay": 1e-4}
+
+
+def sql_first_step(shape: Shape, params: dict[str, np.ndarray]) -> str:
+    """Loss, and the last layer's weights after one step of Adam whose batch is the whole table; the first step goes by a gradient's sign, nearly."""
+    w, c = params["out.w"], shape.classes
+    old = ", ".join(f"({j}, {k}, {float(w[j, k] if j < shape.hidden else params['out.b'][k])!r})" for j in range(shape.hidden + 1) for k in range(c))
+    return f"""WITH fwd AS ({sql_bilstm(shape, params, 8, hidden=True)}),
+rows AS (SELECT label % {c} AS y, list_append(d, 1.0) AS d, list_transform(o, lambda v: exp(v) / list_sum(list_transform(o, lambda u: exp(u)))) AS p FROM fwd JOIN embeddings USING (vec_id)),
+old AS (SELECT * FROM (VALUES {old}) AS t(j, k, v)),
+g AS (SELECT j, k, any_value(v) AS v, avg(d[j + 1] * (p[k + 1] - CASE WHEN y = k THEN 1.0 ELSE 0.0 END)) + {STEP["weight_decay"]} * any_value(v) AS g FROM rows, old GROUP BY j, k)
+SELECT 'loss' AS name, 0 AS p, round(-avg(ln(p[y + 1])), 5) AS v FROM rows
+UNION ALL SELECT CASE WHEN j = {shape.hidden} THEN 'out.b' ELSE 'out.w' END, CASE WHEN j = {shape.hidden} THEN k ELSE j * {c} + k END, round(v - {STEP["lr"]} * g / (abs(g) + 1e-8), 5) FROM g"""
+
+
+@query(sql_first_step(TINY, TINY.new(3407)), ints="p")
+def train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of training whose gradient two tasks sum between them: the batch's loss and the last layer after it."""
+    rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("clip_id"), (F.col("label") % TINY.classes).alias("label_id"), arrays.frames_of(F.col("v"), 8, 8).alias("x"))
+    n = rows.count()
+    cfg = from_dict({"train": STEP | {"batch_size": n, "workers": 2, "grad_clip": 0.0, "together": "step"}, "model": {"dropout": 0.0}})
+    dealt = batching.batches(rows, "clip_id", n, cfg.train.seed, 0)
+    state, losses = steps_together(dealt, {"params": TINY.new(cfg.train.seed), "first": {}, "second": {}, "step": 0}, TINY, cfg, 0, 1)
+    out = [("loss", [float(x) for x in losses])] + [(k, state["params"][k].ravel().astype(float).tolist()) for k in ("out.w", "out.b")]
+    return spark.createDataFrame(out, "name string, v array<double>").select("name", F.posexplode("v").alias("p", "v")).select("name", "p", F.round("v", 5).alias("v"))
+
+
 @query(f"WITH {SIG_L} SELECT clip_id, i, {s6('round(greatest(-1.0, least(1.0, x / 4)) * 32767) / 32768')} AS x FROM sig", ints="i")
 def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips, scaled to the range of samples, written as WAV bytes and read again."""
@@ -860,5 +933,102 @@ def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("clip_id", F.posexplode("y").alias("i", "x")).select("clip_id", "i", r6(F.col("x").cast("double")).alias("x"))
 
 
+# ------------------------------------------------------------------ series and clips of any length
+
+#: Samples of a chunk, and rows of a range: small here, so that the tables' series have several.
+CHUNK_L, RANGE_L = 256, 512
+
+
+@query(f"WITH {SIG_L}, {sql_stft(DENOISE_FFT, DENOISE_HOP, DENOISE_FFT)} SELECT clip_id, f, k, {s6('re')} AS re, {s6('im')} AS im FROM sp", ints="k")
+def stft_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms of clips that are rows of chunks."""
+    rows = chunks.stft(chunks.of_rows(signal_l(spark, sf_dir), CHUNK_L), DENOISE_FFT, DENOISE_HOP, DENOISE_FFT, CHUNK_L)
+    bins = rows.select("clip_id", "f", F.posexplode(F.arrays_zip("re", "im")).alias("k", "s"))
+    return bins.select("clip_id", "f", "k", r6("s.re").alias("re"), r6("s.im").alias("im"))
+
+
+@query(ORACLES["denoise_clips"].replace("CAST(i AS INTEGER)", "CAST(i AS BIGINT)"))
+def denoise_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as denoise_clips, chunk by chunk."""
+    rows = chunks.of_rows(signal_l(spark, sf_dir), CHUNK_L)
+    quiet = chunks.denoise(rows, SMALL["sr"], DENOISE_FFT, DENOISE_HOP, DENOISE_FFT, size=CHUNK_L)
+    return chunks.samples_of(quiet).select("clip_id", "i", r6("x").alias("x"))
+
+
+#: Rates that clips are brought to.
+RATES = (1000, 2400)
+
+
+def sql_resampled(old: int, rates: tuple[int, ...]) -> str:
+    """Each sample as a sum over the filter's weights of its phase, a table of (rate, phase, j, w)."""
+    terms = [(new, *dsp.ratio(old, new)) for new in rates]
+    return f"""rates AS (SELECT * FROM (VALUES {", ".join(map(str, terms))}) AS r(rate, up, down, reach)),
+taps AS (
+  SELECT rate, phase, j, (j - phase / up) * least(1.0, up / down) AS d
+  FROM (SELECT *, unnest(range(1 - reach, reach + 1)) AS j FROM (SELECT *, unnest(range(0, up)) AS phase FROM rates))),
+raw AS (
+  SELECT rate, phase, j, CASE WHEN abs(d) < {dsp.CROSSINGS} THEN CASE WHEN d = 0 THEN 1.0 ELSE sin(pi() * d) / (pi() * d) END * pow(cos(pi() * d / {2 * dsp.CROSSINGS}), 2) ELSE 0.0 END AS w FROM taps),
+bank AS (SELECT rate, phase, j, w / sum(w) OVER (PARTITION BY rate, phase) AS w FROM raw),
+places AS (
+  SELECT clip_id, rate, m, m * down // up AS base, m * down % up AS phase
+  FROM (SELECT clip_id, rate, up, down, unnest(range(0, CAST(ceil(n * up / down) AS BIGINT))) AS m FROM (SELECT DISTINCT clip_id, n FROM sig), rates)),
+made AS (
+  SELECT p.clip_id, p.rate, m, sum(w * x) AS x FROM places p JOIN bank b ON b.rate = p.rate AND b.phase = p.phase JOIN sig s ON s.clip_id = p.clip_id AND s.i = base + j
+  GROUP BY p.clip_id, p.rate, m)"""
+
+
+@query(f"WITH {SIG_L}, {sql_resampled(SMALL['sr'], RATES)} SELECT clip_id, rate, m AS i, {s6('x')} AS x FROM made", ints="rate")
+def resample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips brought to other rates by polyphase filters, chunk by chunk."""
+    rows = chunks.of_rows(signal_l(spark, sf_dir), CHUNK_L)
+    made = [chunks.samples_of(chunks.resample(rows, SMALL["sr"], new, CHUNK_L)).withColumn("rate", F.lit(new)) for new in RATES]
+    return made[0].unionByName(made[1]).select("clip_id", "rate", "i", r6("x").alias("x"))
+
+
+ONE = SIG_L.replace("SELECT l_suppkey AS clip_id", "SELECT 0 AS clip_id").replace("PARTITION BY l_suppkey ORDER BY", "ORDER BY l_suppkey,").replace("PARTITION BY l_suppkey", "")
+
+
+@query(f"WITH {ONE},\n{sql_frames(FRAME_L, HOP_L)},\n{sql_stats(FRAME_L)},\n{sql_latch(LIMITS_L)}\n{sql_segments(FRAME_L, HOP_L)}".replace("AS INTEGER) AS seg", "AS BIGINT) AS seg"), ints="clip_id")
+def vad_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as one series, which many tasks order, latch and cut into segments."""
+    order = ["l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").withColumn("clip", F.lit(0))
+    signal = scans.ordered(rows, "clip", order, (F.col("l_extendedprice") - 50000) / 30000)
+    return scans.detect(signal, FRAME_L, HOP_L, LIMITS_L, RANGE_L)
+
+
+#: Share of the average that a sample leaves; no short fraction, so that no sum ends halfway between two roundings.
+KEEP = 0.9048374180359595
+
+
+@query(f"WITH {SIG_L} SELECT a.clip_id, a.i, {s6(f'sum({1 - KEEP!r} * pow({KEEP!r}, a.i - b.i) * b.x)')} AS ema FROM sig a JOIN sig b ON a.clip_id = b.clip_id AND b.i <= a.i GROUP BY a.clip_id, a.i", ints="i")
+def running_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moving average after every sample, by ranges of 64."""
+    return scans.running_average(signal_l(spark, sf_dir), keep=KEEP, size=64).select("clip_id", "i", r6("ema").alias("ema"))
+
+
+#: Rates and widths of the clips of events, by their number.
+WAV_RATES, WAV_WIDTHS = (8000, 16000, 44100), (8, 16, 24, 32)
+
+
+@query(f"""WITH {SIG_E},
+own AS (SELECT clip_id, i, n, x / 5 AS x, [8000, 16000, 44100][clip_id % 3 + 1] AS sr, [8, 16, 24, 32][clip_id % 4 + 1] AS width, clip_id % 2 + 1 AS channels FROM sig),
+whole AS (SELECT *, pow(2, width - 1) AS k, greatest(-1.0, least(1.0, x)) AS a, greatest(-1.0, least(1.0, -x / 2)) AS b FROM own)
+SELECT clip_id, sr, channels, width, n, i // 32 * 32 AS start, i,
+  {s6('CASE WHEN channels = 1 THEN round_even(a * (k - 1), 0) / k ELSE (round_even(a * (k - 1), 0) + round_even(b * (k - 1), 0)) / 2 / k END')} AS x FROM whole""", ints="sr channels width")
+def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of several rates, widths and channels, written as files and read again in chunks of 32 frames."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("clip_id") % n + 1).cast("int"))
+    y = F.transform("y", lambda v: v / 5)
+    channels = F.when(F.col("clip_id") % 2 == 0, F.array(y)).otherwise(F.array(y, F.transform("y", lambda v: -v / 10)))
+    clips = clips_e(spark, sf_dir).select(F.concat(F.lit("of-events/"), "clip_id", F.lit(".wav")).alias("name"), pick(WAV_RATES, 3).alias("sr"), pick(WAV_WIDTHS, 4).alias("width"), channels.alias("y"))
+    wav.register(spark)
+    folder = shared_folder(spark, "wav")
+    clips.write.format("wav").mode("append").save(folder)
+    back = spark.read.format("wav").schema(wav.SCHEMA.replace("float", "double")).option("chunk", 32).load(folder)
+    rows = back.select(F.regexp_extract("filepath", r"(\d+)\.wav$", 1).cast("long").alias("clip_id"), "sr", "channels", "width", "n", "start", F.posexplode("y").alias("j", "x"))
+    return rows.select("clip_id", "sr", "channels", "width", "n", "start", (F.col("start") + F.col("j")).alias("i"), r6("x").alias("x"))
+
+
 #: The query that entry() runs.
 FLAGSHIP = "vad_segments"

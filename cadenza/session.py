@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The state store that timers and maps of state need, for spark.sql.streaming.stateStore.providerClass.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The folder that holds the package; Python workers import it from there.
 ROOT = str(Path(__file__).resolve().parent.parent)
 

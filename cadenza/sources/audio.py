@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import wave
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,33 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.dsp import resample
+from cadenza.sources import wav
 
 
 def decode(content: bytes, sr: int, mono: bool = True) -> np.ndarray:
     """Samples from -1 to 1, the mean of the channels (or the first), at a rate of sr."""
-    with wave.open(io.BytesIO(content)) as f:
-        width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
-        raw = f.readframes(f.getnframes())
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8) - 128.0) / 128
-    elif width == 3:
-        parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((parts[:, 2] << 24 | parts[:, 1] << 16 | parts[:, 0] << 8) >> 8) / 2.0**23
-    else:
-        x = np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
-    x = x.reshape(-1, channels)
-    return resample(x.mean(axis=1) if mono else x[:, 0], rate, sr).astype(np.float32)
-
-
-def encode(y: np.ndarray, sr: int) -> bytes:
-    """16-bit PCM, one channel; samples beyond -1 and 1 are cut."""
-    out = io.BytesIO()
-    with wave.open(out, "wb") as f:
-        f.setnchannels(1)
-        f.setsampwidth(2)
-        f.setframerate(sr)
-        f.writeframes(np.round(np.clip(y, -1, 1) * 32767).astype("<i2").tobytes())
-    return out.getvalue()
+    h = wav.header(io.BytesIO(content), len(content))
+    x = wav.samples(content[h.at : h.at + h.n * h.frame], h)
+    return resample(x.mean(axis=1) if mono else x[:, 0], h.sr, sr).astype(np.float32)
 
 
 def decoded(files: DataFrame, sr: int = 16000, mono: bool = True, content: str = "content") -> DataFrame:
@@ -73,26 +53,13 @@ def encoded(clips: DataFrame, sr: int = 16000, samples: str = "y") -> DataFrame:
     """clips with content, the bytes of a WAV file, in place of their samples."""
 
     def run(y: pd.Series) -> pd.Series:
-        return y.map(lambda v: None if v is None else encode(np.asarray(v, float), sr))
+        return y.map(lambda v: None if v is None else wav.encoded(np.asarray(v, float), sr))
 
     return clips.withColumn("content", F.pandas_udf(run, "binary")(samples)).drop(samples)
 
 
 def write_wav(clips: DataFrame, folder: str, sr: int = 16000, name: str = "name", samples: str = "y") -> None:
-    """One file for each row, below a folder that all executors share; folders are made as needed."""
-    spark = clips.sparkSession
-
-    def save(rows) -> None:
-        from pathlib import Path
-
-        for r in rows:
-            path = Path(folder.removeprefix("file://")) / r[0]
-            path.parent.mkdir(parents=True, exist_ok=True)
-            part = path.with_name(f".{path.name}.part")  # a task that runs again replaces the file whole
-            part.write_bytes(r[1])
-            part.replace(path)
-
-    if "://" in folder and not folder.startswith("file://"):
-        raise ValueError("write encoded() as Parquet where files can't be opened")
-    assert spark
-    encoded(clips, sr, samples).select(name, "content").foreachPartition(save)
+    """One file for each row, below a folder that all executors share; files of the same names are replaced."""
+    wav.register(clips.sparkSession)
+    rows = clips.select(F.col(name).alias("name"), F.col(samples).alias("y"), F.lit(sr).alias("sr"))
+    rows.write.format("wav").mode("append").option("replace", "true").save(folder)

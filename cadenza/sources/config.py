@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Data:
@@ -106,3 +108,10 @@ def read_config(path: str) -> Config:
 
     with open(path) as f:
         return from_dict(yaml.safe_load(f))
+
+
+def load_config(spark: SparkSession, path: str) -> Config:
+    """The same from any file system that Spark reads; a folder of one text file too."""
+    import yaml
+
+    return from_dict(yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]))

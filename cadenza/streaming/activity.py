@@ -4,7 +4,8 @@ State is kept by clip: whether activity is on, where its run began, and frames t
 their turn. Frames are taken in order, whatever order they come in; a run is reported once it ends.
 A clip's length n may come with its frames or, where a source doesn't know it before, in a closing
 row of its own (f null); once all its frames are taken, the last run is reported and the state goes.
-Without a length a clip stays open: state never expires by itself.
+Without a length a clip stays open: state never expires by itself in streamed_segments(); idle_segments()
+closes clips by timers.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from cadenza.operators.activity import Thresholds
 
@@ -58,3 +60,98 @@ def streamed_segments(frames: DataFrame, length: int, hop: int, limits: Threshol
 def read_frames(frames: DataFrame, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of frame statistics from Parquet files below path, with the columns of frames."""
     return frames.sparkSession.readStream.schema(frames.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+class IdleClips(StatefulProcessor):
+    """Takes a clip's frames in their order and closes it once it has been idle for some time.
+
+    State: `run` (whether activity is on, where its run began, the next frame, the clip's length if it is known),
+    and `waiting`, a map of the frames that came before their turn, one entry each, of which only those whose
+    turn it is are read. An event-time timer is set `idle` after the latest frame's time.
+    """
+
+    def __init__(self, length: int, hop: int, limits: Thresholds, idle_ms: int) -> None:
+        self.length, self.hop, self.limits, self.idle = length, hop, limits, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "on BOOLEAN, begun INT, next INT, n INT, due BIGINT")
+        self.waiting = handle.getMapState("waiting", "f INT", "ste DOUBLE, zcr DOUBLE")
+
+    def frame(self, f: int, ste: float, zcr: float, on: bool, begun: int, found: list) -> tuple[bool, int]:
+        if not on and (ste > self.limits.energy_hi or zcr > self.limits.zcr_hi):
+            return True, f
+        if on and ste < self.limits.energy_lo and zcr < self.limits.zcr_lo:
+            found.append((begun, f))
+            return False, begun
+        return on, begun
+
+    def rows(self, key: tuple, found: list, n: int | None) -> Iterator[pd.DataFrame]:
+        if found:
+            ends = [b * self.hop + self.length for _, b in found]
+            yield pd.DataFrame({"clip_id": [key[0]] * len(found), "seg_start": [a * self.hop for a, _ in found], "seg_end": [e if n is None else min(e, n) for e in ends]})
+
+    def state(self) -> tuple:
+        return self.run.get() if self.run.exists() else (False, 0, 0, None, None)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        on, begun, at, n, due = self.state()
+        latest, found = None, []
+        for part in rows:
+            for f, size, ste, zcr, when in part[["f", "n", "ste", "zcr", "at"]].itertuples(index=False):
+                n = n if pd.isna(size) else int(size)
+                ms = int(when.timestamp() * 1000)
+                latest = ms if latest is None else max(latest, ms)
+                if not pd.isna(f) and f >= at:
+                    self.waiting.updateValue((int(f),), (float(ste), float(zcr)))
+        while self.waiting.containsKey((at,)):
+            ste, zcr = self.waiting.getValue((at,))
+            self.waiting.removeKey((at,))
+            on, begun = self.frame(at, ste, zcr, on, begun, found)
+            at += 1
+        if n is not None and at >= (1 if n < self.length else (n - self.length) // self.hop + 1):
+            found += [(begun, at)] if on else []
+            self.forget(due)
+        else:
+            if latest is not None and (due is None or latest + self.idle > due):
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                due = latest + self.idle
+                self.handle.registerTimer(due)
+            self.run.update((on, begun, at, n, due))
+        yield from self.rows(key, found, n)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        on, begun, at, n, _ = self.state()
+        found: list[tuple[int, int]] = []
+        # frames that never came keep the state as it is
+        for (f,), (ste, zcr) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+            on, begun = self.frame(f, ste, zcr, on, begun, found)
+            at = f + 1
+        found += [(begun, at)] if on else []
+        self.forget(None)
+        yield from self.rows(key, found, n)
+
+    def forget(self, due: int | None) -> None:
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.run.clear()
+        self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def idle_segments(frames: DataFrame, length: int, hop: int, limits: Thresholds, idle: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+    """(clip_id, seg_start, seg_end) of a stream of (clip_id, n, f, ste, zcr, at), at being a frame's time.
+
+    As streamed_segments, but a clip that nothing came of for `idle` (by event time) is closed: frames that are
+    missing are passed over, the last run is reported and all its state goes, so what is kept is what the clips of
+    the last so many minutes need. Frames later than `late` behind the latest of the stream may be dropped; one
+    that comes for a closed clip begins it anew. Needs the RocksDB state store (session.ROCKSDB).
+    """
+    kind = frames.schema["clip_id"].dataType.simpleString()
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return frames.withWatermark("at", late).groupBy("clip_id").transformWithStateInPandas(
+        IdleClips(length, hop, limits, ms), f"clip_id {kind}, seg_start INT, seg_end INT", "append", "EventTime"
+    )

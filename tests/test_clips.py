@@ -212,6 +212,28 @@ def test_workers_that_meet_each_step_are_one(spark):
     assert again.history[1]["loss"] == pytest.approx(one.history[1]["loss"], rel=1e-3)
 
 
+def test_ring_sums(spark):
+    """Every task of a barrier stage gets the same sums, in shares that don't divide evenly."""
+    import pyarrow as pa
+
+    from cadenza.plans.ring import Ring
+
+    def run(parts):
+        from pyspark import TaskContext
+
+        k = TaskContext.get().partitionId()
+        for _ in parts:
+            pass
+        with Ring() as ring:
+            sums = [ring.sum(np.arange(n) * (k + 1.0)) for n in (1, 2, 7, 100_003)]
+        yield pa.RecordBatch.from_arrays([pa.array([float(s.sum()) for s in sums]), pa.array([int(hash(s.tobytes())) for s in sums])], ["s", "h"])
+
+    for w in (1, 2, 3, 4):
+        got = spark.range(40).repartition(w).mapInArrow(run, "s double, h long", barrier=True).collect()
+        want = [sum(range(n)) * w * (w + 1) / 2 for n in (1, 2, 7, 100_003)]
+        assert len(got) == 4 * w and all([r.s for r in got[4 * k : 4 * k + 4]] == pytest.approx(want) for k in range(w))
+
+
 def test_command_lines(spark, tmp_path, capsys):
     from cadenza.__main__ import main
 
