@@ -8,11 +8,14 @@ loss mask.
 
 Turns stay rows until their prefix sums are known: they are dealt by range of (conversation, turn), so
 even one conversation of all rows is summed by many tasks, and each range adds what the ranges before
-hold of its first conversation. Spans are then chosen in chunks of CHUNK budgets, which bounds what
-one row holds; a chunk begins a span. Only the last turns of a chunk go to the next one too, as history.
+hold of its first conversation. Spans are then chosen in chunks of so many budgets (a parameter), which bounds
+what one row holds; a chunk begins a span. Only the last turns of a chunk go to the next one too, as history.
 
-Tokens are counted by a column of the caller's, or else estimated: four letters, three digits or one
-mark each, rounded up for each word, which a public byte-level vocabulary seldom exceeds in Latin prose.
+A turn's tokens are a bound that no byte-level tokenizer exceeds which cuts texts at words as that of the
+vocabulary does: a word that is one entry of the vocabulary is one token, and anything else has as many tokens
+as bytes at most. It is taken of the turn as it is written, with its marks, and turns are cut apart at their
+ends, so the tokens of a window of several turns are within the budget. Without a vocabulary each byte counts.
+Or else tokens are counted by a column of the caller's.
 
 Defined results: a null text or role is empty; turns are ordered by number, then role and text
 (nulls first), so repeated turn numbers are all kept; a turn larger than what the system turn leaves of
@@ -22,19 +25,24 @@ empty and have further columns.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import scratch, stage
+from cadenza.llm.common import remove, scratch, stage
 
 # Fixed strings of the template.
 HEAD, END = "### ", "</turn>"
+FOOT = f"\n{END}\n"
 CONTROL = "(### |</turn>)"
-#: Tokens that a turn's marks count for.
+#: Tokens that a turn's marks count for, where the caller counts those of its text.
 MARK_TOKENS = 4
-#: Budgets of tokens in which spans are chosen together.
-CHUNK = 16
+#: How a byte-level tokenizer cuts a text before it looks up its vocabulary (runs of spaces: into more parts here). Fixed value.
+PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+#: Entries of the vocabulary that are known as words, the most frequent ones first.
+KNOWN = 16_384
 
 
 def escape(text: Column) -> Column:
@@ -46,17 +54,33 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<!\\)\\(\\*+)" + CONTROL, "$1$2")
 
 
-def tokens(text: Column) -> Column:
-    """An estimate of a text's tokens, within the JVM; see above."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]{1,4}|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]"))
+def known_words(vocabulary: str, most: int = KNOWN) -> list[str]:
+    """The first words (of A-Z and a-z, with a space before or not) of a tokenizer's file that it makes one token of."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    found = sorted((k, w.replace("\u0120", " ")) for w, k in tokenizer.get_vocab(with_added_tokens=False).items() if re.fullmatch("\u0120?[A-Za-z]+", w))
+    words = [w for _, w in found[:most]]
+    return [w for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True) if len(e.ids) == 1]
+
+
+def with_tokens(turns: DataFrame, text: Column, known: list[str], out: str) -> DataFrame:
+    """turns with out, a bound of a text's tokens, within the JVM; see above."""
+    if not known:
+        return turns.withColumn(out, F.octet_length(text).cast("long"))
+    turns = turns.withColumn("__pieces", F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)))
+    listed = ", ".join(f"'{w}'" for w in known)  # a hashed set in the plan
+    return turns.withColumn(out, F.expr(f"aggregate(__pieces, 0L, (n, p) -> n + CASE WHEN p IN ({listed}) THEN 1 ELSE octet_length(p) END)")).drop("__pieces")
 
 
-def placed_turns(turns: DataFrame, count: Column | None, path: str) -> DataFrame:
+def placed_turns(turns: DataFrame, count: Column | None, known: list[str], path: str) -> DataFrame:
     """(conv_id, place, before, role, head, body, tokens): place and tokens before each turn in its conversation."""
-    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    size = (tokens(text) if count is None else count).cast("long") + MARK_TOKENS
     order = ["turn", "role", "text"]
-    dealt = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), size.alias("tokens")).repartitionByRange("conv_id", *order)
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *([] if count is None else [(count + MARK_TOKENS).cast("long").alias("tokens")]))
+    rows = rows.withColumns({"head": F.concat(F.lit(HEAD), F.url_encode("role"), F.lit(": ")), "body": escape(F.col("text"))})
+    if count is None:
+        rows = with_tokens(rows, F.concat("head", "body", F.lit(FOOT)), known, "tokens")
+    dealt = rows.repartitionByRange("conv_id", *order)
     dealt = stage(dealt.withColumn("part", F.spark_partition_id()), f"{path}/turns")
     sums = dealt.groupBy("part", "conv_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("turns"))
     earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -64,19 +88,17 @@ def placed_turns(turns: DataFrame, count: Column | None, path: str) -> DataFrame
     # a range begins inside one conversation at most: one row a range
     offsets = F.broadcast(offsets.where("off is not null"))
     here = W.partitionBy("part", "conv_id").orderBy(*order)
-    head = F.concat(F.lit(HEAD), F.url_encode("role"), F.lit(": "))
     own = dealt.withColumns({"upto": F.sum("tokens").over(here.rowsBetween(W.unboundedPreceding, 0)), "nth": F.row_number().over(here) - 1})
     own = own.join(offsets, (F.col("part") == F.col("o_part")) & F.col("conv_id").eqNullSafe(F.col("o_id")), "left")
     off = lambda c: F.coalesce(c, F.lit(0))
     return own.select(
         "conv_id", (F.col("nth") + off("off_turns")).alias("place"), (F.col("upto") - F.col("tokens") + off("off")).alias("before"),
-        "role", head.alias("head"), escape(F.col("text")).alias("body"), "tokens",
+        "role", "head", "body", "tokens",
     )
 
 
-def chunks_of(placed: DataFrame, budget: int, history_tokens: int) -> DataFrame:
+def chunks_of(placed: DataFrame, size: int, history_tokens: int) -> DataFrame:
     """(conv_id, turns, first, system): a chunk's turns in order, where its own begin, and the conversation's system turn."""
-    size = CHUNK * budget
     at = (F.col("before") / size).cast("long")
     # the turns that a chunk's first ones may repeat
     reach = ((F.col("before") + history_tokens) / size).cast("long")
@@ -115,14 +137,20 @@ def with_spans(chunks: DataFrame, budget: int, history: int, history_tokens: int
     return chunks.withColumn("spans", F.transform("spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), back(s).alias("back"))))
 
 
-def format_chat(turns: DataFrame, budget: int = 1024, history: int = 2, history_tokens: int = 256, count: Column | None = None) -> DataFrame:
+def format_chat(
+    turns: DataFrame, budget: int = 1024, history: int = 2, history_tokens: int = 256, count: Column | None = None, vocabulary: str | None = None, chunk: int = 16
+) -> DataFrame:
     """One row a window: conv_id, window, text, n_repeated, loss (start and length, in characters of text).
 
     window: the place of its first new turn in the conversation; n_repeated: the turns at the front that
-    are not new (system turn and history); count: a column of turns, their tokens.
+    are not new (system turn and history); count: a column of turns, their tokens; vocabulary: the file of the
+    tokenizer whose tokens are bounded; chunk: budgets in which spans are chosen together, each of which begins a span.
     """
-    placed = stage(placed_turns(turns, count, path := scratch(turns.sparkSession, "chat")), f"{path}/placed")
-    chunks = with_spans(chunks_of(placed, budget, history_tokens), budget, history, history_tokens)
+    path = scratch(turns.sparkSession, "chat")
+    known = known_words(vocabulary) if vocabulary and count is None else []
+    placed = stage(placed_turns(turns, count, known, path), f"{path}/placed")
+    remove(turns.sparkSession, f"{path}/turns")
+    chunks = with_spans(chunks_of(placed, chunk * budget, history_tokens), budget, history, history_tokens)
     part = lambda t: F.struct(t["role"].alias("role"), t["head"].alias("head"), t["body"].alias("body"))
     none = F.transform(F.slice("turns", 1, 0), part)
 
@@ -133,9 +161,8 @@ def format_chat(turns: DataFrame, budget: int = 1024, history: int = 2, history_
         return F.struct(place.alias("window"), shown.alias("shown"), (repeats.cast("int") + s["from"] - s["back"]).alias("n_repeated"))
 
     out = chunks.select("conv_id", F.inline(F.transform("spans", window)))
-    foot = F.lit(f"\n{END}\n")
-    text = F.array_join(F.transform("shown", lambda t: F.concat(t["head"], t["body"], foot)), "")
-    size = lambda t: F.char_length(t["head"]) + F.char_length(t["body"]) + len(f"\n{END}\n")
+    text = F.array_join(F.transform("shown", lambda t: F.concat(t["head"], t["body"], F.lit(FOOT))), "")
+    size = lambda t: F.char_length(t["head"]) + F.char_length(t["body"]) + len(FOOT)
     ends = F.aggregate("shown", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + size(t))))
     out = out.withColumn("text", text).withColumn("ends", ends)
     new = F.filter(F.sequence(F.lit(0), F.size("shown") - 1), lambda i: (i >= F.col("n_repeated")) & (F.col("shown")[i]["role"] == "assistant"))

@@ -83,7 +83,7 @@ FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(PROBE))
-    back = chat.read_back(chat.format_chat(turns))
+    back = chat.read_back(chat.format_chat(turns, vocabulary=byte_bpe()))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return back.select(
@@ -138,7 +138,7 @@ QUERIES = {
     "op13_vector_dups": op13_vector_dups,
 }
 
-ORACLES = {
+SQL = {
     "op9_simhash": sql.NEAR_DUPLICATES,
     "op11_filter_audit": sql.FILTER_AUDIT,
     "op12_yinyang": sql.centroids(40, 5),
@@ -236,9 +236,15 @@ FROM ruled r LEFT JOIN host_odds h ON r.host = h.host LEFT JOIN shape_odds s ON
 WITH RECURSIVE own AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, p.turn, p.role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS p(turn, role)),
+-- tokens at most: one for a known word, bytes for any other piece
+known AS (SELECT unnest(string_split('KNOWN_WORDS', '|')) AS word),
+named AS (SELECT row_number() OVER () AS r, * FROM own),
+written AS (SELECT r, '### ' || role || ': ' || regexp_replace(text, '(\\*(?:### |</turn>))', '\\\1', 'g') || chr(10) || '</turn>' || chr(10) AS t FROM named),
+bounds AS (
+  SELECT r, sum(CASE WHEN word IS NULL THEN strlen(p) ELSE 1 END) AS tokens
+  FROM (SELECT r, unnest(regexp_extract_all(t, '''(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s')) AS p FROM written) LEFT JOIN known ON p = word GROUP BY r),
 sized AS (
-  SELECT *, len(regexp_extract_all(text, '[\p{L}\p{M}]{1,4}|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]')) + 4 AS tokens,
-    4 + len(role) + 2 + len(text) + len(regexp_extract_all(text, '### |</turn>')) + 9 AS chars FROM own),
+  SELECT conv_id, turn, role, text, CAST(tokens AS BIGINT) AS tokens, len(t) AS chars FROM named JOIN written USING (r) JOIN bounds USING (r)),
 placed AS (
   SELECT *, row_number() OVER w - 1 AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS before,
     coalesce(first_value(CASE WHEN role = 'system' THEN tokens END) OVER w, 0) AS s_tokens, coalesce(first_value(CASE WHEN role = 'system' THEN chars END) OVER w, 0) AS s_chars
@@ -283,3 +289,8 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """,
 }
+
+
+def oracles() -> dict[str, str]:
+    """The SQL of each query that has any; what comes from a vocabulary's file is written into it."""
+    return SQL | {"op8_chat_format": SQL["op8_chat_format"].replace("KNOWN_WORDS", "|".join(chat.known_words(byte_bpe())))}

@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +268,32 @@ def test_one_long_conversation(spark):
     assert at == n and len(windows) < 1.5 * n * 31 / 1024
 
 
+def test_windows_keep_the_budget(spark):
+    """By the tokenizer's own counts; only a turn that is larger by itself passes it, alone in its window."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    speech = ["今日は天気がいいので、公園まで歩いて行きました。", "मैं आज बाज़ार गया और ताज़े फल ख़रीदे।", "Das Wetter ist heute schön, wir gehen spazieren.", "<|endoftext|> 1234567 !!!??? x\u00a0y  \t\n", "qzxj vkwq 0x1F ### </turn>", "It's what they've said: plain words."]
+    rows = [(c, k, "system" if k == 0 else ("user", "assistant")[k % 2], " ".join(rng.choice(speech) if c > 5 else speech[c] for _ in range(rng.choice([1, 5, 20, 80])))) for c in range(12) for k in range(30)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    real = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text") if Path("/root/testdata/sf0.01").exists() else turns.limit(0)
+    tokenizer = Tokenizer.from_file(byte_bpe())
+    for some, budget in ((turns, 1024), (turns, 200), (real, 1024), (real, 300)):
+        windows = chat.format_chat(some, budget, 2, budget // 4, vocabulary=byte_bpe()).select("text", "n_repeated", F.size(chat.read_turns(F.col("text"))).alias("turns")).collect()
+        sizes = [len(e.ids) for e in tokenizer.encode_batch([w.text for w in windows], add_special_tokens=False)]
+        over = [w for w, n in zip(windows, sizes, strict=True) if n > budget]
+        assert all(w.turns - w.n_repeated == 1 and w.n_repeated <= 1 for w in over)
+        assert any(w.turns - w.n_repeated > 1 for w in windows)
+
+
+def test_known_words_are_single_tokens():
+    from tokenizers import Tokenizer
+
+    words = chat.known_words(byte_bpe(), 300)
+    assert len(words) == 300 and " the" in words and all(re.fullmatch(" ?[A-Za-z]+", w) for w in words)
+    assert all(len(e.ids) == 1 for e in Tokenizer.from_file(byte_bpe()).encode_batch(words, add_special_tokens=False))
+
+
 def test_escapes_are_reversible(spark):
     parts = ["\\", "### ", "</turn>", "\n", "x", "\\\\", "#"]
     texts = [a + b + c + e for a in parts for b in parts for c in parts for e in parts]
