@@ -113,16 +113,59 @@ def gammatone_response(sr: int, bands: int, fmin: float, n_fft: int) -> np.ndarr
     return respond(z) / np.abs(respond(np.exp(-1j * arg)))
 
 
+#: Share of a filter's impulse response that may be left out.
+TAIL = 1e-12
+
+
+@lru_cache
+def gammatone_taps(sr: int, bands: int, fmin: float) -> tuple[np.ndarray, float]:
+    """(bands by taps, bound): impulse responses, cut where less than TAIL of each one's absolute sum is left.
+
+    No filtered sample differs from the uncut filter's by more than the bound times the greatest sample.
+    """
+    h = np.fft.irfft(gammatone_response(sr, bands, fmin, n := gammatone_size(sr, fmin)), n)
+    left = np.cumsum(np.abs(h[:, ::-1]), axis=1)[:, ::-1]
+    keep = int((left > TAIL * left[:, :1]).sum(axis=1).max())
+    return h[:, :keep], float(left[:, keep].max()) if keep < n else 0.0
+
+
+def gammatone_size(sr: int, fmin: float) -> int:
+    """Samples after which the slowest band's response has died away (by e to the power of 60)."""
+    return 1 << ceil(np.log2(60 * sr / (2 * np.pi * 1.019 * 24.7 * (4.37 * fmin / 1000 + 1))))
+
+
+@lru_cache
+def gammatone_spectra(sr: int, bands: int, fmin: float, n_fft: int) -> np.ndarray:
+    return np.fft.rfft(gammatone_taps(sr, bands, fmin)[0], n_fft)
+
+
+def gammatone_levels(y: np.ndarray, first: int, last: int, start: int, sr: int, bands: int, fmin: float, win: int, hop: int, group: int = 64) -> np.ndarray:
+    """Bands by frames: root mean square of each band in frames first to last; y[0] is sample `start`, zeros beyond y.
+
+    By overlap-save: a group of frames is filtered with the samples before it that the filters reach back to, so
+    memory does not grow with the clip.
+    """
+    taps = gammatone_taps(sr, bands, fmin)[0].shape[1]
+    n_fft = 1 << (taps + (group - 1) * hop + win - 2).bit_length()
+    spectra, out = gammatone_spectra(sr, bands, fmin, n_fft), np.zeros((bands, max(0, last + 1 - first)))
+    for f in range(first, last + 1, group):
+        count = min(group, last + 1 - f)
+        size, low = (count - 1) * hop + win, f * hop - (taps - 1)
+        part = np.zeros(taps - 1 + size)
+        a, b = max(low, start), min(low + len(part), start + len(y))
+        if a < b:
+            part[a - low : b - low] = y[a - start : b - start]
+        sound = np.fft.irfft(np.fft.rfft(part, n_fft) * spectra, n_fft)[:, taps - 1 : taps - 1 + size]
+        sums = np.pad(np.cumsum(sound**2, axis=1), ((0, 0), (1, 0)))
+        at = np.arange(count) * hop
+        out[:, f - first : f - first + count] = np.sqrt(np.maximum(sums[:, at + win] - sums[:, at], 0) / win)
+    return out
+
+
 def gfcc(y: np.ndarray, sr: int, n_gfcc: int, n_filters: int, window_sec: float, hop_sec: float, fmin: float) -> np.ndarray:
     """Frames by coefficients: cosine transform of the log root mean square of gammatone bands."""
     win, hop = round(window_sec * sr), round(hop_sec * sr)
-    if len(y) < win:
-        y = np.pad(y, (0, win - len(y)))
-    n_fft = 1 << (2 * len(y) - 1).bit_length()
-    bands = np.fft.irfft(np.fft.rfft(y, n_fft) * gammatone_response(sr, n_filters, fmin, n_fft), n_fft)[:, : len(y)]
-    sums = np.pad(np.cumsum(bands**2, axis=1), ((0, 0), (1, 0)))
-    at = np.arange(1 + (len(y) - win) // hop) * hop
-    level = np.sqrt(np.maximum(sums[:, at + win] - sums[:, at], 0) / win)
+    level = gammatone_levels(y, 0, max(0, len(y) - win) // hop, 0, sr, n_filters, fmin, win, hop)
     return (cosines(n_filters, n_gfcc) @ np.log(np.where(level <= 0, 1e-12, level))).T
 
 

@@ -196,3 +196,24 @@ def resample(chunks: DataFrame, old: int, new: int, size: int = SIZE) -> DataFra
 
     kind = chunks.schema["clip_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"clip_id {kind}, chunk long, start long, n long, y array<double>").where(F.size("y") > 0)
+
+
+def gfcc(chunks: DataFrame, sr: int = 16000, n_gfcc: int = 32, n_filters: int = 64, window_sec: float = 0.025, hop_sec: float = 0.010, fmin: float = 50, size: int = SIZE) -> DataFrame:
+    """(clip_id, f, c): dsp.gfcc of whole clips, a row a frame, from the chunk in which the frame begins."""
+    win, hop = round(window_sec * sr), round(hop_sec * sr)
+    reach = dsp.gammatone_taps(sr, n_filters, fmin)[0].shape[1] - 1
+    rows = with_halo(chunks, reach, win, size).select("clip_id", "start", "n", "y")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                start, n, y = b.column(1)[k].as_py(), b.column(2)[k].as_py(), b.column(3)[k].values.to_numpy()
+                first, last = -(-start // hop), min((start + len(y) - reach - win - 1) // hop, max(0, n - win) // hop)
+                if last < first:
+                    continue
+                level = dsp.gammatone_levels(y, first, last, start - reach, sr, n_filters, fmin, win, hop)
+                c = (dsp.cosines(n_filters, n_gfcc) @ np.log(np.where(level <= 0, 1e-12, level))).T
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(c))), pa.array(range(first, last + 1), pa.int64()), pa.array(list(c), pa.list_(pa.float64()))], ["clip_id", "f", "c"])
+
+    kind = chunks.schema["clip_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"clip_id {kind}, f long, c array<double>")

@@ -39,6 +39,21 @@ def test_filters():
     assert centres[0] == pytest.approx(50) and (np.diff(centres) > 0).all()
 
 
+def test_gammatone_by_blocks():
+    """Cut impulse responses stay within their bound of the whole filter, in groups of frames of any size."""
+    for sr, bands, low, win, hop in ((8000, 6, 100.0, 200, 80), (16000, 64, 50.0, 400, 160)):
+        y = rng.normal(size=30_001)
+        taps, bound = dsp.gammatone_taps(sr, bands, low)
+        n_fft = 1 << 16
+        whole = np.fft.irfft(np.fft.rfft(y, n_fft) * np.fft.rfft(np.fft.irfft(dsp.gammatone_response(sr, bands, low, n_fft), n_fft)[:, : n_fft // 2], n_fft), n_fft)[:, : len(y)]
+        assert bound < 1e-9 and taps.shape[1] < 8192
+        last = (len(y) - win) // hop
+        want = np.stack([np.sqrt((whole[:, f * hop : f * hop + win] ** 2).mean(axis=1)) for f in range(last + 1)], axis=1)
+        for group in (1, 7, 64, 10_000):
+            got = dsp.gammatone_levels(y, 0, last, 0, sr, bands, low, win, hop, group) if group > 1 else dsp.gammatone_levels(y[:4000], 0, 40, 0, sr, bands, low, win, hop, 1)
+            assert np.abs(got - want[:, : got.shape[1]])[:, : 40 if group == 1 else None].max() < 1e-9
+
+
 def test_gammatone_matches_recurrence():
     """The product of spectra equals four second-order sections run sample by sample."""
     sr, y = 8000, rng.normal(size=600)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import dsp
-from cadenza.operators import activity, batching, chunks, framing, scans
+from cadenza.operators import activity, batching, chunks, framing, mergeable, scans
 from cadenza.session import ROCKSDB
 from cadenza.sources import wav
 from cadenza.streaming.activity import idle_segments, read_frames
@@ -113,6 +113,16 @@ def test_denoising_by_chunks(spark):
         assert len(want) == len(got.get(k, [])) and (not len(want) or np.abs(got[k] - want).max() < 1e-10) and n.get(k, 0) == len(want)
 
 
+def test_gammatone_coefficients_by_chunks(spark):
+    y, rows = clips(spark, (1, 15, 16, 17, 400, 511, 512, 513, 2000), 512)
+    got = {}
+    for r in chunks.gfcc(rows, 1600, 6, 8, 16 / 1600, 4 / 1600, 50, 512).collect():
+        got.setdefault(r.clip_id, {})[r.f] = r.c
+    for k, v in y.items():
+        want = dsp.gfcc(v, 1600, 6, 8, 16 / 1600, 4 / 1600, 50)
+        assert sorted(got[k]) == list(range(len(want))) and np.abs(np.array([got[k][f] for f in range(len(want))]) - want).max() < 1e-6
+
+
 @pytest.mark.parametrize("old,new", [(1600, 1000), (1600, 2400), (44100, 16000), (7, 5), (1600, 1600)])
 def test_resampling_by_chunks(spark, old, new):
     y, rows = clips(spark, LENGTHS, 128)
@@ -317,3 +327,28 @@ def test_idle_clips_are_closed(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     # the gap keeps the state on: one run of frames 1 to 5; known: frames 0 and 2, cut at the clip's end
     assert got == {("gap", 4, 40), ("known", 0, 20), ("known", 8, 24)}
+
+
+def test_moments_of_deliveries(spark, tmp_path, monkeypatch):
+    """Two deliveries equal one pass; a failed or repeated one counts once or not at all; large offsets lose nothing."""
+    values = 1e9 + rng.normal(size=400)
+    rows = spark.createDataFrame([(int(k) % 3 if k % 10 else None, float(v) if k % 7 else None, int(k)) for k, v in enumerate(values)], "key int, c double, i int")
+    kept = mergeable.Kept(spark, f"file://{tmp_path}/m", ["key"])
+    assert kept.read() is None
+    first, second = (mergeable.moments(rows.where(w), ["key"]) for w in ("i < 150", "i >= 150"))
+    kept.deliver(first, "a/b")
+    with monkeypatch.context() as m:
+        m.setattr(kept, "_files", lambda below, f=kept._files: (_ for _ in ()).throw(RuntimeError("lost")) if "=" in below else f(below))
+        with pytest.raises(RuntimeError):
+            kept.deliver(second, "c")
+    assert {r.key: r.n for r in kept.read().collect()} == {r.key: r.n for r in first.collect()}
+    kept.deliver(mergeable.moments(rows.limit(0), ["key"]), "empty")
+    kept.deliver(second, "c")
+    kept.deliver(second, "c")
+    for r in kept.read().collect():
+        own = np.array([v for k, v in enumerate(values) if k % 7 and (k % 3 if k % 10 else None) == r.key])
+        assert (r.n, r.mean) == (len(own), pytest.approx(own.mean(), rel=1e-15)) and r.m2 / r.n == pytest.approx(own.var(), rel=1e-6)
+    kept.drop_versions()
+    assert sorted(kept.versions().values()) == ["a/b", "c", "empty"] and kept.read().count() == 4
+    out = mergeable.standardised(rows, kept.read(), ["key"]).where("key is null and c is not null")
+    assert abs(out.agg(F.avg("c")).first()[0]) < 1e-5 and out.agg(F.stddev_pop("c")).first()[0] == pytest.approx(1, rel=1e-4)
