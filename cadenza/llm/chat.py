@@ -77,10 +77,11 @@ def placed_turns(turns: DataFrame, count: Column | None, known: list[str], path:
     """(conv_id, place, before, role, head, body, tokens): place and tokens before each turn in its conversation."""
     order = ["turn", "role", "text"]
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *([] if count is None else [(count + MARK_TOKENS).cast("long").alias("tokens")]))
-    rows = rows.withColumns({"head": F.concat(F.lit(HEAD), F.url_encode("role"), F.lit(": ")), "body": escape(F.col("text"))})
-    if count is None:
-        rows = with_tokens(rows, F.concat("head", "body", F.lit(FOOT)), known, "tokens")
+    # ranges are found from the rows as they come; what is made of them is made after that, once
     dealt = rows.repartitionByRange("conv_id", *order)
+    dealt = dealt.withColumns({"head": F.concat(F.lit(HEAD), F.url_encode("role"), F.lit(": ")), "body": escape(F.col("text"))})
+    if count is None:
+        dealt = with_tokens(dealt, F.concat("head", "body", F.lit(FOOT)), known, "tokens")
     dealt = stage(dealt.withColumn("part", F.spark_partition_id()), f"{path}/turns")
     sums = dealt.groupBy("part", "conv_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("turns"))
     earlier = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)

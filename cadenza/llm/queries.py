@@ -70,7 +70,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, changed = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
     changed = changed.select("row", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     return base.join(changed, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "longest"
     )
 
 
@@ -284,13 +284,15 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM windows WHER
 kept AS (
   SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS txt, count(*) AS n
   FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) t
-  ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.p = gone.p GROUP BY t.doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
-FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+  ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.p = gone.p GROUP BY t.doc_id),
+DOUBLINGS
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN longest ON d.doc_id = longest.doc_id
 """,
 }
 
 
 def oracles() -> dict[str, str]:
     """The SQL of each query that has any; what comes from a vocabulary's file is written into it."""
-    return SQL | {"op8_chat_format": SQL["op8_chat_format"].replace("KNOWN_WORDS", "|".join(chat.known_words(byte_bpe())))}
+    doubled = SQL["op7_substring_dedup"].replace("DOUBLINGS", sql.doublings(20, 11))
+    return SQL | {"op7_substring_dedup": doubled, "op8_chat_format": SQL["op8_chat_format"].replace("KNOWN_WORDS", "|".join(chat.known_words(byte_bpe())))}

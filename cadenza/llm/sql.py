@@ -153,3 +153,15 @@ SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(
   CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
 FROM a{last} JOIN own ON a{last}.r = own.r JOIN c{last} ON best.c = c{last}.c
 """
+
+
+def doublings(window: int, levels: int) -> str:
+    """longest (doc_id, longest): the greatest doubling of window at which a window of d (doc_id, w) is repeated."""
+    out = f"""w0 AS (SELECT doc_id, s AS p, array_to_string(list_slice(w, s, s + {window - 1}), ' ') AS x, '' AS y FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS s FROM d WHERE len(w) >= {window}))"""
+    for k in range(levels):
+        out += f""",
+i{k} AS (SELECT x, y, row_number() OVER () AS id FROM w{k} GROUP BY x, y HAVING count(*) > 1),
+r{k} AS MATERIALIZED (SELECT doc_id, p, id FROM w{k} JOIN i{k} USING (x, y)),
+w{k + 1} AS (SELECT a.doc_id, a.p, a.id AS x, b.id AS y FROM r{k} a JOIN r{k} b ON a.doc_id = b.doc_id AND b.p = a.p + {window << k})"""
+    every = " UNION ALL ".join(f"SELECT doc_id, {window << k} AS l FROM r{k}" for k in range(levels))
+    return f"{out},\nlongest AS (SELECT doc_id, max(l) AS longest FROM ({every}) GROUP BY doc_id)"

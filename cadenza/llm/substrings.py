@@ -4,17 +4,20 @@ Level one are windows of half the length. They are not taken at every word: of t
 inside each full window the one with the least hash is its anchor, so equal full windows have equal
 anchors wherever they stand, and one half window in six is enough. Only full windows whose anchor is
 repeated are extended to the full length; of those that repeat, every one but the first loses its
-words. Longer levels would not remove another word, so removal ends at the full length;
-`repeated_lengths` doubles further for as long as any window is still repeated.
+words. Then windows that are repeated, and whose neighbour one length on is repeated too, are extended to
+twice that length, again and again, until no candidates survive. Longer levels remove no further word (their
+words are in repeated windows of the full length already); they give each document the longest length at
+which a window of it is repeated. An extended window's hash is made of its halves', so texts are read for
+the first two levels alone.
 
 Texts of equal words are one text: the first row stands for all, and the others lose every window.
 A task sends each level's windows sorted, in packets by range of their hash, each different window
 once, so a passage that very many documents share arrives once a task and not once a document. A
-range finds the windows that several texts have (level one), or all but the first document with a
-window (level two), and answers with those alone.
+range finds the windows that several texts have (level one), or which windows are repeated and which of
+these are not the first (later levels), and answers with those alone.
 
-Words have 128-bit hashes. Candidates are told by 64 bits of them, where a collision costs time
-alone; windows whose words are removed by 96.
+Words have 128-bit hashes. Candidates of level one are told by 64 bits of them and different texts by 63, so
+that a collision costs time, or with odds of 2 to the 63 a window; windows whose words are removed by 128.
 
 Defined results: a null text has no words; texts with fewer words than a window keep all; a null id
 counts as larger than any other; rows that share an id are ordered by a hash of their text, and of
@@ -228,7 +231,7 @@ class Anchors:
         order = np.argsort(keys, kind="stable")
         doc, keys = doc[order], keys[order]
         rows = np.array([r for _, r in self.owners], np.int64)
-        tids = np.frombuffer(b"".join(d[:6] + b"\0\0" for d in self.texts), np.uint64) | np.uint64(1)
+        tids = np.frombuffer(b"".join(d[:8] for d in self.texts), np.uint64) | np.uint64(1)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         times = np.diff(np.append(first, len(keys)))
         many = np.repeat(times > 1, times)
@@ -309,76 +312,156 @@ def first_level(docs: DataFrame, window: int, path: str) -> tuple[DataFrame, Dat
 
 
 def candidates(documents: DataFrame, anchors: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(firsts, found): the first row of each different text; and of those with repeated anchors doc_id,
-    text_key, rank (a number in order of id and text_key), row and anchors."""
+    """(firsts, found): the first row of each different text and how many rows have it; and of those with
+    repeated anchors doc_id, text_key, rank (a number in order of id and text_key), row and anchors."""
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key", "row")
-    firsts = stage(documents.groupBy("sha").agg(F.min(order).alias("f")).select("f.*"), f"{path}/firsts")
+    firsts = stage(documents.groupBy("sha").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("copies")).select("f.*", "copies"), f"{path}/firsts")
     # a document has no more anchors than words
     by_row = anchors.groupBy("row").agg(F.collect_list("hash").alias("anchors"))
     found = by_row.join(firsts, "row").repartitionByRange("no_id", "doc_id", "text_key").sortWithinPartitions("no_id", "doc_id", "text_key")
     # partitions are ranges in order, so these numbers are in order too
     found = found.select("doc_id", "text_key", F.monotonically_increasing_id().alias("rank"), "row", "anchors")
-    return firsts.select("row"), stage(found, f"{path}/candidates")
+    return firsts.select("row", "copies"), stage(found, f"{path}/candidates")
 
 
-def later(texts: DataFrame, window: int, n_windows: int, path: str) -> DataFrame:
-    """(rank, places): packed places of the windows that also start earlier; texts: rank, anchors, text."""
+def by_rank(rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Texts, and of each its places, packed."""
+    order = np.lexsort((pos, rank))
+    rank, pos = rank[order], pos[order].astype(np.uint32)
+    first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.array([], int)
+    return rank[first], [packed(np.diff(p, prepend=np.uint32(0))) for p in np.split(pos, first[1:])] if len(rank) else []
+
+
+def places_of(data: bytes) -> np.ndarray:
+    return np.cumsum(numbers(data, np.uint32)).astype(np.int64)
+
+
+def repeated(rank: np.ndarray, pos: np.ndarray, keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, mask in that order of each window's first, and of those firsts that others repeat)."""
+    order = np.lexsort((pos, rank, others, keys))
+    k, o = keys[order], others[order]
+    first = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])) if len(order) else np.array([], bool)
+    return order, first, first & np.append(~first[1:], False) if len(order) else first
+
+
+def told(order: np.ndarray, masks: dict[bool, np.ndarray], rank: np.ndarray, pos: np.ndarray) -> tuple[list, list, list]:
+    """(ranks, late, places) of the windows in each mask."""
+    out: tuple[list, list, list] = ([], [], [])
+    for late, mask in masks.items():
+        ranks, places = by_rank(rank[order[mask]], pos[order[mask]])
+        for part, more in zip(out, (ranks.tolist(), [late] * len(ranks), places), strict=True):
+            part.extend(more)
+    return out
+
+
+STATE = "rank long, n long, places binary, keys binary, others binary"
+
+
+def state_rows(ranks: np.ndarray, doc: np.ndarray, pos: np.ndarray, keys: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
+    """A row for each text that has windows; doc: numbers of texts in order, each one's windows in order of place."""
+    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.array([], int)
+    parts = [np.split(x, cuts[1:]) if len(doc) else [] for x in (pos.astype(np.uint32), keys, others)]
+    cols = [ranks[doc[cuts]] if len(doc) else ranks[:0], np.diff(np.append(cuts, len(doc))), [packed(np.diff(p, prepend=np.uint32(0))) for p in parts[0]], *([packed(x) for x in p] for p in parts[1:])]
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["rank", "n", "places", "keys", "others"])
+
+
+def windows_of(texts: DataFrame, window: int) -> DataFrame:
+    """STATE of the windows whose half is repeated; texts: rank, anchors, text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (ranks, anchors), words in some_words(batches, 2):
+            yield state_rows(np.array(ranks, np.int64), *Block(words, window).windows(anchors))
+
+    return texts.select("rank", "anchors", "text").mapInArrow(run, STATE)
+
+
+def repeats(state: DataFrame, n_windows: int) -> DataFrame:
+    """(rank, late, places): packed places of windows that are repeated: late if they also start earlier."""
     bits = range_bits(n_windows, RANGE_WINDOWS)
-    names = ("kind", "rank", "places", "range", "keys", "others", "ranks", "at")
-    types = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 4)
-
-    def by_rank(rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        order = np.lexsort((pos, rank))
-        rank, pos = rank[order], pos[order].astype(np.uint32)
-        first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.array([], int)
-        return rank[first], [packed(np.diff(p, prepend=np.uint32(0))) for p in np.split(pos, first[1:])] if len(rank) else []
-
-    def firsts(rank: np.ndarray, keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order, mask in that order of each window's first); windows of one document come in order of place."""
-        order = np.lexsort((rank, others, keys))
-        k, o = keys[order], others[order]
-        return order, np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))
-
-    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    names = ("range", "rank", "late", "places", "keys", "others", "ranks", "at")
+    types = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5)
+
+    def send(held: list[tuple], task: int) -> Iterator[pa.RecordBatch]:
         rank, pos, keys, others = (np.concatenate(x) for x in zip(*held, strict=True))
-        if not len(keys):
-            return
-        order, first = firsts(rank, keys, others)
-        ranks, places = by_rank(rank[order[~first]], pos[order[~first]])
-        n, none = len(ranks), [None] * len(ranks)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([0] * n, ranks, places, *[none] * 5), types, strict=True)], names)
+        order, first, early = repeated(rank, pos, keys, others)
+        # what a task knows by itself goes along as it is, in a range of its own
+        ranks, late, places = told(order, {True: ~first, False: early}, rank, pos)
+        none = [None] * len(ranks)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([-1 - task] * len(ranks), ranks, late, places, *[none] * 4), types, strict=True)], names)
         at = order[first]
         found, start, end = ranges(keys[at], bits)
         cut = lambda pack, v: [pack(v[at[a:z]]) for a, z in zip(start, end, strict=True)]
         none = [None] * len(found)
-        cols = ([1] * len(found), none, none, found, cut(packed_keys, keys), cut(packed, others), cut(packed, rank), cut(packed, pos.astype(np.uint32)))
+        cols = (found, none, none, none, cut(packed_keys, keys), cut(packed, others), cut(packed, rank), cut(packed, pos.astype(np.uint32)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for (ranks, anchors), words in some_words(batches, 2):
-            doc, pos, keys, others = Block(words, window).windows(anchors)
-            held.append((np.array(ranks, np.int64)[doc], pos, keys, (others >> np.uint64(32)).astype(np.uint32)))
-            size += len(pos)
-            if size >= SENT:
-                yield from send(held)
-                held, size = [], 0
-        if held:
-            yield from send(held)
+        from pyspark import TaskContext
 
-    schema = "kind int, rank long, places binary, range long, keys binary, others binary, ranks binary, at binary"
-    texts.select("rank", "anchors", "text").mapInArrow(run, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/windows")
-    sent = texts.sparkSession.read.schema(schema).parquet(f"{path}/windows")
+        task, held, size = TaskContext.get().partitionId(), [], 0
+        for b in batches:
+            for rank, n, places, keys, others in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append((np.full(n, rank), places_of(places), numbers(keys, np.uint64), numbers(others, np.uint64)))
+                size += n
+                if size >= SENT:
+                    yield from send(held, task)
+                    held, size = [], 0
+        if held:
+            yield from send(held, task)
 
     def answer(t: pa.Table) -> pa.Table:
+        if t.column("range")[0].as_py() < 0:
+            return t.select(["rank", "late", "places"])
         keys = np.concatenate([unpacked_keys(k) for k in t.column("keys").to_pylist()])
-        others, rank, pos = (np.concatenate([numbers(x, k) for x in t.column(c).to_pylist()]) for c, k in (("others", np.uint32), ("ranks", np.int64), ("at", np.uint32)))
-        order, first = firsts(rank, keys, others)
-        ranks, places = by_rank(rank[order[~first]], pos[order[~first]])
-        return pa.table({"rank": pa.array(ranks, pa.int64()), "places": pa.array(places, pa.binary())})
+        others, rank, pos = (np.concatenate([numbers(x, k) for x in t.column(c).to_pylist()]) for c, k in (("others", np.uint64), ("ranks", np.int64), ("at", np.uint32)))
+        order, first, early = repeated(rank, pos, keys, others)
+        ranks, late, places = told(order, {True: ~first, False: early}, rank, pos)
+        return pa.table({"rank": pa.array(ranks, pa.int64()), "late": pa.array(late, pa.bool_()), "places": pa.array(places, pa.binary())})
+
+    sent = state.mapInArrow(run, "range long, rank long, late boolean, places binary, keys binary, others binary, ranks binary, at binary")
+    return sent.groupBy("range").applyInArrow(answer, "rank long, late boolean, places binary")
+
+
+def joined(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of windows from those of their halves."""
+    out = (a * np.uint64(step)) ^ (b + np.uint64(STEPS[0]) + (a >> np.uint64(7)))
+    out = (out ^ (out >> np.uint64(30))) * MIX_A
+    out = (out ^ (out >> np.uint64(27))) * MIX_B
+    return out ^ (out >> np.uint64(31))
 
-    replies = sent.where("kind = 1").select("range", "keys", "others", "ranks", "at").groupBy("range").applyInArrow(answer, "rank long, places binary")
-    return sent.where("kind = 0").select("rank", "places").unionByName(replies)
+
+def extended(state: DataFrame, replies: DataFrame, length: int) -> DataFrame:
+    """STATE of windows of twice the length, of which both halves are repeated."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for k, (places, keys, others, again) in enumerate(zip(*(b.column(c).to_pylist() for c in ("places", "keys", "others", "again")), strict=True)):
+                at = places_of(places)
+                kept = np.isin(at, np.concatenate([places_of(p) for p in again]))
+                at, keys, others = at[kept], numbers(keys, np.uint64)[kept], numbers(others, np.uint64)[kept]
+                right = np.searchsorted(at, at + length)
+                left = np.flatnonzero((right < len(at)) & (at[np.minimum(right, len(at) - 1)] == at + length)) if len(at) else np.array([], int)
+                right = right[left]
+                parts.append((np.full(len(left), k), at[left], joined(keys[left], keys[right], STEPS[0]), joined(others[left], others[right], STEPS[1])))
+            if parts:
+                yield state_rows(b.column(0).to_numpy(), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    # a text has a row for each block or range that told of it
+    by = replies.groupBy("rank").agg(F.collect_list("places").alias("again"))
+    return state.join(by, "rank").select("rank", "places", "keys", "others", "again").mapInArrow(run, STATE)
+
+
+def levels(texts: DataFrame, window: int, n_windows: int, path: str) -> Iterator[tuple[int, DataFrame]]:
+    """(length, replies) of the full length and each doubling of it, until no candidates survive."""
+    state, length, n = stage(windows_of(texts, window), f"{path}/state-{window}"), window, n_windows
+    while n:
+        replies = stage(repeats(state, n), f"{path}/replies-{length}")
+        yield length, replies
+        state = stage(extended(state, replies, length), f"{path}/state-{2 * length}")
+        remove(texts.sparkSession, f"{path}/state-{length}")
+        n, length = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 2 * length
 
 
 def cut(texts: DataFrame, window: int) -> DataFrame:
@@ -390,7 +473,7 @@ def cut(texts: DataFrame, window: int) -> DataFrame:
             removed, kept = [], []
             for own, w in zip(places, words, strict=True):
                 gone = np.zeros(len(w) + 1, np.int64)
-                at = np.unique(np.concatenate([np.cumsum(numbers(p, np.uint32)) for p in own])).astype(np.int64)
+                at = np.unique(np.concatenate([places_of(p) for p in own]))
                 gone[at] += 1
                 gone[at + window] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
@@ -402,8 +485,9 @@ def cut(texts: DataFrame, window: int) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables by row (a number): every row's doc_id, text_key, n_words and sha (hex SHA-256 of its words
-    joined by one space); and doc_id, n_removed and kept (words left, joined by one space) of rows that lose words.
+    """Two tables by row (a number): every row's doc_id, text_key, n_words, sha (hex SHA-256 of its words
+    joined by one space) and longest (the greatest of window, 2 * window, 4 * window ... at which a window of it is
+    repeated, or 0); and doc_id, n_removed and kept (words left, joined by one space) of rows that lose words.
 
     window must be even, 4 at least.
     """
@@ -416,13 +500,23 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     firsts, found = candidates(documents, anchors, path)
     remove(spark, f"{path}/level/kind=1", f"{path}/level/kind=2")
     n = found.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0] * (window - window // 2 + 1)
-    texts = with_lists(once, found, "8 * size(anchors)")
-    places = later(texts, window, n, path).groupBy("rank").agg(F.collect_list("places").alias("places"))
+    late, seen = found.select("rank", F.lit(None).cast("binary").alias("places")).limit(0), found.select("rank", F.lit(0).alias("length")).limit(0)
+    for length, replies in levels(with_lists(once, found, "8 * size(anchors)"), window, n, path):
+        late = replies.where("late").select("rank", "places") if length == window else late
+        seen = seen.unionByName(replies.select("rank", F.lit(length).alias("length")))
+    places = late.groupBy("rank").agg(F.collect_list("places").alias("places"))
     gone = stage(found.select("doc_id", "text_key", "rank", "row").join(places, "rank").drop("rank"), f"{path}/gone")
-    remove(spark, f"{path}/windows", f"{path}/candidates")
+    lengths = seen.groupBy("rank").agg(F.max("length").alias("length")).join(found.select("rank", "row"), "rank").select("row", "length")
+    about = stage(firsts.join(lengths, "row", "left").select(F.col("row").alias("f_row"), "copies", "length"), f"{path}/lengths")
+    remove(spark, f"{path}/candidates", f"{path}/firsts", *(f"{path}/replies-{window << k}" for k in range(40)))
+    # all of a text that several rows have is repeated; such rows but the first are in no other table
+    ladder = F.coalesce(F.array_max(F.filter(F.lit([window << k for k in range(32)]), lambda x: x <= F.col("n_words"))), F.lit(0))
+    whole = F.when(F.col("copies").isNull() | (F.col("copies") > 1), ladder).otherwise(0)
+    documents = documents.join(about, F.col("row") == F.col("f_row"), "left").withColumn("longest", F.greatest(whole, F.coalesce("length", F.lit(0))).cast("long"))
+    copies = documents.where((F.col("n_words") >= window) & F.col("f_row").isNull())
     changed = cut(with_lists(once, gone, "aggregate(places, 0L, (a, p) -> a + octet_length(p))"), window)
-    copies = documents.where(F.col("n_words") >= window).join(firsts, "row", "left_anti")
-    return documents, changed.unionByName(copies.select("row", "doc_id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")))
+    changed = changed.unionByName(copies.select("row", "doc_id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")))
+    return documents.select("row", "doc_id", "text_key", "n_words", "sha", "longest"), changed
 
 
 def repeated_lengths(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -220,14 +220,27 @@ def removed(rows, window):
     return out
 
 
+def longest(rows, window):
+    """The greatest doubling of window at which a window of each row is repeated anywhere."""
+    words, out, length = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}, {i: 0 for i, _ in rows}, window
+    while True:
+        counts = Counter(tuple(w[k : k + length]) for w in words.values() for k in range(len(w) - length + 1))
+        found = [i for i, w in words.items() if any(counts[tuple(w[k : k + length])] > 1 for k in range(len(w) - length + 1))]
+        if not found:
+            return out
+        out |= dict.fromkeys(found, length)
+        length *= 2
+
+
 @pytest.mark.parametrize("each", [1_000_000, 50])
 def test_substrings(spark, docs, rows, tmp_path, monkeypatch, each):
     monkeypatch.setattr(substrings, "RANGE_WINDOWS", each)
     unique = sorted({i: t for i, t in rows if i is not None}.items())
     table = spark.createDataFrame(unique, "doc_id long, text string")
     got = sorted(map(tuple, op7_substring_dedup(spark, save(table, tmp_path)).collect()))
-    assert got == removed(unique, 20)
-    assert sum(r[2] for r in got) > 300
+    lengths = longest(unique, 20)
+    assert got == [(*r, lengths[r[0]]) for r in removed(unique, 20)]
+    assert sum(r[2] for r in got) > 300 and {0, 20, 40, 320} <= set(lengths.values())
 
 
 def test_substrings_of_repeated_rows(spark, docs, rows, tmp_path):
