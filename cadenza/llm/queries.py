@@ -295,4 +295,5 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN longest ON d.doc_id =
 def oracles() -> dict[str, str]:
     """The SQL of each query that has any; what comes from a vocabulary's file is written into it."""
     doubled = SQL["op7_substring_dedup"].replace("DOUBLINGS", sql.doublings(20, 11))
-    return SQL | {"op7_substring_dedup": doubled, "op8_chat_format": SQL["op8_chat_format"].replace("KNOWN_WORDS", "|".join(chat.known_words(byte_bpe())))}
+    tokens = sql.token_counts(token_counts.pieces_of(piece_file()), token_counts.BYTE_PENALTY)
+    return SQL | {"op10_token_counts": tokens, "op7_substring_dedup": doubled, "op8_chat_format": SQL["op8_chat_format"].replace("KNOWN_WORDS", "|".join(chat.known_words(byte_bpe())))}

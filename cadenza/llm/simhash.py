@@ -163,26 +163,33 @@ def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
 def components(edges: DataFrame, path: str) -> DataFrame:
     """(node, root): connected components by turns of large stars and small stars.
 
-    Each turn links neighbours to the smallest of a node's neighbourhood; it only takes minima and
-    joins on the node, so a node of very many neighbours is not gathered anywhere.
+    Each turn links neighbours to the smallest of a node's neighbourhood: minima with partial sums, then joined
+    to the edges by node. Nodes of very many edges are told by their counts and joined by broadcast, their edges
+    dealt out, so a hub is not gathered anywhere.
     """
     spark = edges.sparkSession
     edges = stage(edges.select("a", "b").distinct(), f"{path}/turn0")
     state, turn = None, 0
+
+    def with_least(pairs: DataFrame, rows: int, name: str) -> DataFrame:
+        """pairs with m, the least b of each a."""
+        least = stage(pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), f"{path}/{name}{turn}")
+        return with_unique(pairs, least, "a", "n", rows, F.col("b"))
+
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
         state, turn = now, turn + 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("x"), F.col("a"), F.col("m"))
-        small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        large = with_least(both, 2 * now[0], "large").withColumn("m", F.least("m", "a")).where("b > a")
+        down = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = stage(down.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"{path}/down{turn}")
+        small = with_least(down, now[0], "small")
+        # every b of a node goes to the node's least, and so does the node
+        small = small.select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))).where("a <> b").distinct()
         edges = stage(small, f"{path}/turn{turn}")
-        remove(spark, f"{path}/turn{turn - 1}")
+        remove(spark, *(f"{path}/{x}" for x in (f"turn{turn - 1}", f"large{turn}", f"down{turn}", f"small{turn}")))
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 

@@ -165,3 +165,27 @@ r{k} AS MATERIALIZED (SELECT doc_id, p, id FROM w{k} JOIN i{k} USING (x, y)),
 w{k + 1} AS (SELECT a.doc_id, a.p, a.id AS x, b.id AS y FROM r{k} a JOIN r{k} b ON a.doc_id = b.doc_id AND b.p = a.p + {window << k})"""
     every = " UNION ALL ".join(f"SELECT doc_id, {window << k} AS l FROM r{k}" for k in range(levels))
     return f"{out},\nlongest AS (SELECT doc_id, max(l) AS longest FROM ({every}) GROUP BY doc_id)"
+
+
+def token_counts(pieces: list[str], penalty: float) -> str:
+    """Best cuts of each different word, letter by letter, by Zipf's law over the pieces in order of rank."""
+    total, listed = sum(1 / (r + 1) for r in range(len(pieces))), "\x1f".join(pieces).replace("'", "''")
+    return rf"""WITH RECURSIVE pieces AS (
+  SELECT piece, -ln((r + 1) * {total!r}) AS s FROM (SELECT unnest(l) AS piece, unnest(range(0, len(l))) AS r FROM (SELECT string_split('{listed}', chr(31)) AS l))),
+worst AS (SELECT min(s) - {penalty} AS unknown, max(len(piece)) AS longest FROM pieces),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+used AS (SELECT r, word, count(*) AS times FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY r, word),
+tokens AS (SELECT word, '▁' || word AS t FROM (SELECT DISTINCT word FROM used)),
+parts AS (SELECT word, t, a, unnest(range(a + 1, least(len(t), a + longest) + 1)) AS z FROM (SELECT word, t, unnest(range(0, len(t))) AS a FROM tokens), worst),
+known AS (SELECT word, z, list({{'k': z - a, 's': s}}) AS ends FROM parts JOIN pieces ON piece = substring(t, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) GROUP BY word, z),
+-- the best cut up to each letter, of equal ones that of fewest pieces; the last ones are kept
+best AS (
+  SELECT word, t, CAST(0 AS BIGINT) AS j, [{{'s': CAST(0 AS DOUBLE), 'n': CAST(0 AS BIGINT)}}] AS back FROM tokens
+  UNION ALL
+  SELECT word, t, j + 1, list_slice(list_prepend(list_max(list_prepend(
+      {{'s': back[1].s + unknown * strlen(substring(t, j + 1, 1)), 'n': back[1].n - strlen(substring(t, j + 1, 1))}},
+      coalesce(list_transform(ends, lambda e: {{'s': back[e.k].s + e.s, 'n': back[e.k].n - 1}}), []))), back), 1, longest)
+  FROM (SELECT b.word, t, j, back, ends, unknown, longest FROM best b LEFT JOIN known k ON k.word = b.word AND k.z = b.j + 1, worst WHERE b.j < len(b.t)))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens
+FROM d LEFT JOIN (SELECT r, sum(times * -back[1].n) AS n FROM used JOIN best USING (word) WHERE j = len(t) GROUP BY r) c ON d.r = c.r
+"""

@@ -6,10 +6,14 @@ pieces, and is computed once for all pre-tokens that begin with it. A pre-token'
 terminal count: the pieces of its best cut.
 
 Documents are dealt to blocks, kept as numbered words. Each block sends its different words once, in
-packets by range of their hash; a range walks the trie of all its words in order, holding the path to
-the present one alone, and answers each block with its words' terminal counts. A document's count is
-the sum over its words. So a word is cut once in all (once a range, and each has its own), and a task
-holds a range's words or a block's.
+packets by range of the words themselves, so words that begin alike are in one range; a range walks the
+trie of all its words in order, holding the path to the present one alone, and answers each block with its
+words' terminal counts. A document's count is the sum over its words. So a word is cut once in all, a
+prefix that ends inside a range is computed once in all, and only the few nodes on the path to where two ranges
+meet are made in both. A task holds a range's words or a block's. Terminal counts can be stored as a table.
+
+Ranges are cut at words of a bounded sample (CUT_WORDS words of CUT_BLOCKS blocks at most); this decides how evenly
+they are filled, and nothing else.
 
 The vocabulary is a public one and is not trained; a piece's score is the logarithm of its
 probability by Zipf's law, from its rank. Letters without a piece stand for their UTF-8 bytes.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import math
 import os
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import scratch, stage
-from cadenza.llm.wire import Numbers, numbers, packed, range_bits, ranges
+from cadenza.llm.wire import Numbers, numbers, packed
 
 #: Fixed mark of the piece files for the space before a word.
 MARK = "▁"
@@ -39,8 +44,10 @@ MARK = "▁"
 LONG = 256
 #: Words of a block, and documents at most.
 BLOCK_WORDS, BLOCK_DOCS = 1_000_000, 65_536
-#: Words that a range gets, about.
-RANGE_WORDS = 500_000
+#: Words that a range gets, about, and ranges at most.
+RANGE_WORDS, RANGES = 500_000, 1 << 16
+#: Bound of the sample of words that ranges are cut at.
+CUT_BLOCKS, CUT_WORDS = 1000, 256
 #: Score of a byte that stands for a part of a letter, below the least score of a piece.
 BYTE_PENALTY = 10.0
 
@@ -120,12 +127,6 @@ def scores_of(path: str) -> dict[str, float]:
     return _scores[path]
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
-
-    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def words_of(data: bytes) -> list[bytes]:
     """Words do not hold a space, so they are kept joined by one."""
     return data.split(b" ") if data else []
@@ -134,7 +135,7 @@ def words_of(data: bytes) -> list[bytes]:
 def blocks_of(docs: DataFrame, path: str) -> DataFrame:
     """Write and read (block, doc_ids, sizes, n_distinct, words, tokens): one row a block.
 
-    sizes: words of each document; words: the different ones in order of their hashes; tokens: numbers of
+    sizes: words of each document; words: the different ones in order; tokens: numbers of
     each document's words in that order, ascending, as differences.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -149,7 +150,7 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             words = list(seen)
-            order = np.argsort(hashes_of(words))
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
             whole = place[np.concatenate(tokens)] if words else np.array([], np.int64)
@@ -177,38 +178,76 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
     return stage(docs.mapInArrow(run, f"block long, doc_ids array<{name}>, sizes binary, n_distinct long, words binary, tokens binary"), path)
 
 
-def counted(table: DataFrame, bits: int, pieces_path: str) -> DataFrame:
-    """(block, range, counts): terminal counts of each block's words, by range in order."""
+def cuts_of(table: DataFrame, ranges: int) -> list[bytes]:
+    """Words, in order, at which the blocks' words are cut into so many ranges, about evenly by the sample."""
+    some = table.orderBy(F.xxhash64("block"), "block").limit(CUT_BLOCKS).select("words")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                words = words_of(data.as_py())
+                at = np.unique(np.linspace(0, len(words) - 1, min(CUT_WORDS, len(words))).astype(int)) if words else []
+                yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in at], pa.binary())], ["word"])
+
+    found = sorted(bytes(r["word"]) for r in some.mapInArrow(run, "word binary").collect())
+    return sorted({found[k * len(found) // ranges] for k in range(1, ranges)}) if found else []
+
+
+def counted(table: DataFrame, cuts: list[bytes], pieces_path: str) -> DataFrame:
+    """(block, range, words, counts): terminal counts of each block's words, by range in order; and, without a
+    block, of all different words of a range, with these."""
+    shared = table.sparkSession.sparkContext.broadcast(cuts)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 words = words_of(r["words"])
-                if words:
-                    found, start, end = ranges(hashes_of(words), bits)
-                    parts = [b" ".join(words[a:z]) for a, z in zip(start, end, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([r["block"]] * len(found), pa.int64()), pa.array(parts, pa.binary())], ["range", "block", "words"])
+                ends = [bisect_left(words, c) for c in shared.value] + [len(words)]
+                parts = [(k, a, z) for k, (a, z) in enumerate(zip([0, *ends], ends, strict=False)) if a < z]
+                if parts:
+                    cells = [b" ".join(words[a:z]) for _, a, z in parts]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in parts], pa.int64()), pa.array([r["block"]] * len(parts), pa.int64()), pa.array(cells, pa.binary())], ["range", "block", "words"])
 
     def answer(t: pa.Table) -> pa.Table:
         packets = [words_of(w) for w in t.column("words").to_pylist()]
-        trie, terminal = Trie(scores_of(pieces_path)), {}
-        for w in sorted(set().union(*packets)):
-            terminal[w] = trie.count(w)
-        replies = [packed(np.fromiter(map(terminal.__getitem__, p), np.uint32, len(p))) for p in packets]
-        return pa.table({"block": t.column("block"), "range": t.column("range"), "counts": pa.array(replies, pa.binary())})
+        trie, whole = Trie(scores_of(pieces_path)), sorted(set().union(*packets))
+        terminal = {w: trie.count(w) for w in whole}
+        reply = lambda words: packed(np.fromiter(map(terminal.__getitem__, words), np.uint32, len(words)))
+        n = len(packets)
+        return pa.table({
+            "block": pa.array([*t.column("block").to_pylist(), None], pa.int64()), "range": pa.array(t.column("range").to_pylist()[:1] * (n + 1), pa.int64()),
+            "words": pa.array([None] * n + [b" ".join(whole)], pa.binary()), "counts": pa.array([*map(reply, packets), reply(whole)], pa.binary()),
+        })
+
+    return table.select("block", "words").mapInArrow(send, "range long, block long, words binary").groupBy("range").applyInArrow(answer, "block long, range long, words binary, counts binary")
+
+
+def terminals(found: DataFrame) -> DataFrame:
+    """(word, n_tokens) of each different word, from what counted() gives."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own, n = words_of(words), numbers(counts, np.uint32)
+                for k in range(0, len(own), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in own[k : k + 50_000]]), pa.array(n[k : k + 50_000].astype(np.int64))], ["word", "n_tokens"])
 
-    return table.select("block", "words").mapInArrow(send, "range long, block long, words binary").groupBy("range").applyInArrow(answer, "block long, range long, counts binary")
+    return found.where("block is null").select("words", "counts").mapInArrow(run, "word string, n_tokens long")
 
 
-def count_tokens(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_words, n_tokens."""
+def count_tokens(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", store: str | None = None) -> DataFrame:
+    """One row for each row of docs: id, n_words, n_tokens. store: a folder for the terminal counts, as a table (word, n_tokens)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    path = scratch(docs.sparkSession, "token-counts")
+    spark = docs.sparkSession
+    path = scratch(spark, "token-counts")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, name = to_arrow_type(own.schema["id"].dataType), own.schema["id"].dataType.simpleString()
     table = blocks_of(own, f"{path}/blocks")
-    bits = range_bits(table.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0], RANGE_WORDS)
+    words = table.agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0]
+    found = stage(counted(table, cuts_of(table, min(RANGES, -(-words // RANGE_WORDS))), pieces_path), f"{path}/counted")
+    if store:
+        terminals(found).write.parquet(store)
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         block, replies = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: r["range"])
@@ -219,5 +258,5 @@ def count_tokens(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text
         return pa.table({"id": pa.array(block["doc_ids"], kind), "n_words": pa.array(sizes), "n_tokens": pa.array(sums[ends] - sums[ends - sizes])})
 
     blocks = table.select("block", "doc_ids", "sizes", "tokens").groupBy("block")
-    found = blocks.cogroup(counted(table, bits, pieces_path).groupBy("block")).applyInArrow(summed, f"id {name}, n_words long, n_tokens long")
-    return found.withColumnRenamed("id", id_col)
+    replies = found.where("block is not null").select("block", "range", "counts").groupBy("block")
+    return blocks.cogroup(replies).applyInArrow(summed, f"id {name}, n_words long, n_tokens long").withColumnRenamed("id", id_col)

@@ -338,6 +338,23 @@ def test_token_counts(docs, rows, empty, monkeypatch, each):
     assert token_counts.count_tokens(empty, piece_file()).count() == 0
 
 
+def test_terminal_counts_are_stored(spark, docs, rows, tmp_path, monkeypatch):
+    """Each different word once, whatever the ranges; ranges are cut between words, so prefixes are shared but at borders."""
+    monkeypatch.setattr(token_counts, "RANGE_WORDS", 8)
+    token_counts.count_tokens(docs, piece_file(), store=f"file://{tmp_path}/t").count()
+    stored = [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/t").collect()]
+    words = {w for _, t in rows for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")}
+    trie = token_counts.Trie(token_counts.scores_of(piece_file()))
+    assert sorted(stored) == sorted((w, trie.count(w.encode())) for w in words)
+    table = token_counts.blocks_of(docs.select(F.col("doc_id").alias("id"), "text"), f"file://{tmp_path}/b")
+    cuts = token_counts.cuts_of(table, 5)
+    assert cuts == sorted(set(cuts)) and 1 <= len(cuts) <= 4
+    ends = token_counts.counted(table, cuts, piece_file()).where("block is null").orderBy("range").collect()
+    parts = [token_counts.words_of(bytes(r["words"])) for r in ends]
+    assert [w for p in parts for w in p] == sorted(w.encode() for w in words)
+    assert token_counts.cuts_of(table, 1) == [] and token_counts.cuts_of(table.limit(0), 4) == []
+
+
 def test_trie_shares_prefixes():
     scores = {"▁": -2.0, "▁a": -1.0, "b": -1.5, "ab": -1.0, "abab": -1.2}
     trie = token_counts.Trie(scores)
