@@ -43,6 +43,8 @@ BLOCK_WORDS, SENT = 400_000, 1_500_000
 RANGE_WINDOWS = 1_000_000
 #: Words whose hash a Python worker remembers.
 REMEMBERED = 400_000
+#: Texts are answered in blocks of neighbouring numbers, of so many bits (8 at most).
+BLOCK_BITS = 8
 #: Bytes of lists by document up to which these are broadcast.
 BROADCAST_BYTES = 64_000_000
 # Odd multipliers of the mixing, any will do.
@@ -324,16 +326,9 @@ def candidates(documents: DataFrame, anchors: DataFrame, path: str) -> tuple[Dat
     return firsts.select("row", "copies"), stage(found, f"{path}/candidates")
 
 
-def by_rank(rank: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Texts, and of each its places, packed."""
-    order = np.lexsort((pos, rank))
-    rank, pos = rank[order], pos[order].astype(np.uint32)
-    first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.array([], int)
-    return rank[first], [packed(np.diff(p, prepend=np.uint32(0))) for p in np.split(pos, first[1:])] if len(rank) else []
-
-
 def places_of(data: bytes) -> np.ndarray:
-    return np.cumsum(numbers(data, np.uint32)).astype(np.int64)
+    """Places that were packed as differences, which may wrap around."""
+    return np.cumsum(numbers(data, np.uint32), dtype=np.uint32).astype(np.int64)
 
 
 def repeated(rank: np.ndarray, pos: np.ndarray, keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,13 +339,21 @@ def repeated(rank: np.ndarray, pos: np.ndarray, keys: np.ndarray, others: np.nda
     return order, first, first & np.append(~first[1:], False) if len(order) else first
 
 
-def told(order: np.ndarray, masks: dict[bool, np.ndarray], rank: np.ndarray, pos: np.ndarray) -> tuple[list, list, list]:
-    """(ranks, late, places) of the windows in each mask."""
-    out: tuple[list, list, list] = ([], [], [])
+def told(order: np.ndarray, masks: dict[bool, np.ndarray], rank: np.ndarray, pos: np.ndarray) -> tuple[list, list, list, list]:
+    """(blocks, late, ranks, places) of the windows in each mask: a packet for each block of texts."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
     for late, mask in masks.items():
-        ranks, places = by_rank(rank[order[mask]], pos[order[mask]])
-        for part, more in zip(out, (ranks.tolist(), [late] * len(ranks), places), strict=True):
-            part.extend(more)
+        r, p = rank[order[mask]], pos[order[mask]]
+        by = np.lexsort((p, r))
+        r, p = r[by], p[by].astype(np.uint32)
+        block = r >> BLOCK_BITS
+        if not len(r):
+            continue
+        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(r)], strict=True):
+            packet = (int(block[i]), late, packed((r[i:j] & ((1 << BLOCK_BITS) - 1)).astype(np.uint8)), packed(np.diff(p[i:j], prepend=np.uint32(0))))
+            for part, x in zip(out, packet, strict=True):
+                part.append(x)
     return out
 
 
@@ -377,23 +380,23 @@ def windows_of(texts: DataFrame, window: int) -> DataFrame:
 
 
 def repeats(state: DataFrame, n_windows: int) -> DataFrame:
-    """(rank, late, places): packed places of windows that are repeated: late if they also start earlier."""
+    """(block, late, ranks, places): windows that are repeated, by block of texts; late if they also start earlier."""
     bits = range_bits(n_windows, RANGE_WINDOWS)
-    names = ("range", "rank", "late", "places", "keys", "others", "ranks", "at")
-    types = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5)
+    names = ("range", "block", "late", "own", "places", "keys", "others", "ranks", "at")
+    types = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6)
 
     def send(held: list[tuple], task: int) -> Iterator[pa.RecordBatch]:
         rank, pos, keys, others = (np.concatenate(x) for x in zip(*held, strict=True))
         order, first, early = repeated(rank, pos, keys, others)
         # what a task knows by itself goes along as it is, in a range of its own
-        ranks, late, places = told(order, {True: ~first, False: early}, rank, pos)
-        none = [None] * len(ranks)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([-1 - task] * len(ranks), ranks, late, places, *[none] * 4), types, strict=True)], names)
+        parts = told(order, {True: ~first, False: early}, rank, pos)
+        none = [None] * len(parts[0])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([-1 - task] * len(none), *parts, *[none] * 4), types, strict=True)], names)
         at = order[first]
         found, start, end = ranges(keys[at], bits)
         cut = lambda pack, v: [pack(v[at[a:z]]) for a, z in zip(start, end, strict=True)]
         none = [None] * len(found)
-        cols = (found, none, none, none, cut(packed_keys, keys), cut(packed, others), cut(packed, rank), cut(packed, pos.astype(np.uint32)))
+        cols = (found, *[none] * 4, cut(packed_keys, keys), cut(packed, others), cut(packed, rank), cut(packed, pos.astype(np.uint32)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,15 +415,15 @@ def repeats(state: DataFrame, n_windows: int) -> DataFrame:
 
     def answer(t: pa.Table) -> pa.Table:
         if t.column("range")[0].as_py() < 0:
-            return t.select(["rank", "late", "places"])
+            return t.select(["block", "late", "own", "places"])
         keys = np.concatenate([unpacked_keys(k) for k in t.column("keys").to_pylist()])
         others, rank, pos = (np.concatenate([numbers(x, k) for x in t.column(c).to_pylist()]) for c, k in (("others", np.uint64), ("ranks", np.int64), ("at", np.uint32)))
         order, first, early = repeated(rank, pos, keys, others)
-        ranks, late, places = told(order, {True: ~first, False: early}, rank, pos)
-        return pa.table({"rank": pa.array(ranks, pa.int64()), "late": pa.array(late, pa.bool_()), "places": pa.array(places, pa.binary())})
+        parts = told(order, {True: ~first, False: early}, rank, pos)
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("block", "late", "own", "places"), parts, types[1:5], strict=True)})
 
-    sent = state.mapInArrow(run, "range long, rank long, late boolean, places binary, keys binary, others binary, ranks binary, at binary")
-    return sent.groupBy("range").applyInArrow(answer, "rank long, late boolean, places binary")
+    sent = state.select("rank", "n", "places", "keys", "others").mapInArrow(run, "range long, block long, late boolean, own binary, places binary, keys binary, others binary, ranks binary, at binary")
+    return sent.groupBy("range").applyInArrow(answer, "block long, late boolean, own binary, places binary")
 
 
 def joined(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
@@ -432,48 +435,59 @@ def joined(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
 
 
 def extended(state: DataFrame, replies: DataFrame, length: int) -> DataFrame:
-    """STATE of windows of twice the length, of which both halves are repeated."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for k, (places, keys, others, again) in enumerate(zip(*(b.column(c).to_pylist() for c in ("places", "keys", "others", "again")), strict=True)):
-                at = places_of(places)
-                kept = np.isin(at, np.concatenate([places_of(p) for p in again]))
-                at, keys, others = at[kept], numbers(keys, np.uint64)[kept], numbers(others, np.uint64)[kept]
-                right = np.searchsorted(at, at + length)
-                left = np.flatnonzero((right < len(at)) & (at[np.minimum(right, len(at) - 1)] == at + length)) if len(at) else np.array([], int)
-                right = right[left]
-                parts.append((np.full(len(left), k), at[left], joined(keys[left], keys[right], STEPS[0]), joined(others[left], others[right], STEPS[1])))
-            if parts:
-                yield state_rows(b.column(0).to_numpy(), *(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-    # a text has a row for each block or range that told of it
-    by = replies.groupBy("rank").agg(F.collect_list("places").alias("again"))
-    return state.join(by, "rank").select("rank", "places", "keys", "others", "again").mapInArrow(run, STATE)
+    """A row for each text with repeated windows: rank, late (packed places of the late ones), and, as STATE, its
+    windows of twice the length of which both halves are repeated (n may be 0)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = {True: [], False: []}
+        for late, own, places in zip(*(right.column(c).to_pylist() for c in ("late", "own", "places")), strict=True):
+            told[late].append((numbers(own, np.uint8).astype(np.int64), places_of(places)))
+        # a text and a place in it as one number
+        spots = {k: np.unique(np.concatenate([np.zeros(0, np.int64), *(r << 32 | p for r, p in v)])) for k, v in told.items()}
+        every = np.union1d(spots[True], spots[False])
+        rows = []
+        for rank, places, keys, others in zip(*(left.column(c).to_pylist() for c in ("rank", "places", "keys", "others")), strict=True):
+            number = (rank & ((1 << BLOCK_BITS) - 1)) << 32
+            own = {k: x[slice(*np.searchsorted(x, (number, number + (1 << 32))))] - number for k, x in ((True, spots[True]), (None, every))}
+            if not len(own[None]):
+                continue
+            at = places_of(places)
+            kept = np.isin(at, own[None], assume_unique=True)
+            at, keys, others = at[kept], numbers(keys, np.uint64)[kept], numbers(others, np.uint64)[kept]
+            right_ = np.minimum(np.searchsorted(at, at + length), len(at) - 1)
+            two = np.flatnonzero(at[right_] == at + length)
+            second = right_[two]
+            pack = lambda p: packed(np.diff(p.astype(np.uint32), prepend=np.uint32(0)))
+            rows.append((rank, pack(own[True]), len(two), pack(at[two]), packed(joined(keys[two], keys[second], STEPS[0])), packed(joined(others[two], others[second], STEPS[1]))))
+        types = (pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 3)
+        cols = zip(*rows, strict=True) if rows else [[]] * 6
+        return pa.table({c: pa.array(list(x), k) for c, x, k in zip(("rank", "late", "n", "places", "keys", "others"), cols, types, strict=True)})
+
+    by = state.withColumn("block", F.shiftright("rank", BLOCK_BITS)).groupBy("block")
+    return by.cogroup(replies.groupBy("block")).applyInArrow(run, STATE.replace("rank long,", "rank long, late binary,"))
 
 
 def levels(texts: DataFrame, window: int, n_windows: int, path: str) -> Iterator[tuple[int, DataFrame]]:
-    """(length, replies) of the full length and each doubling of it, until no candidates survive."""
-    state, length, n = stage(windows_of(texts, window), f"{path}/state-{window}"), window, n_windows
+    """(length, texts with repeated windows of it: rank, late) of the full length and each doubling of it, until no candidates survive."""
+    spark, state, length, n = texts.sparkSession, stage(windows_of(texts, window), f"{path}/state-{window}"), window, n_windows
     while n:
-        replies = stage(repeats(state, n), f"{path}/replies-{length}")
-        yield length, replies
-        state = stage(extended(state, replies, length), f"{path}/state-{2 * length}")
-        remove(texts.sparkSession, f"{path}/state-{length}")
+        replies = stage(repeats(state.where("n > 0"), n), f"{path}/replies-{length}")
+        state = stage(extended(state.where("n > 0"), replies, length), f"{path}/state-{2 * length}")
+        remove(spark, f"{path}/replies-{length}", *([f"{path}/state-{window}"] if length == window else []))
+        yield length, state.select("rank", "late")
         n, length = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 2 * length
 
 
 def cut(texts: DataFrame, window: int) -> DataFrame:
-    """(row, doc_id, n_removed, kept): texts without the words of removed windows; texts: row, doc_id, places, text."""
+    """(row, doc_id, n_removed, kept): texts without the words of late windows; texts: row, doc_id, late, text."""
     name, kind = kind_of(texts, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (rows, ids, places), words in some_words(batches, 3):
+        for (rows, ids, late), words in some_words(batches, 3):
             removed, kept = [], []
-            for own, w in zip(places, words, strict=True):
+            for own, w in zip(late, words, strict=True):
                 gone = np.zeros(len(w) + 1, np.int64)
-                at = np.unique(np.concatenate([places_of(p) for p in own]))
+                at = places_of(own)
                 gone[at] += 1
                 gone[at + window] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
@@ -481,7 +495,7 @@ def cut(texts: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join([w[i] for i in np.flatnonzero(~gone).tolist()]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, kind), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "doc_id", "n_removed", "kept"])
 
-    return texts.select("row", "doc_id", "places", "text").mapInArrow(run, f"row long, doc_id {name}, n_removed long, kept string")
+    return texts.select("row", "doc_id", "late", "text").mapInArrow(run, f"row long, doc_id {name}, n_removed long, kept string")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -500,21 +514,21 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     firsts, found = candidates(documents, anchors, path)
     remove(spark, f"{path}/level/kind=1", f"{path}/level/kind=2")
     n = found.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0] * (window - window // 2 + 1)
-    late, seen = found.select("rank", F.lit(None).cast("binary").alias("places")).limit(0), found.select("rank", F.lit(0).alias("length")).limit(0)
-    for length, replies in levels(with_lists(once, found, "8 * size(anchors)"), window, n, path):
-        late = replies.where("late").select("rank", "places") if length == window else late
-        seen = seen.unionByName(replies.select("rank", F.lit(length).alias("length")))
-    places = late.groupBy("rank").agg(F.collect_list("places").alias("places"))
-    gone = stage(found.select("doc_id", "text_key", "rank", "row").join(places, "rank").drop("rank"), f"{path}/gone")
+    first, seen = None, found.select("rank", F.lit(0).alias("length")).limit(0)
+    for length, again in levels(with_lists(once, found, "8 * size(anchors)"), window, n, path):
+        first = first or again
+        seen = seen.unionByName(again.select("rank", F.lit(length).alias("length")))
+    late = found.join(first.where("octet_length(late) > 4"), "rank") if first else found.withColumn("late", F.lit(None).cast("binary")).limit(0)
+    gone = stage(late.select("doc_id", "text_key", "row", "late"), f"{path}/gone")
     lengths = seen.groupBy("rank").agg(F.max("length").alias("length")).join(found.select("rank", "row"), "rank").select("row", "length")
     about = stage(firsts.join(lengths, "row", "left").select(F.col("row").alias("f_row"), "copies", "length"), f"{path}/lengths")
-    remove(spark, f"{path}/candidates", f"{path}/firsts", *(f"{path}/replies-{window << k}" for k in range(40)))
+    remove(spark, f"{path}/candidates", f"{path}/firsts", *(f"{path}/state-{window << k}" for k in range(40)))
     # all of a text that several rows have is repeated; such rows but the first are in no other table
     ladder = F.coalesce(F.array_max(F.filter(F.lit([window << k for k in range(32)]), lambda x: x <= F.col("n_words"))), F.lit(0))
     whole = F.when(F.col("copies").isNull() | (F.col("copies") > 1), ladder).otherwise(0)
     documents = documents.join(about, F.col("row") == F.col("f_row"), "left").withColumn("longest", F.greatest(whole, F.coalesce("length", F.lit(0))).cast("long"))
     copies = documents.where((F.col("n_words") >= window) & F.col("f_row").isNull())
-    changed = cut(with_lists(once, gone, "aggregate(places, 0L, (a, p) -> a + octet_length(p))"), window)
+    changed = cut(with_lists(once, gone, "octet_length(late)"), window)
     changed = changed.unionByName(copies.select("row", "doc_id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")))
     return documents.select("row", "doc_id", "text_key", "n_words", "sha", "longest"), changed
 
