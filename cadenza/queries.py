@@ -19,7 +19,7 @@ from cadenza.operators import activity, batching, chunks, framing, labels, merge
 from cadenza.operators.sequence_model import Shape
 from cadenza.plans.features import feature_table, lpcc_of
 from cadenza.plans.predict import predict, report_lines
-from cadenza.plans.train import steps_together
+from cadenza.plans.train import evaluate, steps_together
 from cadenza.session import ROCKSDB, materialised, shared_folder
 from cadenza.sources import audio, checkpoint, manifest, wav
 from cadenza.sources.config import from_dict, load_config
@@ -939,6 +939,18 @@ def train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "name string, v array<double>").select("name", F.posexplode("v").alias("p", "v")).select("name", "p", F.round("v", 5).alias("v"))
 
 
+@query(f"""WITH fwd AS ({sql_bilstm(TINY, tiny_params(), 8, hidden=True)}),
+c AS (SELECT label % {TINY.classes} AS y, list_position(o, list_max(o)) - 1 AS p FROM fwd JOIN embeddings USING (vec_id)),
+k AS (SELECT cls, count(*) FILTER (WHERE y = cls AND p = cls) AS tp, count(*) FILTER (WHERE y <> cls AND p = cls) AS fp, count(*) FILTER (WHERE y = cls AND p <> cls) AS fn
+  FROM c, (SELECT y AS cls FROM c UNION SELECT p FROM c) GROUP BY cls)
+SELECT {s6('avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END)')} AS macro_accuracy, {s6('avg(2 * tp / (2 * tp + fp + fn))')} AS macro_f1 FROM k""")
+def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation of the model: its predictions for all vectors against their classes."""
+    rows = vectors(spark, sf_dir).select("vec_id", (F.col("label") % TINY.classes).alias("label_id"), arrays.frames_of(F.col("v"), 8, 8).alias("x"))
+    scores = evaluate(rows, tiny_params(), TINY, ["a", "b", "c"])
+    return spark.createDataFrame([(scores["macro_accuracy"], scores["macro_f1"])], "macro_accuracy double, macro_f1 double").select(r6("macro_accuracy").alias("macro_accuracy"), r6("macro_f1").alias("macro_f1"))
+
+
 @query(f"WITH {SIG_L} SELECT clip_id, i, {s6('round(greatest(-1.0, least(1.0, x / 4)) * 32767) / 32768')} AS x FROM sig", ints="i")
 def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips, scaled to the range of samples, written as WAV bytes and read again."""
