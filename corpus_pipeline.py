@@ -3,6 +3,11 @@
 Every stage works on the rows that its predecessor kept and returns rows with the columns of
 documents, but for the last, which returns packed pieces. A stage's rows are written as Parquet and
 read again as the next one's input.
+
+Defined results: a null text is an empty one in every stage, and is scored, kept or packed (as the end mark alone)
+like any other; empty texts are equal, so one of them stays; of equal or near texts the row of the least id stays,
+null ids last, and of rows that repeat both id and text one; very long texts are read whole; tables may be empty
+(no documents: no pieces; no labels: no row goes for its quality), and documents may have any further columns.
 """
 
 from __future__ import annotations

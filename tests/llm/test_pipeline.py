@@ -49,3 +49,16 @@ def test_stages_keep_columns(spark, docs):
         kept = step(spark, docs, DATA)
         assert kept.columns == docs.columns and kept.count() > 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).where("doc_id is null").count() >= 2
+
+
+def test_pipeline_of_odd_tables(spark, docs, empty, tmp_path):
+    """Empty tables give no pieces; without labels and benchmark only copies go; null and empty texts are packed."""
+    labels, items = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for name, some in (("none", empty), ("some", docs)):
+        for table, rows in (("documents", some), ("labels", labels), ("benchmark", items)):
+            rows.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    ids = {r.doc_id for r in pieces}
+    assert {0, 3, 404} <= ids and not {401, 402} & ids  # of texts without words the one with the least id
+    assert all(r.length <= 1024 for r in pieces)
