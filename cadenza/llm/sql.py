@@ -110,7 +110,7 @@ counted AS (
     count(*) FILTER (WHERE own AND earlier) AS redundant, count(*) FILTER (WHERE own AND n = 1) AS unique_fails,
     count(*) FILTER (WHERE own AND NOT earlier AND good = 1) AS good_lost, count(*) FILTER (WHERE own AND NOT earlier AND toxic = 1) AS toxic_lost
   FROM seen GROUP BY part, filter_order, step)
-SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM counted
+SELECT * REPLACE (CAST(step AS INTEGER) AS step), CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM counted
 """
 
 #: All pairs of a label, and what can be reached by them.
