@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays, dsp
-from cadenza.operators.framing import clips_of, samples_of
+from cadenza.operators.framing import samples_of
 from cadenza.operators import activity
 from cadenza.sources.config import Config
 
@@ -29,11 +29,12 @@ def cropped(clips: DataFrame, cfg: Config, epoch: int = 0) -> DataFrame:
 def active_parts(clips: DataFrame, cfg: Config) -> DataFrame:
     """Clips without the samples that lie in no segment of activity; clips without any stay whole."""
     frame, hop = activity.milliseconds(cfg.data.sr, 25), activity.milliseconds(cfg.data.sr, 10)
-    signal = samples_of(clips, "clip_id", "y")
-    found = activity.detect(signal, frame, hop, activity.Thresholds(), merge=True)
-    inside = signal.join(found, "clip_id").where((F.col("i") >= F.col("seg_start")) & (F.col("i") < F.col("seg_end")))
-    kept = clips_of(inside.select("clip_id", "i", "x", "n")).select("clip_id", F.col("y").alias("active"))
-    return clips.join(kept, "clip_id", "left").withColumn("y", F.coalesce(F.col("active"), F.col("y").cast("array<double>"))).drop("active")
+    found = activity.detect(samples_of(clips, "clip_id", "y"), frame, hop, activity.Thresholds(), merge=True)
+    # the samples are cut where they are; only the bounds are gathered
+    bounds = found.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("seg_start", "seg_end"))).alias("segments"))
+    y = F.col("y").cast("array<double>")
+    parts = F.flatten(F.transform("segments", lambda s: F.slice(y, s["seg_start"] + 1, s["seg_end"] - s["seg_start"])))
+    return clips.join(bounds, "clip_id", "left").withColumn("y", F.when(F.col("segments").isNotNull(), parts).otherwise(y)).drop("segments")
 
 
 def lpcc_of(y: Column, order: int = 16, n: int = 20, hop: int = 160, win: int = 400, textbook: bool = False, number: str = "float") -> Column:

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import dsp
+from cadenza.operators import activity, series
 from cadenza.operators import sequence_model as sm
-from cadenza.operators import series
 from cadenza.plans import features, predict, train
 from cadenza.sources import audio, checkpoint, manifest
 from cadenza.sources.config import Config, from_dict, read_config
@@ -201,6 +201,18 @@ def test_features(spark):
     assert len(row.x[0]) == cfg.features.dim == 17 * 3
 
 
+def test_active_parts(spark):
+    """The samples inside the segments of activity, in order; a quiet clip stays whole."""
+    cfg = settings(preprocess={"vad": True})
+    loud = [np.concatenate([np.zeros(300), np.sin(np.arange(200)), np.zeros(900), np.sin(np.arange(90) * 2), np.zeros(200)]), np.zeros(400)]
+    clips = spark.createDataFrame([(k, v.tolist(), "u") for k, v in enumerate(loud)], "clip_id int, y array<double>, seg_start string")
+    got = {r.clip_id: np.array(r.y) for r in features.active_parts(clips, cfg).collect()}
+    signal = [(k, i, float(x), len(v)) for k, v in enumerate(loud) for i, x in enumerate(v)]
+    found = activity.detect(spark.createDataFrame(signal, "clip_id int, i int, x double, n int"), 40, 16, activity.Thresholds(), merge=True).collect()
+    want = np.concatenate([loud[0][s.seg_start : s.seg_end] for s in sorted(found, key=lambda s: s.seg_start) if s.clip_id == 0])
+    assert len(found) == 2 and (got[0] == want).all() and len(want) < 600 and (got[1] == loud[1]).all()
+
+
 def test_one_pass_equals_operators_on_rows(spark):
     """Kernels, deltas, the joining of families and standardising, against the operators of series on rows."""
     cfg = settings(features={"lpcc": True, "lpc_order": 6, "n_lpcc": 5, "delta_delta": True}, preprocess={"crop": "head"})
