@@ -1,7 +1,7 @@
 """Reproducible shuffling and fixed-size batches.
 
-An order over all rows needs no single task: rows are dealt to a fixed number of ranges of their
-hash, numbered within each, and the ranges' sizes give the offsets.
+An order over all rows needs no single task: rows are dealt to ranges of their hash, as many as their
+number asks for, numbered within each, and the ranges' sizes give the offsets.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from cadenza.session import materialised
 
-#: Hex digits of the hash that name a range: 4096 ranges.
-DIGITS = 3
+#: Rows of a range at most, on average; ranges are named by the first hex digits of the hash.
+RANGE_ROWS = 100_000
 
 
 def numbered(rows: DataFrame, key: str, seed: int = 0, epoch: int = 0) -> DataFrame:
     """rows with at: their place (from 0) in the order of a hash of seed, epoch and key."""
     hashed = rows.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(key).cast("string"))))
-    hashed = hashed.withColumn("__range", F.substring("__h", 1, DIGITS))
+    digits = len(f"{rows.count() // RANGE_ROWS:x}")
+    hashed = hashed.withColumn("__range", F.substring("__h", 1, digits))
     sizes = hashed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
-    # at most 16 ** DIGITS rows
+    # 16 ranges for RANGE_ROWS rows at most
     total = sizes.select("__range", (F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("__before"))
     place = F.row_number().over(W.partitionBy("__range").orderBy("__h", key)) - 1
     return hashed.join(F.broadcast(total), "__range").withColumn("at", (place + F.col("__before")).cast("long")).drop("__h", "__range", "__before")
