@@ -8,7 +8,8 @@ two rare terms share are the candidates, and these are compared word by word.
 
 Defined results: a null text has no words; an item without words matches nothing; an item of fewer
 words than a window is one window; a null item_id still marks words but is not listed; rows that
-repeat a document id are judged one by one; tables may be empty.
+repeat a document id are judged one by one; very long texts are read whole, their words being rows; tables may be
+empty and have any further columns.
 """
 
 from __future__ import annotations

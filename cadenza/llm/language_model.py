@@ -22,7 +22,8 @@ to a tenth of a decade; the scores themselves are not rounded.
 
 Defined results: a null text is an empty one, of one token; a null id belongs to the training part
 (its text is the empty one's crc32, 0); rows that repeat are counted and scored each for itself;
-without training texts every token is the unknown word, of equal chance with none; tables may be empty.
+without training texts every token is the unknown word, of equal chance with none; very long texts are read
+whole; tables may be empty and have any further columns.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ as long as the input is split in the same way; write the pieces to fix them.
 
 Defined results: a null or empty text has the end id alone (one piece of one token); the content of
 an added token inside a text is that token, as the tokenizer file has it by default; rows that repeat
-a document are packed each for itself; a null id stays null; an empty table gives no pieces.
+a document are packed each for itself; a null id stays null; very long texts are cut into pieces whole, a text
+being held by one task; an empty table gives no pieces, and further columns are not read.
 """
 
 from __future__ import annotations

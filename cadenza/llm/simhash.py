@@ -8,7 +8,8 @@ receiver, where the same variants would arrive otherwise, one row each.
 
 Defined results: a null text has no words; texts without words have fingerprint zero and are linked
 like any other; a null id is smaller than none (a component of null ids has a null component_id);
-rows that repeat a document belong to one component; tables may be empty.
+rows that repeat a document belong to one component; very long texts are read whole, their shingles in blocks;
+tables may be empty and have any further columns.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ in figures alone are judged alike.
 Defined results: a null url, or one without "://", has an empty host and path and no tokens; such
 urls are judged by the class priors, ties are allowed; if the rules decided urls of one class only,
 that verdict holds for all others, and without any all urls are allowed; rows that repeat are judged each
-for itself; tables may be empty and may have further columns, which stay unless named like a result.
+for itself; names and paths of any length are read whole; tables may be empty and may have further columns, which stay unless named like a result.
 """
 
 from __future__ import annotations
