@@ -27,7 +27,8 @@ def delta(series: DataFrame, order: int = 1, width: int = WIDTH, out: str = "c")
     whole = F.lag("c", half).over(along).isNotNull() & F.lead("c", half).over(along).isNotNull()
     rows = series.withColumn("__d", F.when(whole, reduce(lambda a, b: a + b, terms)))
     before = F.last("__d", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("__d", ignorenulls=True).over(along.rowsBetween(0, W.unboundedFollowing))
+    # only rows without one before them take it, so the series' first is theirs; a frame from each row to the end would be read anew for each row
+    after = F.first("__d", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return rows.withColumn(out, F.coalesce(before, after)).drop("__d")
 
 
