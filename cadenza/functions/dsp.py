@@ -6,11 +6,12 @@ linear prediction and resampling. Signals are 1-D float arrays; spectra are bins
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, gcd
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -278,15 +279,53 @@ def sequences(y: np.ndarray, families: tuple[tuple, ...], first: bool, second: b
     return (whole - whole.mean(axis=0)) / (whole.std(axis=0) + eps)
 
 
+#: Numbers of an output batch, about: a worker holds the results of no more clips than make these.
+BATCH_NUMBERS = 500_000
+
+
+def as_cells(results: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """Results as cells of arrays, or of arrays of arrays, without an object for each number or row."""
+    whole = [r for r in results if r is not None]
+    sizes = np.array([0 if r is None else len(r) for r in results], int)
+    values = np.concatenate([r.ravel() for r in whole]) if whole else np.zeros(0)
+    cells = pa.array(values, kind.value_type.value_type if pa.types.is_list(kind.value_type) else kind.value_type)
+    if pa.types.is_list(kind.value_type):
+        widths = np.repeat(np.array([r.shape[-1] for r in whole], int), sizes[[r is not None for r in results]])
+        cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(widths)]), pa.int32()), cells)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), cells, mask=pa.array([r is None for r in results], pa.bool_()))
+
+
 def as_column(kernel, kind: str, *args: object):
-    """A function from a column of arrays to a column: kernel(y, *args), clip by clip in Arrow batches."""
+    """A function from a column of arrays to a column: kernel(y, *args), clip by clip in Arrow batches.
+
+    What comes in a batch goes out in as many as its results ask for, so memory grows neither with the rows of a
+    batch nor with the table.
+    """
     number = np.float64 if "double" in kind else np.float32
+    cells = pa.list_(pa.from_numpy_dtype(number))
+    cells = pa.list_(cells) if kind.count("array") > 1 else cells
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for clips in batches:
+            results, held = [], 0
+            for y in clips:
+                results.append(None if y.values is None else np.asarray(kernel(numbers_of(y.values), *args), number))
+                held += 0 if results[-1] is None else results[-1].size
+                if held >= BATCH_NUMBERS:
+                    yield as_cells(results, cells)
+                    results, held = [], 0
+            # a batch without rows is answered too
+            if results or not len(clips):
+                yield as_cells(results, cells)
+
+    return F.arrow_udf(run, kind)
 
-    def run(clips: pd.Series) -> pd.Series:
-        out = [None if y is None else np.asarray(kernel(np.asarray(y, float), *args), number) for y in clips]
-        return pd.Series([None if x is None else list(x) if x.ndim > 1 else x for x in out])
 
-    return F.pandas_udf(run, kind)
+def numbers_of(values: pa.Array) -> np.ndarray:
+    """Samples, or rows of equally many; missing ones are NaN."""
+    if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        return np.stack([numbers_of(v.values) for v in values]) if len(values) else np.zeros((0, 1))
+    return np.asarray(values.to_numpy(zero_copy_only=False), float)
 
 
 def denoise(y: Column, sr: int = 16000, n_fft: int = 1024, hop: int = 256, win: int = 1024, noise_sec: float = 0.2, alpha: float = 1.0, number: str = "float") -> Column:
@@ -309,8 +348,4 @@ def sequences_of(y: Column, families: tuple[tuple, ...], first: bool = True, sec
 
 def burg_of(frames: Column, order: int = 16) -> Column:
     """Prediction coefficients of each frame of an array of frames."""
-
-    def run(clips: pd.Series) -> pd.Series:
-        return pd.Series([None if c is None else list(burg(np.stack([np.asarray(f, float) for f in c]), order)) if len(c) else [] for c in clips])
-
-    return F.pandas_udf(run, "array<array<double>>")(frames)
+    return as_column(burg, "array<array<double>>", order)(frames)

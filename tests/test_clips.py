@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,21 @@ def test_one_pass_equals_operators_on_rows(spark):
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
 
 
+def test_results_of_a_batch_leave_in_parts(spark, monkeypatch):
+    """A batch's results are not held together; nulls, clips of any length and a batch without rows keep their places."""
+    clips = [None, *(rng.normal(size=n) for n in (40, 400, 90)), None]
+    column = dsp.as_column(dsp.mfcc, "array<array<double>>", 1600, 4, 8, 20, 800, 16, 40, 64)
+    monkeypatch.setattr(dsp, "BATCH_NUMBERS", 20)
+    answers = list(column.func(iter([pa.array(clips, pa.list_(pa.float64())), pa.array([], pa.list_(pa.float64()))])))
+    assert [len(a) for a in answers] == [3, 1, 1, 0] or [len(a) for a in answers] == [2, 1, 1, 1, 0]
+    got = [y for a in answers for y in a.to_pylist()]
+    for y, m in zip(clips, got, strict=True):
+        assert (y is None and m is None) or np.array_equal(m, dsp.mfcc(y, 1600, 4, 8, 20, 800, 16, 40, 64))
+    table = spark.createDataFrame([(k, None if y is None else y.tolist()) for k, y in enumerate(clips)], "k int, y array<double>").coalesce(1)
+    rows = {r.k: r.m for r in table.select("k", dsp.mfcc_of(F.col("y"), 1600, 4, 8, 20, 800, 16, 40, 64, "double").alias("m")).collect()}
+    assert [rows[k] for k in range(len(clips))] == got
+
+
 def test_workers_that_meet_each_step_are_one(spark):
     """Gradients summed over three workers' parts give the steps that one worker takes."""
     more = {"epochs": 2, "together": "step"}
