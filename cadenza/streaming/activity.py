@@ -29,7 +29,7 @@ def streamed_segments(frames: DataFrame, length: int, hop: int, limits: Threshol
         on, begun, at, n, held = state.get if state.exists else (False, 0, 0, None, [])
         waiting = {r[0]: (r[1], r[2]) for r in held}
         for part in parts:
-            for f, size, ste, zcr in part[["f", "n", "ste", "zcr"]].itertuples(index=False):
+            for f, size, ste, zcr in zip(*(part[c].tolist() for c in ("f", "n", "ste", "zcr")), strict=True):
                 n = n if pd.isna(size) else int(size)
                 if not pd.isna(f) and f >= at:
                     waiting[int(f)] = (float(ste), float(zcr))
@@ -62,12 +62,17 @@ def read_frames(frames: DataFrame, path: str, files_per_trigger: int = 1) -> Dat
     return frames.sparkSession.readStream.schema(frames.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+#: Places of frames that wait in one entry.
+BLOCK = 256
+
+
 class IdleClips(StatefulProcessor):
     """Takes a clip's frames in their order and closes it once it has been idle for some time.
 
-    State: `run` (whether activity is on, where its run began, the next frame, the clip's length if it is known),
-    and `waiting`, a map of the frames that came before their turn, one entry each, of which only those whose
-    turn it is are read. An event-time timer is set `idle` after the latest frame's time.
+    State: `run` (whether activity is on, where its run began, the next frame, the clip's length if it is known,
+    whether frames wait), and `waiting`, a map of the frames that came before their turn, an entry for each BLOCK
+    of places, of which only those whose turn it is are read. Each call of the state is a message to the JVM, so
+    frames of a batch whose turn it is never go there. An event-time timer is set `idle` after the latest frame's time.
     """
 
     def __init__(self, length: int, hop: int, limits: Thresholds, idle_ms: int) -> None:
@@ -75,8 +80,8 @@ class IdleClips(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "on BOOLEAN, begun INT, next INT, n INT, due BIGINT")
-        self.waiting = handle.getMapState("waiting", "f INT", "ste DOUBLE, zcr DOUBLE")
+        self.run = handle.getValueState("run", "on BOOLEAN, begun INT, next INT, n INT, due BIGINT, waits BOOLEAN")
+        self.waiting = handle.getMapState("waiting", "block INT", "f ARRAY<INT>, ste ARRAY<DOUBLE>, zcr ARRAY<DOUBLE>")
 
     def frame(self, f: int, ste: float, zcr: float, on: bool, begun: int, found: list) -> tuple[bool, int]:
         if not on and (ste > self.limits.energy_hi or zcr > self.limits.zcr_hi):
@@ -92,22 +97,44 @@ class IdleClips(StatefulProcessor):
             yield pd.DataFrame({"clip_id": [key[0]] * len(found), "seg_start": [a * self.hop for a, _ in found], "seg_end": [e if n is None else min(e, n) for e in ends]})
 
     def state(self) -> tuple:
-        return self.run.get() if self.run.exists() else (False, 0, 0, None, None)
+        return self.run.get() or (False, 0, 0, None, None, False)
+
+    def block(self, k: int) -> dict[int, tuple[float, float]]:
+        """Frames that wait in a block."""
+        held = self.waiting.getValue((k,)) if self.waiting.containsKey((k,)) else None
+        return {} if held is None else {f: (ste, zcr) for f, ste, zcr in zip(*held, strict=True)}
+
+    def keep(self, came: dict[int, tuple[float, float]], touched: set[int]) -> None:
+        """Put frames with those of their blocks; came has all of the touched blocks."""
+        blocks: dict[int, dict] = {k: {} for k in touched}
+        for f, v in came.items():
+            blocks.setdefault(f // BLOCK, {})[f] = v
+        for k, frames in blocks.items():
+            frames = frames if k in touched else self.block(k) | frames
+            if frames:
+                self.waiting.updateValue((k,), (list(frames), [v[0] for v in frames.values()], [v[1] for v in frames.values()]))
+            else:
+                self.waiting.removeKey((k,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        on, begun, at, n, due = self.state()
+        on, begun, at, n, due, waits = self.state()
         latest, found = None, []
+        came: dict[int, tuple[float, float]] = {}
         for part in rows:
-            for f, size, ste, zcr, when in part[["f", "n", "ste", "zcr", "at"]].itertuples(index=False):
+            for f, size, ste, zcr, when in zip(*(part[c].tolist() for c in ("f", "n", "ste", "zcr", "at")), strict=True):
                 n = n if pd.isna(size) else int(size)
                 ms = int(when.timestamp() * 1000)
                 latest = ms if latest is None else max(latest, ms)
                 if not pd.isna(f) and f >= at:
-                    self.waiting.updateValue((int(f),), (float(ste), float(zcr)))
-        while self.waiting.containsKey((at,)):
-            ste, zcr = self.waiting.getValue((at,))
-            self.waiting.removeKey((at,))
-            on, begun = self.frame(at, ste, zcr, on, begun, found)
+                    came[int(f)] = (float(ste), float(zcr))
+        read: set[int] = set()
+        while True:
+            if waits and at // BLOCK not in read:
+                read.add(at // BLOCK)
+                came = self.block(at // BLOCK) | came
+            if at not in came:
+                break
+            on, begun = self.frame(at, *came.pop(at), on, begun, found)
             at += 1
         if n is not None and at >= (1 if n < self.length else (n - self.length) // self.hop + 1):
             found += [(begun, at)] if on else []
@@ -118,14 +145,16 @@ class IdleClips(StatefulProcessor):
                     self.handle.deleteTimer(due)
                 due = latest + self.idle
                 self.handle.registerTimer(due)
-            self.run.update((on, begun, at, n, due))
+            self.keep(came, read)
+            self.run.update((on, begun, at, n, due, waits or bool(came)))
         yield from self.rows(key, found, n)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        on, begun, at, n, _ = self.state()
+        on, begun, at, n, _, waits = self.state()
         found: list[tuple[int, int]] = []
         # frames that never came keep the state as it is
-        for (f,), (ste, zcr) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+        left = sorted(row for _, held in self.waiting.iterator() for row in zip(*held, strict=True)) if waits else []
+        for f, ste, zcr in left:
             on, begun = self.frame(f, ste, zcr, on, begun, found)
             at = f + 1
         found += [(begun, at)] if on else []

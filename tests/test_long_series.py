@@ -329,6 +329,66 @@ def test_idle_clips_are_closed(spark, tmp_path):
     assert got == {("gap", 4, 40), ("known", 0, 20), ("known", 8, 24)}
 
 
+def test_frames_that_wait_are_kept_in_blocks():
+    """Frames whose turn it is never go to the state; others go there a block at a time, and only blocks whose turn it is are read."""
+    import pandas as pd
+
+    from cadenza.streaming.activity import BLOCK, IdleClips
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.kept = v
+
+        def clear(self):
+            self.kept = None
+
+    class Map(dict):
+        calls = 0
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        def getValue(self, k):
+            self.calls += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            self.calls += 1
+            self.pop(k, None)
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Handle:
+        def registerTimer(self, t):
+            pass
+
+        deleteTimer = registerTimer
+
+    clips = IdleClips(16, 4, activity.Thresholds(1.5, 0.8, 0.63, 0.42), 1000)
+    clips.run, clips.waiting, clips.handle = Value(), Map(), Handle()
+    voiced = [f % 7 < 3 for f in range(3 * BLOCK)]
+    frame = lambda f: (f, None, 2.0 if voiced[f] else 0.1, 0.0, pd.Timestamp(100 + f, unit="s"))
+    got = []
+    for places in (range(1, 3 * BLOCK, 2), range(0, BLOCK, 2), range(BLOCK, 3 * BLOCK, 2)):
+        part = pd.DataFrame([frame(f) for f in places], columns=["f", "n", "ste", "zcr", "at"])
+        got += [tuple(map(int, r)) for found in clips.handleInputRows((5,), iter([part]), None) for r in found.itertuples(index=False)]
+    got += [tuple(map(int, r)) for found in clips.handleExpiredTimer((5,), None, None) for r in found.itertuples(index=False)]
+    starts = [f for f in range(3 * BLOCK) if voiced[f] and (f == 0 or not voiced[f - 1])]
+    assert got == [(5, 4 * a, 4 * min(a + 3, 3 * BLOCK) + 16) for a in starts] and not clips.waiting and clips.run.kept is None
+    assert clips.waiting.calls < 40
+
+
 def test_moments_of_deliveries(spark, tmp_path, monkeypatch):
     """Two deliveries equal one pass; a failed or repeated one counts once or not at all; large offsets lose nothing."""
     values = 1e9 + rng.normal(size=400)
