@@ -189,6 +189,11 @@ def vad_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.detect(signal_l(spark, sf_dir), FRAME_L, HOP_L, LIMITS_L, merge=True)
 
 
+def feed_files(spark: SparkSession, feed: str) -> int:
+    """Files of half a feed: batches are two or so at any size, as each costs a turn of all state partitions."""
+    return max(1, len(spark.read.parquet(feed).inputFiles()) // 2)
+
+
 @query(VAD_E)
 def vad_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same segments from a stream in which frames come out of order."""
@@ -196,7 +201,7 @@ def vad_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed, out = shared_folder(spark, "feed"), shared_folder(spark, "segments")
     for part in (stats.where("f % 2 = 1"), stats.where("f % 2 = 0")):
         part.write.mode("append").parquet(feed)
-    stream = read_frames(stats, feed, 4)
+    stream = read_frames(stats, feed, feed_files(spark, feed))
     found = streamed_segments(stream, FRAME_E, HOP_E, LIMITS_E)
     write = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     write.awaitTermination()
@@ -212,8 +217,8 @@ def vad_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a frame of no clip, much later, lets the time of the others pass
     later = spark.sql("SELECT CAST(-1 AS BIGINT) AS clip_id, CAST(NULL AS INT) AS n, CAST(NULL AS INT) AS f, 0.0D AS ste, 0.0D AS zcr, timestamp_seconds(1000000) AS at")
     for part in (rows.where("f % 2 = 1"), rows.where("f % 2 = 0"), later):
-        part.coalesce(1).write.mode("append").parquet(feed)
-    found = idle_segments(read_frames(rows, feed, 1), FRAME_E, HOP_E, LIMITS_E, "20 minutes", "15 minutes")
+        part.write.mode("append").parquet(feed)
+    found = idle_segments(read_frames(rows, feed, feed_files(spark, feed)), FRAME_E, HOP_E, LIMITS_E, "20 minutes", "15 minutes")
     before = spark.conf.get(provider := "spark.sql.streaming.stateStore.providerClass")
     spark.conf.set(provider, ROCKSDB)
     try:
