@@ -205,3 +205,50 @@ def test_near_vectors_of_nothing(spark):
     assert vector_dups.near_vectors(none).isEmpty()
     odd = spark.createDataFrame([(2, None, 1), (1, [0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert sorted(map(tuple, vector_dups.near_vectors(odd).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_vectors_that_pivots_do_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(vector_dups, "LIMIT", 50)
+    dealt, cuts = [], []
+    monkeypatch.setattr(vector_dups, "blocks", lambda *a, f=vector_dups.blocks: dealt.append(f(*a)) or dealt[-1])
+    monkeypatch.setattr(vector_dups, "cut", lambda rows, pivots, r, f=vector_dups.cut: cuts.append(pivots) or f(rows, pivots, r))
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist(), i % 2) for i in range(400)]
+    rows += [(400 + i, (np.array(rows[i][1]) + rng.normal(size=64) * 0.05).tolist(), i % 2) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = vector_dups.near_vectors(table, 0.98)
+    assert Counter(map(tuple, got.collect())) == linked(rows, 0.98)
+    # copies in nearly all smaller cells would cost more than blocks: a vector goes to as many as its label has parts
+    assert not cuts and dealt[0].count() == len(rows) * 5
+
+
+@pytest.mark.parametrize("limit", [10, 1000])
+def test_pairs_meet_in_one_block(spark, monkeypatch, limit):
+    monkeypatch.setattr(vector_dups, "LIMIT", limit)
+    rows = [(c, 100 * n + i, 1, i < homes, [1.0, float(i)]) for n, (c, homes) in enumerate((("a", 35), ("b", 12), ("c", 0))) for i in range(60)]
+    cells = spark.createDataFrame(rows, "cell string, node long, n long, home boolean, u array<double>")
+    sizes = cells.selectExpr("*", "int(home) AS h").groupBy("cell").agg({"h": "sum", "*": "count"}).selectExpr("cell", "`sum(h)` AS homes", "`count(1)` AS n", "2 AS dims")
+    found = defaultdict(list)
+    for r in vector_dups.blocks(cells, sizes).collect():
+        found[r.cell, r.a, r.b].append((r.node, r.role))
+    met = Counter()
+    for some in found.values():
+        for (x, p), (y, q) in itertools.combinations(some, 2):
+            if p & 1 and q & 2 or p & 2 and q & 1:
+                met[min(x, y), max(x, y)] += 1
+    home = {node: stays for _, node, _, stays, _ in rows}
+    assert met == Counter((x, y) for x, y in itertools.combinations(sorted(home), 2) if x // 100 == y // 100 and (home[x] or home[y]))
+    assert all(bool(role & 4) == home[node] for some in found.values() for node, role in some)
+    assert limit > 60 or max(map(len, found.values())) < 50
+
+
+def test_doubles_decide_at_the_limit(spark):
+    # pairs (2i, 2i + 1) whose cosines are too near 0.98 for single precision, on both sides of it
+    rng = np.random.default_rng(2)
+    rows = []
+    for i, off in enumerate((3e-8, -3e-8, 1e-12, -1e-12, 1e-6, -1e-6)):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        c = 0.98 + off
+        rows += [(2 * i, a.tolist(), i), (2 * i + 1, (c * a + math.sqrt(1 - c * c) * b).tolist(), i)]
+    got = vector_dups.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98)
+    assert {r.vec_id for r in got.collect() if r.n_links} == {0, 1, 4, 5, 8, 9}
