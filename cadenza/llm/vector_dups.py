@@ -47,8 +47,9 @@ LIMIT, SIDE, LEAST = 16384, 1 << 20, 64
 FAN, CELLS, TURNS = 24, 1000, 6
 #: Numbers of pivots and probes that the driver takes in a turn.
 HELD = 1 << 22
-#: A cell is cut if a vector of it has to be in this share of the smaller cells at most, on average.
-WORTH = 0.4
+#: A cell is cut if a vector of it has to be in this share of the smaller cells at most, on average; a smaller share if
+#: it has few home vectors, as these are what a copy of a vector may be spared.
+WORTH = 0.5
 #: Vectors of a block that are multiplied at once, by so many others.
 TILE, WIDE = 256, 2048
 #: What rounding may take from a distance.
@@ -123,11 +124,11 @@ def pivots_of(rows: DataFrame, big: list, turn: int, r: float) -> dict[str, np.n
     drawn = rows.where("home").join(cells, "cell").withColumn("h", h).where(F.pmod("h", F.lit(1 << 40)) < F.lit(float(1 << 40)) * 8 * FAN / F.col("homes"))
     ranked = drawn.withColumn("nth", F.row_number().over(W.partitionBy("cell").orderBy("h", "node"))).where(F.col("nth") <= 2 * FAN)
     t = ranked.select("cell", "u").toArrow()
-    names, found = t.column("cell").to_numpy(), {}
+    names, homes, found = t.column("cell").to_numpy(), {x["cell"]: x["homes"] for x in big}, {}
     for c in np.unique(names):
         u = table_of(t.column("u").take(pa.array(np.flatnonzero(names == c))))
         half = len(u) // 2  # the rest are probes
-        if half > 1 and reached(u[half:], u[:half], r)[1].mean() <= WORTH:
+        if half > 1 and reached(u[half:], u[:half], r)[1].mean() <= WORTH * homes[c] / (homes[c] + 2 * LIMIT):
             found[c] = u[:half]
     return found
 
